@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm import mixing, quality_rules, sharding
+from quotelens.llm import mixing, quality_rules, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs.select("doc_id", "source", "text"), mixing.words_in(F.col("text")))
@@ -63,5 +67,10 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken,
 FROM cut
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op5_quality_rules": op5_quality_rules, "op7_mixing": op7_mixing}
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_mixing": op7_mixing,
+}
 ORACLE_SQL = {"op7_mixing": _OP7}
