@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm import mixing, near_dedup, quality_rules, sharding, substring_dedup
+from quotelens.llm import decontamination, html_extraction, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
+
+#: A public vocabulary file with byte fallback.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +24,15 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it contains."""
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -36,6 +48,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.in_training_order(mixed.select(*columns).withColumn("position", F.round("position", 9)))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), token_counts.Vocabulary.from_sentencepiece(vocabulary))
+
+
 _OP7 = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
@@ -74,8 +94,12 @@ FROM cut
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_near_dedup": op2_near_dedup,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_mixing": op7_mixing,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL = {"op7_mixing": _OP7}
