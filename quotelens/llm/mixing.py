@@ -54,22 +54,22 @@ def position_at(words: Column, target: Column, slope: Column) -> Column:
 
 
 def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", **shares) -> DataFrame:
-    """What the mix takes of every row: the columns of docs, and size, source_size, target, taken, position.
+    """What the mix takes of every row: row (a struct of all columns of docs), size, source_size, target, taken, position.
 
     The rows of a source are laid out in order of a hash of the key; the target's words are taken from the front, once
     more from the front if it is larger than the source, so the last row may be taken in part. position is null where
     nothing is taken. A null key or source is a value like others; rows of size 0 take nothing; an empty table gives one.
     Running sums are made within parts of a source, and over the sums of parts, so no task holds a whole source.
-    Names of the added columns must be free in docs.
     """
     order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.withColumn("size", size).withColumn("_source", F.col(source)).withColumn("_order", order).withColumn("_part", F.substring("_order", 1, PART_DIGITS))
+    columns = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("_key"), F.col(source).alias("_source"), size.alias("size"), order.alias("_order")]
+    rows = docs.select(*columns).withColumn("_part", F.substring("_order", 1, PART_DIGITS))
     parts = rows.groupBy("_source", "_part").agg(F.sum("size").alias("_words"))
     targets = source_targets(parts.groupBy("_source").agg(F.sum("_words").alias("source_size")), **shares)
     before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = parts.withColumn("_first", F.coalesce(F.sum("_words").over(before), F.lit(0)))
     firsts = firsts.join(targets.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s", "_words")
-    within = Window.partitionBy("_source", "_part").orderBy("_order", key, "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_source", "_part").orderBy("_order", "_key", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = rows.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     firsts = firsts.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), "_first", "source_size", "slope", "target")
     laid = laid.join(firsts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
@@ -77,15 +77,15 @@ def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "sourc
     once = lambda at: F.greatest(F.lit(0), F.least(F.col("size"), want - at))
     taken = (once(start) + once(start + F.col("source_size"))).cast("long")
     laid = laid.withColumn("taken", taken).withColumn("position", F.when(F.col("taken") > 0, position_at(start, F.col("target"), F.col("slope"))))
-    return laid.drop("_source", "_order", "_part", "_first", "_within", "_s", "_p", "slope")
+    return laid.select("row", "size", "source_size", "target", "taken", "position")
 
 
-def in_training_order(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+def in_training_order(mixed: DataFrame, key: str = "row.doc_id") -> DataFrame:
     """Range-sort by position: parts of the output follow one another in training; rows that aren't taken come last."""
     return mixed.orderBy(F.col("position").asc_nulls_last(), key)
 
 
 def passes(mixed: DataFrame) -> DataFrame:
-    """A row for each time that a row is taken, in whole or in part: rows that aren't taken go, repeated ones come again."""
+    """The rows of docs, each as often as it is taken in whole or in part: those that aren't taken go, repeated ones come again."""
     times = F.when(F.col("taken") > F.col("size"), 2).when(F.col("taken") > 0, 1).otherwise(0)
-    return mixed.withColumn("_pass", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).drop("_pass")
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")

@@ -44,8 +44,8 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs.select("doc_id", "source", "text"), mixing.words_in(F.col("text")))
-    columns = ("doc_id", "size", "source_size", "target", "taken", "position")
-    return mixing.in_training_order(mixed.select(*columns).withColumn("position", F.round("position", 9)))
+    columns = ("size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
+    return mixing.in_training_order(mixed.select("row.doc_id", *columns), "doc_id")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
