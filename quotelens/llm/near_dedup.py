@@ -8,10 +8,12 @@ all such pairs. At 13 chunks of 5 symbols that is a distance of up to 25 of 65;
 in 9.75 symbols on average, and exceed 25 about once in a million.
 
 No bucket of the join is expanded into all of its pairs. Texts with equal shingle sets are one class from the start. Each
-class first meets only the smallest class of each of its buckets and is compared with the nearest of those; the links
-confirmed on full sets give components. Only buckets that still hold several components, that is whose texts aren't linked
-yet, are joined with themselves, across components, so that every pair under the distance that could join two components
-is looked at. Later links can't be missed: within a component they change nothing.
+bucket has a hub, the class that shares most over all its buckets (of a text and its edited copies, the text), and the
+others of the bucket are compared with it. The links confirmed on full sets give components. What is left are buckets whose
+classes, but for the hub, are in several components: the pairs across those that can still be similar enough are found by
+a prefix join over the full sets of just these classes. Shingles are ordered from the rarest on; two similar sets share one
+of the first ``n - ceil(0.85 n) + 1``, and the places of the first that they share bound their intersection, so that copies
+with too many edits of their own never become pairs. Within a component more links change nothing.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotelens.llm.store import materialize
@@ -136,6 +138,19 @@ def _distances(near: Near):
     return distances
 
 
+def _tokens(near: Near):
+    """The shingles of each text."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1), lower=True):
+                text, hashes = shingles(block, near.shingle)
+                ids = batch.column(0).to_numpy(zero_copy_only=False)[block.rows[0] : block.rows[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(hashes.view(np.int64))], names=["id", "token"])
+
+    return tokens
+
+
 def _set_of(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     found = [(block.rows[0], *shingles(block, n)) for block in blocks(texts, lower=True)]
     return np.concatenate([i + text for i, text, _ in found]), np.concatenate([hashes for _, _, hashes in found])
@@ -193,6 +208,21 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialize(small.distinct(), "links")
 
 
+def _alike(classes: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
+    """classes: id, n (shingles), root. Pairs of ids of different roots that can reach the similarity: a prefix join over full sets."""
+    tokens = materialize(texts.join(classes, "id").select("id", "text").mapInArrow(_tokens(near), "id long, token long"), "tokens")
+    several = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    # shingles that no other class has come first in its order; they only shift the places of the rest
+    own = Window.partitionBy("id")
+    placed = tokens.join(several, "token").withColumn("rank", F.row_number().over(own.orderBy("often", "token"))).withColumn("kept", F.count("*").over(own))
+    placed = placed.join(classes, "id").withColumn("place", F.col("n") - F.col("kept") + F.col("rank") - 1)
+    prefix = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * near.percent / 100)).select("token", "id", "n", "root", "place")
+    a, b = (prefix.select("token", *(F.col(c).alias(c[0] + i) for c in ("id", "n", "root", "place"))) for i in "ab")
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    able = (100 * most >= near.percent * (F.col("na") + F.col("nb") - most)) & (a.token == b.token) & (F.col("ia") < F.col("ib")) & (F.col("ra") != F.col("rb"))
+    return a.join(b, able).select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", near: Near = Near()) -> DataFrame:
     """key, n_shingles, component_id and kept of every row of docs; other columns of docs are not read.
 
@@ -203,40 +233,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ne
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
     signed = materialize(rows.mapInArrow(_sign(near), f"doc {kind}, n_shingles long, node binary, signature binary"), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("signature").alias("signature"))
+    classes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     classes = materialize(classes.withColumn("id", F.xxhash64("node")), "classes")  # ids only find candidates
     buckets = classes.select("id", "signature").mapInArrow(_buckets(near), "bucket long, id long")
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("bucket", "hub")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(buckets.join(shared, "bucket"), "members")
-    needed = members.select("id").distinct()
-    wanted = materialize(classes.join(needed, "id", "left_semi"), "wanted")
+    central = members.groupBy("id").agg(F.sum("size").alias("shares"))
+    wanted = materialize(classes.join(central, "id"), "wanted")
+    hubs = members.join(central, "id").groupBy("bucket").agg(F.max(F.struct("shares", "id"))["id"].alias("hub"))
+    others = materialize(members.select("bucket", "id").join(hubs, "bucket").where("id != hub"), "others")
     texts = rows.join(wanted.select(F.col("doc").alias("_d")).distinct(), F.col("doc").eqNullSafe(F.col("_d"))).select("text")
-    texts = texts.mapInArrow(_pick(near), "node binary, text string").join(wanted.select("node"), "node", "left_semi")
+    texts = texts.mapInArrow(_pick(near), "node binary, text string").join(wanted.select("node", "id"), "node")
     texts = materialize(texts.dropDuplicates(["node"]), "texts")
 
-    def within(pairs: DataFrame) -> DataFrame:
-        """pairs of ids a, b -> pairs of nodes within the distance."""
-        of = lambda c: wanted.select(F.col("id").alias(c), F.col("node").alias(f"n{c}"), F.col("signature").alias(f"s{c}"))
-        return pairs.join(of("a"), "a").join(of("b"), "b").select("na", "nb", "sa", "sb").mapInArrow(_distances(near), "a binary, b binary, away int")
-
     def confirmed(pairs: DataFrame) -> DataFrame:
-        of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
-        return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(near), "a binary, b binary")
-
-    met = within(members.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
-    met = materialize(met.groupBy("a").agg(F.min(F.struct("away", "b")).alias("best")).select("a", "best.b"), "met")
-    links = materialize(confirmed(met), "confirmed")
+        """pairs: ids a, b. The nodes of those that are linked."""
+        of = lambda c: texts.select(F.col("id").alias(f"i{c}"), F.col("node").alias(f"n{c}"), F.col("text").alias(f"t{c}"))
+        both = pairs.join(of("a"), F.col("a") == F.col("ia")).join(of("b"), F.col("b") == F.col("ib")).select("na", "nb", "ta", "tb")
+        return both.toDF("a", "b", "ta", "tb").mapInArrow(_confirm(near), "a binary, b binary")
+
+    met = others.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    of = lambda c: wanted.select(F.col("id").alias(c), F.col("signature").alias(f"s{c}"))
+    close = met.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_distances(near), "a long, b long, away int")
+    links = materialize(confirmed(close.select("a", "b")), "confirmed")
     roots = materialize(components(links), "roots")
-    # what the hubs left: buckets with texts of several components
-    named = wanted.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    placed = members.select("bucket", "id").join(named, "id")
+    # what the hubs left
+    named = wanted.select("id", "node", "n").join(roots, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"))
+    placed = others.select("bucket", "id").join(named, "id")
     apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    open_ = materialize(placed.join(apart, "bucket"), "open")
-    left, right = (open_.select("bucket", F.col("id").alias(i), F.col("root").alias(f"r{i}")) for i in "ab")
-    crossing = within(left.join(right, (left.bucket == right.bucket) & (left.a < right.b) & (left.ra != right.rb)).select("a", "b").distinct())
-    tried = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crossing = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = confirmed(materialize(crossing, "crossing"))
+    open_ = materialize(placed.join(apart, "bucket").select("id", "n", "root").distinct(), "open")
+    more = confirmed(materialize(_alike(open_, texts, near), "crossing"))
     roots = components(links.union(more))
     named = classes.select("node", "doc").join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc").alias("component_id"))
