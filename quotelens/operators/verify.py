@@ -16,6 +16,7 @@ from quotelens.functions.profiles import Profile
 from quotelens.functions.windows import if_small
 from quotelens.operators import align, match
 from quotelens.operators.match import PASSAGE, SMALL
+from quotelens.store import materialize
 
 #: References that a verdict lists at most, of single words and of wordings that differ.
 MOST_SINGLE, MOST_PARTIAL, MOST_SPAN = 8, 3, 30
@@ -118,10 +119,11 @@ def verdicts(candidates: DataFrame, passages: DataFrame, profile: Profile) -> Da
 
 
 def memoized(candidates: DataFrame, passages: DataFrame, profile: Profile) -> DataFrame:
-    """verdicts() made once for each different candidate, for all of them."""
+    """verdicts() made once for each different candidate, for all of them. Candidates and canon are written once, since every way of matching reads them."""
+    passages = materialize(passages, "passages")
     key = ["text", "high", "claimed_group", "ords", "range_ords"]
     coded = candidates.withColumn("_key", F.xxhash64(*key))
-    once = coded.groupBy("_key").agg(*[F.first(k).alias(k) for k in key]).withColumnRenamed("_key", "cand_id")
+    once = materialize(coded.groupBy("_key").agg(*[F.first(k).alias(k) for k in key]).withColumnRenamed("_key", "cand_id"), "candidates")
     return coded.select("cand_id", "_key").join(verdicts(once, passages, profile).withColumnRenamed("cand_id", "_key"), "_key").drop("_key")
 
 
