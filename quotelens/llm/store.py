@@ -1,36 +1,5 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables, as the rest of the library writes them."""
 
-from __future__ import annotations
+from quotelens.store import materialize, release, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where it is unset and Spark runs on one machine."""
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="quotelens-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: its lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quotelens/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete materialized tables that nothing reads any more."""
-    for table in tables:
-        spark = table.sparkSession
-        for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["materialize", "release", "shared_dir"]
