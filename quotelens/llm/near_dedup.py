@@ -242,7 +242,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ne
     wanted = materialize(classes.join(central, "id"), "wanted")
     hubs = members.join(central, "id").groupBy("bucket").agg(F.max(F.struct("shares", "id"))["id"].alias("hub"))
     others = materialize(members.select("bucket", "id").join(hubs, "bucket").where("id != hub"), "others")
-    texts = rows.join(wanted.select(F.col("doc").alias("_d")).distinct(), F.col("doc").eqNullSafe(F.col("_d"))).select("text")
+    # a merge join at every size, since the keys of a large corpus are not to be broadcast
+    texts = rows.join(wanted.select(F.col("doc").alias("_d")).distinct().hint("merge"), F.col("doc").eqNullSafe(F.col("_d"))).select("text")
     texts = texts.mapInArrow(_pick(near), "node binary, text string").join(wanted.select("node", "id"), "node")
     texts = materialize(texts.dropDuplicates(["node"]), "texts")
 
