@@ -25,8 +25,8 @@ def passages_of(rows: DataFrame, profile: Profile, wording: Column | None = None
 def read_canon(spark: SparkSession, path: str, profile: Profile = ARABIC) -> DataFrame:
     """Passages of a JSON canon. A file of another form, or without passages, raises an error."""
     canon = spark.read.schema(CANON).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    groups = canon.select(F.explode("suras").alias("g")).select(F.col("g.index").cast("int").alias("group_id"), F.col("g.name").alias("group_name"), F.explode("g.ayas").alias("p"))
-    rows = groups.select("group_id", "group_name", F.col("p.index").cast("int").alias("ord"), F.col("p.text").alias("text")).where("group_id > 0 and ord > 0 and text is not null")
+    groups = canon.select(F.explode("suras").alias("g")).select(F.col("g.index").try_cast("int").alias("group_id"), F.col("g.name").alias("group_name"), F.explode("g.ayas").alias("p"))
+    rows = groups.select("group_id", "group_name", F.col("p.index").try_cast("int").alias("ord"), F.col("p.text").alias("text")).where("group_id > 0 and ord > 0 and text is not null")
     if rows.isEmpty():
         raise ValueError(f"no passages in {path}")
     return passages_of(rows, profile, split_vocative(F.col("text")) if profile is ARABIC else None)
