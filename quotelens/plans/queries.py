@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quotelens.functions import labels
 from quotelens.functions.profiles import LATIN, Profile
 from quotelens.operators import align, corrections, extract, findings, match, references, suggest, verify
+from quotelens.plans import scan
 from quotelens.sources import corpus, pages
 from quotelens.streaming import changes
 
@@ -211,6 +212,13 @@ def word_distance(spark, sf_dir):
     return edited.select("item_id", align.window_distance("")("words", "canon", match.allowed_edits(F.size("words"))).alias("distance"))
 
 
+@query(f"WITH {_P}, {_EXCERPT} SELECT e.cand_id, t AS phrase, group_id, ord FROM e JOIN p ON contains(' ' || t1 || ' ', ' ' || t || ' ') WHERE len(x) = 8 AND len(list_distinct(x)) = 8")
+def doubled_phrases(spark, sf_dir):
+    e = _excerpts(spark, sf_dir).where("size(cited_words) = 8 and size(array_distinct(cited_words)) = 8")
+    twice = e.select("cand_id", F.concat_ws(" ", "text", "text").alias("text"))
+    return scan.doubled(twice, _passages(spark, sf_dir), LATIN)
+
+
 @query(f"WITH {_P}, {_HITS}, r AS (SELECT doc_id, group_id, ord, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY group_id, ord) AS INTEGER) AS rank FROM hits) SELECT * FROM r WHERE rank <= 3")
 def top3_refs(spark, sf_dir):
     return _hits(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("group_id", "ord"))).where("rank <= 3")
