@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,17 @@ def runs(df: DataFrame, keys: list[str], words: str, n: int) -> DataFrame:
     return found.where(F.col("run").isNotNull())
 
 
+#: Sizes of canons that were asked for, so that each is counted once.
+_SIZES: WeakKeyDictionary[DataFrame, tuple[int, int]] = WeakKeyDictionary()
+
+
+def canon_side(derived: DataFrame, passages: DataFrame, words: int = 200_000) -> DataFrame:
+    """derived (a row for each passage or word of passages at most), to be broadcast if the canon has at most so many passages and words."""
+    if passages not in _SIZES:
+        _SIZES[passages] = tuple(passages.agg(F.count("*"), F.coalesce(F.sum(F.size("t1_words")), F.lit(0))).first())
+    return F.broadcast(derived) if max(_SIZES[passages]) <= words else derived
+
+
 def if_small(df: DataFrame, rows: int) -> DataFrame:
     """df, to be broadcast if it has at most so many rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

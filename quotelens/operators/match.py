@@ -12,10 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotelens.functions.profiles import Profile
-from quotelens.functions.windows import if_small, runs
+from quotelens.functions.windows import canon_side, runs
 
-#: Rows up to which a side derived from the canon is broadcast.
-SMALL = 200_000
 #: Words of the runs by which texts are searched for passages.
 RUN = 8
 PASSAGE = ["group_id", "ord"]
@@ -36,23 +34,23 @@ def passages_within(texts: DataFrame, keys: list[str], passages: DataFrame) -> D
     for (n,) in sized.select("n").distinct().collect():  # RUN values at most
         parts = runs(sized.where(F.col("n") == n), PASSAGE, "t1_words", n).withColumnRenamed("place", "at")
         counts = sized.where(F.col("n") == n).select(*PASSAGE, (F.size("t1_words") - n + 1).alias("needed"))
-        hits = runs(texts, keys, "cited_words", n).join(if_small(parts.join(counts, PASSAGE), SMALL), "run")
+        hits = runs(texts, keys, "cited_words", n).join(canon_side(parts.join(counts, PASSAGE), passages), "run")
         whole = hits.groupBy(*keys, *PASSAGE, (F.col("place") - F.col("at")).alias("place")).agg(F.count("*").alias("n"), F.first("needed").alias("needed"))
         found.append(whole.where("n = needed").select(*keys, *PASSAGE, "place"))
     return reduce(DataFrame.unionByName, found) if found else texts.select(*keys, F.lit(None).cast("int").alias("group_id"), F.lit(None).cast("int").alias("ord"), F.lit(None).cast("int").alias("place")).limit(0)
 
 
 def exact(candidates: DataFrame, passages: DataFrame) -> DataFrame:
-    return candidates.join(if_small(passages.select("t1", *PASSAGE), SMALL), F.col("cited") == F.col("t1")).drop("t1")
+    return candidates.join(canon_side(passages.select("t1", *PASSAGE), passages), F.col("cited") == F.col("t1")).drop("t1")
 
 
 def anchored(candidates: DataFrame, passages: DataFrame) -> DataFrame:
     """Candidates of two words or more with the passages that have both their first and last word."""
     words = passages.select(*PASSAGE, F.explode(F.array_distinct("t1_words")).alias("word"))
     ends = candidates.where(F.size("cited_words") >= 2).withColumn("_first", F.element_at("cited_words", 1)).withColumn("_last", F.element_at("cited_words", -1))
-    starts = ends.join(if_small(words, SMALL), F.col("_first") == F.col("word")).drop("word")
+    starts = ends.join(canon_side(words, passages), F.col("_first") == F.col("word")).drop("word")
     last = words.select(F.col("group_id").alias("_g"), F.col("ord").alias("_o"), F.col("word").alias("_w"))
-    return starts.join(if_small(last, SMALL), (F.col("_last") == F.col("_w")) & (F.col("group_id") == F.col("_g")) & (F.col("ord") == F.col("_o"))).drop("_g", "_o", "_w", "_first", "_last")
+    return starts.join(canon_side(last, passages), (F.col("_last") == F.col("_w")) & (F.col("group_id") == F.col("_g")) & (F.col("ord") == F.col("_o"))).drop("_g", "_o", "_w", "_first", "_last")
 
 
 def contiguous(candidates: DataFrame, passages: DataFrame) -> DataFrame:
@@ -60,7 +58,7 @@ def contiguous(candidates: DataFrame, passages: DataFrame) -> DataFrame:
     pairs = candidates.where(F.size("cited_words") >= 2).withColumn("_pair", F.xxhash64(F.element_at("cited_words", 1), F.element_at("cited_words", 2)))
     begins = runs(passages, [*PASSAGE, "t1"], "t1_words", 2).select(*PASSAGE, "t1", "run").distinct()
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    return pairs.join(if_small(begins, SMALL), F.col("_pair") == F.col("run")).where(F.contains(pad(F.col("t1")), pad(F.col("cited")))).drop("_pair", "run", "t1")
+    return pairs.join(canon_side(begins, passages), F.col("_pair") == F.col("run")).where(F.contains(pad(F.col("t1")), pad(F.col("cited")))).drop("_pair", "run", "t1")
 
 
 def spelling_variants(words: DataFrame, vocabulary: DataFrame, profile: Profile) -> DataFrame:
@@ -76,7 +74,7 @@ def bag_matches(candidates: DataFrame, passages: DataFrame) -> DataFrame:
     """Candidates with the passages that hold at least half of their words (two at least), counted with repeats."""
     index = passages.select(*PASSAGE, F.explode(F.array_distinct("t1_words")).alias("word"))
     words = candidates.where(F.size("cited_words") >= 2).select("cand_id", F.size("cited_words").alias("n"), F.explode("cited_words").alias("word"))
-    counted = words.join(if_small(index, SMALL), "word").groupBy("cand_id", *PASSAGE).agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    counted = words.join(canon_side(index, passages), "word").groupBy("cand_id", *PASSAGE).agg(F.count("*").alias("shared"), F.first("n").alias("n"))
     return counted.where(F.col("shared") >= F.greatest(F.lit(2), F.ceil(F.col("n") * 0.5))).select("cand_id", *PASSAGE, "shared")
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotelens.functions.profiles import Profile
-from quotelens.functions.windows import if_small, runs
+from quotelens.functions.windows import canon_side, runs
 from quotelens.operators import align, match
-from quotelens.operators.match import PASSAGE, SMALL
+from quotelens.operators.match import PASSAGE
 
 DEFAULT, MOST, ALL = 8, 50, 500
 
@@ -25,12 +25,12 @@ def suggestions(prefixes: DataFrame, passages: DataFrame, profile: Profile, limi
     opened = runs(passages.withColumn("m", F.size("t1_words")), [*PASSAGE, "t1", "m"], "t1_words", 1)
     # a cut-off last word alone can't be looked up, so the first word is
     begins = c.withColumn("_first", F.xxhash64(F.element_at("cited_words", 1)))
-    exact = begins.join(if_small(opened.select(*PASSAGE, "t1", "m", "run").distinct(), SMALL), F.col("_first") == F.col("run")).where(F.contains(pad(F.col("t1")), pad(F.col("cited"))))
+    exact = begins.join(canon_side(opened.select(*PASSAGE, "t1", "m", "run").distinct(), passages), F.col("_first") == F.col("run")).where(F.contains(pad(F.col("t1")), pad(F.col("cited"))))
     tiers = exact.select("cand_id", *PASSAGE, "n", "m", F.lit(0).alias("tier"))
     if fuzzy:
         words = passages.select(*PASSAGE, F.col("t1_words").alias("canon"), F.size("t1_words").alias("m"))
         apart = align.window_distance(profile.drift)
-        bags = match.bag_matches(c, passages).join(c.select("cand_id", "cited_words", "n"), "cand_id").join(if_small(words, SMALL), PASSAGE)
+        bags = match.bag_matches(c, passages).join(c.select("cand_id", "cited_words", "n"), "cand_id").join(canon_side(words, passages), PASSAGE)
         scored = bags.withColumn("d", apart("cited_words", "canon", match.allowed_edits(F.col("n"), True))).where("d is not null")
         tiers = tiers.unionByName(scored.select("cand_id", *PASSAGE, "n", "m", F.when(F.col("d") <= match.allowed_edits(F.col("n")), 1).otherwise(2).alias("tier")))
     best = tiers.groupBy("cand_id", *PASSAGE).agg(F.min("tier").alias("tier"), F.first("n").alias("n"), F.first("m").alias("m"))

@@ -13,27 +13,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotelens.functions.profiles import Profile
-from quotelens.functions.windows import if_small
+from quotelens.functions.windows import canon_side
 from quotelens.operators import align, match
-from quotelens.operators.match import PASSAGE, SMALL
+from quotelens.operators.match import PASSAGE
 from quotelens.store import materialize
 
 #: References that a verdict lists at most, of single words and of wordings that differ.
 MOST_SINGLE, MOST_PARTIAL, MOST_SPAN = 8, 3, 30
 
 
-def _hit(df: DataFrame, rank: int, verdict: str | Column, kind: str, deviation: str | Column, order: str | Column | None = None) -> DataFrame:
-    as_column = lambda x: F.lit(x) if isinstance(x, str) else x
-    diffs = F.lit(0) if order is None else F.col(order) if isinstance(order, str) else order
-    return df.select("cand_id", F.lit(rank).alias("rank"), as_column(verdict).alias("verdict"), F.lit(kind).alias("match_type"), as_column(deviation).alias("deviation"), diffs.cast("int").alias("diffs"), *PASSAGE)
+def _hit(df: DataFrame, rank: Column, verdict: Column, kind: str, deviation: Column, diffs: Column | None = None) -> DataFrame:
+    diffs = F.lit(0) if diffs is None else diffs
+    return df.select("cand_id", rank.alias("rank"), verdict.alias("verdict"), F.lit(kind).alias("match_type"), deviation.alias("deviation"), diffs.cast("int").alias("diffs"), *PASSAGE)
 
 
-def claimed_passages(candidates: DataFrame, passages: DataFrame, column: str) -> DataFrame:
-    """A row for each candidate whose claimed passages all exist: the columns of candidates, and canon (their words), whole (their form)."""
-    claims = candidates.where(F.size(column) > 0).select("cand_id", F.col("claimed_group").alias("group_id"), F.posexplode(column).alias("nth", "ord"), F.size(column).alias("of"))
-    found = claims.join(if_small(passages.select(*PASSAGE, "t1", "t1_words", "text"), SMALL), PASSAGE)
-    found = found.groupBy("cand_id").agg(F.array_sort(F.collect_list(F.struct("nth", "ord", "t1", "t1_words", "text"))).alias("p"), F.first("of").alias("of"))
-    joined = found.select("cand_id", F.flatten(F.transform("p", lambda x: x["t1_words"])).alias("canon"), F.array_join(F.transform("p", lambda x: x["t1"]), " ").alias("whole"), F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("authentic"), F.transform("p", lambda x: x["ord"]).alias("found_ords"))
+def claimed_passages(candidates: DataFrame, passages: DataFrame) -> DataFrame:
+    """A row for each candidate and reading of its claim (0: ords, 1: range_ords) whose passages are in the canon.
+
+    The columns of candidates, and reading, canon (the passages' words), whole (their form), authentic and found_ords.
+    """
+    readings = F.posexplode(F.array("ords", "range_ords")).alias("reading", "_ords")
+    claims = candidates.select("cand_id", F.col("claimed_group").alias("group_id"), readings).where("size(_ords) > 0").select("cand_id", "group_id", "reading", F.posexplode("_ords").alias("nth", "ord"))
+    found = claims.join(canon_side(passages.select(*PASSAGE, "t1", "t1_words", "text"), passages), PASSAGE)
+    found = found.groupBy("cand_id", "reading").agg(F.array_sort(F.collect_list(F.struct("nth", "ord", "t1", "t1_words", "text"))).alias("p"))
+    joined = found.select("cand_id", "reading", F.flatten(F.transform("p", lambda x: x["t1_words"])).alias("canon"), F.array_join(F.transform("p", lambda x: x["t1"]), " ").alias("whole"), F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("authentic"), F.transform("p", lambda x: x["ord"]).alias("found_ords"))
     return candidates.join(joined, "cand_id")
 
 
@@ -57,58 +60,43 @@ def verdicts(candidates: DataFrame, passages: DataFrame, profile: Profile) -> Da
 
     Candidates that are no quotations (no match, and not high) have no row. Equal candidates should be made one first.
     """
-    c = match.with_words(candidates, profile).withColumn("n", F.size("cited_words"))
-    free, bound = c.where("claimed_group is null or coalesce(size(ords), 0) = 0"), c.where("claimed_group is not null and size(ords) > 0")
-    n, high = F.col("n"), F.col("high")
-    texts = passages.select(F.col("group_id").alias("_g"), F.col("ord").alias("_o"), F.col("text").alias("authentic"))
-    at_passage = (F.col("group_id") == F.col("_g")) & (F.col("ord") == F.col("_o"))
-    deviation = profile.deviation(F.col("text"), F.col("authentic"))
+    c = match.with_words(candidates, profile).withColumn("n", F.size("cited_words")).withColumn("bound", F.col("claimed_group").isNotNull() & (F.coalesce(F.size("ords"), F.lit(0)) > 0))
+    n, high, bound = F.col("n"), F.col("high"), F.col("bound")
+    by_claim = lambda with_claim, without: F.when(bound, F.lit(with_claim)).otherwise(F.lit(without))
+    elsewhere = ~bound | ~((F.col("group_id") == F.col("claimed_group")) & F.array_contains("ords", F.col("ord")))
+    drifted, worded = F.lit("spellingDrift"), F.lit("wordLevel")
     soft, apart, ordered = align.soft_span(profile.drift), align.window_distance(profile.drift), align.ordered_segments(profile.drift)
+    texts = passages.select(F.col("group_id").alias("_g"), F.col("ord").alias("_o"), F.col("text").alias("authentic"))
     words = passages.select(*PASSAGE, F.col("t1_words").alias("canon"))
-    with_canon = lambda df: df.join(if_small(words, SMALL), PASSAGE)
-
-    # ways that need no claim, for all candidates
-    same = match.exact(c, passages)
-    run = match.contiguous(c, passages)
-    loose = with_canon(match.anchored(c, passages)).withColumn("_span", soft("canon", "cited_words")).where("_span.start is not null")
-    bags = with_canon(match.bag_matches(c, passages).join(c.select("cand_id", "cited_words", "n", "claimed_group", "ords", "high"), "cand_id")).withColumn("_d", apart("cited_words", "canon", match.allowed_edits(n))).where("_d is not null")
-    single = c.where("n = 1").join(if_small(passages.select(*PASSAGE, F.explode(F.array_distinct("t1_words")).alias("word")), SMALL), F.col("cited") == F.col("word"))
-    rare = single.groupBy("cand_id").agg(F.count("*").alias("hits"))
-    single = single.join(rare, "cand_id")
-    parts = segment_matches(c, passages, profile)
-    one_of = lambda df: df.where("claimed_group is null or coalesce(size(ords), 0) = 0")
-    claim = lambda df: df.where("claimed_group is not null and size(ords) > 0")
-    outside = ~((F.col("group_id") == F.col("claimed_group")) & F.array_contains("ords", F.col("ord")))
-    whole_parts = c.select("cand_id", "claimed_group", F.col("ords").alias("claimed")).join(parts, "cand_id")
-    spread = whole_parts.withColumn("ord", F.explode("ords"))
-    unclaimed = F.col("claimed_group").isNull() | (F.coalesce(F.size("claimed"), F.lit(0)) == 0)
+    with_canon = lambda df: df.join(canon_side(words, passages), PASSAGE)
+
+    same = match.exact(c, passages).where(elsewhere).join(canon_side(texts, passages), (F.col("group_id") == F.col("_g")) & (F.col("ord") == F.col("_o")))
+    run = match.contiguous(c, passages).where(elsewhere & (~bound | high))
+    loose = with_canon(match.anchored(c, passages).where(elsewhere & (~bound | high))).where(soft("canon", "cited_words")["start"].isNotNull())
+    bags = with_canon(match.bag_matches(c, passages).join(c.select("cand_id", "cited_words", "n", "bound"), "cand_id")).withColumn("_d", apart("cited_words", "canon", match.allowed_edits(n))).where("_d is not null")
+    index = passages.select(*PASSAGE, F.explode(F.array_distinct("t1_words")).alias("word"))
+    frequent = index.groupBy("word").agg(F.count("*").alias("hits"))
+    single = c.where("n = 1").join(canon_side(index.join(frequent, "word"), passages), F.col("cited") == F.col("word")).where(elsewhere & F.when(bound, high & (F.col("hits") <= MOST_SINGLE)).otherwise(high | (F.col("hits") <= MOST_SINGLE)))
+    parts = c.select("cand_id", "bound", "claimed_group", F.col("ords").alias("claimed")).join(segment_matches(c, passages, profile), "cand_id").withColumn("ord", F.explode("ords"))
     as_claimed = (F.col("group_id") == F.col("claimed_group")) & (F.array_sort(F.array_distinct("claimed")) == F.array_sort(F.array_distinct("ords")))
 
+    cut = F.transform(F.filter(F.split("text", r"\.{3,}|…"), lambda s: F.length(profile.form(s)) > 0), lambda s: profile.words(profile.form(s)))
+    held = claimed_passages(c.where("bound"), passages).withColumn("group_id", F.col("claimed_group")).withColumn("_cut", cut)
+    held = held.select("*", soft("canon", "cited_words").alias("_run"), ordered("canon", "_cut").alias("_parts"), apart("cited_words", "canon", match.allowed_edits(n)).alias("_d"))
+    whole, pieces, near = (F.col("cited") == F.col("whole")) | F.col("_run.start").isNotNull(), (F.size("_cut") > 1) & F.col("_parts"), (n > 1) & F.col("_d").isNotNull()
+    held = held.where(whole | pieces | near).withColumn("ord", F.explode("found_ords"))
+    green = whole | pieces
+    right = F.when(F.col("cited") == F.col("whole"), profile.deviation(F.col("text"), F.col("authentic"))).otherwise(drifted)
+
     hits = [
-        _hit(one_of(same).join(texts, at_passage), 1, "lightBlue", "exact", deviation),
-        _hit(spread.where(unclaimed), 2, "lightBlue", "orderedContiguous", "spellingDrift"),
-        _hit(one_of(run), 3, "lightBlue", "orderedContiguous", "spellingDrift"),
-        _hit(one_of(loose), 4, "lightBlue", "orderedContiguous", "spellingDrift"),
-        _hit(one_of(single).where(high | (F.col("hits") <= MOST_SINGLE)), 5, "lightBlue", "partial", "spellingDrift"),
-        _hit(one_of(bags), 6, "yellow", "partial", "wordLevel", "_d"),
-    ]
-    for step, column in enumerate(("ords", "range_ords")):
-        held = claimed_passages(bound, passages, column).withColumn("group_id", F.col("claimed_group")).withColumn("_run", soft("canon", "cited_words"))
-        first = lambda df: df.withColumn("ord", F.explode("found_ords"))
-        right = F.when(F.col("cited") == F.col("whole"), deviation).otherwise("spellingDrift")
-        hits.append(_hit(first(held.where("cited = whole or _run.start is not null")), 10 + step, "green", "exact", right))
-        cut = F.transform(F.filter(F.split("text", r"\.{3,}|…"), lambda s: F.length(profile.form(s)) > 0), lambda s: profile.words(profile.form(s)))
-        cuts = held.withColumn("_parts", cut).where("size(_parts) > 1").where(ordered("canon", "_parts"))
-        hits.append(_hit(first(cuts), 12 + step, "green", "exact", "spellingDrift"))
-        near = held.where("n > 1").withColumn("_d", apart("cited_words", "canon", match.allowed_edits(n))).where("_d is not null")
-        hits.append(_hit(first(near), 15 + step, "yellow", "partial", "wordLevel", "_d"))
-    hits += [
-        _hit(claim(same).where(outside), 14, "orange", "exact", "none"),
-        _hit(spread.where(~unclaimed), 17, F.when(as_claimed, "green").otherwise("orange"), "orderedContiguous", "spellingDrift"),
-        _hit(claim(single).where(outside & high & (F.col("hits") <= MOST_SINGLE)), 18, "orange", "partial", "spellingDrift"),
-        _hit(claim(run).where(outside & high), 19, "orange", "orderedContiguous", "spellingDrift"),
-        _hit(claim(loose).where(outside & high), 20, "orange", "orderedContiguous", "spellingDrift"),
-        _hit(claim(bags), 21, "yellow", "partial", "wordLevel", "_d"),
+        _hit(same, by_claim(14, 1), by_claim("orange", "lightBlue"), "exact", F.when(bound, "none").otherwise(profile.deviation(F.col("text"), F.col("authentic")))),
+        _hit(parts, by_claim(17, 2), F.when(~bound, "lightBlue").when(as_claimed, "green").otherwise("orange"), "orderedContiguous", drifted),
+        _hit(run, by_claim(19, 3), by_claim("orange", "lightBlue"), "orderedContiguous", drifted),
+        _hit(loose, by_claim(20, 4), by_claim("orange", "lightBlue"), "orderedContiguous", drifted),
+        _hit(single, by_claim(18, 5), by_claim("orange", "lightBlue"), "partial", drifted),
+        _hit(bags, by_claim(21, 6), F.lit("yellow"), "partial", worded, F.col("_d")),
+        _hit(held.where(green), F.when(whole, 10).otherwise(12) + F.col("reading"), F.lit("green"), "exact", right),
+        _hit(held.where(~green), F.lit(15) + F.col("reading"), F.lit("yellow"), "partial", worded, F.col("_d")),
         c.where(high).select("cand_id", F.lit(99).alias("rank"), F.lit("red").alias("verdict"), F.lit("none").alias("match_type"), F.lit(None).cast("string").alias("deviation"), F.lit(0).alias("diffs"), F.lit(None).cast("int").alias("group_id"), F.lit(None).cast("int").alias("ord")),
     ]
     ranked = reduce(DataFrame.unionByName, hits).groupBy("cand_id", "rank").agg(F.min(F.struct("diffs", *PASSAGE, "verdict", "match_type", "deviation")).alias("best"), F.array_sort(F.collect_set(F.when(F.col("ord").isNotNull(), F.struct("diffs", *PASSAGE)))).alias("refs"))
@@ -134,11 +122,11 @@ def near_matches(red: DataFrame, passages: DataFrame, profile: Profile, rivals:
     """
     c = match.with_words(red, profile).withColumn("n", F.size("cited_words")).where("n > 1")
     apart, window = align.window_distance(profile.drift), align.best_window(profile.drift)
-    single = match.anchored(c, passages).join(if_small(passages.select(*PASSAGE, F.col("t1_words").alias("canon")), SMALL), PASSAGE).select("cand_id", "cited_words", "n", "group_id", F.col("ord").alias("first"), F.col("ord").alias("last"), "canon")
+    single = match.anchored(c, passages).join(canon_side(passages.select(*PASSAGE, F.col("t1_words").alias("canon")), passages), PASSAGE).select("cand_id", "cited_words", "n", "group_id", F.col("ord").alias("first"), F.col("ord").alias("last"), "canon")
     spans = match.runs_of_passages(passages).withColumn("_first", F.col("words")).select("group_id", "first", "last", F.col("words").alias("canon"))
     ends = passages.select("group_id", "ord", F.explode(F.array_distinct("t1_words")).alias("word"))
-    starts = c.where("n <= 40").join(if_small(ends, SMALL), F.element_at("cited_words", 1) == F.col("word")).select("cand_id", "cited_words", "n", "group_id", F.col("ord").alias("first"))
-    stops = c.where("n <= 40").join(if_small(ends, SMALL), F.element_at("cited_words", -1) == F.col("word")).select(F.col("cand_id").alias("_c"), F.col("group_id").alias("_g"), F.col("ord").alias("last"))
+    starts = c.where("n <= 40").join(canon_side(ends, passages), F.element_at("cited_words", 1) == F.col("word")).select("cand_id", "cited_words", "n", "group_id", F.col("ord").alias("first"))
+    stops = c.where("n <= 40").join(canon_side(ends, passages), F.element_at("cited_words", -1) == F.col("word")).select(F.col("cand_id").alias("_c"), F.col("group_id").alias("_g"), F.col("ord").alias("last"))
     crossing = starts.join(stops, (F.col("cand_id") == F.col("_c")) & (F.col("group_id") == F.col("_g")) & F.col("last").between(F.col("first") + 1, F.col("first") + 6)).drop("_c", "_g")
     crossing = crossing.join(spans, ["group_id", "first", "last"]).select(single.columns)
     scored = single.union(crossing).withColumn("distance", apart("cited_words", "canon", match.allowed_edits(F.col("n"), True))).where("distance > 0")

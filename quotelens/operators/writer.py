@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quotelens.functions.labels import reference_text
 from quotelens.functions.profiles import Profile, squeeze
-from quotelens.functions.windows import if_small
+from quotelens.functions.windows import canon_side
 from quotelens.operators import extract
 from quotelens.operators.references import passages_of_range
 
@@ -50,7 +50,7 @@ def insertions(chosen: DataFrame, passages: DataFrame, profile: Profile, scope:
     if scope not in SCOPES:
         raise ValueError(scope)
     own = passages.select("group_id", "ord", "group_name", "text", "t1_words", "display_words")
-    rows = chosen.join(if_small(own, 200_000), ["group_id", "ord"])
+    rows = chosen.join(canon_side(own, passages), ["group_id", "ord"])
     words = F.coalesce("display_words", F.split("text", " "))
     if scope in ("multiAyahs", "surahEnd"):
         to = F.lit(0) if scope == "surahEnd" else F.col("to_ord")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quotelens.functions import labels
 from quotelens.functions.profiles import Profile
-from quotelens.functions.windows import if_small
+from quotelens.functions.windows import canon_side
 from quotelens.operators import corrections, extract, findings, match, references, verify
 from quotelens.sources import pages
 from quotelens.store import materialize
@@ -30,7 +30,7 @@ def scan(web_pages: DataFrame, passages: DataFrame, names: DataFrame, profile: P
     out = asked.join(judged, "cand_id")
     first = F.try_element_at(F.col("refs"), F.lit(1))
     label = passages.select(F.col("group_id").alias("_g"), F.col("ord").alias("_o"), F.col("ref").alias("matched"))
-    out = out.withColumn("_first", first).join(if_small(label, match.SMALL), (F.col("_first.group_id") == F.col("_g")) & (F.col("_first.ord") == F.col("_o")), "left").drop("_g", "_o", "_first")
+    out = out.withColumn("_first", first).join(canon_side(label, passages), (F.col("_first.group_id") == F.col("_g")) & (F.col("_first.ord") == F.col("_o")), "left").drop("_g", "_o", "_first")
     around = texts.select("page_id", F.col("text").alias("_page"))
     out = out.join(around, "page_id").withColumn("_context", labels.scrub_volatile(F.translate(F.substring("_page", F.greatest(F.col("start") - CONTEXT // 2, F.lit(1)), F.lit(CONTEXT) + F.col("end") - F.col("start")), "\0", " "))).drop("_page")
     out = out.withColumn("id", labels.finding_id(F.col("text"), F.col("ref"), F.col("matched"), F.concat_ws(":", "start", "end")))
@@ -79,7 +79,7 @@ def corrected(found: DataFrame, kept: DataFrame, now: Column, passages: DataFram
     automatic = F.when(corrections.is_automatic(F.col("verdict"), shaky, F.lit(False), allowed) & target.isNotNull(), F.when(F.col("verdict") == "orange", "ref-edit").otherwise("text-replace"))
     own = passages.select(F.col("group_id").alias("_g"), F.col("ord").alias("_o"), F.col("ref").alias("_ref"), F.col("text").alias("_text"))
     out = asked.withColumn("correction", F.coalesce("correction", automatic)).withColumn("_t", target).withColumn("_shaky", shaky)
-    out = out.join(if_small(own, match.SMALL), (F.col("_t.group_id") == F.col("_g")) & (F.col("_t.ord") == F.col("_o")), "left")
+    out = out.join(canon_side(own, passages), (F.col("_t.group_id") == F.col("_g")) & (F.col("_t.ord") == F.col("_o")), "left")
     edits_ref, edits_text = F.col("correction").isin("ref-edit", "reference-attribution"), (F.col("correction") == "text-replace") & ~F.col("_shaky")
     new_ref = F.when(edits_ref & F.col("_ref").isNotNull(), F.when(F.col("ref").isNotNull(), labels.corrected_ref(F.col("ref"), F.col("_ref"))).otherwise(F.concat(F.lit("("), "_ref", F.lit(")"))))
     done = new_ref.isNotNull() | (edits_text & F.col("_text").isNotNull())
