@@ -45,3 +45,10 @@ def is_shaky(text: Column, refs: Column) -> Column:
 
 def is_automatic(verdict: Column, shaky: Column, has_near: Column, allowed: tuple[str, ...]) -> Column:
     return verdict.isin(*allowed) & ~shaky & ((verdict != "red") | has_near)
+
+
+def reverted(found: DataFrame, originals: DataFrame, undone: DataFrame, keys: list[str]) -> DataFrame:
+    """found with the findings of undone (keys, id) replaced by the originals that they came from; the rest stays."""
+    those = found.join(undone.select(*keys, "id"), [*keys, "id"], "left_semi")
+    back = originals.join(those.select(*keys, F.coalesce("prior_id", "id").alias("id")), [*keys, "id"], "left_semi")
+    return found.join(undone.select(*keys, "id"), [*keys, "id"], "left_anti").unionByName(back.select(found.columns))

@@ -73,3 +73,20 @@ def precision_recall(judged: DataFrame, verdict: str, expected: str) -> DataFram
 def share_record(findings: DataFrame) -> DataFrame:
     """A finding as one JSON text."""
     return findings.withColumn("record", F.to_json(F.struct(*sorted(findings.columns))))
+
+
+def profile(judged: DataFrame, keys: list[str], cost: str) -> DataFrame:
+    """Count, sum, mean and maximum of a cost for each key."""
+    return judged.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(cost).alias("total"), F.avg(cost).alias("mean"), F.max(cost).alias("most"))
+
+
+def panel(findings: DataFrame, kept: DataFrame, keys: list[str], shown: tuple[str, ...] = VERDICTS) -> DataFrame:
+    """The rows of a page's list in order: corrected in this visit, open, dismissed, corrected before; only colours shown.
+
+    kept: keys, id, kind ("dismissal" or a correction), recent. A finding takes over what was kept for the one it replaced.
+    """
+    rows = findings.where(F.col("verdict").isin(*shown)).withColumn("_key", F.explode(F.array_distinct(F.array_compact(F.array("id", "prior_id")))))
+    state = kept.groupBy(*keys, F.col("id").alias("_key")).agg(F.bool_or(F.col("kind") == "dismissal").alias("_off"), F.bool_or((F.col("kind") != "dismissal") & F.col("recent")).alias("_new"), F.bool_or((F.col("kind") != "dismissal") & ~F.col("recent")).alias("_old"))
+    joined = rows.join(state, [*keys, "_key"], "left").groupBy(*findings.columns).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("_off", "_new", "_old")])
+    section = F.when(F.col("_new"), 0).when(F.col("_off"), 2).when(F.col("_old"), 3).otherwise(1)
+    return joined.withColumn("section", section).drop("_off", "_new", "_old").withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("section", "seq")))

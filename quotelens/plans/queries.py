@@ -383,3 +383,42 @@ def correction_reapply(spark, sf_dir):
     u = F.col("user_id")
     found = _events(spark, sf_dir).select(u.cast("string").alias("url_key"), (u % 5).cast("string").alias("id"), ((u + 1) % 5).cast("string").alias("prior_id")).distinct()
     return corrections.reapplied(found, _kept(spark, sf_dir), F.expr(_NOW)).drop("payload")
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY event_type")
+def batch_profile(spark, sf_dir):
+    found = findings.profile(_table(spark, sf_dir, "events"), ["event_type"], "value")
+    return found.withColumn("total", F.round("total", 4)).withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    f"WITH {_P}, a AS (SELECT DISTINCT unnest(w) AS word FROM p WHERE item_id % 2 = 0), b AS (SELECT DISTINCT unnest(w) AS variant FROM p WHERE item_id % 2 = 1), "
+    "n AS (SELECT word, variant FROM a JOIN b ON regexp_replace(word, '[aeiou]', '', 'g') = regexp_replace(variant, '[aeiou]', '', 'g') AND levenshtein(word, variant) <= 1 WHERE regexp_full_match(word, '[a-z]+') AND regexp_full_match(variant, '[a-z]+')) "
+    "SELECT word, variant FROM n WHERE word = variant OR NOT EXISTS (SELECT 1 FROM n m WHERE m.word = n.word AND m.variant = n.word)"
+)
+def spelling_variants(spark, sf_dir):
+    words = _passages(spark, sf_dir).select("item_id", F.explode("t1_words").alias("word")).where(F.col("word").rlike("^[a-z]+$"))
+    return match.spelling_variants(words.where("item_id % 2 = 0"), words.where("item_id % 2 = 1"), _VOWELS)
+
+
+@query(
+    "WITH c AS (SELECT user_id, string_split('r/' || (user_id % 3) || CASE WHEN user_id % 2 = 0 THEN '/x' ELSE '/' || (event_id % 2) END || '/' || event_type, '/') AS s FROM events), "
+    "e AS (SELECT user_id, min(s) AS a, max(s) AS b, min(len(s)) AS n FROM c GROUP BY user_id), k AS (SELECT *, CASE WHEN a[1] <> b[1] THEN 0 WHEN a[2] <> b[2] THEN 1 WHEN a[3] <> b[3] THEN 2 WHEN a[4] <> b[4] THEN 3 ELSE 4 END AS m FROM e) SELECT user_id, array_to_string(a[1:m], '/') AS root FROM k"
+)
+def common_roots(spark, sf_dir):
+    path = F.concat_ws("/", F.lit("r"), F.col("user_id") % 3, F.when(F.col("user_id") % 2 == 0, F.lit("x")).otherwise((F.col("event_id") % 2).cast("string")), "event_type")
+    return changes.common_root(_table(spark, sf_dir, "events").withColumn("path", path), ["user_id"], "path")
+
+
+@query(
+    "WITH f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, CASE event_id % 3 WHEN 0 THEN 'red' WHEN 1 THEN 'green' ELSE 'orange' END AS verdict FROM events), "
+    "s AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN 0 WHEN event_id % 4 = 1 THEN 2 WHEN event_id % 4 = 2 THEN 3 ELSE 1 END AS section FROM f WHERE verdict <> 'green') "
+    "SELECT user_id, event_id, section, CAST(row_number() OVER (PARTITION BY user_id ORDER BY section, seq) AS INTEGER) AS position FROM s"
+)
+def panel_order(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("user_id", "event_id")
+    verdict = F.when(F.col("event_id") % 3 == 0, "red").when(F.col("event_id") % 3 == 1, "green").otherwise("orange")
+    id_ = F.col("event_id").cast("string")
+    found = e.withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).withColumn("verdict", verdict).withColumn("id", F.concat(F.lit("new"), id_)).withColumn("prior_id", id_)
+    kept = e.where("event_id % 4 < 3").select("user_id", id_.alias("id"), F.when(F.col("event_id") % 4 == 1, "dismissal").otherwise("ref-edit").alias("kind"), (F.col("event_id") % 4 == 0).alias("recent"))
+    return findings.panel(found, kept, ["user_id"], ("red", "orange")).select("user_id", "event_id", "section", "position")

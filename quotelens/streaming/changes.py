@@ -66,3 +66,14 @@ def guarded(scans: DataFrame) -> DataFrame:
 def first_seen(findings: DataFrame, keys: list[str], late: str = LATE) -> DataFrame:
     """Stream of findings without those seen before within the watermark."""
     return findings.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
+def common_root(changed: DataFrame, keys: list[str], path: str, separator: str = "/", hops: int = 5) -> DataFrame:
+    """The part that all changed paths of a key share, if it is at most so many steps above the shortest; else null.
+
+    All paths between the smallest and the largest share what these two share.
+    """
+    ends = changed.groupBy(*keys).agg(F.min(F.split(path, separator)).alias("_a"), F.max(F.split(path, separator)).alias("_b"), F.min(F.size(F.split(path, separator))).alias("_n"))
+    same = F.aggregate(F.zip_with("_a", "_b", lambda a, b: (a == b) & a.isNotNull() & b.isNotNull()), F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda s, e: F.struct((s["n"] + (s["go"] & e).cast("int")).alias("n"), (s["go"] & e).alias("go")), lambda s: s["n"])
+    shared = ends.withColumn("_shared", F.coalesce(same, F.lit(0)))
+    return shared.select(*keys, F.when((F.col("_shared") > 0) & (F.col("_n") - F.col("_shared") <= hops), F.array_join(F.slice("_a", 1, F.col("_shared")), separator)).alias("root"))
