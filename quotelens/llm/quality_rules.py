@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quotelens.llm.words import Block, blocks, covered, per_text
+from quotelens.llm.words import Block, between, blocks, covered, per_text
 
 #: Characters that count as symbols (fixed by the contract of the base counts).
 SYMBOLS = b"#*$%&|<>"
@@ -29,7 +29,7 @@ class Rules:
     window: int = 5
     max_repeat_percent: int = 20
     min_repeat: int = 8
-    max_covered: float = 0.15
+    max_covered: float = 0.2
     max_longest: int = 60
 
 
@@ -83,7 +83,6 @@ def suffix_order(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.nda
 def repeats(block: Block, min_repeat: int) -> tuple[np.ndarray, np.ndarray]:
     """For each text: words that repeats of min_repeat words or more cover, and the longest repeat's words."""
     text = block.doc_of_word()
-    # only words of windows that occur twice can be in such repeats; the others end every common prefix, so one word each
     order, common = suffix_order(block.word_hash, text)
     reach = np.zeros(len(text), dtype=np.int64)
     if len(order):
@@ -117,13 +116,8 @@ def base_counts(block: Block, window: int) -> dict[str, np.ndarray]:
     same[1:-1] = (hashes[by][1:] == hashes[by][:-1]) & (text[at[by]][1:] == text[at[by]][:-1])
     twice = at[by[same[:-1] | same[1:]]]
     out["n_repeat_words"] = per_text(covered(twice, window, len(text)), first)
-    # lines: cut at line feeds and at the ends of texts
-    from quotelens.llm.words import between
-
+    # lines begin where a text does and after line feeds; blank ones are no lines here
     cuts = np.flatnonzero(data == 0x0A)
-    starts = np.sort(np.concatenate([block.text_start[:-1], cuts + 1]))
-    line_text = np.searchsorted(block.text_start[1:], starts, side="right")
-    # a text that is empty, or ends with a line feed, has an empty last line; it holds no word
     owner = np.concatenate([np.arange(len(first) - 1), np.searchsorted(block.text_start, cuts, side="right") - 1])
     starts = np.concatenate([block.text_start[:-1], cuts + 1])
     by = np.lexsort((starts, owner))

@@ -131,7 +131,7 @@ def test_quality_rules_equal_brute_force(spark):
         r = got[i]
         failed = len(w) < 10 or 100 * len(twice) > 20 * len(w)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(twice), failed)
-        assert (r.covered_words, r.longest_repeat, r.kept) == (len(inside), longest, not failed and len(inside) <= 0.15 * len(w) and longest <= 60)
+        assert (r.covered_words, r.longest_repeat, r.kept) == (len(inside), longest, not failed and len(inside) <= 0.2 * len(w) and longest <= 60)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site, name.</header><nav><ul><li><a href="/">Home</a><li>About</ul></nav>
