@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelens.llm import decontamination, mixing, near_dedup, quality_rules, sharding
-from quotelens.llm.store import materialize
+from quotelens.llm.store import materialize, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -66,7 +66,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is written and read again for the next one."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(*written)
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,10 +17,6 @@ REFERENCE = r"\$\{([^}]+)\}"
 KEY = ["conv", "call_id"]
 
 
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a.conv.eqNullSafe(b.conv) & (a.call_id == b.call_id)
-
-
 def canonical(json_text: Column) -> Column:
     """JSON text without spaces, keys in order, numbers in one form; null if it isn't JSON or an object repeats a key."""
     return F.to_json(F.try_parse_json(json_text))
@@ -34,30 +30,45 @@ def one_each(messages: DataFrame) -> DataFrame:
     return found.select(*KEY, *[F.col(f"m.{c}").alias(c) for c in columns], "repeats")
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """conv, call_id and level: 0 for calls that refer to no other, else one more than the highest they refer to.
+def _at(keys: DataFrame, *columns: str | Column) -> DataFrame:
+    """keys under other names, for a join by :data:`_MEETS`."""
+    return keys.select(F.col("conv").alias("_c"), F.col("call_id").alias("_t"), *columns)
+
+
+_MEETS = "conv <=> _c and call_id = _t"
+
+
+def ordered(calls: DataFrame) -> DataFrame:
+    """conv, call_id, after_turn and step: an order in which every call comes after those it refers to.
 
-    Calls in a circle of references, or behind one, have no level. References to unknown identifiers and to the call itself
-    don't count. A round places all calls whose references are placed, so rounds are as many as the longest chain of one chat.
+    A call stands at its own turn (step 0) or, if it refers to one that stands there or later, one step after that. Most
+    calls refer to earlier turns only, and are placed at once, however long their chains; rounds of joins are needed only
+    for calls that refer to a later turn, and for those that refer to such calls. Calls in a circle of references, or
+    behind one, have no place. References to unknown identifiers and to the call itself don't count.
     """
-    refers = calls.select(*KEY, F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(REFERENCE), F.lit(1)))).alias("target"))
-    known = calls.select(F.col("conv").alias("c"), F.col("call_id").alias("t"))
-    edges = refers.where("target != call_id").join(known.hint("shuffle_hash"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("target") == F.col("t"))).select(*KEY, "target")
-    edges = materialize(edges, "references")
-    waits = edges.groupBy(*KEY).agg(F.count("*").alias("open"))
-    open_ = calls.select(*KEY).join(waits.select(F.col("conv").alias("c"), F.col("call_id").alias("t"), "open"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("t")), "left")
-    open_ = materialize(open_.select(*KEY, F.coalesce("open", F.lit(0)).alias("open")), "open")
-    placed, level = None, 0
-    while True:
-        ready = materialize(open_.where("open = 0").select(*KEY, F.lit(level).alias("level")), "ready")
+    refers = calls.select(*KEY, "turn", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(REFERENCE), F.lit(1)))).alias("target")).where("target != call_id")
+    known = calls.select(F.col("conv").alias("_c"), F.col("call_id").alias("_t"), F.col("turn").alias("target_turn"))
+    edges = materialize(refers.join(known.hint("shuffle_hash"), F.expr("conv <=> _c and target = _t")).drop("_c", "_t"), "references")
+    # calls that refer to a later turn, and all that refer to those
+    late = reached = materialize(edges.where("target_turn >= turn").select(*KEY).distinct(), "late")
+    while not late.isEmpty():
+        behind = edges.join(_at(late).hint("shuffle_hash"), F.expr("conv <=> _c and target = _t"), "left_semi").select(*KEY).distinct()
+        late = materialize(behind.join(_at(reached), F.expr(_MEETS), "left_anti"), "late")
+        reached = reached.unionByName(late)
+    whole = calls.select(*KEY, "turn")
+    placed = whole.join(_at(reached).hint("shuffle_hash"), F.expr(_MEETS), "left_anti").select(*KEY, F.struct(F.col("turn").alias("after_turn"), F.lit(0).alias("step")).alias("place"))
+    waiting = materialize(whole.join(_at(reached).hint("shuffle_hash"), F.expr(_MEETS), "left_semi"), "waiting")
+    open_edges = edges.join(_at(waiting), F.expr(_MEETS), "left_semi")
+    while not waiting.isEmpty():
+        # a call is ready when all its references are placed
+        met = open_edges.join(_at(placed, "place").hint("shuffle_hash"), F.expr("conv <=> _c and target = _t"), "left").groupBy(*KEY).agg(F.max(F.struct(F.col("place.after_turn"), (F.col("place.step") + 1).alias("step"))).alias("after"), F.bool_and(F.col("_t").isNotNull()).alias("all"))
+        ready = waiting.join(_at(met.where("all"), "after").hint("shuffle_hash"), F.expr(_MEETS))
+        ready = materialize(ready.select(*KEY, F.greatest(F.struct(F.col("turn").alias("after_turn"), F.lit(0).alias("step")), F.col("after")).alias("place")), "ready")
         if ready.isEmpty():
-            return placed if placed is not None else ready
-        placed = ready if placed is None else placed.unionByName(ready)
-        hit = edges.join(ready.select(F.col("conv").alias("c"), F.col("call_id").alias("t")).hint("shuffle_hash"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("target") == F.col("t")))
-        hit = hit.groupBy(F.col("conv").alias("c"), F.col("call_id").alias("t")).agg(F.count("*").alias("met"))
-        rest = open_.where("open > 0").join(hit, F.col("conv").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("t")), "left")
-        open_ = materialize(rest.select(*KEY, (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")), "open")
-        level += 1
+            break
+        placed = placed.unionByName(ready)
+        waiting = materialize(waiting.join(_at(ready), F.expr(_MEETS), "left_anti"), "waiting")
+    return placed.select(*KEY, "place.after_turn", "place.step")
 
 
 def violations(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -76,30 +87,29 @@ def violations(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """A row for each identifier of a call or result: conv, call_id, level, turn, name, status, errors and json.
+    """A row for each identifier of a call or result: conv, call_id, after_turn, step, turn, name, status, errors and json.
 
     status: linked, no_result, no_call, early (the result comes before its call) or circular. Of messages with equal
     identifiers the first counts; more of them, and broken schemas, are listed in errors. json is null without a call, and
     holds arguments, call_id, name and result (if there is one) in canonical form; arguments that aren't JSON are text.
-    Ordering by level, turn and call_id within a chat is a topological order. Messages without an identifier are left out;
+    Ordering by after_turn, step and call_id within a chat is a topological order. Messages without an identifier are left out;
     a null conv is a chat like others. Empty tables give an empty one. Other columns are not read.
     """
     calls = materialize(one_each(calls.select(*KEY, "turn", "name", "arguments")), "calls")
     answers = one_each(results.select(*KEY, "turn", "content")).select(F.col("conv").alias("rc"), F.col("call_id").alias("rt"), F.col("turn").alias("result_turn"), "content", F.col("repeats").alias("result_repeats"))
     both = calls.withColumn("called", F.lit(True)).join(answers.hint("shuffle_hash"), F.col("conv").eqNullSafe(F.col("rc")) & (F.col("call_id") == F.col("rt")), "full")
     both = both.withColumn("conv", F.when(F.col("called"), F.col("conv")).otherwise(F.col("rc"))).withColumn("call_id", F.coalesce("call_id", "rt"))
-    order, broken = levels(calls), violations(calls, schemas)
-    at = lambda df, *columns: df.select(F.col("conv").alias("oc"), F.col("call_id").alias("ot"), *columns)
-    meets = F.col("conv").eqNullSafe(F.col("oc")) & (F.col("call_id") == F.col("ot"))
-    both = both.join(at(order, "level").hint("shuffle_hash"), meets, "left").drop("oc", "ot").join(at(broken, F.col("errors").alias("broken")).hint("shuffle_hash"), meets, "left")
-    status = F.when(F.col("called").isNull(), "no_call").when(F.col("level").isNull(), "circular").when(F.col("rt").isNull(), "no_result").when(F.col("result_turn") <= F.col("turn"), "early").otherwise("linked")
+    order, broken = ordered(calls), violations(calls, schemas)
+    both = both.join(_at(order, "after_turn", "step").hint("shuffle_hash"), F.expr(_MEETS), "left").drop("_c", "_t").join(_at(broken, F.col("errors").alias("broken")).hint("shuffle_hash"), F.expr(_MEETS), "left")
+    status = F.when(F.col("called").isNull(), "no_call").when(F.col("step").isNull(), "circular").when(F.col("rt").isNull(), "no_result").when(F.col("result_turn") <= F.col("turn"), "early").otherwise("linked")
     more = F.filter(F.array(F.when(F.col("repeats") > 0, F.lit("call_id: repeated call")), F.when(F.col("result_repeats") > 0, F.lit("call_id: repeated result"))), lambda e: e.isNotNull())
     arguments = F.coalesce(F.try_parse_json("arguments"), F.parse_json(F.regexp_extract(F.to_json(F.struct(F.coalesce("arguments", F.lit("")).alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)))
     json = F.to_json(F.struct(arguments.alias("arguments"), F.col("call_id"), F.col("name"), F.col("content").alias("result")))
     return both.select(
         "conv",
         "call_id",
-        F.when(F.col("called"), F.col("level")).alias("level"),
+        F.when(F.col("called"), F.col("after_turn")).alias("after_turn"),
+        F.when(F.col("called"), F.col("step")).alias("step"),
         F.coalesce("turn", "result_turn").alias("turn"),
         "name",
         status.alias("status"),

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotelens.llm.store import materialize
-from quotelens.llm.words import Block, blocks, mix64
+from quotelens.llm.store import materialize, release
+from quotelens.llm.words import Block, between, blocks, mix64, running
 
 _U = np.uint64
 
@@ -53,8 +53,6 @@ def shingles(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(block.first)
     short = np.flatnonzero((counts > 0) & (counts < n))
     if len(short):
-        from quotelens.llm.words import between, running
-
         sums = running(block.word_hash)
         text = np.concatenate([text, short])
         hashes = np.concatenate([hashes, between(sums, block.first[short], block.first[short + 1])])
@@ -205,7 +203,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.distinct(), "links")
+        edges, done = materialize(small.distinct(), "links"), edges
+        release(done)
 
 
 def _alike(classes: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
@@ -220,7 +219,9 @@ def _alike(classes: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     a, b = (prefix.select("token", *(F.col(c).alias(c[0] + i) for c in ("id", "n", "root", "place"))) for i in "ab")
     most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     able = (100 * most >= near.percent * (F.col("na") + F.col("nb") - most)) & (a.token == b.token) & (F.col("ia") < F.col("ib")) & (F.col("ra") != F.col("rb"))
-    return a.join(b, able).select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct()
+    found = materialize(a.join(b, able).select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct(), "crossing")
+    release(tokens)
+    return found
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", near: Near = Near()) -> DataFrame:
@@ -263,8 +264,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ne
     placed = others.select("bucket", "id").join(named, "id")
     apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     open_ = materialize(placed.join(apart, "bucket").select("id", "n", "root").distinct(), "open")
-    more = confirmed(materialize(_alike(open_, texts, near), "crossing"))
-    roots = components(links.union(more))
+    crossing = _alike(open_, texts, near)
+    every = components(links.union(confirmed(crossing)))
+    release(members, wanted, others, texts, links, roots, open_, crossing)
+    roots = every
     named = classes.select("node", "doc").join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc").alias("component_id"))
     found = named.join(smallest, "root").select("node", "component_id")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotelens.llm.store import materialize
+from quotelens.llm.store import materialize, release
 from quotelens.llm.words import Block, blocks, per_text
 
 #: Fixed point of sums.
@@ -189,6 +189,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     known = labels.where(F.col(label).isNotNull() & ~held_out).select(F.col(key).alias("doc"), F.col(label).cast("double").alias("label"))
     training = materialize(measured.join(known, "doc").select("statistics", "label"), "training")
     model = fit(training, kernel)
+    release(training)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -120,21 +120,14 @@ WITH calls AS (
   FROM conversations WHERE role = 'user' AND turn IS NOT NULL GROUP BY ALL HAVING count(*) > 0),
 results AS (
   SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn, text AS content
-  FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL),
-chain AS (
-  WITH RECURSIVE placed(conv_id, turn, level) AS (
-    SELECT c.conv_id, c.turn, 0 FROM calls c LEFT JOIN calls p ON p.conv_id = c.conv_id AND p.turn = c.turn - 2 WHERE p.turn IS NULL
-    UNION ALL
-    SELECT c.conv_id, c.turn, p.level + 1 FROM placed p JOIN calls c ON c.conv_id = p.conv_id AND c.turn = p.turn + 2)
-  SELECT * FROM placed)
-SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, CAST(level AS INTEGER) AS level,
+  FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn AS after_turn, CASE WHEN c.turn IS NOT NULL THEN 0 END AS step,
        coalesce(c.turn, r.turn) AS turn, CASE WHEN c.turn IS NOT NULL THEN 'reply' END AS name,
        CASE WHEN c.turn IS NULL THEN 'no_call' WHEN r.turn IS NULL THEN 'no_result' ELSE 'linked' END AS status, '' AS errors,
        CASE WHEN c.turn IS NOT NULL THEN '{"arguments":{' || CASE WHEN c.turn >= 2 THEN '"after":"${' || c.conv_id || ':' || (c.turn - 2) || '}",' ELSE '' END
          || '"text":' || CAST(to_json(c.text) AS VARCHAR) || ',"turn":' || c.turn || '},"call_id":"' || c.call_id || '","name":"reply"'
          || CASE WHEN r.content IS NOT NULL THEN ',"result":' || CAST(to_json(r.content) AS VARCHAR) ELSE '' END || '}' END AS json
 FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
-LEFT JOIN chain ON chain.conv_id = c.conv_id AND chain.turn = c.turn
 """
 
 ORACLE_SQL = {"op7_mixing": _OP7, "op9_chat_format": _OP9}

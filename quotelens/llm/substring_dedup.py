@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotelens.llm.store import materialize
+from quotelens.llm.store import materialize, release
 from quotelens.llm.words import Block, between, blocks, covered, running
 
 #: A null doc_id counts as larger than all others.
@@ -274,7 +274,9 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     spans = salted.drop("n", "copies").groupBy("shard", "salt").applyInArrow(_match(limits), "doc long, class1 long, start long, length long")
     spans = spans.groupBy("doc", "class1").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     cleaned = candidates.select("doc", "class1", "text").join(spans, ["doc", "class1"]).mapInArrow(_keep, "doc long, class1 long, n_removed long, sha_rest string")
-    out = scanned.drop("anchors").join(classes, ["class1", "class2"]).join(materialize(cleaned, "cleaned"), ["doc", "class1"], "left")
+    cleaned = materialize(cleaned, "cleaned")
+    release(candidates, windows, runs, pieces)
+    out = scanned.drop("anchors").join(classes, ["class1", "class2"]).join(cleaned, ["doc", "class1"], "left")
     whole = (F.col("doc") > F.col("keeper")) & (F.col("n_words") >= limits.length)
     return out.select(
         F.nullif(F.col("doc"), F.lit(LAST)).alias(key),

@@ -212,10 +212,21 @@ def test_linked_calls(spark):
     frames = spark.createDataFrame(calls, "conv string, call_id string, turn int, name string, arguments string"), spark.createDataFrame(results, "conv string, call_id string, turn int, content string"), spark.createDataFrame(schemas, "name string, field string, kind string, required boolean")
     got = {(r.conv, r.call_id): r for r in chat_format.linked_calls(*frames).collect()}
     assert len(got) == 9
-    assert {k[1]: (r.level, r.status) for k, r in got.items() if k[0]} == {"1": (0, "linked"), "2": (1, "early"), "3": (0, "no_result"), "4": (0, "no_result"), "5": (None, "circular"), "6": (None, "circular"), "7": (0, "no_result"), "8": (None, "no_call")}
+    assert {k[1]: (r.after_turn, r.step, r.status) for k, r in got.items() if k[0]} == {"1": (0, 0, "linked"), "2": (2, 0, "early"), "3": (4, 0, "no_result"), "4": (6, 0, "no_result"), "5": (None, None, "circular"), "6": (None, None, "circular"), "7": (10, 0, "no_result"), "8": (None, None, "no_call")}
     assert got[("a", "1")].errors == ["call_id: repeated call", "call_id: repeated result"] and got[("a", "2")].errors == ["x: STRING for BIGINT"]
     assert got[("a", "3")].errors == ["y: missing", "z: not in the schema"] and got[("a", "4")].errors == ["arguments: not an object"]
     assert got[("a", "2")].json == '{"arguments":{"x":"${1}","y":3},"call_id":"2","name":"add","result":"said \\"é\\"\\n"}'
     assert json.loads(got[("a", "4")].json)["arguments"] == "{bad" and got[(None, "1")].status == "linked"
     nothing = [f.where("false") for f in frames]
     assert chat_format.linked_calls(*nothing).collect() == []
+
+
+def test_calls_come_after_what_they_refer_to(spark):
+    rng = random.Random(5)
+    for _ in range(3):
+        ids = list(range(25))
+        rng.shuffle(ids)  # references go from a place to earlier places, but turns are in any order
+        refers = {c: rng.sample(ids[:k], min(k, rng.randint(0, 2))) for k, c in enumerate(ids)}
+        calls = spark.createDataFrame([("a", str(c), c, "t", json.dumps({"x": " ".join(f"${{{r}}}" for r in refers[c])})) for c in ids], "conv string, call_id string, turn int, name string, arguments string")
+        place = {r.call_id: (r.after_turn, r.step) for r in chat_format.ordered(calls).collect()}
+        assert len(place) == 25 and all(place[str(c)] > place[str(r)] for c in ids for r in refers[c])
