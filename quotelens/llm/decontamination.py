@@ -48,11 +48,12 @@ def canonical_words(docs: DataFrame, text: str) -> DataFrame:
     raw = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\p{L}[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*|\p{Nd}+(?:[.,]\p{Nd}+)*|[.!?:\n]"), F.lit(0))
 
     def kind(pair: Column) -> Column:
-        word, before = pair["word"], pair["before"]
-        lower = F.lower(word)
+        word, lower, before = pair["word"], pair["lower"], pair["before"]
+        # words that begin with an ASCII letter lie between these; only others can begin with a digit
+        no_letter = (word < "A") | (word > "{")
         template = (
             F.when(word.isin(ENDS), F.lit(None).cast("string"))
-            .when(word.rlike(r"^\p{Nd}"), F.lit("#n"))
+            .when(no_letter & word.rlike(r"^\p{Nd}"), F.lit("#n"))
             .when(lower.isin(UNITS) & before.rlike(r"^\p{Nd}"), F.lit("#u"))
             .when((word != lower) & ~before.isin(ENDS) & word.rlike(r"^\p{Lu}\p{Ll}"), F.lit("#p"))
             .otherwise(lower)
@@ -60,7 +61,7 @@ def canonical_words(docs: DataFrame, text: str) -> DataFrame:
         return F.struct(template.alias("t"), lower.alias("v"))
 
     # arrays that a lambda needs are zipped with its own, since a column that it captures may be computed anew for each element
-    paired = F.arrays_zip(F.col("_raw").alias("word"), F.concat(F.array(F.lit(ENDS[0])), F.slice("_raw", 1, F.greatest(F.size("_raw") - 1, F.lit(0)))).alias("before"))
+    paired = F.arrays_zip(F.col("_raw").alias("word"), F.transform("_raw", F.lower).alias("lower"), F.concat(F.array(F.lit(ENDS[0])), F.slice("_raw", 1, F.greatest(F.size("_raw") - 1, F.lit(0)))).alias("before"))
     kinds = docs.withColumn("_raw", raw).withColumn("_kinds", F.transform(paired, kind))
     words = F.transform(F.filter("_kinds", lambda x: x["t"].isNotNull()), lambda x: F.struct(x["t"].alias("t"), F.when(x["t"].startswith("#"), x["v"]).alias("v")))
     return kinds.withColumn("words", F.when(F.size("_raw") > 0, words).otherwise(F.array().cast("array<struct<t:string,v:string>>"))).drop("_raw", "_kinds")
