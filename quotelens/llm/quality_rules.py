@@ -6,6 +6,8 @@ of neighbours in suffix order follow from the ranks kept of each round. A maxima
 array whose common prefix can't be extended without losing an occurrence; the words that repeats of at least
 ``min_repeat`` words cover are the union of the spans of all suffixes whose larger neighbouring prefix is that long. A text
 is rejected if those words are more than ``max_covered`` of it, or its longest repeat has more than ``max_longest`` words.
+The base rule on repeated windows implies the first of these where its limit is as high; so repeats of at least ``min_copy``
+words, twice as long, may cover half as much, ``max_copied``: such a run is no phrase but copied sentences.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ class Rules:
     min_repeat: int = 8
     max_covered: float = 0.2
     max_longest: int = 60
+    min_copy: int = 16
+    max_copied: float = 0.1
 
 
 def suffix_order(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,18 +84,20 @@ def suffix_order(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, common
 
 
-def repeats(block: Block, min_repeat: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each text: words that repeats of min_repeat words or more cover, and the longest repeat's words."""
+def repeats(block: Block, *least: int) -> tuple[np.ndarray, ...]:
+    """For each text: words that repeats of so many words or more cover, for each number of least, and the longest repeat's words."""
     text = block.doc_of_word()
     order, common = suffix_order(block.word_hash, text)
     reach = np.zeros(len(text), dtype=np.int64)
     if len(order):
         reach[order] = np.maximum(common, np.append(common[1:], 0))
-    long = np.flatnonzero(reach >= min_repeat)
-    inside = covered(long, reach[long], len(text))
+    inside = []
+    for n in least:
+        long = np.flatnonzero(reach >= n)
+        inside.append(per_text(covered(long, reach[long], len(text)), block.first))
     longest = np.zeros(len(block.first) - 1, dtype=np.int64)
     np.maximum.at(longest, text, reach)
-    return per_text(inside, block.first), longest
+    return *inside, longest
 
 
 def base_counts(block: Block, window: int) -> dict[str, np.ndarray]:
@@ -137,8 +143,8 @@ def base_counts(block: Block, window: int) -> dict[str, np.ndarray]:
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """Counts and verdicts, one row for each row of docs (repeated rows too); other columns of docs are not read.
 
-    Returns key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, covered_words, longest_repeat
-    and kept. A null or empty text has no words and fails the base rules. The key is passed on as it is, null too.
+    Returns key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, covered_words, copied_words,
+    longest_repeat and kept. A null or empty text has no words and fails the base rules. The key is passed on as it is, null too.
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,14 +153,14 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", rule
                 counts = base_counts(block, rules.window)
                 words = counts["n_words"]
                 failed = (words < rules.min_words) | (100 * counts["n_repeat_words"] > rules.max_repeat_percent * words)
-                inside, longest = repeats(block, rules.min_repeat)
-                kept = ~failed & (inside <= rules.max_covered * words) & (longest <= rules.max_longest)
+                inside, copied, longest = repeats(block, rules.min_repeat, rules.min_copy)
+                kept = ~failed & (inside <= rules.max_covered * words) & (copied <= rules.max_copied * words) & (longest <= rules.max_longest)
                 columns = [counts[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                 i, j = block.rows
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, [*columns, failed, inside, longest, kept])], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, [*columns, failed, inside, copied, longest, kept])], names=names)
 
     rows = docs.select(key, text)
     kind = rows.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, covered_words long, longest_repeat long, kept boolean"
-    names = [key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "covered_words", "longest_repeat", "kept"]
+    schema = f"`{key}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, covered_words long, copied_words long, longest_repeat long, kept boolean"
+    names = [key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "covered_words", "copied_words", "longest_repeat", "kept"]
     return rows.mapInArrow(judge, schema)
