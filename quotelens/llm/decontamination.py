@@ -8,6 +8,10 @@ two uses of one value match only two uses of one value. Matched windows of a doc
 their distance along both texts, and an alignment in which a value stands for two values (of either side) is dropped.
 A document is contaminated by an item if consistent alignments cover at least ``cover`` of the item's windows.
 
+A window with few literal words is weak: it fits many texts. It counts if its values are the item's too, or if its
+alignment has enough literal words: ``literal`` of the item's in all, or ``few`` where all the item's windows are aligned.
+A window without any literal word is joined by its values.
+
 Only DataFrame functions are used. The item windows are broadcast if there are few enough of them, else they are shuffled.
 """
 
@@ -31,10 +35,11 @@ UNITS = (
 
 @dataclass(frozen=True)
 class Templates:
-    """window: canonical words; literal: of a window that must not be placeholders; broadcast: windows of all items up to which they are broadcast."""
+    """window: canonical words; literal: of a window that must not be placeholders, or it is weak; few: literal words of an item that is aligned as a whole; broadcast: windows of all items up to which they are broadcast."""
 
     window: int = 8
     literal: int = 5
+    few: int = 3
     cover: float = 0.5
     broadcast: int = 200_000
 
@@ -43,8 +48,8 @@ class Templates:
 ENDS = [".", "!", "?", ":", "\n"]
 
 
-def canonical_words(docs: DataFrame, text: str) -> DataFrame:
-    """Adds words: array of (t, v), t the canonical word and v the value that a placeholder replaces."""
+def canonical_words(docs: DataFrame, text: str, first: str = ENDS[0]) -> DataFrame:
+    """Adds words: array of (t, v), t the canonical word and v the value that a placeholder replaces. first: what stands before the text."""
     raw = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\p{L}[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*|\p{Nd}+(?:[.,]\p{Nd}+)*|[.!?:\n]"), F.lit(0))
 
     def kind(pair: Column) -> Column:
@@ -61,7 +66,7 @@ def canonical_words(docs: DataFrame, text: str) -> DataFrame:
         return F.struct(template.alias("t"), lower.alias("v"))
 
     # arrays that a lambda needs are zipped with its own, since a column that it captures may be computed anew for each element
-    paired = F.arrays_zip(F.col("_raw").alias("word"), F.transform("_raw", F.lower).alias("lower"), F.concat(F.array(F.lit(ENDS[0])), F.slice("_raw", 1, F.greatest(F.size("_raw") - 1, F.lit(0)))).alias("before"))
+    paired = F.arrays_zip(F.col("_raw").alias("word"), F.transform("_raw", F.lower).alias("lower"), F.concat(F.array(F.lit(first)), F.slice("_raw", 1, F.greatest(F.size("_raw") - 1, F.lit(0)))).alias("before"))
     kinds = docs.withColumn("_raw", raw).withColumn("_kinds", F.transform(paired, kind))
     words = F.transform(F.filter("_kinds", lambda x: x["t"].isNotNull()), lambda x: F.struct(x["t"].alias("t"), F.when(x["t"].startswith("#"), x["v"]).alias("v")))
     return kinds.withColumn("words", F.when(F.size("_raw") > 0, words).otherwise(F.array().cast("array<struct<t:string,v:string>>"))).drop("_raw", "_kinds")
@@ -70,8 +75,8 @@ def canonical_words(docs: DataFrame, text: str) -> DataFrame:
 def windows(docs: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
     """keys, and n, place, hash and slots of every window of each size; slots: the values of its placeholders, null if none.
 
-    In the hash a placeholder carries the distance to the last use of its value within the window. A window is a row of
-    its own from here on, so that rows don't carry the text's words.
+    In the hash a placeholder carries the distance to the last use of its value within the window; a window of placeholders
+    only has the hash of its values. A window is a row of its own from here on, so that rows don't carry the text's words.
     """
     count = F.size("words")
     most = max(sizes)
@@ -101,7 +106,8 @@ def windows(docs: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
         hashes = F.when(count < n, F.array().cast(kind)).when(F.col("_apart").isNull(), plain.cast(kind)).otherwise(with_values.cast(kind))
         # the outer form: the other lets Spark test the array's size first, for which it would compute all of it again
         rows = coded.select(*keys, hashes.alias("_windows")).select(*keys, F.posexplode_outer("_windows").alias("place", "_w"))
-        rows = rows.select(*keys, F.lit(n).alias("n"), "place", F.col("_w.hash").alias("hash"), F.col("_w.slots").alias("slots")).where(F.col("hash").isNotNull())
+        rows = rows.select(*keys, F.lit(n).alias("n"), "place", F.col("_w.hash").alias("hash"), F.col("_w.slots").alias("slots"))
+        rows = rows.withColumn("hash", F.when(F.size("slots") == n, F.xxhash64(F.lit("values"), "slots")).otherwise(F.col("hash"))).where(F.col("hash").isNotNull())
         found = rows if found is None else found.unionByName(rows)
     return found
 
@@ -109,31 +115,51 @@ def windows(docs: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", templates: Templates = Templates()) -> DataFrame:
     """key, item, n_windows (of the item, that were found), item_windows and first_word for each document and item that it contains.
 
-    Other columns of both tables are not read. An item of fewer words than a window is one window; one without enough
-    literal words, or without text, is never found. Null and empty documents contain nothing. Rows of equal keys count as
-    one document, and a null key is one key more.
+    Other columns of both tables are not read. An item of fewer words than a window is one window; one without text is never
+    found. The share is taken of all windows of an item, of those with a literal word, and of those that aren't weak, and
+    one that reaches cover is enough. An item's first word is also looked for as the name it seems to be inside a sentence.
+    Null and empty documents contain nothing. Rows of equal keys count as one document, and a null key is one key more.
     """
     n = templates.window
-    of_items = materialize(canonical_words(items.select(F.col(item).alias("_item"), F.col(item_text).alias("_text")), "_text").select("_item", "words"), "items").where(F.size("words") > 0)
+    texts = items.select(F.col(item).alias("_item"), F.col(item_text).alias("_text"))
+    of_items = materialize(canonical_words(texts, "_text").select("_item", "words"), "items").where(F.size("words") > 0)
+    # the items whose first word would be a name if a word stood before it
+    named = canonical_words(texts, "_text", first="").select("_item", "words").where((F.size("words") > 0) & (F.get("words", F.lit(0))["t"] == "#p"))
+    named = materialize(named.withColumn("words", F.slice("words", 1, n)), "named-items")
     sizes = sorted(r[0] for r in of_items.select(F.least(F.size("words"), F.lit(n))).distinct().collect())  # n values at most
     if not sizes:
         sizes = [n]
-    parts = [windows(of_items.where(F.size("words") == s if s < n else F.size("words") >= n), ["_item"], [s]) for s in sizes]
-    wanted = reduce(DataFrame.unionByName, parts)
-    wanted = wanted.where(F.col("n") - F.coalesce(F.array_size("slots"), F.lit(0)) >= F.least(F.col("n"), F.lit(templates.literal)))
-    wanted = wanted.select("_item", "n", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
+    of_size = lambda df, s: df.where(F.size("words") == s if s < n else F.size("words") >= n)
+    as_name = [windows(of_size(named, s), ["_item"], [s]).withColumn("named", F.lit(1)) for s in sizes]
+    wanted = reduce(DataFrame.unionByName, [windows(of_size(of_items, s), ["_item"], [s]).withColumn("named", F.lit(0)) for s in sizes] + as_name)
+    # the first word as a name has to be the same word, so that it counts as a literal one
+    literals = F.col("n") - F.coalesce(F.array_size("slots"), F.lit(0)) + F.col("named")
+    wanted = wanted.select("_item", "n", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "named", (literals > 0).alias("worded"), (literals >= F.least(F.col("n"), F.lit(templates.literal))).alias("strong"))
     wanted = materialize(wanted, "item-windows")
-    counts = wanted.groupBy(F.col("_item").alias("_i")).agg(F.count("*").alias("item_windows"))
+    places = F.filter(F.transform("words", lambda x, i: F.when(x["v"].isNull(), i)), lambda i: i.isNotNull())
+    counts = wanted.where("named = 0").groupBy(F.col("_item").alias("_i")).agg(F.count("*").alias("item_windows"), F.count_if("worded").alias("item_worded"), F.count_if("strong").alias("item_strong"))
+    facts = counts.join(of_items.groupBy(F.col("_item").alias("_j")).agg(F.array_distinct(F.flatten(F.collect_set(places))).alias("literals")), F.col("_i").eqNullSafe(F.col("_j"))).drop("_j")
     few = wanted.limit(templates.broadcast + 1).count() <= templates.broadcast
     side = lambda df: F.broadcast(df) if few else df
     held = windows(canonical_words(docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")), "_text").select("_doc", "words"), ["_doc"], sizes)
-    matched = held.join(side(wanted), ["n", "hash"]).withColumn("shift", F.col("place") - F.col("item_place"))
-    alignment = ["_doc", "_item", "shift"]
+    matched = held.join(side(wanted), ["n", "hash"]).where((F.col("named") == 0) | (F.get("slots", F.lit(0)) == F.get("item_slots", F.lit(0)))).withColumn("shift", F.col("place") - F.col("item_place"))
+    alignment = ["_doc", "_item", "n", "shift"]
     none = F.array().cast("array<string>")
-    matched = matched.select(*alignment, "place", "item_place", F.arrays_zip(F.coalesce("slots", none).alias("slots"), F.coalesce("item_slots", none).alias("item_slots")).alias("pairs"))
-    found = matched.groupBy(*alignment).agg(F.collect_set("item_place").alias("places"), F.min("place").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    one_to_one = F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"]))) == F.size("pairs")
-    onto = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))) == F.size("pairs")
-    found = found.where(one_to_one & onto).groupBy("_doc", "_item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.min("first_word").cast("long").alias("first_word"))
-    found = found.join(side(counts), F.col("_item").eqNullSafe(F.col("_i"))).drop("_i").where(F.col("n_windows") >= F.lit(templates.cover) * F.col("item_windows"))
-    return found.select(F.col("_doc").alias(key), F.col("_item").alias(item), "n_windows", "item_windows", "first_word")
+    slots, item_slots = F.coalesce("slots", none), F.coalesce("item_slots", none)
+    matched = matched.select(*alignment, "item_place", "worded", "strong", (~F.col("strong") & (slots == item_slots)).alias("same"), F.arrays_zip(slots.alias("slots"), item_slots.alias("item_slots")).alias("pairs"))
+    held_by = lambda c: F.collect_set(F.when(F.col(c), F.col("item_place"))).alias(f"{c}_places")
+    values = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    found = matched.groupBy(*alignment).agg(F.collect_set("item_place").alias("places"), held_by("worded"), held_by("strong"), held_by("same"), values(F.col("pairs")).alias("pairs"), values(F.when(F.col("strong"), F.col("pairs"))).alias("strong_pairs"))
+    one_to_one = lambda c, side: F.size(F.array_distinct(F.transform(c, lambda p: p[side]))) == F.size(c)
+    consistent = lambda c: one_to_one(c, "slots") & one_to_one(c, "item_slots")
+    found = found.join(side(facts), F.col("_item").eqNullSafe(F.col("_i"))).drop("_i")
+    aligned = F.size(F.array_intersect("literals", F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("n") - 1)))))
+    whole = (F.size("worded_places") == F.col("item_worded")) & (aligned >= templates.few)
+    enough = consistent("pairs") & ((aligned >= templates.literal) | whole)
+    nowhere = F.array().cast("array<int>")
+    found = found.withColumn("counted", F.when(enough, F.col("places")).otherwise(F.array_union(F.when(consistent("strong_pairs"), F.col("strong_places")).otherwise(nowhere), "same_places"))).where(F.size("counted") > 0)
+    number = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    facts_of = [F.first(c).alias(c) for c in ("item_windows", "item_worded", "item_strong")]
+    found = found.groupBy("_doc", "_item").agg(number("counted").alias("n_windows"), number(F.array_intersect("counted", "worded_places")).alias("n_worded"), number(F.array_intersect("counted", "strong_places")).alias("n_strong"), F.min(F.col("shift") + F.array_min("counted")).cast("long").alias("first_word"), *facts_of)
+    reached = [(F.col(f"n_{c}") > 0) & (F.col(f"n_{c}") >= F.lit(templates.cover) * F.col(f"item_{c}")) for c in ("windows", "worded", "strong")]
+    return found.where(reduce(Column.__or__, reached)).select(F.col("_doc").alias(key), F.col("_item").alias(item), "n_windows", "item_windows", "first_word")
