@@ -5,7 +5,8 @@ marks are summed and divided by the number of runs on the path: long, punctuated
 labels. Both ratios are smoothed along the page, so that a short run between long ones isn't taken for a label, multiplied,
 and averaged over each path again; paths above a part of the page's spread are content. The element that holds most of the
 content paths' text is the article; its blocks are returned in page order, but for those of elements whose tag, role or
-class says that they are something else. Their text counts for no path.
+class says that they are something else. Their text counts for no path. A class doesn't take out an element without which
+the page would have no article, or that holds most of the content paths' text (`taken_out`).
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ ASIDE = frozenset(
     "comment comments reply replies respond discussion disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations widget pagination pager toolbar search form".split()
 )
+#: Of these, words of what readers write; it may be longer than the article.
+READERS = frozenset("comment comments reply replies respond discussion disqus".split())
 
 
 @dataclass(frozen=True)
@@ -49,15 +52,17 @@ class Ratios:
     most: float = 0.7
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, in_article: bool) -> bool | frozenset[str]:
+    """True for an element that is never part of the article, else the words of its class and id that say so."""
+    said: set[str] = set()
     if tag in NEVER or (tag == "header" and not in_article):
         return True
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             words = set(re.split(r"[^a-z]+", value))
-            if tag not in ("html", "body", "article", "main") and (words & ASIDE or ("header" in words and not in_article)):
-                return True
+            if tag not in ("html", "body", "article", "main"):
+                said |= words & ASIDE | (words & {"header"} if not in_article else set())
         elif name == "role":
             if value in ROLES:
                 return True
@@ -66,12 +71,13 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
                 return True
         elif name == "hidden" or value == "true":
             return True
-    return False
+    return frozenset(said)
 
 
-def runs_of(page: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, str]]]:
-    """Runs of wanted text as (element, block, text), and the elements as (parent, tag). Element 0 is the document."""
+def runs_of(page: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, str]], dict[int, frozenset[str]]]:
+    """Runs of text as (element, block, text), the elements as (parent, tag), and those whose class is of ASIDE. Element 0 is the document."""
     elements: list[tuple[int, str]] = [(-1, "")]
+    aside: dict[int, frozenset[str]] = {}
     stack, runs, block, skip, at = [0], [], 0, 0, 0  # skip: depth of the outermost unwanted element
 
     def close(to: int) -> None:
@@ -126,14 +132,17 @@ def runs_of(page: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, str]
             continue
         elements.append((stack[-1], tag))
         stack.append(len(elements) - 1)
-        if not skip and _unwanted(tag, attributes, any(elements[e][1] == "article" for e in stack[:-1])):
-            skip = len(stack) - 1
+        if not skip and (found := _unwanted(tag, attributes, any(elements[e][1] == "article" for e in stack[:-1]))):
+            if found is True:
+                skip = len(stack) - 1
+            else:
+                aside[stack[-1]] = found
         if tag in RAW:
             ending = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, position)
             close(len(stack) - 1)
             at = position = ending.end() if ending else len(page)
     text(len(page))
-    return runs, elements
+    return runs, elements, aside
 
 
 def path_scores(lengths: np.ndarray, marks: np.ndarray, path: np.ndarray, ratios: Ratios) -> np.ndarray:
@@ -148,11 +157,11 @@ def path_scores(lengths: np.ndarray, marks: np.ndarray, path: np.ndarray, ratios
     return np.bincount(path, weights=smooth[0] * smooth[1]) / count
 
 
-def main_text(page: str | None, ratios: Ratios = Ratios()) -> str:
-    runs, elements = runs_of(page or "")
+def content_runs(runs: list[tuple[int, int, str]], elements: list[tuple[int, str]], ratios: Ratios) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+    """Runs that aren't blank as (element, length, marks), whether each is on a content path, and the content each element holds."""
     said = [(e, len(t.strip()), len(PUNCTUATION.findall(t))) for e, _, t in runs if not t.isspace()]
     if not said:
-        return ""
+        return said, np.zeros(0, dtype=bool), np.zeros(len(elements))
     paths: dict[int, int] = {}
     numbers: dict[tuple[int, str], int] = {}
     for e, (parent, tag) in enumerate(elements):
@@ -167,6 +176,55 @@ def main_text(page: str | None, ratios: Ratios = Ratios()) -> str:
         while good and e >= 0:
             held[e] += n
             e = elements[e][0]
+    return said, content, held
+
+
+def _below(elements: list[tuple[int, str]], roots: set[int]) -> list[bool]:
+    """Whether each element is one of roots or lies in one."""
+    inside = [False] * len(elements)
+    for e, (parent, _) in enumerate(elements):
+        inside[e] = e in roots or (parent >= 0 and inside[parent])
+    return inside
+
+
+def taken_out(runs: list[tuple[int, int, str]], elements: list[tuple[int, str]], aside: dict[int, frozenset[str]], ratios: Ratios) -> list[bool]:
+    """Whether each element is left out because of its class, or one around it.
+
+    If all that is an <article> (or else <main>) with text lies in such elements, those around the one that holds most stay. Then any
+    stays that holds most of the content paths' text of the article, or of the page without one; what readers write only
+    if there is nothing else.
+    """
+    out = _below(elements, set(aside))
+    if not any(out[e] for e, _, t in runs if not t.isspace()):
+        return out
+    drop = dict(aside)
+    _, _, held = content_runs(runs, elements, ratios)
+    _, _, left = content_runs([r for r in runs if not out[r[0]]], elements, ratios)
+    region = 0
+    for tag in ("article", "main"):
+        named = [e for e, (_, t) in enumerate(elements) if t == tag and held[e] > 0]
+        if named:
+            free = [e for e in named if not out[e]]
+            region = at = max(free or named, key=lambda e: (left[e], held[e]))
+            while at >= 0:
+                drop.pop(at, None)
+                at = elements[at][0]
+            break
+    within = _below(elements, {region})
+    for e in sorted(drop):
+        if within[e] and held[e] >= ratios.most * held[region] > 0 and not (drop[e] <= READERS and left[region] > 0):
+            del drop[e]
+    return _below(elements, set(drop))
+
+
+def main_text(page: str | None, ratios: Ratios = Ratios()) -> str:
+    runs, elements, aside = runs_of(page or "")
+    if aside:
+        out = taken_out(runs, elements, aside, ratios)
+        runs = [r for r in runs if not out[r[0]]]
+    said, content, held = content_runs(runs, elements, ratios)
+    if not said:
+        return ""
     children: dict[int, list[int]] = {}
     for e, (parent, tag) in enumerate(elements):
         if tag in CONTAINER:
