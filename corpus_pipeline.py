@@ -13,33 +13,30 @@ from quotelens.llm.store import materialize, release
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-#: Stands for a null doc_id where documents are joined by it.
-NO_ID = -(1 << 63)
-
-
-def _by_id(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Rows of docs whose doc_id is in keys ("left_semi") or isn't ("left_anti"), and _id; a null doc_id is one like others."""
-    key = F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")
-    return docs.select("*", key).join(keys.select(key), "_id", how)
+def _with_key(docs: DataFrame) -> DataFrame:
+    """docs and _row: equal for rows of equal doc_id and text only. In its order rows without a doc_id come last."""
+    text = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    return docs.select("*", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), text.alias("text")).alias("_row"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. Of rows with one doc_id all go if one is rejected."""
-    judged = quality_rules.quality_rules(docs)
-    return _by_id(docs, materialize(judged.where("not kept").select("doc_id"), "rejected"), "left_anti").select(*docs.columns)
+    """Rows that the quality rules reject go."""
+    judged = quality_rules.quality_rules(docs.select(F.struct(*docs.columns).alias("_whole"), "text"), key="_whole")
+    return judged.where("kept").select("_whole.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, and one of rows with equal doc_id and text."""
-    found = near_dedup.near_duplicates(docs)
-    kept = _by_id(docs, materialize(found.where("kept").select("doc_id"), "kept"), "left_semi")
-    return kept.dropDuplicates(["_id", "text"]).select(*docs.columns)
+    """One row of each group of near-duplicates stays, and one of rows with equal doc_id and text."""
+    rows = _with_key(docs)
+    kept = materialize(near_dedup.near_duplicates(rows, key="_row").where("kept").select("_row"), "kept")
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain an item of the benchmark go."""
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _by_id(docs, materialize(found.select("doc_id"), "contaminated"), "left_anti").select(*docs.columns)
+    """Rows that contain an item of the benchmark go."""
+    rows = _with_key(docs)
+    found = decontamination.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_row")
+    return rows.join(materialize(found.select("_row"), "contaminated"), "_row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
