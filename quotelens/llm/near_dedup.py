@@ -14,22 +14,28 @@ classes, but for the hub, are in several components: the pairs across those that
 a prefix join over the full sets of just these classes. Shingles are ordered from the rarest on; two similar sets share one
 of the first ``n - ceil(0.85 n) + 1``, and the places of the first that they share bound their intersection, so that copies
 with too many edits of their own never become pairs. Within a component more links change nothing.
+
+Hashes only find candidates and equal sets (128 bits, of real hashes of the words' bytes); links compare the words.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotelens.llm.store import materialize, release
-from quotelens.llm.words import Block, between, blocks, mix64, running
+from quotelens.llm.words import Block, blocks, hashes_of_runs, mix64, number, numbers_of_runs
 
 _U = np.uint64
+#: Bytes of texts that are compared at once.
+PAIRS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -46,33 +52,41 @@ class Near:
         return 2 * self.chunks - 1
 
 
+def _runs(block: Block, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Text and first word of the shingles of a block, and their words: n, or all words of a text that has fewer."""
+    text, counts = block.doc_of_word(), np.diff(block.first)
+    at = block.places(n)
+    yield text[at], at, n
+    for few in range(1, n):
+        short = np.flatnonzero(counts == few)
+        if len(short):
+            yield short, block.first[short], few
+
+
 def shingles(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text and hash of each distinct shingle, sorted; a text of fewer than n words is one shingle, an empty one none."""
-    at, hashes = block.windows(n)
-    text = block.doc_of_word()[at]
-    counts = np.diff(block.first)
-    short = np.flatnonzero((counts > 0) & (counts < n))
-    if len(short):
-        sums = running(block.word_hash)
-        text = np.concatenate([text, short])
-        hashes = np.concatenate([hashes, between(sums, block.first[short], block.first[short + 1])])
-    order = np.lexsort((hashes, text))
-    text, hashes = text[order], hashes[order]
+    """Text and two hashes of each distinct shingle, sorted; a text of fewer than n words is one shingle, an empty one none."""
+    found = []
+    for text, at, size in _runs(block, n):
+        found.append((text, *(hashes_of_runs(block.word_hash[:, k] ^ _U(size), size)[at] for k in (0, 1))))
+    text, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((one, text))
+    text, hashes = text[order], np.stack([one[order], two[order]], axis=1)
     new = np.ones(len(text), dtype=bool)
-    new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
+    new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1]).any(axis=1)
     return text[new], hashes[new]
 
 
 def signatures(text: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text with shingles: its number, a 128-bit hash of the set, and k symbols."""
+    """For each text with shingles: its number, a 128-bit hash of the set (from two hashes of each shingle), and k symbols."""
     starts = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else np.zeros(0, dtype=np.int64)
     if not len(starts):
         return starts, np.zeros((0, 2), dtype=_U), np.zeros((0, k), dtype=np.uint16)
-    sets = np.stack([np.add.reduceat(mix64(hashes ^ _U(salt)), starts) for salt in (0x51ED270B7F4A7C15, 0xC2B2AE3D27D4EB4F)], axis=1)
+    sets = np.add.reduceat(mix64(hashes ^ np.array([0x51ED270B7F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=_U)), starts, axis=0)
+    one = np.ascontiguousarray(hashes[:, 0])
     seeds = mix64(np.arange(1, 2 * k + 1, dtype=_U))
     symbols = np.empty((len(starts), k), dtype=np.uint16)
     for i in range(k):
-        least = np.minimum.reduceat((hashes ^ seeds[2 * i]) * (seeds[2 * i + 1] | _U(1)), starts)
+        least = np.minimum.reduceat((one ^ seeds[2 * i]) * (seeds[2 * i + 1] | _U(1)), starts)
         symbols[:, i] = (mix64(least) & _U(0xFFFF)).astype(np.uint16)
     return text[starts], sets, symbols
 
@@ -144,14 +158,24 @@ def _tokens(near: Near):
             for block in blocks(batch.column(1), lower=True):
                 text, hashes = shingles(block, near.shingle)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)[block.rows[0] : block.rows[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(hashes.view(np.int64))], names=["id", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(np.ascontiguousarray(hashes[:, 0]).view(np.int64))], names=["id", "token"])
 
     return tokens
 
 
-def _set_of(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    found = [(block.rows[0], *shingles(block, n)) for block in blocks(texts, lower=True)]
-    return np.concatenate([i + text for i, text, _ in found]), np.concatenate([hashes for _, _, hashes in found])
+def similar(texts: pa.Array, near: Near) -> np.ndarray:
+    """Whether the first text of the first half is similar enough to the first one of the second half, and so on. Words are compared, not hashes."""
+    n = len(texts) // 2
+    (block,) = blocks(texts, lower=True, size=1 << 62)
+    found = [(text, numbers_of_runs(block.word, size)[at] * near.shingle + size - 1) for text, at, size in _runs(block, near.shingle)]
+    text, shingle = (np.concatenate(x) for x in zip(*found, strict=True))
+    shingle = number(shingle)
+    many = shingle.max(initial=0) + 1
+    kinds = np.unique((text % n) * many + shingle + (text >= n) * (n * many)) % (n * many)  # distinct shingles of each text, by pair
+    kinds.sort()
+    both = np.bincount(kinds[1:][kinds[1:] == kinds[:-1]] // many, minlength=n)
+    union = np.bincount(kinds // many, minlength=n) - both
+    return (100 * both >= near.percent * union) & (union > 0)
 
 
 def _confirm(near: Near):
@@ -159,15 +183,13 @@ def _confirm(near: Near):
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 200):
-                part = batch.slice(i, 200)
-                (ta, ha), (tb, hb) = _set_of(part.column(2), near.shingle), _set_of(part.column(3), near.shingle)
-                text, hashes = np.concatenate([ta, tb]), np.concatenate([ha, hb])
-                order = np.lexsort((hashes, text))
-                text, hashes = text[order], hashes[order]
-                both = np.bincount(text[1:][(text[1:] == text[:-1]) & (hashes[1:] == hashes[:-1])], minlength=len(part))
-                union = np.bincount(text, minlength=len(part)) - both
-                yield part.select(["a", "b"]).filter(pa.array((100 * both >= near.percent * union) & (union > 0)))
+            one, two = (batch.column(k).cast(pa.large_string()) for k in (2, 3))
+            ends = np.cumsum(pc.binary_length(one).to_numpy().astype(np.int64) + pc.binary_length(two).to_numpy())
+            i = 0
+            while i < len(batch):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS)))
+                yield batch.slice(i, j - i).select(["a", "b"]).filter(pa.array(similar(pa.concat_arrays([one.slice(i, j - i), two.slice(i, j - i)]), near)))
+                i = j
 
     return confirm
 
@@ -208,19 +230,34 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _alike(classes: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
-    """classes: id, n (shingles), root. Pairs of ids of different roots that can reach the similarity: a prefix join over full sets."""
+    """classes: id, n (shingles), root. Pairs of ids of different roots that can reach the similarity: a prefix join over full sets.
+
+    What shares a shingle is not expanded into pairs as it is. Lengths that can't be similar don't meet: a class of lengths is as
+    wide as the similarity, so a pair is in one class or two neighbouring ones. Of a pair one has the shared shingle
+    among the first (1 - t) / (1 + t) of its own (t: the similarity), since the places of both bound what they share. And of the root that
+    has most rows of a shingle the rows meet only those of other roots.
+    """
     tokens = materialize(texts.join(classes, "id").select("id", "text").mapInArrow(_tokens(near), "id long, token long"), "tokens")
     several = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
     # shingles that no other class has come first in its order; they only shift the places of the rest
     own = Window.partitionBy("id")
     placed = tokens.join(several, "token").withColumn("rank", F.row_number().over(own.orderBy("often", "token"))).withColumn("kept", F.count("*").over(own))
     placed = placed.join(classes, "id").withColumn("place", F.col("n") - F.col("kept") + F.col("rank") - 1)
-    prefix = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * near.percent / 100)).select("token", "id", "n", "root", "place")
-    a, b = (prefix.select("token", *(F.col(c).alias(c[0] + i) for c in ("id", "n", "root", "place"))) for i in "ab")
+    share = near.percent / 100
+    length = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(share))).cast("int")
+    early = F.col("place") <= F.ceil(F.col("n") * F.lit((1 - share) / (1 + share)))
+    prefix = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * near.percent / 100)).select("token", "id", "n", "root", "place", length.alias("length"), early.alias("early"))
+    prefix = materialize(prefix, "prefixes")
+    by_root = prefix.groupBy("token", "root").agg(F.count("*").alias("rows"))
+    crowd = by_root.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("rows", "root"))["root"].alias("crowd")).where("low < high").select("token", "crowd")
+    prefix = materialize(prefix.join(crowd, "token"), "open-prefixes")
+    a, b = (prefix.select("token", *(F.col(c).alias(c[0] + i) for c in ("id", "n", "root", "place")), F.col("length").alias(f"l{i}"), F.col("early").alias(f"e{i}"), (F.col("root") == F.col("crowd")).alias(f"c{i}")) for i in "ab")
+    a = a.where("not ca").withColumn("lb", F.explode(F.array(F.col("la") - 1, "la", F.col("la") + 1))).drop("la")
     most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    able = (100 * most >= near.percent * (F.col("na") + F.col("nb") - most)) & (a.token == b.token) & (F.col("ia") < F.col("ib")) & (F.col("ra") != F.col("rb"))
-    found = materialize(a.join(b, able).select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct(), "crossing")
-    release(tokens)
+    able = (100 * most >= near.percent * (F.col("na") + F.col("nb") - most)) & (F.col("ra") != F.col("rb")) & (F.col("cb") | (F.col("ia") < F.col("ib")))
+    found = a.where("ea").join(b, ["token", "lb"]).where(able).select("ia", "ib").unionByName(a.where("not ea").join(b.where("eb"), ["token", "lb"]).where(able).select("ia", "ib"))
+    found = materialize(found.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct(), "crossing")
+    release(tokens, prefix)
     return found
 
 

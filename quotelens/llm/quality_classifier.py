@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotelens.llm.store import materialize, release
-from quotelens.llm.words import Block, blocks, per_text
+from quotelens.llm.words import Block, blocks, numbers_of_runs, per_text
 
 #: Fixed point of sums.
 SCALE = float(1 << 30)
@@ -54,7 +54,7 @@ _OTHER, _LETTER = _table(bytes(range(128, 256))), _table(bytes(range(97, 123)))
 def statistics(block: Block) -> np.ndarray:
     """A row for each text, a column for each of NAMES."""
     n_texts = len(block.first) - 1
-    text, hashes = block.doc_of_word(), block.word_hash
+    text, word = block.doc_of_word(), block.word
     words, size = np.diff(block.first), np.maximum(np.diff(block.text_start), 1)
     some = np.maximum(words, 1)
     share = lambda table: per_text(table[block.data], block.text_start) / size
@@ -72,12 +72,12 @@ def statistics(block: Block) -> np.ndarray:
         np.maximum.at(most, owner[order][at], np.diff(np.append(at, len(order))))
         return np.bincount(owner[order][at], minlength=n_texts), most
 
-    distinct, most = repeated(hashes, text)
+    distinct, most = repeated(word, text)
     same = text[1:] == text[:-1]
-    next_one = np.bincount(text[1:][same & (hashes[1:] == hashes[:-1])], minlength=n_texts)
+    next_one = np.bincount(text[1:][same & (word[1:] == word[:-1])], minlength=n_texts)
     pairs = np.bincount(text[1:][same], minlength=n_texts)
-    at, two = block.windows(2)
-    distinct_pairs, _ = repeated(two, text[at])
+    at = block.places(2)
+    distinct_pairs, _ = repeated(numbers_of_runs(word, 2)[at], text[at])
     columns = [
         np.log1p(words), per_text(lengths, block.first) / some, share(_SYMBOL), share(_CAPITAL), share(_DIGIT), share(_END), share(_SHOUT), share(_BAR), share(_SPACE), np.log1p(lines), np.log1p(words / lines),
         distinct / some, next_one / some, 1 - distinct_pairs / np.maximum(pairs, 1), most / some, per_text(symbols[block.word_end] > symbols[block.word_start], block.first) / some, share(_OTHER), per_text(lengths > 15, block.first) / some, per_text(lengths <= 2, block.first) / some,

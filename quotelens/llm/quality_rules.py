@@ -8,6 +8,7 @@ array whose common prefix can't be extended without losing an occurrence; the wo
 is rejected if those words are more than ``max_covered`` of it, or its longest repeat has more than ``max_longest`` words.
 The base rule on repeated windows implies the first of these where its limit is as high; so repeats of at least ``min_copy``
 words, twice as long, may cover half as much, ``max_copied``: such a run is no phrase but copied sentences.
+Words and lines are compared by their bytes, not by hashes.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quotelens.llm.words import Block, between, blocks, covered, per_text
+from quotelens.llm.words import Block, blocks, covered, number, per_text, strings
 
 #: Characters that count as symbols (fixed by the contract of the base counts).
 SYMBOLS = b"#*$%&|<>"
@@ -40,12 +41,12 @@ class Rules:
 def suffix_order(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array over all texts, texts apart, and the common prefix of each suffix with the one before it, in words.
 
-    keys: a word's number, alike for equal words; text: the text of each word, ascending.
+    keys: a word's number, alike for equal words only; text: the text of each word, ascending.
     """
     n = len(keys)
     if not n:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    rank = np.unique(keys, return_inverse=True)[1].astype(np.int64)
+    rank = keys.copy()
     order = np.lexsort((rank, text))
     new = np.ones(n, dtype=bool)
     new[1:] = (rank[order][1:] != rank[order][:-1]) | (text[order][1:] != text[order][:-1])
@@ -84,59 +85,54 @@ def suffix_order(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, common
 
 
-def repeats(block: Block, *least: int) -> tuple[np.ndarray, ...]:
-    """For each text: words that repeats of so many words or more cover, for each number of least, and the longest repeat's words."""
-    text = block.doc_of_word()
-    order, common = suffix_order(block.word_hash, text)
-    reach = np.zeros(len(text), dtype=np.int64)
+def reach(block: Block) -> np.ndarray:
+    """For each word of a block the longest run of words from it on that comes again in its text."""
+    order, common = suffix_order(block.word, block.doc_of_word())
+    out = np.zeros(len(order), dtype=np.int64)
     if len(order):
-        reach[order] = np.maximum(common, np.append(common[1:], 0))
-    inside = []
-    for n in least:
-        long = np.flatnonzero(reach >= n)
-        inside.append(per_text(covered(long, reach[long], len(text)), block.first))
-    longest = np.zeros(len(block.first) - 1, dtype=np.int64)
-    np.maximum.at(longest, text, reach)
-    return *inside, longest
-
-
-def base_counts(block: Block, window: int) -> dict[str, np.ndarray]:
-    data, first = block.data, block.first
-    n_bytes = len(data)
-    in_word = np.zeros(n_bytes + 1, dtype=np.int8)
+        out[order] = np.maximum(common, np.append(common[1:], 0))
+    return out
+
+
+def within(block: Block, reaches: np.ndarray, least: int, most: int | None = None) -> np.ndarray:
+    """For each text the words in repeats of at least so many words, of which each is cut to most words."""
+    long = np.flatnonzero(reaches >= least)
+    return per_text(covered(long, reaches[long] if most is None else np.minimum(reaches[long], most), len(reaches)), block.first)
+
+
+def repeated_lines(block: Block) -> np.ndarray:
+    """For each text the lines with a word that are equal to an earlier one of it."""
+    data, first, n_texts = block.data, block.first, len(block.first) - 1
+    cuts = np.flatnonzero(data == 0x0A)
+    # lines begin where a text does and after line feeds
+    owner = np.concatenate([np.arange(n_texts), np.searchsorted(block.text_start, cuts, side="right") - 1])
+    starts = np.concatenate([block.text_start[:-1], cuts + 1])
+    by = np.lexsort((starts, owner))
+    starts, owner = starts[by], owner[by]
+    ends = np.append(starts[1:] - 1, len(data))
+    last = np.append(owner[1:] != owner[:-1], True)
+    ends[last] = block.text_start[owner[last] + 1]
+    wordy = np.searchsorted(block.word_start, ends) > np.searchsorted(block.word_start, starts)
+    line = strings(data[data != 0x0A], ends - starts).dictionary_encode().indices.to_numpy().astype(np.int64)[wordy]
+    owner = owner[wordy]
+    distinct = np.unique(number(owner * (line.max(initial=0) + 1) + line), return_index=True)[1]
+    return np.bincount(owner, minlength=n_texts) - np.bincount(owner[distinct], minlength=n_texts)
+
+
+def base_counts(block: Block) -> dict[str, np.ndarray]:
+    data = block.data
+    in_word = np.zeros(len(data) + 1, dtype=np.int8)
     in_word[block.word_start] += 1
     np.subtract.at(in_word, block.word_end, 1)
     in_word = np.cumsum(in_word[:-1], dtype=np.int8).astype(bool)
     symbol = np.zeros(256, dtype=bool)
     symbol[list(SYMBOLS)] = True
     out = {
-        "n_words": np.diff(first),
+        "n_words": np.diff(block.first),
         "word_chars": per_text(in_word & ((data & 0xC0) != 0x80), block.text_start),
         "n_symbols": per_text(symbol[data], block.text_start),
+        "n_dup_lines": repeated_lines(block),
     }
-    text = block.doc_of_word()
-    at, hashes = block.windows(window)
-    # repeated windows, per text
-    by = np.lexsort((hashes, text[at]))
-    same = np.zeros(len(by) + 1, dtype=bool)
-    same[1:-1] = (hashes[by][1:] == hashes[by][:-1]) & (text[at[by]][1:] == text[at[by]][:-1])
-    twice = at[by[same[:-1] | same[1:]]]
-    out["n_repeat_words"] = per_text(covered(twice, window, len(text)), first)
-    # lines begin where a text does and after line feeds; blank ones are no lines here
-    cuts = np.flatnonzero(data == 0x0A)
-    owner = np.concatenate([np.arange(len(first) - 1), np.searchsorted(block.text_start, cuts, side="right") - 1])
-    starts = np.concatenate([block.text_start[:-1], cuts + 1])
-    by = np.lexsort((starts, owner))
-    starts, line_text = starts[by], owner[by]
-    ends = np.append(starts[1:] - 1, n_bytes)
-    last = np.append(line_text[1:] != line_text[:-1], True)
-    ends[last] = block.text_start[line_text[last] + 1]
-    wordy = np.searchsorted(block.word_start, ends) > np.searchsorted(block.word_start, starts)
-    starts, ends, line_text = starts[wordy], ends[wordy], line_text[wordy]
-    hashes = between(block.sums, starts, ends)
-    by = np.lexsort((hashes, line_text))
-    again = (hashes[by][1:] == hashes[by][:-1]) & (line_text[by][1:] == line_text[by][:-1])
-    out["n_dup_lines"] = np.bincount(line_text[by][1:][again], minlength=len(first) - 1)
     return {k: v.astype(np.int64) for k, v in out.items()}
 
 
@@ -150,10 +146,13 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", rule
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
-                counts = base_counts(block, rules.window)
+                counts, reaches = base_counts(block), reach(block)
                 words = counts["n_words"]
+                counts["n_repeat_words"] = within(block, reaches, rules.window, rules.window)
                 failed = (words < rules.min_words) | (100 * counts["n_repeat_words"] > rules.max_repeat_percent * words)
-                inside, copied, longest = repeats(block, rules.min_repeat, rules.min_copy)
+                inside, copied = within(block, reaches, rules.min_repeat), within(block, reaches, rules.min_copy)
+                longest = np.zeros(len(words), dtype=np.int64)
+                np.maximum.at(longest, block.doc_of_word(), reaches)
                 kept = ~failed & (inside <= rules.max_covered * words) & (copied <= rules.max_copied * words) & (longest <= rules.max_longest)
                 columns = [counts[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                 i, j = block.rows

@@ -3,11 +3,12 @@
 Streaming every document against the automaton of every reference shard is quadratic in the corpus, so documents only
 meet the shards that can match them:
 
-1. Documents with equal words are one class; all but its smallest doc_id lose all their windows at once.
+1. Documents with equal words (by SHA-256) are one class; all but its smallest doc_id lose all their windows at once.
 2. Of each window of ``length`` words the ``gram``-word sequence with the smallest hash is its anchor. Equal windows have
    equal anchors, so only windows whose anchor two classes share can repeat.
-3. Hashes of those windows are aggregated to the smallest doc_id that has each: its holder. Runs of windows that a
-   document holds for others are the reference; it has every repeated window once, and is cut into shards by holder.
+3. Hashes of those windows are aggregated to the smallest doc_id that has each: its holder, and where it has it. Runs of
+   windows that a document holds for others are the reference; it has every repeated window once. Documents are cut into
+   pieces of ``reference`` windows, and pieces are dealt to shards, so a long document is in many of them.
 4. In each shard a suffix automaton is built over the reference's words, each state marked with the smallest doc_id that
    ends there. It is sent to as many groups as the shard's probes need, and the other documents' runs stream through it:
    wherever the longest match reaches ``length`` words of a smaller doc_id, the window is removed. Matches are on the words
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotelens.llm.skew import join_counted
 from quotelens.llm.store import materialize, release
-from quotelens.llm.words import Block, between, blocks, covered, running
+from quotelens.llm.words import Block, blocks, covered, hashes_of_runs
 
-#: A null doc_id counts as larger than all others.
-LAST = (1 << 63) - 1
+#: An owner after all documents.
+NOBODY = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,7 @@ class SuffixAutomaton:
 
     def __init__(self) -> None:
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.owner = [-1], [0], [LAST + 1]
+        self.link, self.length, self.owner = [-1], [0], [NOBODY]
         self._breaks = 0
 
     def _extend(self, last: int, symbol: int, owner: int) -> int:
@@ -70,7 +72,7 @@ class SuffixAutomaton:
                 nexts.append(nexts[q].copy())
                 length.append(length[p] + 1)
                 link.append(link[q])
-                self.owner.append(LAST + 1)
+                self.owner.append(NOBODY)
                 while p != -1 and nexts[p].get(symbol) == q:
                     nexts[p][symbol] = copy
                     p = link[p]
@@ -82,7 +84,7 @@ class SuffixAutomaton:
         for symbol in symbols:
             last = self._extend(last, symbol, owner)
         self._breaks -= 1
-        return self._extend(last, self._breaks - 1, LAST + 1)
+        return self._extend(last, self._breaks - 1, NOBODY)
 
     def finish(self) -> None:
         """Hand each state's owner down to the suffixes it ends with."""
@@ -117,9 +119,7 @@ def anchors_of(block: Block, i: int, limits: Limits) -> np.ndarray:
     first, end = block.first[i], block.first[i + 1]
     if end - first < limits.length:
         return np.zeros(0, dtype=np.uint64)
-    sums = running(block.word_hash[first:end])
-    at = np.arange(end - first - limits.gram + 1)
-    best = between(sums, at, at + limits.gram)
+    best = hashes_of_runs(block.word_hash[first:end, 0], limits.gram)
     # minima over windows of any width by doubling
     width, want = 1, limits.length - limits.gram + 1
     while 2 * width <= want:
@@ -128,21 +128,13 @@ def anchors_of(block: Block, i: int, limits: Limits) -> np.ndarray:
     return np.minimum(best[: len(best) - (want - width)], best[want - width :]) if want > width else best
 
 
-def _sha(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+def _sha(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
 
 
-def _class(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the words of each text."""
-    sums = running(block.word_hash)
-    other = running(block.word_hash ^ (block.word_hash >> np.uint64(29)) * np.uint64(0xA24BAED4963EE407))
-    return between(sums, block.first[:-1], block.first[1:]).view(np.int64), between(other, block.first[:-1], block.first[1:]).view(np.int64)
-
-
-def _lists(values: list[np.ndarray]) -> pa.Array:
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    flat = np.concatenate(values) if values else np.zeros(0, dtype=np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else [], kind))
 
 
 def _scan(limits: Limits):
@@ -150,33 +142,32 @@ def _scan(limits: Limits):
         for batch in batches:
             for block in blocks(batch.column(1)):
                 i, j = block.rows
-                class1, class2 = _class(block)
-                words = [block.text(k).split() for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(block.first).astype(np.int64)), pa.array(class1), pa.array(class2), pa.array([_sha(w) for w in words]), _lists([np.unique(anchors_of(block, k, limits)) for k in range(j - i)])],
-                    names=["doc", "n_words", "class1", "class2", "sha", "anchors"],
-                )
+                anchors = [np.unique(anchors_of(block, k, limits)).view(np.int64) for k in range(j - i)]
+                columns = [pa.array(np.diff(block.first).astype(np.int64)), pa.array([_sha(block.words_of(k)) for k in range(j - i)], pa.binary()), _lists(anchors, pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *columns], names=["doc", "mark", "n_words", "class", "anchors"])
 
     return scan
 
 
 def _windows(limits: Limits):
-    """Of documents with the anchors they share: windows that can repeat."""
+    """Of documents with the anchors they share: the windows that can repeat, each once with its places."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(2)):
-                hashes, docs, classes, places = [], [], [], []
+                hashes, places, row = [], [], []
                 for k in range(*block.rows):
-                    shared = np.asarray(batch.column(3)[k].values, dtype=np.int64).view(np.uint64)
                     i = k - block.rows[0]
+                    shared = np.asarray(batch.column(3)[k].values, dtype=np.int64).view(np.uint64)
                     at = np.flatnonzero(np.isin(anchors_of(block, i, limits), shared))
-                    sums = running(block.word_hash[block.first[i] : block.first[i + 1]])
-                    hashes.append(between(sums, at, at + limits.length).view(np.int64))
-                    places.append(at.astype(np.int32))
-                    docs.append(np.full(len(at), batch.column(0)[k].as_py(), dtype=np.int64))
-                    classes.append(np.full(len(at), batch.column(1)[k].as_py(), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, docs, classes, places)], names=["window", "doc", "class1", "place"])
+                    found = hashes_of_runs(block.word_hash[block.first[i] : block.first[i + 1], 0], limits.length)[at]
+                    order = np.lexsort((at, found))
+                    kinds, starts = np.unique(found[order], return_index=True)
+                    hashes.append(kinds.view(np.int64))
+                    places += np.split(at[order].astype(np.int32), starts[1:]) if len(kinds) else []
+                    row.append(np.full(len(kinds), k))
+                take = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column(0).take(take), batch.column(1).take(take), _lists(places, pa.int32())], names=["window", "doc", "class", "places"])
 
     return windows
 
@@ -186,60 +177,63 @@ def _cut(limits: Limits):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                words = (row["text"] or "").encode().split()
-                runs = row["runs"]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc": [row["doc"]] * len(runs),
-                        "class1": [row["class1"]] * len(runs),
-                        "holder": [r["holder"] for r in runs],
-                        "start": [r["start"] for r in runs],
-                        "words": [b" ".join(words[r["start"] : r["start"] + r["windows"] + limits.length - 1]) for r in runs],
-                    }
-                )
+            for k in range(len(batch)):
+                words = (batch.column(2)[k].as_py() or "").encode().split()
+                runs = batch.column(3)[k].as_py()
+                of = pa.array([k] * len(runs))
+                texts = [b" ".join(words[r["start"] : r["start"] + r["windows"] + limits.length - 1]) for r in runs]
+                columns = [pa.array([r[c] for r in runs], kind) for c, kind in (("holder", batch.schema.field(0).type), ("piece", pa.int64()), ("is_reference", pa.bool_()), ("start", pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *columns, pa.array(texts, pa.binary())], names=["doc", "class", "holder", "piece", "is_reference", "start", "words"])
 
     return cut
 
 
 def _match(limits: Limits):
-    """The windows of a group's probes that its reference holds under a smaller doc_id."""
+    """The windows of a group's probes that its reference holds under a smaller key."""
 
     def match(group: pa.Table) -> pa.Table:
         vocabulary: dict[bytes, int] = {}
         automaton, last = SuffixAutomaton(), 0
-        docs, classes, starts = [], [], []
-        reference = group.filter(group["is_reference"]).sort_by([("doc", "ascending"), ("class1", "ascending"), ("start", "ascending")])
+        rank = {d: i for i, d in enumerate(sorted(set(group["doc"].to_pylist()) - {None}))}
+        rank[None] = NOBODY - 1
+        reference = group.filter(group["is_reference"]).sort_by([("doc", "ascending"), ("class", "ascending"), ("start", "ascending")])
         for doc, words in zip(reference["doc"].to_pylist(), reference["words"].to_pylist(), strict=True):
-            last = automaton.add([vocabulary.setdefault(w, len(vocabulary)) for w in words.split()], doc, last)
+            last = automaton.add([vocabulary.setdefault(w, len(vocabulary)) for w in words.split()], rank[doc], last)
         automaton.finish()
         probes = group.filter(pa.compute.invert(group["is_reference"]))
-        for doc, class1, start, words in zip(*(probes[c].to_pylist() for c in ("doc", "class1", "start", "words")), strict=True):
-            found = automaton.held([vocabulary.get(w, -1) for w in words.split()], limits.length, doc)
-            docs += [doc] * len(found)
-            classes += [class1] * len(found)
-            starts += [start + i for i in found]
-        # windows in a row become one span
-        order = np.lexsort((starts, classes, docs)) if docs else np.zeros(0, dtype=np.int64)
-        d, c, s = (np.asarray(x, dtype=np.int64)[order] for x in (docs, classes, starts))
-        new = np.ones(len(d), dtype=bool)
-        new[1:] = (d[1:] != d[:-1]) | (c[1:] != c[:-1]) | (s[1:] > s[:-1] + 1)
-        end = np.append(new[1:], True) if len(d) else new
-        return pa.table({"doc": d[new], "class1": c[new], "start": s[new], "length": s[end] - s[new] + limits.length})
+        row, starts, lengths = [], [], []
+        for k, (doc, start, words) in enumerate(zip(*(probes[c].to_pylist() for c in ("doc", "start", "words")), strict=True)):
+            # windows in a row become one span
+            found = np.array(automaton.held([vocabulary.get(w, -1) for w in words.split()], limits.length, rank[doc]), dtype=np.int64)
+            new = np.flatnonzero(np.append(True, found[1:] > found[:-1] + 1)) if len(found) else found
+            ends = np.append(new[1:], len(found)) - 1 if len(found) else found
+            row += [k] * len(new)
+            starts += (start + found[new]).tolist()
+            lengths += (found[ends] - found[new] + limits.length).tolist()
+        of = pa.array(row, pa.int64())
+        return pa.table({"doc": probes["doc"].take(of), "class": probes["class"].take(of), "start": pa.array(starts, pa.int64()), "length": pa.array(lengths, pa.int64())})
 
     return match
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        removed, shas, kept_texts = [], [], []
+        removed, shas = [], []
         for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             words = (text or "").encode().split()
             gone = covered(np.array([s["start"] for s in spans]), np.array([s["length"] for s in spans]), len(words))
-            kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
             removed.append(int(gone.sum()))
-            shas.append(_sha(kept))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["doc", "class1", "n_removed", "sha_rest"])
+            shas.append(_sha([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(shas, pa.binary())], names=["doc", "class", "n_removed", "rest"])
+
+
+_OF = ["doc", "class"]
+
+
+def _of_one(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """a joined with b by document and class; a null key is a key."""
+    other = b.withColumnsRenamed({"doc": "_d", "class": "_c"})
+    return a.join(other, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("class") == F.col("_c")), how).drop("_d", "_c")
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", limits: Limits = Limits()) -> DataFrame:
@@ -247,49 +241,54 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", li
 
     A word goes if a window of limits.length words around it also starts in a document with a smaller key. Null and empty
     texts have no words; texts under limits.length words lose none. Rows with equal keys don't remove from each other. A
-    null key counts as the largest. Words of the result are those of the input, unchanged and in order.
+    null key counts as larger than all others. Keys are numbers or strings. Words of the result are those of the input,
+    unchanged and in order.
     """
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
-    scanned = materialize(rows.mapInArrow(_scan(limits), "doc long, n_words long, class1 long, class2 long, sha string, anchors array<long>"), "scan")
-    classes = scanned.groupBy("class1", "class2").agg(F.min("doc").alias("keeper"))
-    shared = scanned.select("class1", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("class1").alias("a"), F.max("class1").alias("b")).where("a < b")
-    keepers = scanned.where(F.size("anchors") > 0).join(classes, ["class1", "class2"]).where("doc = keeper")
-    partners = keepers.select("doc", "class1", F.explode("anchors").alias("anchor")).join(shared.select("anchor"), "anchor")
-    partners = partners.groupBy("doc", "class1").agg(F.collect_set("anchor").alias("anchors"))
+    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    kind = rows.schema["doc"].dataType.simpleString()
+    marked = rows.withColumn("mark", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    scanned = materialize(marked.mapInArrow(_scan(limits), f"doc {kind}, mark string, n_words long, class binary, anchors array<long>"), "scan")
+    copies = materialize(scanned.groupBy("class").agg(F.min("doc").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select("class", "keeper"), "copies")
+    judged = scanned.join(copies, "class", "left").withColumn("later", F.col("keeper").isNotNull() & (F.col("doc").isNull() | (F.col("doc") > F.col("keeper"))))
     # a class whose keeper comes in several rows is one document
-    candidates = materialize(rows.join(partners, "doc").select("doc", "class1", "text", "anchors").mapInArrow(_same_class, "doc long, class1 long, text string, anchors array<long>").dropDuplicates(["doc", "class1"]), "candidates")
-    windows = materialize(candidates.mapInArrow(_windows(limits), "window long, doc long, class1 long, place int"), "windows")
-    holders = windows.groupBy("window").agg(F.min("doc").alias("holder"), F.max("doc").alias("other")).where("holder < other").select("window", "holder")
-    held = windows.join(holders, "window").select("doc", "class1", "holder", "place").distinct()
-    in_order = Window.partitionBy("doc", "class1").orderBy("holder", "place")
-    runs = held.withColumn("run", F.col("place") - F.row_number().over(in_order)).groupBy("doc", "class1", "holder", "run").agg(F.min("place").alias("start"), F.count("*").cast("int").alias("windows"))
-    runs = materialize(runs.groupBy("doc", "class1").agg(F.collect_list(F.struct("holder", "start", "windows")).alias("runs")), "runs")
-    pieces = materialize(candidates.select("doc", "class1", "text").join(runs, ["doc", "class1"]).mapInArrow(_cut(limits), "doc long, class1 long, holder long, start long, words binary"), "pieces")
-    sized = pieces.withColumn("is_reference", F.col("doc") == F.col("holder")).withColumn("n", F.length("words"))
+    keepers = materialize(judged.where(~F.col("later") & (F.size("anchors") > 0)).select(*_OF, "mark", "anchors").dropDuplicates(_OF), "keepers")
+    anchors = keepers.select(*_OF, "mark", F.explode("anchors").alias("anchor"))
+    shared = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    partners = join_counted(anchors, shared, "anchor").groupBy(*_OF, "mark").agg(F.collect_set("anchor").alias("anchors"))
+    # rows of equal key and text are one document again
+    wanted = partners.select(F.col("doc").alias("_d"), F.col("mark").alias("_m"), "class", "anchors")
+    candidates = marked.join(wanted, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m"))).select(*_OF, "text", "anchors").dropDuplicates(_OF)
+    candidates = materialize(candidates, "candidates")
+    windows = materialize(candidates.mapInArrow(_windows(limits), f"window long, doc {kind}, class binary, places array<int>"), "windows")
+    first = F.col("places")[0]
+    holders = windows.groupBy("window").agg(F.min("doc").alias("holder"), F.max("doc").alias("other"), F.count_if(F.col("doc").isNull()).alias("unnamed"), F.min_by(first, "doc").alias("held_at"), F.count("*").alias("n"))
+    holders = materialize(holders.where("holder < other or (holder is not null and unnamed > 0)").select("window", "holder", "held_at", "n"), "holders")
+    met = join_counted(windows, holders, "window").withColumn("is_reference", F.col("doc").eqNullSafe(F.col("holder")))
+    met = met.where(~F.col("is_reference") | (first == F.col("held_at"))).withColumn("piece", F.floor(F.col("held_at") / limits.reference))
+    met = met.select(*_OF, "holder", "piece", "is_reference", F.explode(F.when(F.col("is_reference"), F.slice("places", 1, 1)).otherwise(F.col("places"))).alias("place"))
+    # places in a row are one run
+    group = [*_OF, "holder", "piece", "is_reference"]
+    in_order = Window.partitionBy(*_OF).orderBy("holder", "piece", "is_reference", "place")
+    runs = met.withColumn("run", F.col("place") - F.row_number().over(in_order)).groupBy(*group, "run").agg(F.min("place").cast("long").alias("start"), F.count("*").alias("windows"))
+    runs = materialize(runs.groupBy(*_OF).agg(F.collect_list(F.struct("holder", "piece", "is_reference", "start", "windows")).alias("runs")), "runs")
+    schema = f"doc {kind}, class binary, holder {kind}, piece long, is_reference boolean, start long, words binary"
+    pieces = materialize(_of_one(candidates.select(*_OF, "text"), runs).mapInArrow(_cut(limits), schema), "pieces")
+    sized = pieces.withColumn("n", F.length("words"))
     # bytes stand for words here: seven to a word
     total = sized.where("is_reference").agg(F.sum("n")).first()[0] or 0
-    sized = sized.withColumn("shard", F.pmod(F.xxhash64("holder"), F.lit(1 + total // (7 * limits.reference)))).drop("holder")
-    copies = sized.where("not is_reference").groupBy("shard").agg((1 + F.sum("n") / F.lit(7 * limits.probe)).cast("int").alias("copies"))
-    salted = sized.join(copies, "shard").withColumn("salt", F.explode(F.when(F.col("is_reference"), F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc", "class1"), F.col("copies")).cast("int")))))
-    spans = salted.drop("n", "copies").groupBy("shard", "salt").applyInArrow(_match(limits), "doc long, class1 long, start long, length long")
-    spans = spans.groupBy("doc", "class1").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    cleaned = candidates.select("doc", "class1", "text").join(spans, ["doc", "class1"]).mapInArrow(_keep, "doc long, class1 long, n_removed long, sha_rest string")
+    sized = sized.withColumn("shard", F.pmod(F.xxhash64("holder", "piece"), F.lit(1 + total // (7 * limits.reference)))).drop("holder", "piece")
+    times = sized.where("not is_reference").groupBy("shard").agg((1 + F.sum("n") / F.lit(7 * limits.probe)).cast("int").alias("copies"))
+    one_copy = F.array(F.pmod(F.xxhash64("doc", "class", "start"), F.col("copies")).cast("int"))
+    salted = sized.join(times, "shard").withColumn("salt", F.explode(F.when(F.col("is_reference"), F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(one_copy)))
+    spans = salted.drop("n", "copies").groupBy("shard", "salt").applyInArrow(_match(limits), f"doc {kind}, class binary, start long, length long")
+    spans = spans.groupBy(*_OF).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    cleaned = _of_one(candidates.select(*_OF, "text"), spans).mapInArrow(_keep, f"doc {kind}, class binary, n_removed long, rest binary")
     cleaned = materialize(cleaned, "cleaned")
-    release(candidates, windows, runs, pieces)
-    out = scanned.drop("anchors").join(classes, ["class1", "class2"]).join(cleaned, ["doc", "class1"], "left")
-    whole = (F.col("doc") > F.col("keeper")) & (F.col("n_words") >= limits.length)
-    return out.select(
-        F.nullif(F.col("doc"), F.lit(LAST)).alias(key),
+    release(keepers, shared, candidates, windows, holders, runs, pieces)
+    whole = F.col("later") & (F.col("n_words") >= limits.length)
+    return _of_one(judged.drop("anchors"), cleaned, "left").select(
+        F.col("doc").alias(key),
         "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.lit(_sha([]))).otherwise(F.coalesce("sha_rest", "sha")).alias("kept_sha256"),
+        F.lower(F.hex(F.when(whole, F.lit(_sha([]))).otherwise(F.coalesce("rest", "class")))).alias("kept_sha256"),
     )
-
-
-def _same_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text is of the class they were joined for; keys may repeat with other texts."""
-    for batch in batches:
-        for block in blocks(batch.column(2)):
-            i, j = block.rows
-            part = batch.slice(i, j - i)
-            yield part.filter(pa.array(_class(block)[0] == part.column(1).to_numpy(zero_copy_only=False)))

@@ -1,21 +1,22 @@
-"""Words of many texts at once, as arrays of 64-bit hashes.
+"""Words of many texts at once, as arrays of numbers.
 
 A word is a run of bytes other than space and \\x09 to \\x0D. Texts are handled in blocks of a few MB, whatever the size
-of an Arrow batch; one text is never cut.
+of an Arrow batch; one text is never cut. Within a block a word has a number of its own, so that equality there is exact;
+between blocks it has a 128-bit hash of its bytes. Runs of words are numbered, or hashed, by their halves: a run of 2n
+words is a pair of runs of n, so there is no arithmetic between words that regular sequences could cancel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK = 250_000
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -25,60 +26,78 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(base: int, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006
-    got = cache.get(base)
-    if got is None or len(got) < n:
-        got = np.empty(max(n, BLOCK // 4), dtype=_U)
-        got[0] = 1
-        got[1:] = _U(base)
-        cache[base] = got = np.multiply.accumulate(got)
-    return got[:n]
+def _by_halves(values: np.ndarray, n: int, pair: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """pair() folded over each run of n values, in an order that depends on n alone."""
+    out, done, power, size = None, 0, values, 1
+    while True:
+        if n & size:
+            part = power[done:]
+            out = part if out is None else pair(out[: len(part)], part)
+            done += size
+        if 2 * size > n:
+            return out
+        power = pair(power[:-size], power[size:])
+        size *= 2
 
 
-def running(values: np.ndarray) -> np.ndarray:
-    """Sums over values times powers of a base, from which :func:`between` takes the hash of any range."""
-    out = np.zeros(len(values) + 1, dtype=_U)
-    np.cumsum(values * _powers(_BASE, len(values)), out=out[1:])
-    return out
+def hashes_of_runs(values: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each run of n hashes; equal runs have equal hashes wherever they lie."""
+    if len(values) < n:
+        return np.zeros(0, dtype=_U)
+    return _by_halves(values, n, lambda a, b: mix64(a * _U(0x9E3779B97F4A7C15) + b))
 
 
-def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The hash of values[start:end], alike wherever the range lies."""
-    return mix64((sums[end] - sums[start]) * _powers(_INVERSE, len(sums))[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+def number(values: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on, equal for equal values only."""
+    return pa.array(values).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def numbers_of_runs(values: np.ndarray, n: int) -> np.ndarray:
+    """A number for each run of n numbers, equal for equal runs only."""
+    if len(values) < n:
+        return np.zeros(0, dtype=np.int64)
+    return _by_halves(values, n, lambda a, b: number(a * (b.max() + 1) + b) if len(b) else b)
 
 
-_BYTES = mix64(np.arange(1, 257, dtype=_U))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
+def strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Byte strings of the given lengths that follow one another in data."""
+    offsets = np.zeros(len(lengths) + 1, dtype=np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 @dataclass
 class Block:
-    """Texts rows[0]..rows[1] of a batch. word_start and word_end: bytes in data; first: the first word of each text, and the end."""
+    """Texts rows[0]..rows[1] of a batch. word_start and word_end: bytes in data; first: the first word of each text, and the end.
+
+    word: a number for each word, equal for equal words of the block only; word_hash: two 64-bit hashes of each, in columns.
+    """
 
     rows: tuple[int, int]
     data: np.ndarray
     text_start: np.ndarray
     word_start: np.ndarray
     word_end: np.ndarray
+    word: np.ndarray
     word_hash: np.ndarray
     first: np.ndarray
-    sums: np.ndarray
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def windows(self, n: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The first word of each window of n words within one text, and the window's hash."""
+    def places(self, n: int) -> np.ndarray:
+        """The first word of each run of n words within one text."""
         counts = np.maximum(np.diff(self.first) - n + 1, 0)
-        at = np.repeat(self.first[:-1] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        sums = running(self.word_hash if hashes is None else hashes)
-        return at, between(sums, at, at + n)
+        return np.repeat(self.first[:-1] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
-    def text(self, i: int) -> bytes:
-        return self.data[self.text_start[i] : self.text_start[i + 1]].tobytes()
+    def words_of(self, i: int) -> list[bytes]:
+        return self.data[self.text_start[i] : self.text_start[i + 1]].tobytes().split()
 
 
 def blocks(texts: pa.Array, lower: bool = False, size: int = BLOCK) -> Iterator[Block]:
@@ -101,8 +120,10 @@ def blocks(texts: pa.Array, lower: bool = False, size: int = BLOCK) -> Iterator[
         before[1:] = inside[:-1]
         word_start = np.flatnonzero(inside & (~before | edge))
         word_end = np.flatnonzero(before & (~inside | edge))
-        sums = running(_BYTES[data])
-        yield Block((i, j), data, text_start, word_start, word_end, between(sums, word_start, word_end), np.searchsorted(word_start, text_start), sums)
+        coded = strings(data[inside[:-1]], word_end - word_start).dictionary_encode()
+        word = coded.indices.to_numpy().astype(np.int64)
+        known = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist())), dtype="<u8").reshape(-1, 2).astype(_U)
+        yield Block((i, j), data, text_start, word_start, word_end, word, known[word], np.searchsorted(word_start, text_start))
         i = j
 
 
