@@ -2,8 +2,9 @@
 
 Training runs over t from 0 to 1. A source with target T and slope a has the weight schedule ``T * (1 + a * (2t - 1))``,
 whose integral ``T * (t + a * (t*t - t))`` is the number of its words needed until t and ends at T. The words of a source
-are laid out one after another (as often as its target needs); inverting the integral at the words before a document
-gives the document's training position, and sorting all documents by range of position gives the order of training.
+are laid out one after another, and once more if its target needs them again; inverting the integral at the words before a
+document gives the document's training position in each pass, and sorting all of them by range of position gives the
+order of training. So the words of a source that have come until any t are those its schedule asks for, but for one document.
 """
 
 from __future__ import annotations
@@ -54,11 +55,12 @@ def position_at(words: Column, target: Column, slope: Column) -> Column:
 
 
 def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", **shares) -> DataFrame:
-    """What the mix takes of every row: row (a struct of all columns of docs), size, source_size, target, taken, position.
+    """What the mix takes of every row: row (a struct of all columns of docs), size, source_size, target, taken, position, again and position_again.
 
     The rows of a source are laid out in order of a hash of the key; the target's words are taken from the front, once
-    more from the front if it is larger than the source, so the last row may be taken in part. position is null where
-    nothing is taken. A null key or source is a value like others; rows of size 0 take nothing; an empty table gives one.
+    more from the front if it is larger than the source, so the last row may be taken in part. taken counts the words of both passes,
+    again those of the second one; position and position_again are where they come, null where nothing is
+    taken. A null key or source is a value like others; rows of size 0 take nothing; an empty table gives one.
     Running sums are made within parts of a source, and over the sums of parts, so no task holds a whole source.
     """
     order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
@@ -74,18 +76,25 @@ def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "sourc
     firsts = firsts.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), "_first", "source_size", "slope", "target")
     laid = laid.join(firsts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
     start, want = F.col("_first") + F.col("_within"), F.round("target").cast("long")
-    once = lambda at: F.greatest(F.lit(0), F.least(F.col("size"), want - at))
-    taken = (once(start) + once(start + F.col("source_size"))).cast("long")
-    laid = laid.withColumn("taken", taken).withColumn("position", F.when(F.col("taken") > 0, position_at(start, F.col("target"), F.col("slope"))))
-    return laid.select("row", "size", "source_size", "target", "taken", "position")
+    once = lambda at: F.greatest(F.lit(0), F.least(F.col("size"), want - at)).cast("long")
+    next_start = start + F.col("source_size")
+    at = lambda words, n: F.when(F.col(n) > 0, position_at(words, F.col("target"), F.col("slope")))
+    laid = laid.withColumn("again", once(next_start)).withColumn("taken", once(start) + F.col("again"))
+    return laid.withColumn("position", at(start, "taken")).withColumn("position_again", at(next_start, "again")).select("row", "size", "source_size", "target", "taken", "position", "again", "position_again")
 
 
-def in_training_order(mixed: DataFrame, key: str = "row.doc_id") -> DataFrame:
-    """Range-sort by position: parts of the output follow one another in training; rows that aren't taken come last."""
-    return mixed.orderBy(F.col("position").asc_nulls_last(), key)
+def passes(mixed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """row and position of every use of a document, in order of training; a row's text is cut to the words that are taken.
+
+    A range sort: parts of the output follow one another in training. Documents that aren't taken have no use.
+    """
+    first = F.struct(F.col("position"), (F.col("taken") - F.col("again")).alias("words"))
+    uses = F.explode(F.filter(F.array(first, F.struct(F.col("position_again").alias("position"), F.col("again").alias("words"))), lambda u: u["words"] > 0))
+    used = mixed.select("row", "size", uses.alias("use"))
+    cut = F.when(F.col("use.words") < F.col("size"), first_words(F.col(f"row.{text}"), F.col("use.words"))).otherwise(F.col(f"row.{text}"))
+    return used.select(F.col("row").withField(text, cut).alias("row"), F.col("use.position").alias("position")).orderBy("position", f"row.{key}")
 
 
-def passes(mixed: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as it is taken in whole or in part: those that aren't taken go, repeated ones come again."""
-    times = F.when(F.col("taken") > F.col("size"), 2).when(F.col("taken") > 0, 1).otherwise(0)
-    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), n.cast("int")), "")

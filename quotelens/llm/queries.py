@@ -42,10 +42,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document, with its place in training in the first pass over its source, and in the second one."""
     docs = _table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs.select("doc_id", "source", "text"), mixing.words_in(F.col("text")))
-    columns = ("size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
-    return mixing.in_training_order(mixed.select("row.doc_id", *columns), "doc_id")
+    columns = ("size", "source_size", "target", "taken", "again", *(F.round(c, 9).alias(c) for c in ("position", "position_again")))
+    return mixed.select("row.doc_id", *columns).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,12 +94,16 @@ laid AS (
          coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 cut AS (
-  SELECT *, CAST(greatest(0, least(size, want - start)) + greatest(0, least(size, want - start - source_size)) AS BIGINT) AS taken
-  FROM laid)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken,
-       CASE WHEN taken > 0 THEN abs(round(CASE WHEN slope = 0 THEN start / target
-            ELSE (sqrt((1.0::DOUBLE - slope) * (1.0::DOUBLE - slope) + 4.0::DOUBLE * slope * (start / target)) - (1.0::DOUBLE - slope)) / (2.0::DOUBLE * slope) END, 9)) END AS position
-FROM cut
+  SELECT *, CAST(greatest(0, least(size, want - start)) AS BIGINT) AS once, CAST(greatest(0, least(size, want - start - source_size)) AS BIGINT) AS again
+  FROM laid),
+uses AS (
+  SELECT *, start / target AS x1, (start + source_size) / target AS x2 FROM cut)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, once + again AS taken, again,
+       CASE WHEN once > 0 THEN abs(round(CASE WHEN slope = 0 THEN x1
+            ELSE (sqrt((1.0::DOUBLE - slope) * (1.0::DOUBLE - slope) + 4.0::DOUBLE * slope * x1) - (1.0::DOUBLE - slope)) / (2.0::DOUBLE * slope) END, 9)) END AS position,
+       CASE WHEN again > 0 THEN round(CASE WHEN slope = 0 THEN x2
+            ELSE (sqrt((1.0::DOUBLE - slope) * (1.0::DOUBLE - slope) + 4.0::DOUBLE * slope * x2) - (1.0::DOUBLE - slope)) / (2.0::DOUBLE * slope) END, 9) END AS position_again
+FROM uses
 """
 
 QUERIES = {

@@ -81,21 +81,22 @@ def with_slots(df: DataFrame, shard: str, key: str, order: list[str], parts: int
     return slots.withColumn("slot", (F.col("_first") + F.col("_row") - 1).cast("long")).drop("_part", "_row", "_first")
 
 
-def shard_rows(docs: DataFrame, tree: HashTree, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_rows(docs: DataFrame, tree: HashTree, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """Place every row in a shard of tree by the law ``key``.
 
     Returns key, size (UTF-8 bytes of the text plus 8; a null text has none), text_crc32, law, shard, slot and
-    grown_shard (where the row would be with one more shard). Columns of docs besides key and text don't matter and
-    are not read. A null text has the checksum of an empty one. Rows with equal keys share a shard; each has its own slot.
+    grown_shard (where the row would be with one more shard); and all other columns of docs before them if whole. Else
+    other columns don't matter and are not read. A null text has the checksum of an empty one. Rows with equal keys share a
+    shard; each has its own slot. With whole, columns of docs that have the name of a new one are left out.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
-        F.col(key),
-        (F.octet_length(body) + F.lit(8)).cast("long").alias("size"),
-        F.crc32(body.cast("binary")).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        shard_of(F.col(key), tree).alias("shard"),
-        shard_of(F.col(key), tree.grow()).alias("grown_shard"),
-    )
-    out = with_slots(rows, "shard", key, [key, "size", "text_crc32"])
-    return out.select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    new = {
+        "size": (F.octet_length(body) + F.lit(8)).cast("long"),
+        "text_crc32": F.crc32(body.cast("binary")),
+        "law": F.lit("key"),
+        "shard": shard_of(F.col(key), tree),
+        "grown_shard": shard_of(F.col(key), tree.grow()),
+    }
+    old = [c for c in docs.columns if c == key or whole and c not in (*new, "slot")]
+    out = with_slots(docs.select(*[F.col(f"`{c}`") for c in old], *[column.alias(name) for name, column in new.items()]), "shard", key, [key, "size", "text_crc32"])
+    return out.select(*[F.col(f"`{c}`") for c in old], "size", "text_crc32", "law", "shard", "slot", "grown_shard")

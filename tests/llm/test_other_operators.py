@@ -81,22 +81,41 @@ def test_mix_meets_targets(spark, odd, empty):
     rows = [(" ".join("w" * rng.randint(0, 40)), i, rng.choice(["a", "a", "a", "b", "é", "z", None]), 0) for i in range(500)] + ODD
     docs = spark.createDataFrame(rows, SCHEMA)
     mixed = mixing.mix(docs, mixing.words_in(F.col("text")))
-    got = mixed.select("row.*", F.col("size").alias("words"), "source_size", "target", "taken", "position").collect()
+    got = mixed.select("row.*", F.col("size").alias("words"), "source_size", "target", "taken", "again", "position", "position_again").collect()
     by, target = brute_mix(rows)
     assert len(got) == len(rows)
     taken = Counter()
     for r in got:
-        assert r.source_size == by[r.source] and math.isclose(r.target, target[r.source]) and 0 <= r.taken <= 2 * r.words
+        assert r.source_size == by[r.source] and math.isclose(r.target, target[r.source]) and 0 <= r.again <= r.words and 0 <= r.taken - r.again <= r.words
         assert (r.position is None) == (r.taken == 0) and (r.position is None or 0 <= r.position < 1)
+        assert (r.position_again is None) == (r.again == 0) and (r.position_again is None or r.position < r.position_again < 1)
         taken[r.source] += r.taken
     for s in by:
         assert abs(taken[s] - target[s]) <= 1
-    assert Counter(r.doc_id for r in mixing.passes(mixed).collect()) == Counter({k: n for k, n in sum((Counter({r.doc_id: -(-r.taken // r.words) if r.taken else 0}) for r in got), Counter()).items() if n})
-    order = [r.position for r in mixing.in_training_order(mixed).collect() if r.position is not None]
-    assert order == sorted(order)
+    # until any t, a source gives the words that its schedule asks for, but for one document
+    slope = {s: (0.5, 0.0, -0.5)[i % 3] for i, s in enumerate(sorted(by, key=lambda s: (s is None, s or "")))}
+    uses = [(s, p, n) for r in got for s, p, n in ((r.source, r.position, r.taken - r.again), (r.source, r.position_again, r.again)) if n]
+    assert len({s for s in by if target[s] > by[s]}) > 1
+    for t in (0.1, 0.25, 0.5, 0.75, 0.9, 1.0):
+        for s in by:
+            asked = target[s] * (t + slope[s] * (t * t - t))
+            given = sum(n for u, p, n in uses if u == s and p < t)
+            assert -1 <= given - asked <= 1 + max(n for u, _, n in uses if u == s), (t, s)
+    # every use is a row, in order of training, cut to its words
+    placed = mixing.passes(mixed).select("row.*", "position").collect()
+    assert [r.position for r in placed] == sorted(p for _, p, _ in uses)
+    counts = Counter((r.source, r.position, len(re.findall(WORD, r.text))) for r in placed)
+    assert counts == Counter(uses) and all(any((r.text or "").startswith(p.text) for r in rows_of[p.doc_id]) for rows_of in [by_id(got)] for p in placed)
     assert mixing.mix(empty, mixing.words_in(F.col("text"))).collect() == []
 
 
+def by_id(rows):
+    found = {}
+    for r in rows:
+        found.setdefault(r.doc_id, []).append(r)
+    return found
+
+
 def test_quality_rules_on_odd_rows(spark, odd, empty):
     got = {(r.doc_id, r.n_words, r.base_failed, r.kept) for r in quality_rules.quality_rules(odd).collect()}
     assert got == {(1, 2, True, False), (2, 0, True, False), (3, 0, True, False), (None, 30000, True, False), (9, 3, True, False)}

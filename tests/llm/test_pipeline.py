@@ -21,6 +21,7 @@ def test_stages_in_order(spark, tmp_path):
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     left = {i: t for i, t, *_ in rows}
+    texts = {i: [t or "" for j, t, *_ in rows if j == i] for i in left}
     outs = []
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path)).cache()
@@ -35,8 +36,11 @@ def test_stages_in_order(spark, tmp_path):
     words = Counter()
     for r in outs[3]:
         words[r["source"]] += len(r["text"].split())
-    assert all(t - 1 <= words[s] <= t + 160 for s, t in target.items())  # the last row of a source is taken in part
-    assert Counter(r["doc_id"] for r in outs[4]) == Counter(r["doc_id"] for r in outs[3]) and {r["law"] for r in outs[4]} == {"key"}
+    assert all(abs(words[s] - t) <= 1 for s, t in target.items())  # the last row of a source is cut
+    assert all(r["n_chars"] == len(r["text"]) and any(left_text.startswith(r["text"]) for left_text in texts[r["doc_id"]]) for r in outs[3])
+    columns = ("doc_id", "text", "lang", "source", "n_chars")
+    rows_of = lambda out: Counter(tuple(r[c] for c in columns) for r in out)
+    assert rows_of(outs[4]) == rows_of(outs[3]) and {r["law"] for r in outs[4]} == {"key"}
     assert Counter(map(str, corpus_pipeline.run(spark, str(tmp_path)).drop("slot").collect())) == Counter(map(str, docs.drop("slot").collect()))
 
 
