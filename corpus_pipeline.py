@@ -40,13 +40,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them, in whole or in part: none, one or two rows; in order of training."""
-    mixed = mixing.mix(docs, mixing.words_in(F.col("text")))
-    return mixing.passes(mixing.in_training_order(mixed))
+    """Documents come as often as the mix takes them, none, one or two times, each at its place in training; one of a source may be cut."""
+    uses = mixing.passes(mixing.mix(docs, mixing.words_in(F.col("text"))))
+    return uses.select("row.*").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard_rows(docs, sharding.HashTree.uniform(3, 4, 2))
+    """The documents themselves, with shard and slot."""
+    return sharding.shard_rows(docs, sharding.HashTree.uniform(3, 4, 2), whole=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
