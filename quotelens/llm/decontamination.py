@@ -1,15 +1,15 @@
 """Benchmark decontamination by canonical templates.
 
-Texts are cut into words of letters and into numbers; all else only separates. A number becomes the placeholder ``#n``, a
-unit after a number ``#u``, and a name, that is a capitalised word (not in capitals throughout) inside a sentence, ``#p``;
-other words are lower-cased. Windows of the canonical words are joined by hash, so a question with other numbers and
-names has the windows of the original. Within a window a placeholder carries the place of its value's first use there, so
+Texts are cut into words of letters and into numbers; all else only separates. A number, in digits or as a word, becomes the
+placeholder ``#n``, a unit after a number ``#u``, and a name, that is any capitalised word (not in capitals throughout), ``#p``;
+other words are lower-cased. The first word of a sentence counts as a name too, since it can be one. Windows of the
+canonical words are joined by hash, so a question with other numbers and names has the windows of the original. Within a window a placeholder carries the place of its value's first use there, so
 two uses of one value match only two uses of one value. Matched windows of a document and an item are then gathered by
 their distance along both texts, and an alignment in which a value stands for two values (of either side) is dropped.
 A document is contaminated by an item if consistent alignments cover at least ``cover`` of the item's windows.
 
 A window with few literal words is weak: it fits many texts. It counts if its values are the item's too, or if its
-alignment has enough literal words: ``literal`` of the item's in all, or ``few`` where all the item's windows are aligned.
+alignment has enough literal words, or values that are the same: ``literal`` in all, or ``few`` where all the item's windows are aligned.
 A window without any literal word is joined by its values.
 
 Only DataFrame functions are used. The item windows are broadcast if there are few enough of them, else they are shuffled.
@@ -33,6 +33,13 @@ UNITS = (
 ).split()
 
 
+#: Numbers as words (fixed list).
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred hundreds thousand thousands million millions billion dozen"
+).split()
+
+
 @dataclass(frozen=True)
 class Templates:
     """window: canonical words; literal: of a window that must not be placeholders, or it is weak; few: literal words of an item that is aligned as a whole; broadcast: windows of all items up to which they are broadcast."""
@@ -44,32 +51,27 @@ class Templates:
     broadcast: int = 200_000
 
 
-#: What ends a sentence, as a word of its own.
-ENDS = [".", "!", "?", ":", "\n"]
-
-
-def canonical_words(docs: DataFrame, text: str, first: str = ENDS[0]) -> DataFrame:
-    """Adds words: array of (t, v), t the canonical word and v the value that a placeholder replaces. first: what stands before the text."""
-    raw = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\p{L}[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*|\p{Nd}+(?:[.,]\p{Nd}+)*|[.!?:\n]"), F.lit(0))
+def canonical_words(docs: DataFrame, text: str) -> DataFrame:
+    """Adds words: array of (t, v), t the canonical word and v the value that a placeholder replaces."""
+    raw = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\p{L}[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*|\p{Nd}+(?:[.,]\p{Nd}+)*"), F.lit(0))
+    # words that begin with an ASCII letter lie between these; only others can begin with a digit
+    is_number = lambda word, lower: ((word < "A") | (word > "{")) & word.rlike(r"^\p{Nd}") | lower.isin(NUMBERS)
 
     def kind(pair: Column) -> Column:
         word, lower, before = pair["word"], pair["lower"], pair["before"]
-        # words that begin with an ASCII letter lie between these; only others can begin with a digit
-        no_letter = (word < "A") | (word > "{")
         template = (
-            F.when(word.isin(ENDS), F.lit(None).cast("string"))
-            .when(no_letter & word.rlike(r"^\p{Nd}"), F.lit("#n"))
-            .when(lower.isin(UNITS) & before.rlike(r"^\p{Nd}"), F.lit("#u"))
-            .when((word != lower) & ~before.isin(ENDS) & word.rlike(r"^\p{Lu}\p{Ll}"), F.lit("#p"))
+            F.when(is_number(word, lower), F.lit("#n"))
+            .when(lower.isin(UNITS) & is_number(before, F.lower(before)), F.lit("#u"))
+            .when((word != lower) & word.rlike(r"^\p{Lu}\p{Ll}"), F.lit("#p"))
             .otherwise(lower)
         )
-        return F.struct(template.alias("t"), lower.alias("v"))
+        return F.struct(template.alias("t"), F.when(template.startswith("#"), lower).alias("v"))
 
     # arrays that a lambda needs are zipped with its own, since a column that it captures may be computed anew for each element
-    paired = F.arrays_zip(F.col("_raw").alias("word"), F.transform("_raw", F.lower).alias("lower"), F.concat(F.array(F.lit(first)), F.slice("_raw", 1, F.greatest(F.size("_raw") - 1, F.lit(0)))).alias("before"))
-    kinds = docs.withColumn("_raw", raw).withColumn("_kinds", F.transform(paired, kind))
-    words = F.transform(F.filter("_kinds", lambda x: x["t"].isNotNull()), lambda x: F.struct(x["t"].alias("t"), F.when(x["t"].startswith("#"), x["v"]).alias("v")))
-    return kinds.withColumn("words", F.when(F.size("_raw") > 0, words).otherwise(F.array().cast("array<struct<t:string,v:string>>"))).drop("_raw", "_kinds")
+    before = F.concat(F.array(F.lit("")), F.slice("_raw", 1, F.greatest(F.size("_raw") - 1, F.lit(0))))
+    paired = F.arrays_zip(F.col("_raw").alias("word"), F.transform("_raw", F.lower).alias("lower"), before.alias("before"))
+    kinds = docs.withColumn("_raw", raw)
+    return kinds.withColumn("words", F.when(F.size("_raw") > 0, F.transform(paired, kind)).otherwise(F.array().cast("array<struct<t:string,v:string>>"))).drop("_raw")
 
 
 def windows(docs: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
@@ -117,32 +119,27 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
     Other columns of both tables are not read. An item of fewer words than a window is one window; one without text is never
     found. The share is taken of all windows of an item, of those with a literal word, and of those that aren't weak, and
-    one that reaches cover is enough. An item's first word is also looked for as the name it seems to be inside a sentence.
-    Null and empty documents contain nothing. Rows of equal keys count as one document, and a null key is one key more.
+    one that reaches cover is enough. Null and empty documents contain nothing. Rows of equal keys count as one document, and
+    a null key is one key more.
     """
     n = templates.window
     texts = items.select(F.col(item).alias("_item"), F.col(item_text).alias("_text"))
     of_items = materialize(canonical_words(texts, "_text").select("_item", "words"), "items").where(F.size("words") > 0)
-    # the items whose first word would be a name if a word stood before it
-    named = canonical_words(texts, "_text", first="").select("_item", "words").where((F.size("words") > 0) & (F.get("words", F.lit(0))["t"] == "#p"))
-    named = materialize(named.withColumn("words", F.slice("words", 1, n)), "named-items")
     sizes = sorted(r[0] for r in of_items.select(F.least(F.size("words"), F.lit(n))).distinct().collect())  # n values at most
     if not sizes:
         sizes = [n]
-    of_size = lambda df, s: df.where(F.size("words") == s if s < n else F.size("words") >= n)
-    as_name = [windows(of_size(named, s), ["_item"], [s]).withColumn("named", F.lit(1)) for s in sizes]
-    wanted = reduce(DataFrame.unionByName, [windows(of_size(of_items, s), ["_item"], [s]).withColumn("named", F.lit(0)) for s in sizes] + as_name)
-    # the first word as a name has to be the same word, so that it counts as a literal one
-    literals = F.col("n") - F.coalesce(F.array_size("slots"), F.lit(0)) + F.col("named")
-    wanted = wanted.select("_item", "n", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "named", (literals > 0).alias("worded"), (literals >= F.least(F.col("n"), F.lit(templates.literal))).alias("strong"))
+    of_size = lambda s: of_items.where(F.size("words") == s if s < n else F.size("words") >= n)
+    wanted = reduce(DataFrame.unionByName, [windows(of_size(s), ["_item"], [s]) for s in sizes])
+    literals = F.col("n") - F.coalesce(F.array_size("slots"), F.lit(0))
+    wanted = wanted.select("_item", "n", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), (literals > 0).alias("worded"), (literals >= F.least(F.col("n"), F.lit(templates.literal))).alias("strong"))
     wanted = materialize(wanted, "item-windows")
     places = F.filter(F.transform("words", lambda x, i: F.when(x["v"].isNull(), i)), lambda i: i.isNotNull())
-    counts = wanted.where("named = 0").groupBy(F.col("_item").alias("_i")).agg(F.count("*").alias("item_windows"), F.count_if("worded").alias("item_worded"), F.count_if("strong").alias("item_strong"))
+    counts = wanted.groupBy(F.col("_item").alias("_i")).agg(F.count("*").alias("item_windows"), F.count_if("worded").alias("item_worded"), F.count_if("strong").alias("item_strong"))
     facts = counts.join(of_items.groupBy(F.col("_item").alias("_j")).agg(F.array_distinct(F.flatten(F.collect_set(places))).alias("literals")), F.col("_i").eqNullSafe(F.col("_j"))).drop("_j")
     few = wanted.limit(templates.broadcast + 1).count() <= templates.broadcast
     side = lambda df: F.broadcast(df) if few else df
     held = windows(canonical_words(docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")), "_text").select("_doc", "words"), ["_doc"], sizes)
-    matched = held.join(side(wanted), ["n", "hash"]).where((F.col("named") == 0) | (F.get("slots", F.lit(0)) == F.get("item_slots", F.lit(0)))).withColumn("shift", F.col("place") - F.col("item_place"))
+    matched = held.join(side(wanted), ["n", "hash"]).withColumn("shift", F.col("place") - F.col("item_place"))
     alignment = ["_doc", "_item", "n", "shift"]
     none = F.array().cast("array<string>")
     slots, item_slots = F.coalesce("slots", none), F.coalesce("item_slots", none)
@@ -154,6 +151,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     consistent = lambda c: one_to_one(c, "slots") & one_to_one(c, "item_slots")
     found = found.join(side(facts), F.col("_item").eqNullSafe(F.col("_i"))).drop("_i")
     aligned = F.size(F.array_intersect("literals", F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("n") - 1)))))
+    aligned = aligned + F.size(F.filter("pairs", lambda p: p["slots"] == p["item_slots"]))  # a value that stands for itself
     whole = (F.size("worded_places") == F.col("item_worded")) & (aligned >= templates.few)
     enough = consistent("pairs") & ((aligned >= templates.literal) | whole)
     nowhere = F.array().cast("array<int>")
