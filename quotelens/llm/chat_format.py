@@ -3,7 +3,8 @@
 calls: conv, call_id, turn, name, arguments (JSON text). results: conv, call_id, turn, content. schemas: name, field, kind
 (a type as schema_of_variant names it, such as STRING or BIGINT), required. A call refers to another one of its chat by
 ``${call_id}`` in its arguments, and comes after it. Only DataFrame functions are used; the joins are hash joins that
-shuffle both sides by identifier, so one large chat is spread by its identifiers.
+shuffle both sides by identifier, so one large chat is spread by its identifiers. Schemas are broadcast if they are few;
+else they are joined by name, and the calls of one tool are dealt out by a part of their identifier's hash as well.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from quotelens.llm.store import materialize
 
+#: Rows of schemas up to which they are broadcast; parts that the calls of one tool are dealt to if they aren't.
+FEW, PARTS = 50_000, 64
 REFERENCE = r"\$\{([^}]+)\}"
 KEY = ["conv", "call_id"]
 
@@ -22,12 +25,19 @@ def canonical(json_text: Column) -> Column:
     return F.to_json(F.try_parse_json(json_text))
 
 
-def one_each(messages: DataFrame) -> DataFrame:
-    """The earliest message of each identifier, and repeats, how many more there are. Messages without one are no part of it."""
+def one_each(messages: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The earliest message of each identifier, with repeats (how many more there are); and all other messages, those without identifier too.
+
+    Equal messages are counted, so that many of one identifier meet in no task.
+    """
     columns = [c for c in messages.columns if c not in KEY]
-    first = F.min(F.struct(F.col("turn"), *[F.col(c) for c in columns if c != "turn"]))
-    found = messages.where(F.col("call_id").isNotNull()).groupBy(*KEY).agg(first.alias("m"), (F.count("*") - 1).alias("repeats"))
-    return found.select(*KEY, *[F.col(f"m.{c}").alias(c) for c in columns], "repeats")
+    kinds = materialize(messages.groupBy(*messages.columns).agg(F.count("*").alias("n")), name)
+    whole = F.struct(F.col("turn"), *[F.col(c) for c in columns if c != "turn"])
+    first = kinds.where(F.col("call_id").isNotNull()).groupBy(*KEY).agg(F.min(whole).alias("m"), (F.sum("n") - 1).alias("repeats"))
+    first = materialize(first.select(*KEY, *[F.col(f"m.{c}").alias(c) for c in columns], "repeats"), f"first-{name}")
+    others = kinds.join(_at(first.where("repeats > 0"), whole.alias("m")), F.expr(_MEETS)).withColumn("n", F.col("n") - F.when(whole.eqNullSafe(F.col("m")), 1).otherwise(0))
+    rest = others.select(kinds.columns).unionByName(kinds.where(F.col("call_id").isNull())).where("n > 0")
+    return first, rest.select("*", F.explode(F.sequence(F.lit(1), F.greatest("n", F.lit(1)))).alias("_k")).drop("_k", "n")
 
 
 def _at(keys: DataFrame, *columns: str | Column) -> DataFrame:
@@ -73,39 +83,51 @@ def ordered(calls: DataFrame) -> DataFrame:
 
 def violations(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """conv, call_id and errors, sorted, of calls whose arguments break their tool's schema."""
-    parsed = calls.select(*KEY, "name", F.try_variant_get(F.try_parse_json("arguments"), "$", "map<string,variant>").alias("given"))
-    tools = schemas.select("name").distinct().withColumn("known", F.lit(True))
-    whole = parsed.join(tools.hint("shuffle_hash"), "name", "left").select(*KEY, F.when(F.col("given").isNull(), F.lit("arguments: not an object")).when(F.col("known").isNull(), F.lit("name: no such tool")).alias("error"))
-    fields = parsed.where("given is not null").select(*KEY, "name", F.explode("given").alias("field", "value")).withColumn("is", F.schema_of_variant("value")).drop("value")
-    of_tool = parsed.where("given is not null").join(tools, "name").select(*KEY, "name")
-    wrong = fields.join(of_tool, [*KEY, "name"], "left_semi").join(schemas.select("name", "field", "kind").hint("shuffle_hash"), ["name", "field"], "left")
-    wrong = wrong.where("kind is null or is != kind").select(*KEY, F.concat("field", F.when(F.col("kind").isNull(), F.lit(": not in the schema")).otherwise(F.concat(F.lit(": "), "is", F.lit(" for "), "kind"))).alias("error"))
-    needed = of_tool.join(schemas.where("required").select("name", "field").hint("shuffle_hash"), "name").select(*KEY, "field")
-    lacking = needed.join(fields.select(*KEY, "field"), [*KEY, "field"], "left_anti").select(*KEY, F.concat("field", F.lit(": missing")).alias("error"))
+    few = schemas.limit(FEW + 1).count() <= FEW
+    part = F.lit(0) if few else F.pmod(F.xxhash64(*KEY), F.lit(PARTS)).cast("int")
+    parsed = calls.select(*KEY, "name", part.alias("part"), F.try_variant_get(F.try_parse_json("arguments"), "$", "map<string,variant>").alias("given"))
+    dealt = (lambda df: F.broadcast(df.withColumn("part", F.lit(0)))) if few else (lambda df: df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).hint("shuffle_hash"))
+    by_name = ["name", "part"]
+    tools = dealt(schemas.select("name").distinct().withColumn("known", F.lit(True)))
+    whole = parsed.join(tools, by_name, "left").select(*KEY, F.when(F.col("given").isNull(), F.lit("arguments: not an object")).when(F.col("known").isNull(), F.lit("name: no such tool")).alias("error"))
+    of_tool = parsed.where("given is not null").join(tools, by_name)
+    fields = of_tool.select(*KEY, *by_name, F.explode("given").alias("field", "value")).withColumn("is", F.schema_of_variant("value")).drop("value")
+    wrong = fields.join(dealt(schemas.select("name", "field", "kind")), [*by_name, "field"], "left").where("kind is null or is != kind")
+    wrong = wrong.select(*KEY, F.concat("field", F.when(F.col("kind").isNull(), F.lit(": not in the schema")).otherwise(F.concat(F.lit(": "), "is", F.lit(" for "), "kind"))).alias("error"))
+    needed = of_tool.select(*KEY, *by_name, F.map_keys("given").alias("has")).join(dealt(schemas.where("required").select("name", "field")), by_name)
+    lacking = needed.where(~F.array_contains("has", F.col("field"))).select(*KEY, F.concat("field", F.lit(": missing")).alias("error"))
     found = whole.where("error is not null").unionByName(wrong).unionByName(lacking)
     return found.groupBy(*KEY).agg(F.array_sort(F.collect_set("error")).alias("errors"))
 
 
-def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """A row for each identifier of a call or result: conv, call_id, after_turn, step, turn, name, status, errors and json.
+def _text_as_json(text: Column) -> Column:
+    """A JSON string."""
+    return F.parse_json(F.regexp_extract(F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1))
 
-    status: linked, no_result, no_call, early (the result comes before its call) or circular. Of messages with equal
-    identifiers the first counts; more of them, and broken schemas, are listed in errors. json is null without a call, and
-    holds arguments, call_id, name and result (if there is one) in canonical form; arguments that aren't JSON are text.
-    Ordering by after_turn, step and call_id within a chat is a topological order. Messages without an identifier are left out;
-    a null conv is a chat like others. Empty tables give an empty one. Other columns are not read.
+
+def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+    """A row for each message but linked results: conv, call_id, after_turn, step, turn, name, status, errors and json.
+
+    status: linked, no_result, no_call, early (the result comes before its call) or circular, one row for each identifier. Of messages with equal
+    identifiers the first counts; the others have rows of their own, with status repeated_call or repeated_result, and so
+    have messages without an identifier: call_without_id, result_without_id. Repeats and broken schemas are listed in
+    errors. json holds arguments, call_id, name and result (those that there are) in canonical form; arguments that aren't JSON are text.
+    Ordering by after_turn, step and call_id within a chat is a topological order of the linked calls.
+    A null conv is a chat like others. Empty tables give an empty one. Other columns are not read.
     """
-    calls = materialize(one_each(calls.select(*KEY, "turn", "name", "arguments")), "calls")
-    answers = one_each(results.select(*KEY, "turn", "content")).select(F.col("conv").alias("rc"), F.col("call_id").alias("rt"), F.col("turn").alias("result_turn"), "content", F.col("repeats").alias("result_repeats"))
+    calls, more_calls = one_each(calls.select(*KEY, "turn", "name", "arguments"), "calls")
+    answers, more_answers = one_each(results.select(*KEY, "turn", "content"), "results")
+    answers = answers.select(F.col("conv").alias("rc"), F.col("call_id").alias("rt"), F.col("turn").alias("result_turn"), "content", F.col("repeats").alias("result_repeats"))
     both = calls.withColumn("called", F.lit(True)).join(answers.hint("shuffle_hash"), F.col("conv").eqNullSafe(F.col("rc")) & (F.col("call_id") == F.col("rt")), "full")
     both = both.withColumn("conv", F.when(F.col("called"), F.col("conv")).otherwise(F.col("rc"))).withColumn("call_id", F.coalesce("call_id", "rt"))
     order, broken = ordered(calls), violations(calls, schemas)
     both = both.join(_at(order, "after_turn", "step").hint("shuffle_hash"), F.expr(_MEETS), "left").drop("_c", "_t").join(_at(broken, F.col("errors").alias("broken")).hint("shuffle_hash"), F.expr(_MEETS), "left")
     status = F.when(F.col("called").isNull(), "no_call").when(F.col("step").isNull(), "circular").when(F.col("rt").isNull(), "no_result").when(F.col("result_turn") <= F.col("turn"), "early").otherwise("linked")
     more = F.filter(F.array(F.when(F.col("repeats") > 0, F.lit("call_id: repeated call")), F.when(F.col("result_repeats") > 0, F.lit("call_id: repeated result"))), lambda e: e.isNotNull())
-    arguments = F.coalesce(F.try_parse_json("arguments"), F.parse_json(F.regexp_extract(F.to_json(F.struct(F.coalesce("arguments", F.lit("")).alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)))
-    json = F.to_json(F.struct(arguments.alias("arguments"), F.col("call_id"), F.col("name"), F.col("content").alias("result")))
-    return both.select(
+    arguments = lambda called: F.when(called, F.coalesce(F.try_parse_json("arguments"), _text_as_json(F.col("arguments"))))
+    json = lambda given, *columns: F.to_json(F.struct(*([given.alias("arguments")] if given is not None else []), *columns))
+    none = F.array().cast("array<string>")
+    linked = both.select(
         "conv",
         "call_id",
         F.when(F.col("called"), F.col("after_turn")).alias("after_turn"),
@@ -113,20 +135,48 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Da
         F.coalesce("turn", "result_turn").alias("turn"),
         "name",
         status.alias("status"),
-        F.concat(F.coalesce("broken", F.array().cast("array<string>")), more).alias("errors"),
-        F.when(F.col("called"), json).alias("json"),
+        F.concat(F.coalesce("broken", none), more).alias("errors"),
+        json(arguments(F.col("called")), F.col("call_id"), F.col("name"), F.col("content").alias("result")).alias("json"),
     )
 
+    def alone(messages: DataFrame, kind: str, name: Column, text: Column) -> DataFrame:
+        status = F.when(F.col("call_id").isNull(), f"{kind}_without_id").otherwise(f"repeated_{kind}")
+        return messages.select("conv", "call_id", F.lit(None).cast(kinds["after_turn"]).alias("after_turn"), F.lit(None).cast("int").alias("step"), "turn", name.cast("string").alias("name"), status.alias("status"), none.alias("errors"), text.alias("json"))
+
+    kinds = dict(linked.dtypes)
+    said = alone(more_calls, "call", F.col("name"), json(arguments(F.lit(True)), F.col("call_id"), F.col("name")))
+    return linked.unionByName(said).unionByName(alone(more_answers, "result", F.lit(None), json(None, F.col("call_id"), F.col("content").alias("result"))))
+
+
+def plain_messages(messages: DataFrame) -> DataFrame:
+    """conv, turn, role, content of messages that are neither calls nor results, as rows like those of linked_calls."""
+    empty = lambda kind: F.lit(None).cast(kind)
+    json = F.to_json(F.struct("content", "role"))
+    return messages.select("conv", empty("string").alias("call_id"), empty(dict(messages.dtypes)["turn"]).alias("after_turn"), empty("int").alias("step"), "turn", F.col("role").alias("name"), F.lit("message").alias("status"), F.array().cast("array<string>").alias("errors"), json.alias("json"))
+
 
-def from_conversations(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of a table of conv_id, turn, role, text.
+def from_conversations(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls, results, and what is neither (conv, turn, role, content), of a table of conv_id, turn, role, text.
 
-    Every user's turn is a call of the tool ``reply``, named by chat and turn, that refers to the user's turn two before it;
-    an assistant's turn is the result for the turn before it.
+    The table holds no tool calls, so its turns are read as such, with the faults that calls have. A user's turn is a call, named by
+    chat and turn, of the tool ``reply`` with its text, its turn, and a reference to the user's turn before. Of every twelve (by chat plus turn)
+    some differ: 1 gives the turn as text and no reference, 2 leaves out the text, 3 has a field too many, 4, 5, 9 and 11 refer to the
+    user's turn that follows (which may refer back, or on), 6 is of an unknown tool, 7 has arguments that aren't
+    JSON, and 8 comes twice. An assistant's turn is the result for the turn before it; of every nine, 0 names no call, 1 comes twice and 2 has
+    the turn before its call's. Other roles, and messages without a turn, are neither.
     """
-    name = lambda back: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), (F.col("turn") - back).cast("string"))
-    after = F.when(F.col("turn") >= 2, F.concat(F.lit("${"), name(2), F.lit("}")))
-    arguments = F.to_json(F.struct(F.col("turn"), F.col("text"), after.alias("after")))
-    calls = messages.where("role = 'user' and turn is not null").select(F.col("conv_id").alias("conv"), name(0).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"))
-    results = messages.where("role = 'assistant' and turn is not null").select(F.col("conv_id").alias("conv"), name(1).alias("call_id"), "turn", F.col("text").alias("content"))
-    return calls, results
+    spoken = messages.select(F.col("conv_id").alias("conv"), "turn", "role", F.col("text").alias("content"))
+    name = lambda away: F.concat_ws(":", F.coalesce(F.col("conv").cast("string"), F.lit("")), (F.col("turn") + away).cast("string"))
+    reference = lambda away: F.concat(F.lit("${"), name(away), F.lit("}"))
+    said = lambda role: spoken.where(f"role = '{role}' and turn is not null")
+    k = F.coalesce(F.pmod(F.col("conv") + F.col("turn"), F.lit(12)), F.lit(0))
+    after = F.when(k.isin(4, 5, 9, 11), reference(2)).when((F.col("turn") >= 2) & (k != 1), reference(-2))
+    fields = {"text": F.when(k != 2, F.col("content")), "after": after, "note": F.when(k == 3, F.lit("more"))}
+    as_text = F.to_json(F.struct(F.col("turn").cast("string").alias("turn"), *[c.alias(n) for n, c in fields.items()]))
+    arguments = F.when(k == 7, F.lit('{"text": ')).when(k == 1, as_text).otherwise(F.to_json(F.struct("turn", *[c.alias(n) for n, c in fields.items()])))
+    times = lambda often: F.explode(F.array_repeat(F.lit(0), F.when(often, 2).otherwise(1)))
+    calls = said("user").select("conv", name(0).alias("call_id"), "turn", F.when(k == 6, "lookup").otherwise("reply").alias("name"), arguments.alias("arguments"), times(k == 8)).drop("col")
+    r = F.coalesce(F.pmod(F.col("conv") + F.col("turn"), F.lit(9)), F.lit(3))
+    answered = F.when(r == 0, F.concat(name(-1), F.lit("?"))).otherwise(name(-1))
+    results = said("assistant").select("conv", answered.alias("call_id"), (F.col("turn") - F.when(r == 2, 2).otherwise(0)).alias("turn"), "content", times(r == 1)).drop("col")
+    return calls, results, spoken.where("role is null or turn is null or role not in ('user', 'assistant')")

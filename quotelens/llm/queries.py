@@ -58,9 +58,10 @@ REPLY = [("reply", "after", "STRING", False), ("reply", "text", "STRING", True),
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat_format.from_conversations(_table(spark, sf_dir, "conversations"))
+    """A row for every message of conversations but the results that are linked, which are in the row of their call."""
+    calls, results, others = chat_format.from_conversations(_table(spark, sf_dir, "conversations"))
     linked = chat_format.linked_calls(calls, results, spark.createDataFrame(REPLY, "name string, field string, kind string, required boolean"))
-    return linked.withColumnRenamed("conv", "conv_id").withColumn("errors", F.array_join("errors", "; "))
+    return linked.unionByName(chat_format.plain_messages(others)).withColumnRenamed("conv", "conv_id").withColumn("errors", F.array_join("errors", "; "))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -119,20 +120,78 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
+#: The SQL has the rule by which conversations become calls; links, steps, errors and repeats are found from the calls.
 _OP9 = """
-WITH calls AS (
-  SELECT conv_id, conv_id || ':' || turn AS call_id, min(turn) AS turn, arg_min(text, turn) AS text, count(*) - 1 AS repeats
-  FROM conversations WHERE role = 'user' AND turn IS NOT NULL GROUP BY ALL HAVING count(*) > 0),
+WITH RECURSIVE spoken AS (
+  SELECT conv_id, turn, role, text, coalesce(CAST(conv_id AS VARCHAR), '') || ':' AS c,
+         coalesce((conv_id + turn) % 12, 0) AS k, coalesce((conv_id + turn) % 9, 3) AS r FROM conversations),
+said AS (
+  SELECT conv_id, turn, c || turn AS call_id, CASE k WHEN 6 THEN 'lookup' ELSE 'reply' END AS name, k,
+         CASE WHEN k IN (4, 5, 9, 11) THEN '${' || c || (turn + 2) || '}' WHEN turn >= 2 AND k <> 1 THEN '${' || c || (turn - 2) || '}' END AS after,
+         CASE WHEN k <> 2 THEN text END AS text
+  FROM spoken WHERE role = 'user' AND turn IS NOT NULL),
+calls AS (
+  SELECT conv_id, turn, call_id, name,
+         CASE k WHEN 7 THEN '{"text": ' ELSE '{' || array_to_string(list_filter([
+           '"after":' || CAST(to_json(after) AS VARCHAR), CASE k WHEN 3 THEN '"note":"more"' END, '"text":' || CAST(to_json(text) AS VARCHAR),
+           '"turn":' || CASE k WHEN 1 THEN '"' || turn || '"' ELSE CAST(turn AS VARCHAR) END], lambda x: x IS NOT NULL), ',') || '}' END AS arguments
+  FROM said JOIN (VALUES (0), (1)) AS copies(copy) ON copy = 0 OR k = 8),
 results AS (
-  SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn, text AS content
-  FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL)
-SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn AS after_turn, CASE WHEN c.turn IS NOT NULL THEN 0 END AS step,
-       coalesce(c.turn, r.turn) AS turn, CASE WHEN c.turn IS NOT NULL THEN 'reply' END AS name,
-       CASE WHEN c.turn IS NULL THEN 'no_call' WHEN r.turn IS NULL THEN 'no_result' ELSE 'linked' END AS status, '' AS errors,
-       CASE WHEN c.turn IS NOT NULL THEN '{"arguments":{' || CASE WHEN c.turn >= 2 THEN '"after":"${' || c.conv_id || ':' || (c.turn - 2) || '}",' ELSE '' END
-         || '"text":' || CAST(to_json(c.text) AS VARCHAR) || ',"turn":' || c.turn || '},"call_id":"' || c.call_id || '","name":"reply"'
-         || CASE WHEN r.content IS NOT NULL THEN ',"result":' || CAST(to_json(r.content) AS VARCHAR) ELSE '' END || '}' END AS json
-FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+  SELECT conv_id, turn - CASE r WHEN 2 THEN 2 ELSE 0 END AS turn, c || (turn - 1) || CASE r WHEN 0 THEN '?' ELSE '' END AS call_id, text AS content
+  FROM spoken JOIN (VALUES (0), (1)) AS copies(copy) ON copy = 0 OR r = 1 WHERE role = 'assistant' AND turn IS NOT NULL),
+ranked_calls AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, name, arguments) AS nth, count(*) OVER (PARTITION BY conv_id, call_id) AS times FROM calls),
+ranked_results AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, content NULLS FIRST) AS nth, count(*) OVER (PARTITION BY conv_id, call_id) AS times FROM results),
+one AS (SELECT * FROM ranked_calls WHERE nth = 1),
+edges AS (
+  SELECT DISTINCT a.conv_id, a.call_id AS a, b.call_id AS b
+  FROM (SELECT conv_id, call_id, unnest(regexp_extract_all(arguments, '[$][{]([^}]+)[}]', 1)) AS target FROM one) a
+  JOIN one b ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND a.target = b.call_id AND a.call_id <> b.call_id),
+reach AS (
+  SELECT conv_id, a, b FROM edges
+  UNION SELECT r.conv_id, r.a, e.b FROM reach r JOIN edges e ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.b = e.a),
+circles AS (SELECT conv_id, a FROM reach WHERE a = b),
+circular AS (
+  SELECT conv_id, a FROM circles UNION SELECT r.conv_id, r.a FROM reach r JOIN circles s ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.b = s.a),
+paths AS (
+  SELECT conv_id, call_id AS a, call_id AS b, 0 AS k FROM one WHERE NOT EXISTS (SELECT 1 FROM circular c WHERE c.conv_id IS NOT DISTINCT FROM one.conv_id AND c.a = one.call_id)
+  UNION SELECT p.conv_id, p.a, e.b, p.k + 1 FROM paths p JOIN edges e ON p.conv_id IS NOT DISTINCT FROM e.conv_id AND p.b = e.a),
+places AS (
+  SELECT p.conv_id, p.a, turn AS after_turn, k AS step, row_number() OVER (PARTITION BY p.conv_id, p.a ORDER BY turn DESC, k DESC) AS nth
+  FROM paths p JOIN one ON p.conv_id IS NOT DISTINCT FROM one.conv_id AND p.b = one.call_id),
+schema AS (SELECT * FROM (VALUES ('reply', 'after', 'STRING', false), ('reply', 'text', 'STRING', true), ('reply', 'turn', 'BIGINT', true)) AS s(name, field, kind, required)),
+objects AS (SELECT *, json_valid(arguments) AND CASE WHEN json_valid(arguments) THEN json_type(arguments) = 'OBJECT' ELSE false END AS is_object FROM one),
+known AS (SELECT * FROM objects WHERE is_object AND name IN (SELECT name FROM schema)),
+given AS (
+  SELECT conv_id, call_id, name, field, CASE WHEN json_type(arguments, '$.' || field) = 'VARCHAR' THEN 'STRING' WHEN json_type(arguments, '$.' || field) IN ('BIGINT', 'UBIGINT') THEN 'BIGINT' ELSE json_type(arguments, '$.' || field) END AS is_kind
+  FROM (SELECT *, unnest(json_keys(arguments)) AS field FROM known)),
+broken AS (
+  SELECT conv_id, call_id, 'arguments: not an object' AS error FROM objects WHERE NOT is_object
+  UNION ALL SELECT conv_id, call_id, 'name: no such tool' FROM objects WHERE is_object AND name NOT IN (SELECT name FROM schema)
+  UNION ALL SELECT conv_id, call_id, g.field || CASE WHEN kind IS NULL THEN ': not in the schema' ELSE ': ' || is_kind || ' for ' || kind END FROM given g LEFT JOIN schema s USING (name, field) WHERE kind IS NULL OR kind <> is_kind
+  UNION ALL SELECT conv_id, call_id, s.field || ': missing' FROM known k JOIN schema s USING (name) WHERE required AND NOT list_contains(json_keys(arguments), s.field)),
+errors AS (SELECT conv_id, call_id, list(error ORDER BY error) AS errors FROM broken GROUP BY ALL),
+linked AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, after_turn, step, coalesce(c.turn, r.turn) AS turn, c.name,
+         CASE WHEN c.nth IS NULL THEN 'no_call' WHEN step IS NULL THEN 'circular' WHEN r.nth IS NULL THEN 'no_result' WHEN r.turn <= c.turn THEN 'early' ELSE 'linked' END AS status,
+         array_to_string(list_filter(list_concat(coalesce(errors, []), [CASE WHEN c.times > 1 THEN 'call_id: repeated call' END, CASE WHEN r.times > 1 THEN 'call_id: repeated result' END]), lambda x: x IS NOT NULL), '; ') AS errors,
+         c.arguments, r.content
+  FROM one c FULL JOIN (SELECT * FROM ranked_results WHERE nth = 1) r ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND c.call_id = r.call_id
+  LEFT JOIN places p ON p.nth = 1 AND p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.a = c.call_id
+  LEFT JOIN errors e ON e.conv_id IS NOT DISTINCT FROM c.conv_id AND e.call_id = c.call_id),
+every AS (
+  SELECT * FROM linked
+  UNION ALL SELECT conv_id, call_id, NULL, NULL, turn, name, 'repeated_call', '', arguments, NULL FROM ranked_calls WHERE nth > 1
+  UNION ALL SELECT conv_id, call_id, NULL, NULL, turn, NULL, 'repeated_result', '', NULL, content FROM ranked_results WHERE nth > 1)
+SELECT conv_id, call_id, after_turn, step, turn, name, status, errors,
+       '{' || array_to_string(list_filter(['"arguments":' || CASE WHEN json_valid(arguments) THEN arguments ELSE CAST(to_json(arguments) AS VARCHAR) END, '"call_id":' || CAST(to_json(call_id) AS VARCHAR),
+         '"name":' || CAST(to_json(name) AS VARCHAR), '"result":' || CAST(to_json(content) AS VARCHAR)], lambda x: x IS NOT NULL), ',') || '}' AS json
+FROM every
+UNION ALL
+SELECT conv_id, NULL, NULL, NULL, turn, role, 'message', '',
+       '{' || array_to_string(list_filter(['"content":' || CAST(to_json(text) AS VARCHAR), '"role":' || CAST(to_json(role) AS VARCHAR)], lambda x: x IS NOT NULL), ',') || '}'
+FROM spoken WHERE role IS NULL OR turn IS NULL OR role NOT IN ('user', 'assistant')
 """
 
 ORACLE_SQL = {"op7_mixing": _OP7, "op9_chat_format": _OP9}

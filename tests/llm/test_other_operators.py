@@ -221,7 +221,7 @@ def test_isotonic_rises():
     assert list(levels) == [0, pytest.approx(2 / 3), 1] and list(centres) == [0, pytest.approx(5 / 3), 3]
 
 
-def test_linked_calls(spark):
+def test_linked_calls(spark, monkeypatch):
     calls = [
         ("a", "1", 0, "add", '{"y": 2, "x": 1}'), ("a", "2", 2, "add", '{"x": "${1}", "y": 3}'), ("a", "3", 4, "add", '{"x": 1, "z": 0}'), ("a", "4", 6, "nope", "{bad"), ("a", "5", 8, "add", '{"x": 1, "y": "${6}"}'), ("a", "6", 9, "add", '{"x": 1, "y": "${5}"}'),
         ("a", "7", 10, "add", '{"x": 1, "y": "${9} ${7}"}'), (None, "1", 0, "add", '{"y": 2.0, "x": 1}'), ("a", "1", 20, "add", "{}"), ("a", None, 1, "add", "{}"),
@@ -229,8 +229,15 @@ def test_linked_calls(spark):
     results = [("a", "1", 1, "3"), ("a", "2", 1, 'said "é"\n'), ("a", "8", 5, "stray"), (None, "1", 3, None), ("a", "1", 30, "late"), ("b", None, 1, "x")]
     schemas = [("add", "x", "BIGINT", True), ("add", "y", "BIGINT", True)]
     frames = spark.createDataFrame(calls, "conv string, call_id string, turn int, name string, arguments string"), spark.createDataFrame(results, "conv string, call_id string, turn int, content string"), spark.createDataFrame(schemas, "name string, field string, kind string, required boolean")
-    got = {(r.conv, r.call_id): r for r in chat_format.linked_calls(*frames).collect()}
+    rows = chat_format.linked_calls(*frames).collect()
+    got = {(r.conv, r.call_id): r for r in rows if r.after_turn is not None or r.status in ("no_call", "circular")}
     assert len(got) == 9
+    # every other message has a row of its own
+    assert sorted((r.status, r.turn, r.json) for r in rows if (r.conv, r.call_id) not in got or r is not got[(r.conv, r.call_id)]) == [
+        ("call_without_id", 1, '{"arguments":{},"name":"add"}'), ("repeated_call", 20, '{"arguments":{},"call_id":"1","name":"add"}'),
+        ("repeated_result", 30, '{"call_id":"1","result":"late"}'), ("result_without_id", 1, '{"result":"x"}'),
+    ]
+    assert got[("a", "8")].json == '{"call_id":"8","result":"stray"}'
     assert {k[1]: (r.after_turn, r.step, r.status) for k, r in got.items() if k[0]} == {"1": (0, 0, "linked"), "2": (2, 0, "early"), "3": (4, 0, "no_result"), "4": (6, 0, "no_result"), "5": (None, None, "circular"), "6": (None, None, "circular"), "7": (10, 0, "no_result"), "8": (None, None, "no_call")}
     assert got[("a", "1")].errors == ["call_id: repeated call", "call_id: repeated result"] and got[("a", "2")].errors == ["x: STRING for BIGINT"]
     assert got[("a", "3")].errors == ["y: missing", "z: not in the schema"] and got[("a", "4")].errors == ["arguments: not an object"]
@@ -238,6 +245,8 @@ def test_linked_calls(spark):
     assert json.loads(got[("a", "4")].json)["arguments"] == "{bad" and got[(None, "1")].status == "linked"
     nothing = [f.where("false") for f in frames]
     assert chat_format.linked_calls(*nothing).collect() == []
+    monkeypatch.setattr(chat_format, "FEW", 0)
+    assert sorted(map(str, chat_format.linked_calls(*frames).collect())) == sorted(map(str, rows))
 
 
 def test_calls_come_after_what_they_refer_to(spark):
