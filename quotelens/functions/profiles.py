@@ -14,15 +14,16 @@ def chars(*ranges: tuple[int, int]) -> str:
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
-# Code points of the Arabic rules.
+# Code points of the Arabic rules (combining marks and spaces by number, letters as they are).
 MARK_RANGES = ((0x610, 0x61A), (0x64B, 0x65F), (0x6D6, 0x6ED), (0x8D3, 0x8FF), (0x640, 0x640))
 MARKS, MARKS_AND_SMALL_ALEF = chars(*MARK_RANGES), chars(*MARK_RANGES, (0x670, 0x670))
 SPACES = chars((0x9, 0xD), (0x20, 0x20), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xFEFF, 0xFEFF)) + "+"
 INVISIBLE = chars((0x61C, 0x61C), (0x200B, 0x200F), (0x202A, 0x202E), (0x2066, 0x2069), (0xFEFF, 0xFEFF))
-LETTER = chars((0x621, 0x63A), (0x641, 0x64A), (0x66E, 0x66F), (0x671, 0x6D3), (0x6FA, 0x6FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF))
-ALEF, HAMZA, YEH, HEH = map(chr, (0x627, 0x621, 0x64A, 0x647))
-OTHER_ALEFS, CARRIERS = "".join(map(chr, (0x670, 0x622, 0x671))), "".join(map(chr, (0x624, 0x626, 0x623, 0x625)))
-DRIFT = ALEF + chr(0x648) + YEH + HAMZA
+LETTER_RANGES = ((0x621, 0x63A), (0x641, 0x64A), (0x66E, 0x66F), (0x671, 0x6D3), (0x6FA, 0x6FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF))
+ALEF, HAMZA, YEH, HEH = "ا", "ء", "ي", "ه"
+OTHER_ALEFS, CARRIERS = "\u0670آٱ", "ؤئأإ"
+MAQSURA, MARBUTA = "ى", "ة"
+DRIFT = "اويء"
 
 
 def ascii_digits(text: Column) -> Column:
@@ -37,7 +38,7 @@ def arabic_form(text: Column) -> Column:
     """The form in which Arabic wording is compared: no marks, one form of alef, hamza and final letters, no doubled letters."""
     text = F.translate(F.regexp_replace(text, MARKS, ""), OTHER_ALEFS, 3 * ALEF)
     text = F.replace(text, F.lit(HAMZA + ALEF), F.lit(ALEF))
-    text = F.translate(text, CARRIERS + chr(0x649) + chr(0x629), 4 * HAMZA + YEH + HEH)
+    text = F.translate(text, CARRIERS + MAQSURA + MARBUTA, 4 * HAMZA + YEH + HEH)
     return squeeze(F.regexp_replace(text, "(" + chars((0x621, 0x64A)) + r")\1+", "$1"))
 
 

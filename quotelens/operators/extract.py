@@ -1,116 +1,254 @@
 """Quotation candidates: marks in a text, and the rules by which marks next to each other make a candidate.
 
-One pass over a text finds its marks (phrases that introduce a quotation, quoted spans, references, breaks); the rest is
-relational: windows over a text's marks in order, and joins between them. Spans are half-open, in characters.
+One pass over a text finds its marks: phrases that introduce a quotation, quoted spans, references, breaks, and the runs of
+words that stand after a phrase or before a reference. No pattern is tried again from each place of a run of letters: references are
+found by their numbers, and what stands before them is read backwards once. The rest is relational: windows over a text's marks
+in order, and joins of neighbouring blocks of characters. Spans are half-open, in characters.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The phrases that introduce a quotation, by their parts; verbs and nouns of saying with epithets of the speaker.
-SAYING = "قال الله|قال|وقال|فقال|ثم قال|يقول الله|يقول|ويقول|قوله|وقوله|فقوله|بقوله|كقوله|لقوله|قول الله|وقول الله|فقول الله|بقول الله|كقول الله|لقول الله|قال الحق"
-EPITHETS = "سبحانه وتعالى|تبارك وتعالى|تعالى|سبحانه|عز وجل|جل وعلا|جل جلاله|عز من قائل|الكريم"
-WHOLE = "قال ربكم|في كتاب الله|في قوله تعالى|في محكم كتابه|في محكم تنزيله|في محكم التنزيل|في محكم الذكر"
-SECONDARY = "وقوله|فقوله|قوله"
-_ranges = lambda *pairs: "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in pairs) + "]"
-LETTER = _ranges((0x621, 0x63A), (0x641, 0x64A), (0x66E, 0x66F), (0x671, 0x6D3), (0x6FA, 0x6FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF))
-VOWEL, SIGN = _ranges((0x64B, 0x65F), (0x670, 0x670)), _ranges((0x6D6, 0x6ED))
-DIGIT = _ranges((0x30, 0x39), (0x660, 0x669), (0x6F0, 0x6F9))
-#: Characters after a lead-in within which its quotation begins; after a quotation within which its reference begins; after a quotation within which a secondary lead-in counts.
-LEAD_GAP, REF_GAP, SECONDARY_GAP = 80, 80, 150
-SHORT, LONG = 8, 900
-
-_RUN = rf"{LETTER}{VOWEL}*(?:[\s\0]*(?:{LETTER}{VOWEL}*|{SIGN}+))*"
-_INNER = rf"{_RUN}(?:[\s\0]*[*.…،,]+[\s\0]*{_RUN})*"
-_NAME = rf"(?:(?:{LETTER}|{chr(0x640)}){VOWEL}*)+"
-MARKS = {
-    "lead": rf"(?<!{LETTER})(?:(?:{SAYING})\s+(?:{EPITHETS})|{WHOLE})\s*[:：]?\s*",
-    "second": rf"(?<!{LETTER})(?:{SECONDARY})\s*[:：]?\s*",
-    "strong": rf"[{{«\[][\s\0]*({_INNER})[\s\0]*[}}»\]]",
-    "weak": rf"[(<\"“‘'`][\s\0]*({_INNER})[\s\0]*[)>\"”’'`]",
-    "ref": rf"[({{«﴿\[]?\s*({_NAME}(?:\s+{_NAME})*\s*[:：]\s*{DIGIT}+(?:\s*[-–]\s*{DIGIT}+)?(?:\s*[،,]\s*{DIGIT}+)*)\s*[.,]?\s*[)}}»﴾\]]",
-    "range": r"\s+إلى\s+قوله\s*[:：]?\s*",
+from quotelens.functions.profiles import LETTER_RANGES
+
+# The phrases that introduce a quotation, in their order.
+LEAD_INS = (
+    "قال الله تعالى", "قال تعالى", "وقال تعالى", "قال سبحانه وتعالى", "قال سبحانه",
+    "قوله تعالى", "وقوله تعالى", "قوله سبحانه", "قوله عز وجل", "وقوله عز وجل",
+    "قال عز وجل", "وقال عز وجل", "قال جل وعلا", "قال جل جلاله", "يقول الله تعالى",
+    "يقول تعالى", "ويقول تعالى", "يقول عز وجل", "ويقول عز وجل",
+    "يقول سبحانه وتعالى", "ويقول سبحانه وتعالى",
+    "يقول تبارك وتعالى", "ويقول تبارك وتعالى",
+    "يقول الله عز وجل", "يقول جل وعلا",
+    "وقوله الكريم", "قوله الكريم", "وقوله جل وعلا", "قوله جل وعلا",
+    "وقوله جل جلاله", "قوله جل جلاله", "وقوله سبحانه",
+    "قال ربكم", "في كتاب الله", "في قوله تعالى",
+    "فقوله تعالى", "فقوله سبحانه", "فقوله عز وجل", "فقوله جل وعلا", "فقوله الكريم",
+    "بقوله تعالى", "بقوله سبحانه", "بقوله عز وجل", "بقوله جل وعلا", "بقوله الكريم", "بقول الله تعالى",
+    "كقوله تعالى", "كقوله سبحانه", "كقوله عز وجل", "كقوله جل وعلا", "كقول الله تعالى",
+    "لقوله تعالى", "لقوله سبحانه", "لقوله عز وجل",
+    "قول الله تعالى", "وقول الله تعالى", "فقول الله تعالى",
+    "قول الله سبحانه", "قول الله عز وجل", "قول الله جل جلاله",
+    "قال تبارك وتعالى", "وقال تبارك وتعالى",
+    "قوله تبارك وتعالى", "وقوله تبارك وتعالى", "فقوله تبارك وتعالى",
+    "بقوله تبارك وتعالى", "كقوله تبارك وتعالى",
+    "قال عز من قائل", "وقال عز من قائل", "يقول عز من قائل",
+    "قوله عز من قائل", "وقوله عز من قائل",
+    "فقال تعالى", "ثم قال تعالى", "فقال سبحانه", "ثم قال سبحانه",
+    "فقال عز وجل", "ثم قال عز وجل", "فقال جل وعلا", "ثم قال جل وعلا",
+    "فقال سبحانه وتعالى", "ثم قال سبحانه وتعالى",
+    "في محكم كتابه", "في محكم تنزيله", "في محكم التنزيل", "في محكم الذكر",
+    "قال الحق تبارك وتعالى", "قال الحق سبحانه وتعالى", "قال الحق سبحانه",
+    "بقول الله سبحانه", "بقول الله عز وجل",
+    "كقول الله سبحانه", "لقول الله تعالى",
+)
+SECONDARY = ("وقوله", "فقوله", "قوله")
+# The letters of the script, the marks on letters, signs that stand alone, digits, and the marks around quotations and references.
+LETTER = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in LETTER_RANGES) + "]"
+VOWEL, SIGN = "[\u064B-\u065F\u0670]", "[\u06D6-\u06ED]"
+TATWEEL = "\u0640"
+DIGIT = "[0-9٠-٩۰-۹]"
+OPEN, CLOSE = "{«[", "}»]"
+WEAK_OPEN, WEAK_CLOSE = "(<\"“‘'`", ")>\"”’'`"
+REF_OPEN, REF_CLOSE = "({«﴿[", ")}»﴾]"
+# Fixed values, in characters: after a lead-in within which its quotation begins; after a quotation within which its reference begins, and one for both of a range; before and
+# after the words of a range; after a quotation within which a secondary lead-in counts; before a reference within which its quotation lies, and a short one.
+LEAD_GAP, REF_GAP, RANGE_REF_GAP = 80, 80, 250
+RANGE_GAP, SECONDARY_GAP = 150, 150
+BACK, NEAR, SHORT_BACK = 1200, 1000, 80
+LEAST, SHORT, SHORT_MOST, LONG = 4, 8, 65, 900
+
+_any = lambda chars: "[" + re.escape(chars) + "]"
+#: Words of the script; possessive, so that a span without an end is given up at once.
+_RUN = rf"{LETTER}{VOWEL}*+(?:[\s\0]*+(?:{LETTER}{VOWEL}*+|{SIGN}++))*+"
+_INNER = rf"{_RUN}(?:[\s\0]*+[*.…،,]++[\s\0]*+{_RUN})*+"
+_phrases = lambda words: rf"(?<!{LETTER})(?:{'|'.join(words)})\s*+[:：]?\s*+"
+PATTERNS = {
+    "lead": _phrases(LEAD_INS),
+    "second": _phrases(SECONDARY),
+    "strong": rf"{_any(OPEN)}[\s\0]*+({_INNER})[\s\0]*+{_any(CLOSE)}",
+    "weak": rf"{_any(WEAK_OPEN)}[\s\0]*+({_INNER})[\s\0]*+{_any(WEAK_CLOSE)}",
+    "range": r"(?<!\s)\s++إلى\s++قوله\s*+[:：]?\s*+",
     "break": r"\0{2,}|[\r\n]{2,}",
-    "run": rf"({_RUN})\s*(?=[({{«﴿\[]?\s*{_NAME}(?:\s+{_NAME})*\s*[:：]\s*{DIGIT})",
 }
+_NUMBERS = rf"[:：]\s*+{DIGIT}++(?:\s*+[-–]\s*+{DIGIT}++)?+(?:\s*+[،,]\s*+{DIGIT}++)*+(?P<rest>\s*+[.,]?+\s*+){_any(REF_CLOSE)}"
+_BARE = str.maketrans(dict.fromkeys("\0{}«»()", " "))
+_BARER = str.maketrans(dict.fromkeys("\0{}«»().,،;", " "))
+
+
+def _is_letter(c: str) -> bool:
+    return any(a <= ord(c) <= b for a, b in LETTER_RANGES)
+
+
+def _words_before(text: str, end: int, least: int, also: str) -> int:
+    """Where the words of the script that end before a place begin; also: what may stand in them besides letters and space."""
+    at = first = end
+    while at > least and ((letter := _is_letter(text[at - 1])) or text[at - 1].isspace() or text[at - 1] in also):
+        at -= 1
+        if letter:
+            first = at
+    return first
+
+
+def marks_of(body: str) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """kind, start and end, start and end of what it holds, and where it belongs of every mark of a text."""
+    vowels = "".join(map(chr, [*range(0x64B, 0x660), 0x670, *range(0x6D6, 0x6EE)]))
+    taken, leads, refs = set(), {}, []
+    for kind, pattern in _COMPILED.items():
+        for m in pattern.finditer(body):
+            group = 1 if pattern.groups else 0
+            yield kind, m.start(), m.end(), m.start(group), m.end(group), m.start()
+            if kind in ("strong", "weak"):
+                taken.add(m.start())
+            elif kind in ("lead", "second"):
+                leads.setdefault(m.start(), (kind, m.end()))
+    bare, barer = body.translate(_BARE), body.translate(_BARER)
+    for m in _REF.finditer(body):
+        name_end = m.start()
+        name = _words_before(body, name_end, 0, vowels[:-24] + TATWEEL)
+        if name == name_end:
+            continue
+        start = name
+        while start and body[start - 1].isspace():
+            start -= 1
+        start = start - 1 if start and body[start - 1] in REF_OPEN else name
+        taken.add(start)
+        refs.append(start)
+        yield "ref", start, m.end(), name, m.start("rest"), start
+        for kind, text, least in (("run", barer, start - BACK), ("short", bare, start - SHORT_BACK)):
+            first = _words_before(text, start, max(0, least), vowels)
+            yield kind, first, start, first, first + len(text[first:start].rstrip()), start
+    for m in _OPENED.finditer(body):
+        if m.start() not in taken:
+            yield "lax", m.start(), m.end(), m.start(1), m.end(1), m.start()
+    refs.append(len(body))
+    for start, (kind, end) in leads.items():
+        if m := _WORDS.match(bare, end, refs[bisect_left(refs, end)]):
+            # words after a secondary lead-in are only known to be no other lead-in's
+            yield "led", m.start(), m.end(), m.start(1), m.end(1) if kind == "lead" else m.start(1), start
+
+
+_COMPILED = {kind: re.compile(p) for kind, p in PATTERNS.items()}
+_REF, _OPENED, _WORDS = re.compile(_NUMBERS), re.compile(rf"{_any(OPEN + WEAK_OPEN)}[\s\0]*+({_INNER})"), re.compile(rf"\s*+({_RUN})")
 
 
 def marks(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, kind, start, end, inner_start, inner_end and inner of every mark of every text."""
-    patterns = {kind: re.compile(p) for kind, p in MARKS.items()}
+    """key, kind, start, end, inner_start, inner_end, inner and at of every mark of every text."""
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for k, body in zip(frame[key], frame[text], strict=True):
-                for kind, pattern in patterns.items():
-                    for m in pattern.finditer(body or ""):
-                        g = 1 if pattern.groups else 0
-                        rows.append((k, kind, m.start(), m.end(), m.start(g), m.end(g), " ".join(m[g].replace("\0", " ").split())))
-            yield pd.DataFrame(rows, columns=[key, "kind", "start", "end", "inner_start", "inner_end", "inner"])
+            rows = [(k, kind, start, end, a, b, " ".join(body[a:b].replace("\0", " ").split()), at) for k, body in zip(frame[key], frame[text], strict=True) for kind, start, end, a, b, at in marks_of(body or "")]
+            yield pd.DataFrame(rows, columns=[key, "kind", "start", "end", "inner_start", "inner_end", "inner", "at"])
 
     kind = dict(texts.dtypes)[key]
-    return texts.select(key, text).mapInPandas(find, f"`{key}` {kind}, kind string, start int, end int, inner_start int, inner_end int, inner string")
+    return texts.select(key, text).mapInPandas(find, f"`{key}` {kind}, kind string, start int, end int, inner_start int, inner_end int, inner string, at int")
 
 
 def candidates(texts: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
     """key, start, end, text, ref, strategy and high of the quotations that the texts seem to hold, none within another.
 
-    In order of precedence: a quoted span after a lead-in; after a secondary lead-in that follows a quotation; both spans of
-    "from A to B"; the quoted span, or the run of words, before a reference; a strongly quoted span alone.
+    In order of precedence: a quoted span after a lead-in (if it has no end, the words up to where they end); after a
+    secondary lead-in that follows a quotation; both spans of "from A to B"; before a reference the quoted span, else the words after the
+    last lead-in, else the words just before it; a strongly quoted span alone. Null and empty texts have none.
     """
     found = marks(texts, key, text)
-    on = F.col(key)
-    part = lambda kind, prefix: found.where(F.col("kind").isin(kind)).select(on.alias(f"{prefix}_key"), *[F.col(c).alias(f"{prefix}_{c}") for c in ("kind", "start", "end", "inner_start", "inner_end", "inner")])
-    spans = found.where(F.col("kind").isin("strong", "weak") & (F.length("inner") >= 4))
+    is_span = F.col("kind").isin("strong", "weak") & (F.length("inner") >= LEAST)
+    order = Window.partitionBy(key).orderBy("start", F.col("end").desc(), "kind")
+    ahead, back = order.rowsBetween(1, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1)
+    mark = F.struct("kind", "start", "end", "inner_start", "inner_end", "inner")
+    next_of = lambda kind: F.first(F.when(kind, mark), ignorenulls=True).over(ahead)
+    last_of = lambda kind: F.last(F.when(kind, mark), ignorenulls=True).over(back)
+    kind_is = lambda kind: F.col("kind") == kind
+    seen = found.where("kind not in ('run', 'short', 'led')").select(
+        "*", next_of(is_span).alias("span"), next_of(kind_is("lax")).alias("lax"), next_of(kind_is("ref")).alias("next"), next_of(kind_is("strong")).alias("opens"),
+        last_of(is_span).alias("span_before"), F.coalesce(F.max(F.when(kind_is("break"), F.col("end"))).over(back), F.lit(0)).alias("broken"),
+    )
+    gap = lambda mark: F.col(f"{mark}.start") - F.col("end")
     # a span's own reference: the first after it, with no other quotation opened between
-    refs, opens = part(["ref"], "r"), part(["strong"], "o")
-    owned = spans.join(refs, (on == F.col("r_key")) & F.col("r_start").between(F.col("end") - 1, F.col("end") + REF_GAP))
-    owned = owned.join(opens, (on == F.col("o_key")) & (F.col("o_start") >= F.col("end")) & (F.col("o_start") < F.col("r_start")), "left_anti")
-    owned = owned.groupBy(key, "start").agg(F.min(F.struct("r_start", "r_end", "r_inner")).alias("r"))
-    spans = spans.join(owned, [key, "start"], "left").select(key, "kind", "start", "end", "inner_start", "inner_end", "inner", F.col("r.r_start").alias("ref_at"), F.col("r.r_end").alias("ref_end"), F.col("r.r_inner").alias("ref"))
-    leads = part(["lead"], "l")
-    near = spans.join(leads, (on == F.col("l_key")) & F.col("start").between(F.col("l_end"), F.col("l_end") + LEAD_GAP))
-    led = near.groupBy("l_key", "l_start").agg(F.min_by(F.struct(*spans.columns), "start").alias("s")).select("s.*").distinct()
-    led = led.select(key, "inner_start", "inner_end", "inner", "ref", "end", "ref_end", F.lit(1).alias("rank"), F.lit("leadInBraced").alias("strategy"), F.lit(True).alias("high"))
+    owned = gap("next").between(-1, REF_GAP) & (F.col("opens").isNull() | (F.col("opens.start") > F.col("next.start")))
+    refs_of = lambda df: df.select(key, F.col("start").alias("s_start"), F.when(owned, F.col("next")).alias("own"), F.col("next").alias("any"))
+    spans = seen.where(is_span | kind_is("lax"))
+    wanted = ["inner_start", "inner_end", "inner", "end"]
+    shape = lambda df, s, ref, rank, strategy, high: df.select(key, *[F.col(f"{s}.{c}").alias(c) for c in wanted], ref["inner"].alias("ref"), ref["start"].alias("ref_at"), ref["end"].alias("ref_end"), F.lit(rank).alias("rank"), F.lit(strategy).alias("strategy"), F.lit(high).alias("high"))
+    # the span that a lead-in introduces; if none is near, the words in a span without an end
+    chosen = F.when(gap("span").between(0, LEAD_GAP), F.col("span")).when(gap("lax").between(0, LEAD_GAP) & (F.length("lax.inner") >= LEAST), F.col("lax"))
+    led = seen.where(kind_is("lead")).withColumn("s", chosen).where("s is not null").select(key, "s")
+    led = shape(led.join(refs_of(spans).withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & (F.col("s.start") == F.col("s_start"))), "s", F.col("own"), 1, "leadInBraced", True).distinct()
+    after = seen.where(kind_is("second") & gap("span").between(0, LEAD_GAP)).select(key, F.col("start").alias("l_start"), F.col("span").alias("s"))
+    after = after.join(refs_of(spans).withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & (F.col("s.start") == F.col("s_start"))).where("own is not null or s.inner like '% %'")
     # chains of secondary lead-ins, each near the end of a quotation before it
-    seconds = part(["second"], "l")
-    after = spans.join(seconds, (on == F.col("l_key")) & F.col("start").between(F.col("l_end"), F.col("l_end") + LEAD_GAP))
-    chain = after.groupBy("l_key", "l_start").agg(F.min_by(F.struct(*spans.columns), "start").alias("s")).select("l_start", "s.*")
-    ends = led.select(on, F.lit(0).alias("second"), F.lit(None).cast("int").alias("l_start"), F.greatest("end", F.coalesce("ref_end", "end")).alias("at"))
-    both = ends.unionByName(chain.select(on, F.lit(1).alias("second"), "l_start", F.greatest("end", F.coalesce("ref_end", "end")).alias("at")))
-    order = Window.partitionBy(key).orderBy(F.coalesce("l_start", "at"), "at")
-    gap = both.withColumn("_before", F.max("at").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_broken", ((F.col("second") == 0) | F.col("_before").isNull() | ~(F.col("l_start") - F.col("_before")).between(0, SECONDARY_GAP)).cast("int"))
-    linked = gap.withColumn("_chain", F.sum("_broken").over(order)).withColumn("_anchored", F.min("second").over(Window.partitionBy(key, "_chain"))).where("second = 1 and _anchored = 0")
-    second = chain.join(linked.select(on, "l_start"), [key, "l_start"]).select(key, "inner_start", "inner_end", "inner", "ref", "end", "ref_end", F.lit(2).alias("rank"), F.lit("secondaryLeadInBraced").alias("strategy"), F.lit(True).alias("high"))
-    # from A to B: both have the reference after B
-    strong = spans.where("kind = 'strong'")
-    to = part(["range"], "t")
-    first = strong.where("ref is null").join(to, (on == F.col("t_key")) & F.col("end").between(F.col("t_start") - 150, F.col("t_start"))).groupBy(key, "t_start").agg(F.max_by(F.struct("inner_start", "inner_end", "inner", "end"), "start").alias("a"))
-    last = strong.join(to, (on == F.col("t_key")) & F.col("start").between(F.col("t_end"), F.col("t_end") + 150)).groupBy(key, "t_start").agg(F.min_by(F.struct("inner_start", "inner_end", "inner", "end", "ref", "ref_end"), "start").alias("b"))
-    pair = first.join(last, [key, "t_start"])
-    ranged = pair.select(key, F.explode(F.array(F.struct("a.inner_start", "a.inner_end", "a.inner", "a.end"), F.struct("b.inner_start", "b.inner_end", "b.inner", "b.end"))).alias("x"), F.col("b.ref").alias("ref"), F.col("b.ref_end").alias("ref_end"))
-    ranged = ranged.select(key, "x.inner_start", "x.inner_end", "x.inner", "ref", "x.end", "ref_end", F.lit(3).alias("rank"), F.lit("rangeConstruct").alias("strategy"), F.lit(True).alias("high"))
-    by_ref = spans.where("ref is not null").groupBy(key, "ref_at").agg(F.max_by(F.struct(*spans.columns), "start").alias("s")).select("s.*")
-    by_ref = by_ref.select(key, "inner_start", "inner_end", "inner", "ref", "end", "ref_end", F.lit(4).alias("rank"), F.lit("explicitRefBackward").alias("strategy"), F.lit(True).alias("high"))
-    bare = found.where("kind = 'run'").join(refs, (on == F.col("r_key")) & F.col("r_start").between(F.col("inner_end"), F.col("end") + 1)).where(F.length("inner").between(SHORT, LONG))
-    bare = bare.select(key, "inner_start", "inner_end", "inner", F.col("r_inner").alias("ref"), F.col("inner_end").alias("end"), F.col("r_end").alias("ref_end"), F.lit(5).alias("rank"), F.when(F.length("inner") <= 65, "shortFragmentRef").otherwise("explicitRefBackward").alias("strategy"), F.lit(False).alias("high"))
-    alone = strong.where(F.length("inner").between(SHORT, LONG)).select(key, "inner_start", "inner_end", "inner", F.lit(None).cast("string").alias("ref"), "end", F.lit(None).cast("int").alias("ref_end"), F.lit(6).alias("rank"), F.lit("bracedOnly").alias("strategy"), F.lit(False).alias("high"))
+    reaches = lambda end, ref_end: F.coalesce(ref_end, end).alias("reach")
+    ends = led.select(key, F.lit(0).alias("second"), F.lit(None).cast("int").alias("l_start"), reaches(F.col("end"), F.col("ref_end")))
+    both = ends.unionByName(after.select(key, F.lit(1).alias("second"), "l_start", reaches(F.col("s.end"), F.col("own.end"))))
+    chain = Window.partitionBy(key).orderBy(F.coalesce("l_start", "reach"), "reach")
+    before = F.max("reach").over(chain.rowsBetween(Window.unboundedPreceding, -1))
+    gaps = both.withColumn("_broken", ((F.col("second") == 0) | before.isNull() | ~(F.col("l_start") - before).between(0, SECONDARY_GAP)).cast("int"))
+    linked = gaps.withColumn("_chain", F.sum("_broken").over(chain)).withColumn("_anchored", F.min("second").over(Window.partitionBy(key, "_chain"))).where("second = 1 and _anchored = 0")
+    second = shape(after.join(linked.select(key, "l_start").distinct(), [key, "l_start"]), "s", F.col("own"), 2, "secondaryLeadInBraced", True)
+    # from A to B: both have the reference after B, unless A has one of its own
+    near_a = F.col("span_before.kind").isNotNull() & (F.col("span_before.kind") == "strong") & ((F.col("start") - F.col("span_before.start")) <= RANGE_GAP)
+    pairs = seen.where(kind_is("range") & near_a & (F.col("span.kind") == "strong") & gap("span").between(0, RANGE_GAP)).select(key, F.col("start").alias("t_start"), F.col("span_before").alias("a"), F.col("span").alias("b"))
+    of_b = refs_of(spans).select(F.col(key).alias("_k"), "s_start", F.col("any"))
+    pairs = pairs.join(of_b, (F.col(key) == F.col("_k")) & (F.col("b.start") == F.col("s_start"))).drop("_k", "s_start").withColumn("r", F.when(F.col("any.start") - F.col("b.end") <= RANGE_REF_GAP, F.col("any"))).drop("any")
+    own_a = refs_of(spans).select(F.col(key).alias("_k"), "s_start", F.col("any.start").alias("a_ref"))
+    pairs = pairs.join(own_a, (F.col(key) == F.col("_k")) & (F.col("a.start") == F.col("s_start"))).where("a_ref is null or a_ref >= t_start")
+    ranged = shape(pairs.withColumn("s", F.explode(F.array("a", "b"))), "s", F.col("r"), 3, "rangeConstruct", True)
+    # before a reference that no lead-in claimed
+    claimed = led.unionByName(second).where("ref_at is not null").select(key, F.col("ref_at").alias("start")).distinct()
+    refs = seen.where(kind_is("ref")).select(key, "start", "end", "inner", "broken", "span_before").withColumn("meta", F.col("inner").rlike(r"الآيات\s*\d|(?:[،,][^،,]*){2}"))
+    free = refs.where("not meta").join(claimed, [key, "start"], "left_anti")
+    this = F.struct("inner", "start", "end")
+    backward = lambda df, s, high: shape(df.withColumn("r", this), s, F.col("r"), 4, "explicitRefBackward", high)
+    is_near = (F.col("span_before.start") >= F.greatest(F.col("start") - NEAR, F.col("broken"))) & (F.col("span_before.end") <= F.col("start") + 1)
+    quoted = free.withColumn("quoted", F.coalesce(is_near, F.lit(False)))
+    by_span = backward(quoted.where("quoted"), "span_before", True)
+    lead_runs = found.where("kind = 'led'").select(key, F.struct("kind", F.col("at").alias("start"), "end", "inner_start", "inner_end", "inner").alias("led"))
+    plain = _last_before(quoted.where("not quoted").select(key, "start", "end", "inner", "broken"), lead_runs, key, "led").withColumn("led", F.when((F.col("led.start") >= F.greatest(F.col("start") - NEAR, F.col("broken"))) & F.length("led.inner").between(SHORT, LONG), F.col("led")))
+    by_lead = backward(plain.where("led is not null"), "led", True)
+    runs = lambda kind: found.where(F.col("kind") == kind).select(key, F.col("at").alias("start"), F.struct("kind", "end", "inner_start", "inner_end", "inner").alias("run"))
+    by_run = plain.where("led is null").join(runs("run"), [key, "start"]).where(F.col("run.inner_start") >= F.col("broken")).where(F.length("run.inner").between(SHORT, LONG))
+    by_run = backward(by_run, "run", False)
+    short = refs.join(runs("short"), [key, "start"]).where(F.length("run.inner").between(SHORT, SHORT_MOST))
+    short = shape(short.withColumn("r", this), "run", F.col("r"), 5, "shortFragmentRef", False)
+    none = F.lit(None).cast("struct<inner:string,start:int,end:int>")
+    alone = seen.where(kind_is("strong") & F.length("inner").between(SHORT, LONG)).withColumn("s", mark).withColumn("r", none)
     everything = led
-    for more in (second, ranged, by_ref, bare, alone):
+    for more in (second, ranged, by_span, by_lead, by_run, short, shape(alone, "s", F.col("r"), 6, "bracedOnly", False)):
         everything = everything.unionByName(more)
-    everything = everything.where("not (ref is not null and ref rlike '(?:[،,].*){2,}' and rank >= 4)")
-    # what overlaps a candidate of higher precedence goes, then what lies within another
-    higher = everything.select(on.alias("h_key"), F.col("rank").alias("h_rank"), F.col("inner_start").alias("h_start"), F.col("inner_end").alias("h_end"))
-    left = everything.join(higher, (on == F.col("h_key")) & (F.col("h_rank") < F.col("rank")) & (F.col("inner_start") < F.col("h_end")) & (F.col("inner_end") > F.col("h_start")), "left_anti")
-    left = left.select(key, F.col("inner_start").alias("start"), F.col("inner_end").alias("end"), F.col("inner").alias("text"), "ref", "strategy", "high", "rank").dropDuplicates([key, "start", "end"])
-    return without_contained(left, [key]).drop("rank")
+    everything = everything.select(key, F.col("inner_start").alias("start"), F.col("inner_end").alias("end"), F.col("inner").alias("text"), "ref", "strategy", "high", "rank")
+    # of one span the first rule counts
+    everything = everything.groupBy(key, "start", "end").agg(F.min(F.struct("rank", "ref", "strategy", "high", "text")).alias("c")).select(key, "start", "end", "c.*")
+    return without_contained(_without_overlapped(everything, [key]), [key]).drop("rank").select(key, "start", "end", "text", "ref", "strategy", "high")
+
+
+def _last_before(rows: DataFrame, others: DataFrame, key: str, name: str) -> DataFrame:
+    """rows (with start), and the last of others (a struct with start) that begins before each."""
+    both = rows.withColumn("_at", F.col("start")).withColumn(name, F.lit(None).cast(others.schema[name].dataType)).unionByName(others.withColumn("_at", F.col(f"{name}.start")), allowMissingColumns=True)
+    back = Window.partitionBy(key).orderBy("_at", F.col("start").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("_last", F.last(name, ignorenulls=True).over(back)).where("start is not null").drop("_at", name).withColumnRenamed("_last", name)
+
+
+def _blocks(start: Column, end: Column) -> Column:
+    return F.explode(F.sequence(F.floor(start / 1000), F.floor((end - 1) / 1000)))
+
+
+def _without_overlapped(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans (start, end, rank) that overlap no span of a lower rank, compared by the blocks of characters that they touch."""
+    names = [f"_{k}" for k in keys]
+    higher = spans.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("rank").alias("_rank"), F.col("start").alias("_start"), F.col("end").alias("_end"), _blocks(F.col("start"), F.col("end")).alias("_b"))
+    touched = spans.withColumn("_block", _blocks(F.col("start"), F.col("end")))
+    same = F.col("_block") == F.col("_b")
+    for k, n in zip(keys, names, strict=True):
+        same &= F.col(k) == F.col(n)
+    hit = touched.join(higher, same & (F.col("_rank") < F.col("rank")) & (F.col("start") < F.col("_end")) & (F.col("end") > F.col("_start")), "left_semi")
+    return spans.join(hit.select(*keys, "start", "end").distinct(), [*keys, "start", "end"], "left_anti")
 
 
 def without_contained(spans: DataFrame, keys: list[str]) -> DataFrame:

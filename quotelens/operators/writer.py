@@ -28,7 +28,7 @@ def begun_quotation(before_caret: Column) -> Column:
     text = F.translate(before_caret, "\0", " ")
     by_mark = F.regexp_extract(text, rf"(?s)^.*([{opens}])([^{opens}{closes}]*)$", 1)
     after_mark = F.regexp_extract(text, rf"(?s)^.*[{opens}]([^{opens}{closes}]*)$", 1)
-    after_lead = F.regexp_extract(text, rf"(?s)^.*(?:{extract.MARKS["lead"]})([^{opens}{closes}]*)$", 1)
+    after_lead = F.regexp_extract(text, rf"(?s)^.*(?:{extract.PATTERNS["lead"]})([^{opens}{closes}]*)$", 1)
     marked = by_mark != ""
     cited = squeeze(F.when(marked, after_mark).otherwise(after_lead))
     closer = F.element_at(F.create_map(*[F.lit(x) for pair in CLOSERS.items() for x in pair]), F.when(marked, by_mark))

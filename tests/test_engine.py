@@ -1,6 +1,7 @@
 """Normalisation, alignment, references, extraction, verdicts, findings and corrections on small cases."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,36 @@ def test_extraction(spark):
     assert all(body[r.start : r.end] == r.text for r in got)
 
 
+def extracted(spark, *bodies):
+    got = extract.candidates(spark.createDataFrame(list(enumerate(bodies)), "page_id int, text string")).orderBy("page_id", "start").collect()
+    return [[(r.text, r.ref, r.strategy, r.high) for r in got if r.page_id == i] for i in range(len(bodies))]
+
+
+def test_extraction_rules(spark):
+    got = extracted(
+        spark,
+        "قال تعالى: {ذلك الكتاب لا ريب فيه",  # a span without an end
+        "قال تعالى: (البقرة:2) وغيره",  # a reference, no span
+        "قوله تعالى: مالك يوم الدين (الفاتحة:4)",  # words after a lead-in, before a reference
+        "{شريك} قوله {شريك} اي مشارك",  # one word after a secondary lead-in
+        "انظر (الآيات 3: 1، 2، 3)",  # a list
+        "{الحمد لله رب} ثم (الفاتحة:2) إلى قوله: {ولا الضالين ابدا} (الفاتحة:7)",  # two quotations, no range
+        "كلمات اولى.\n\nمالك يوم الدين الواقعة:82) هنا",  # no opening bracket; a break before
+    )
+    assert got[0] == [("ذلك الكتاب لا ريب فيه", None, "leadInBraced", True)] and got[1] == []
+    assert got[2] == [("مالك يوم الدين", "الفاتحة:4", "explicitRefBackward", True)]
+    assert got[3] == [] and got[4] == []
+    assert got[5] == [("الحمد لله رب", "الفاتحة:2", "explicitRefBackward", True), ("ولا الضالين ابدا", "الفاتحة:7", "explicitRefBackward", True)]
+    assert got[6] == []
+
+
+def test_long_texts_take_time_in_proportion():
+    for body in ("كلمة طويلة هنا " * 2000, "كلمة {طويلة " * 2500, "كلمة (البقرة:5) طويلة " * 2000, "( " * 20000, " " * 50000, "كَلِمَة " * 5000 + ":1)"):
+        began = time.time()
+        assert sum(1 for _ in extract.marks_of(body)) >= 0
+        assert time.time() - began < 2, body[:20]
+
+
 def test_range_construct(spark):
     body = "{الحمد لله رب العالمين} إلى قوله: {ولا الضالين ابدا} (الفاتحة:2-7)"
     got = extract.candidates(spark.createDataFrame([(1, body)], "page_id int, text string")).collect()
