@@ -20,7 +20,7 @@ def normal_for_id(text: Column) -> Column:
 
 
 def fnv1a32(text: Column) -> Column:
-    """The 32-bit FNV-1a hash over UTF-16 units, in hexadecimal."""
+    """The 32-bit FNV-1a hash over UTF-16 units, in hexadecimal. Its offset and prime are fixed values."""
     units = F.filter(F.transform(F.split(text, ""), lambda c: F.when(F.length(c) > 0, F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("long"))), lambda u: u.isNotNull())
     step = lambda h, u: F.pmod(h.bitwiseXOR(u) * F.lit(16777619), F.lit(1 << 32))
     return F.lower(F.lpad(F.hex(F.aggregate(units, F.lit(2166136261).cast("long"), step)), 8, "0"))
@@ -31,10 +31,19 @@ def finding_id(text: Column, claimed: Column, matched: Column, path: Column) ->
     return F.concat(fnv1a32(key), F.lit("-"), F.lower(F.conv(F.length(key).cast("string"), 10, 36)))
 
 
+# What changes in a context between visits (relative times, presence, unread counts; times of day stay, since they tell equal messages apart).
+VOLATILE = (
+    r"(?i)\b\d+\s*(?:seconds?|secs?|minutes?|mins?|hours?|hrs?|days?|weeks?|months?|years?)\s*ago\b",
+    r"(?i)\bjust\s*now\b",
+    r"(?i)\b(?:yesterday|today)\b",
+    r"(?i)\b(?:online|offline|typing\.{0,3}|last\s+seen\s+[^.\n]{0,40})\b",
+    r"(?i)\b\d+\s*(?:new|unread)\b",
+)
+
+
 def scrub_volatile(text: Column) -> Column:
-    """Without the parts of a context that change between visits: clock and relative times, presence, unread counts."""
-    for pattern in (r"(?i)\b\d{1,2}:\d{2}(?::\d{2})?\s*(?:am|pm|ص|م)?\b", r"(?i)\b\d+\s*(?:s|sec|min|m|h|hr|d|w|mo|y|seconds?|minutes?|hours?|days?|weeks?|months?|years?)\s*ago\b", r"(?i)\b(?:yesterday|today|just now|online|typing|last seen|أمس|اليوم|الآن|متصل|يكتب)\b", r"(?i)\(\d+\)|\b\d+\s*(?:unread|new)\b"):
-        text = F.regexp_replace(text, pattern, "")
+    for pattern in VOLATILE:
+        text = F.regexp_replace(text, pattern, " ")
     return squeeze(text)
 
 

@@ -53,6 +53,29 @@ def anchored(candidates: DataFrame, passages: DataFrame) -> DataFrame:
     return starts.join(canon_side(last, passages), (F.col("_last") == F.col("_w")) & (F.col("group_id") == F.col("_g")) & (F.col("ord") == F.col("_o"))).drop("_g", "_o", "_w", "_first", "_last")
 
 
+def softly_anchored(candidates: DataFrame, passages: DataFrame, profile: Profile, most: int = 3) -> DataFrame:
+    """Candidates of two words or more with the passages that have a word like their first one, and one like their last one.
+
+    A word may be written in up to most words of the citation, and differ in one letter of the profile's drift. Of its two ends a
+    candidate is joined by the one that fewer words of the canon are like; the other one is a filter on the passage's words.
+    """
+    c = candidates.where(F.size("cited_words") >= 2)
+    ends = F.sequence(F.lit(1), F.least(F.lit(most), F.size("cited_words")))
+    c = c.withColumn("_heads", F.transform(ends, lambda k: F.array_join(F.slice("cited_words", F.lit(1), k), ""))).withColumn("_tails", F.transform(ends, lambda k: F.array_join(F.slice("cited_words", F.size("cited_words") - k + 1, k), "")))
+    index = passages.select(*PASSAGE, "t1_words", F.explode(F.array_distinct("t1_words")).alias("word")).withColumn("_s", profile.skeleton(F.col("word")))
+    often = index.groupBy("_s").agg(F.count("*").alias("often"))
+    sides = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(f).alias("forms")) for n, f in ((0, "_heads"), (1, "_tails"))])).alias("e")
+    forms = c.select("cand_id", sides).select("cand_id", "e.side", F.explode("e.forms").alias("form")).distinct().withColumn("_s", profile.skeleton(F.col("form")))
+    counted = forms.join(canon_side(often, passages), "_s", "left").groupBy("cand_id", "side").agg(F.coalesce(F.sum("often"), F.lit(0)).alias("hits"))
+    rarer = counted.groupBy("cand_id").agg(F.min(F.struct("hits", "side"))["side"].alias("side"))
+    alike = lambda a, b: (a == b) | (profile.same_word(a, b) & (F.levenshtein(a, b) <= 1)) if profile.drift else a == b
+    met = forms.join(rarer, ["cand_id", "side"]).join(canon_side(index, passages), "_s").where(alike(F.col("form"), F.col("word")))
+    met = met.select("cand_id", "side", *PASSAGE, "t1_words").distinct()
+    other = F.when(F.col("side") == 0, F.col("_tails")).otherwise(F.col("_heads"))
+    has = F.exists("t1_words", lambda w: F.exists(other, lambda f: alike(f, w))) if profile.drift else F.arrays_overlap("t1_words", other)
+    return c.join(met, "cand_id").where(has).drop("_heads", "_tails", "side", "t1_words")
+
+
 def contiguous(candidates: DataFrame, passages: DataFrame) -> DataFrame:
     """Candidates of two words or more that are a run of a passage, word for word."""
     pairs = candidates.where(F.size("cited_words") >= 2).withColumn("_pair", F.xxhash64(F.element_at("cited_words", 1), F.element_at("cited_words", 2)))

@@ -12,22 +12,29 @@ from quotelens.functions.windows import if_small
 SMALL_GAP = 10
 
 
+# Words before the name of a group and before its numbers, and the marks between numbers.
+GROUP_WORDS, NUMBER_WORDS = "سورة|سوره", "الآيات|الآية"
+DASHES, COMMAS = "-–—", "،,"
+_OUTER = r"[^\p{L}\p{N}]*"
+
+
 def parsed(ref: Column) -> Column:
     """name, ords, is_range and range_ords of a reference; null where it has no colon or no number."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(ref, r"^[\s({«\[﴿]+", ""), r"[\s.,;)}»\]﴾]+$", ""))
-    bare = F.regexp_replace(bare, r"^(?:من\s+)?سور[ةه]\s+", "")
-    name = F.trim(F.regexp_extract(bare, r"^([^:：]*)[:：]", 1))
-    numbers = ascii_digits(F.regexp_replace(F.trim(F.regexp_extract(bare, r"^[^:：]*[:：](.*)$", 1)), r"^(?:الآيات|الآية)\s*", ""))
-    low, high = (F.regexp_extract(numbers, r"^(\d+)\s*[-–—]\s*(\d+)$", k).try_cast("int") for k in (1, 2))
+    # what stands between the first letter and the last letter or digit, cut at the first colon
+    name = F.trim(F.regexp_replace(F.regexp_extract(ref, rf"^{_OUTER}([^:：]*)[:：]", 1), rf"^(?:من\s+)?(?:{GROUP_WORDS})\s+", ""))
+    numbers = ascii_digits(F.regexp_extract(ref, rf"^[^:：]*[:：]\s*(?:(?:{NUMBER_WORDS})\s*)?(.*?){_OUTER}$", 1))
+    parts = F.transform(F.split(numbers, f"[{COMMAS}]"), lambda p: F.trim(p))
+    ends = F.split(numbers, rf"\s*[{DASHES}]\s*")
+    is_span = numbers.rlike(rf"^\d+\s*[{DASHES}]\s*\d+$")
+    low, high = (F.when(is_span, F.get(ends, F.lit(k))).try_cast("int") for k in (0, 1))
     span = F.when((low > 0) & (high >= low), F.sequence(low, high))
-    listed = F.filter(F.transform(F.split(numbers, r"[،,]\s*"), lambda p: F.regexp_extract(F.trim(p), r"^(\d+)", 1).try_cast("int")), lambda n: n > 0)
-    is_span = numbers.rlike(r"^\d+\s*[-–—]\s*\d+$")
+    listed = F.filter(F.transform(parts, lambda p: F.regexp_extract(p, r"^\d+", 0).try_cast("int")), lambda n: n > 0)
     ords = F.when(is_span, span).otherwise(listed)
     two = (F.size(ords) == 2) & ~is_span
     a, b = F.try_element_at(ords, F.lit(1)), F.try_element_at(ords, F.lit(2))
     wider = F.when(two & (b > a) & (b - a <= SMALL_GAP), F.sequence(a, F.greatest(a, b)))
-    several = F.when(is_span, span.isNotNull()).otherwise(F.size(F.split(numbers, r"[،,]\s*")) > 1)
-    return F.when(bare.rlike(r"[:：]") & (F.size(ords) > 0), F.struct(name.alias("name"), ords.alias("ords"), several.alias("is_range"), wider.alias("range_ords")))
+    several = F.when(is_span, span.isNotNull()).otherwise(F.size(parts) > 1)
+    return F.when(ref.rlike(r"[:：]") & (F.size(ords) > 0), F.struct(name.alias("name"), ords.alias("ords"), several.alias("is_range"), wider.alias("range_ords")))
 
 
 def resolved(citations: DataFrame, names: DataFrame, profile: Profile, ref: str = "ref") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotelens.functions.profiles import Profile
@@ -72,7 +72,7 @@ def verdicts(candidates: DataFrame, passages: DataFrame, profile: Profile) -> Da
 
     same = match.exact(c, passages).where(elsewhere).join(canon_side(texts, passages), (F.col("group_id") == F.col("_g")) & (F.col("ord") == F.col("_o")))
     run = match.contiguous(c, passages).where(elsewhere & (~bound | high))
-    loose = with_canon(match.anchored(c, passages).where(elsewhere & (~bound | high))).where(soft("canon", "cited_words")["start"].isNotNull())
+    loose = with_canon(match.softly_anchored(c, passages, profile).where(elsewhere & (~bound | high))).where(soft("canon", "cited_words")["start"].isNotNull())
     bags = with_canon(match.bag_matches(c, passages).join(c.select("cand_id", "cited_words", "n", "bound"), "cand_id")).withColumn("_d", apart("cited_words", "canon", match.allowed_edits(n))).where("_d is not null")
     index = passages.select(*PASSAGE, F.explode(F.array_distinct("t1_words")).alias("word"))
     frequent = index.groupBy("word").agg(F.count("*").alias("hits"))
@@ -99,20 +99,28 @@ def verdicts(candidates: DataFrame, passages: DataFrame, profile: Profile) -> Da
         _hit(held.where(~green), F.lit(15) + F.col("reading"), F.lit("yellow"), "partial", worded, F.col("_d")),
         c.where(high).select("cand_id", F.lit(99).alias("rank"), F.lit("red").alias("verdict"), F.lit("none").alias("match_type"), F.lit(None).cast("string").alias("deviation"), F.lit(0).alias("diffs"), F.lit(None).cast("int").alias("group_id"), F.lit(None).cast("int").alias("ord")),
     ]
-    ranked = reduce(DataFrame.unionByName, hits).groupBy("cand_id", "rank").agg(F.min(F.struct("diffs", *PASSAGE, "verdict", "match_type", "deviation")).alias("best"), F.array_sort(F.collect_set(F.when(F.col("ord").isNotNull(), F.struct("diffs", *PASSAGE)))).alias("refs"))
+    # of single words and of wordings that differ only those that are listed are kept, by a window that needs no more of them
+    listed = Window.partitionBy("cand_id", "rank").orderBy("diffs", *PASSAGE)
+    most = F.when(F.col("verdict") == "yellow", MOST_PARTIAL).otherwise(MOST_SINGLE)
+    every = reduce(DataFrame.unionByName, hits)
+    partial = every.where("match_type = 'partial'").distinct().withColumn("_n", F.row_number().over(listed)).where(F.col("_n") <= MOST_SINGLE).where(F.col("_n") <= most).drop("_n")
+    ranked = every.where("match_type <> 'partial'").unionByName(partial).groupBy("cand_id", "rank").agg(F.min(F.struct("diffs", *PASSAGE, "verdict", "match_type", "deviation")).alias("best"), F.array_sort(F.collect_set(F.when(F.col("ord").isNotNull(), F.struct("diffs", *PASSAGE)))).alias("refs"))
     first = ranked.groupBy("cand_id").agg(F.min(F.struct("rank", "best", "refs")).alias("w"))
     best = F.col("w.best")
-    listed = F.when(best["verdict"] == "yellow", F.slice("w.refs", 1, MOST_PARTIAL)).when(best["match_type"] == "partial", F.slice("w.refs", 1, MOST_SINGLE)).otherwise(F.col("w.refs"))
-    return first.select("cand_id", best["verdict"].alias("verdict"), best["match_type"].alias("match_type"), best["deviation"].alias("deviation"), best["diffs"].alias("diffs"), F.transform(listed, lambda r: F.struct(r["group_id"].alias("group_id"), r["ord"].alias("ord"))).alias("refs"))
+    return first.select("cand_id", best["verdict"].alias("verdict"), best["match_type"].alias("match_type"), best["deviation"].alias("deviation"), best["diffs"].alias("diffs"), F.transform("w.refs", lambda r: F.struct(r["group_id"].alias("group_id"), r["ord"].alias("ord"))).alias("refs"))
 
 
 def memoized(candidates: DataFrame, passages: DataFrame, profile: Profile) -> DataFrame:
     """verdicts() made once for each different candidate, for all of them. Candidates and canon are written once, since every way of matching reads them."""
     passages = materialize(passages, "passages")
     key = ["text", "high", "claimed_group", "ords", "range_ords"]
-    coded = candidates.withColumn("_key", F.xxhash64(*key))
-    once = materialize(coded.groupBy("_key").agg(*[F.first(k).alias(k) for k in key]).withColumnRenamed("_key", "cand_id"), "candidates")
-    return coded.select("cand_id", "_key").join(verdicts(once, passages, profile).withColumnRenamed("cand_id", "_key"), "_key").drop("_key")
+    asked = materialize(candidates.select("cand_id", *key), "asked")
+    # numbered in a written table, so that the numbers stay
+    once = materialize(asked.select(*key).distinct().withColumn("_id", F.monotonically_increasing_id()), "candidates")
+    judged = verdicts(once.withColumnRenamed("_id", "cand_id"), passages, profile).withColumnRenamed("cand_id", "_id")
+    known = once.select("_id", *[F.col(k).alias(f"_{k}") for k in key]).join(judged, "_id").drop("_id")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    return asked.join(known, same).drop(*key, *[f"_{k}" for k in key])
 
 
 def near_matches(red: DataFrame, passages: DataFrame, profile: Profile, rivals: int = 1) -> DataFrame:
@@ -122,7 +130,7 @@ def near_matches(red: DataFrame, passages: DataFrame, profile: Profile, rivals:
     """
     c = match.with_words(red, profile).withColumn("n", F.size("cited_words")).where("n > 1")
     apart, window = align.window_distance(profile.drift), align.best_window(profile.drift)
-    single = match.anchored(c, passages).join(canon_side(passages.select(*PASSAGE, F.col("t1_words").alias("canon")), passages), PASSAGE).select("cand_id", "cited_words", "n", "group_id", F.col("ord").alias("first"), F.col("ord").alias("last"), "canon")
+    single = match.softly_anchored(c, passages, profile).join(canon_side(passages.select(*PASSAGE, F.col("t1_words").alias("canon")), passages), PASSAGE).select("cand_id", "cited_words", "n", "group_id", F.col("ord").alias("first"), F.col("ord").alias("last"), "canon")
     spans = match.runs_of_passages(passages).withColumn("_first", F.col("words")).select("group_id", "first", "last", F.col("words").alias("canon"))
     ends = passages.select("group_id", "ord", F.explode(F.array_distinct("t1_words")).alias("word"))
     starts = c.where("n <= 40").join(canon_side(ends, passages), F.element_at("cited_words", 1) == F.col("word")).select("cand_id", "cited_words", "n", "group_id", F.col("ord").alias("first"))
@@ -131,7 +139,10 @@ def near_matches(red: DataFrame, passages: DataFrame, profile: Profile, rivals:
     crossing = crossing.join(spans, ["group_id", "first", "last"]).select(single.columns)
     scored = single.union(crossing).withColumn("distance", apart("cited_words", "canon", match.allowed_edits(F.col("n"), True))).where("distance > 0")
     order = F.struct("distance", (F.col("last") > F.col("first")).alias("crosses"), "group_id", "first", "last", "cited_words", "canon")
-    best = scored.groupBy("cand_id").agg(F.min(order).alias("b"), F.collect_set(F.struct("distance", "group_id", "first")).alias("all"))
-    count = F.size(F.filter("all", lambda x: (x["distance"] <= F.col("b.distance") + rivals) & ~((x["group_id"] == F.col("b.group_id")) & (x["first"] == F.col("b.first")))))
-    found = best.select("cand_id", "b.group_id", "b.first", "b.last", "b.distance", window("b.cited_words", "b.canon", "b.canon").alias("w"), count.alias("rivals"))
+    scored = materialize(scored.select("cand_id", "distance", "group_id", "first", "last", "cited_words", "canon"), "scored")
+    best = scored.groupBy("cand_id").agg(F.min(order).alias("b"))
+    other = ~((F.col("group_id") == F.col("b.group_id")) & (F.col("first") == F.col("b.first")))
+    near = scored.select("cand_id", "distance", "group_id", "first").distinct().join(best, "cand_id").where(F.col("distance") <= F.col("b.distance") + rivals)
+    count = near.groupBy("cand_id").agg(F.count_if(other).cast("int").alias("rivals"))
+    found = best.join(count, "cand_id").select("cand_id", "b.group_id", "b.first", "b.last", "b.distance", window("b.cited_words", "b.canon", "b.canon").alias("w"), "rivals")
     return found.select("cand_id", "group_id", "first", "last", "distance", "w.diff", "rivals")

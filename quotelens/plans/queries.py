@@ -15,6 +15,7 @@ from quotelens.functions.profiles import LATIN, Profile
 from quotelens.operators import align, corrections, extract, findings, match, references, suggest, verify
 from quotelens.plans import scan
 from quotelens.sources import corpus, pages
+from quotelens.store import materialize
 from quotelens.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,7 +146,8 @@ def _claims(spark, sf_dir) -> DataFrame:
     yellow = _edited(long, F.lit(1), 3).select(F.concat(F.lit("y-"), "item_id").alias("cand_id"), *none, F.lit("yellow").alias("expected"))
     red = _edited(long, budget + 1, 1).select(F.concat(F.lit("r-"), "item_id").alias("cand_id"), *none, F.lit("red").alias("expected"))
     both = quoted.unionByName(yellow).unionByName(red)
-    return both.withColumn("high", F.lit(True)).withColumn("range_ords", F.lit(None).cast("array<int>"))
+    # written, since every query reads them more than once and finding what documents hold is the most of their work
+    return materialize(both.withColumn("high", F.lit(True)).withColumn("range_ords", F.lit(None).cast("array<int>")), "claims")
 
 
 _CLAIMS = (
@@ -304,8 +306,9 @@ def url_canonical(spark, sf_dir):
 
 @query(
     "WITH s AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<title\\b.*?</title\\s*>', '<>', 'g') AS h FROM pages), "
-    "r AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '‹'), '&gt;', '›'), '&quot;', '\"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS h FROM s), "
-    "n AS (SELECT page_id, list_filter(regexp_split_to_array(h, '<[^>]*>'), lambda x: regexp_matches(x, '\\S')) AS nodes FROM r) SELECT page_id, CAST(len(nodes) AS BIGINT) AS n_nodes, CAST(list_sum(list_transform(nodes, lambda x: length(x))) AS BIGINT) AS n_chars FROM n"
+    "n AS (SELECT page_id, list_filter(regexp_split_to_array(h, '<[^>]*>'), lambda x: regexp_matches(x, '\\S')) AS raw FROM s), "
+    "d AS (SELECT page_id, list_filter(list_transform(raw, lambda x: replace(replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')), lambda x: regexp_matches(x, '\\S')) AS nodes FROM n) "
+    "SELECT page_id, CAST(len(nodes) AS BIGINT) AS n_nodes, CAST(list_sum(list_transform(nodes, lambda x: length(x))) AS BIGINT) AS n_chars FROM d"
 )
 def html_nodes(spark, sf_dir):
     return pages.text_nodes(_table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.sum(F.length("text")).alias("n_chars"))

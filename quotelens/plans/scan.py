@@ -24,7 +24,7 @@ def scan(web_pages: DataFrame, passages: DataFrame, names: DataFrame, profile: P
     """
     texts = pages.joined_text(web_pages)
     found = extract.candidates(texts)
-    asked = references.resolved(found, names, profile).withColumn("cand_id", F.xxhash64("page_id", "start", "end"))
+    asked = references.resolved(found, names, profile).withColumn("cand_id", F.struct("page_id", "start", "end"))
     asked = materialize(asked, "asked")
     judged = verify.memoized(asked.select("cand_id", "text", "high", "claimed_group", "ords", "range_ords"), passages, profile)
     out = asked.join(judged, "cand_id")
@@ -35,8 +35,10 @@ def scan(web_pages: DataFrame, passages: DataFrame, names: DataFrame, profile: P
     out = out.join(around, "page_id").withColumn("_context", labels.scrub_volatile(F.translate(F.substring("_page", F.greatest(F.col("start") - CONTEXT // 2, F.lit(1)), F.lit(CONTEXT) + F.col("end") - F.col("start")), "\0", " "))).drop("_page")
     out = out.withColumn("id", labels.finding_id(F.col("text"), F.col("ref"), F.col("matched"), F.concat_ws(":", "start", "end")))
     out = findings.occurrence(out, ["page_id", "text", "ref"], "start")
-    out = out.withColumn("session", labels.fnv1a32(F.concat_ws("|", labels.normal_for_id(F.col("text")), F.coalesce("ref", F.lit("")), "_context", F.col("occurrence").cast("string"))))
-    out = findings.latest(out, ["page_id", "session"], [F.col("start")])
+    identity = [labels.normal_for_id(F.col("text")), F.coalesce("ref", F.lit("")), F.col("_context"), F.col("occurrence").cast("string")]
+    # findings are one by the parts of their identity; session is its short name
+    out = out.withColumn("session", labels.fnv1a32(F.concat_ws("|", *identity))).withColumn("_identity", F.array(*identity))
+    out = findings.latest(out, ["page_id", "_identity"], [F.col("start")])
     out = findings.first_per_page(out, "page_id", ["start", "end"], cap)
     out = findings.occurrence(out.drop("occurrence"), ["page_id"], "start").withColumnRenamed("occurrence", "seq")
     return out.select("page_id", "seq", "id", "start", "end", "text", "ref", "strategy", "claimed_group", "ords", "verdict", "match_type", "deviation", "diffs", "refs", "matched", "session")

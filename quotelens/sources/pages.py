@@ -2,30 +2,55 @@
 
 from __future__ import annotations
 
+import html as charrefs
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotelens.functions.profiles import SPACES
+
 #: Elements whose content is no text of the page.
 HIDDEN = "script|style|noscript|template|textarea|title|svg|iframe"
-REFS = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
 def nodes_of(html: Column) -> Column:
-    """The text nodes of a page in order, without blank ones."""
+    """The text nodes of a page in order with their places, without blank ones. Tags go before references are decoded."""
+
+    @F.pandas_udf("array<struct<text:string,start:int>>")
+    def decoded(nodes: pd.Series) -> pd.Series:
+        def placed(parts) -> list[dict]:
+            at, out = 0, []
+            for part in parts:
+                text = charrefs.unescape(part) if "&" in part else part
+                if text.strip():
+                    out.append({"text": text, "start": at})
+                    at += len(text) + 1
+            return out
+
+        return nodes.map(placed)
+
     shown = F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?is)<!--.*?-->|<({HIDDEN})\b.*?</\1\s*>", "<>")
-    for ref, char in REFS:
-        shown = F.replace(shown, F.lit(ref), F.lit({"<": "‹", ">": "›"}.get(char, char)))
-    return F.filter(F.split(shown, r"<[^>]*>"), lambda n: n.rlike(r"\S"))
+    return decoded(F.filter(F.split(shown, r"<[^>]*>"), lambda n: F.regexp_replace(n, SPACES, "") != ""))
 
 
 def text_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, node (its number), text and start: where the node begins in the page's joined text."""
-    nodes = pages.select(key, nodes_of(F.col(html)).alias("_nodes"))
-    ends = F.aggregate("_nodes", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(n) + 1)))
-    placed = nodes.withColumn("_both", F.arrays_zip(F.col("_nodes").alias("text"), F.slice(ends, 1, F.size("_nodes")).alias("start")))
-    return placed.select(key, F.posexplode("_both").alias("node", "n")).select(key, "node", F.col("n.text").alias("text"), F.col("n.start").alias("start"))
+    return pages.select(key, F.posexplode(nodes_of(F.col(html))).alias("node", "n")).select(key, "node", F.col("n.text").alias("text"), F.col("n.start").alias("start"))
 
 
 def joined_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key and text: the nodes with a boundary between each two."""
-    return pages.select(key, F.array_join(nodes_of(F.col(html)), "\0").alias("text"))
+    return pages.select(key, F.array_join(F.transform(nodes_of(F.col(html)), lambda n: n["text"]), "\0").alias("text"))
+
+
+def spans_in_nodes(spans: DataFrame, nodes: DataFrame, key: str = "page_id") -> DataFrame:
+    """Spans (key, start, end) of joined texts as places in their nodes: node, from and to, a row for each node that a span touches.
+
+    nodes: as text_nodes gives them. Both are compared by the blocks of 1,000 characters that they touch.
+    """
+    block = lambda start, end: F.explode(F.sequence(F.floor(start / 1000), F.floor((end - 1) / 1000))).alias("_b")
+    ends = nodes.withColumn("_to", F.col("start") + F.length("text")).select(key, "node", F.col("start").alias("_from"), "_to", block(F.col("start"), F.col("_to")))
+    both = spans.select("*", block(F.col("start"), F.col("end"))).join(ends, [key, "_b"]).where("start < _to and _from < end")
+    both = both.where(F.col("_b") == F.floor(F.greatest("start", "_from") / 1000))
+    return both.select(*spans.columns, "node", (F.greatest("start", "_from") - F.col("_from")).alias("from"), (F.least("end", "_to") - F.col("_from")).alias("to"))

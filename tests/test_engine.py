@@ -93,6 +93,15 @@ def test_verdicts(spark, canon):
     assert got == {i: c[4:] for i, c in enumerate(CASES) if c[4]}
 
 
+def test_drifted_and_merged_ends_are_found_without_a_claim(spark):
+    rows = [(1, 1, "ا", "قال موسي لقومه يا قوم اذكروا نعمه ربكم"), (1, 2, "ا", "كلام اخر لا شيء منه هناك ابدا")]
+    arabic = corpus.passages_of(spark.createDataFrame(rows, "group_id int, ord int, group_name string, text string"), ARABIC)
+    texts = ["قل موسي لقومه يا", "موسي لقومه ياقوم اذكروا", "لقو مه يا قوم", "موسي اذكروا لقومه نعمه", "قال مسي لقمه يا قوم"]
+    asked = spark.createDataFrame([(i, t, True, None, None, None) for i, t in enumerate(texts)], "cand_id int, text string, high boolean, claimed_group int, ords array<int>, range_ords array<int>")
+    got = {r.cand_id: r.verdict for r in verify.memoized(asked, arabic, ARABIC).collect()}
+    assert got[0] == got[1] == got[2] == "lightBlue" and got[3] != "lightBlue" and got[4] == "lightBlue"
+
+
 def test_near_match(spark, canon):
     red = spark.createDataFrame([(1, "alpha zzz gamma yyy epsilon zeta eta theta iota kappa"), (2, "kappa lambda mu zzz xi omicron pi rho sigma")], "cand_id int, text string")
     got = {r.cand_id: r for r in verify.near_matches(red, canon, LATIN).collect()}
@@ -179,13 +188,18 @@ def test_labels(spark):
     assert one(spark, labels.group_of_ref(F.lit("(A b:12)"))) == "A b"
     diff = F.array(*[F.struct(F.lit(o).alias("op"), F.lit(c).alias("cited"), F.lit(a).alias("authentic")) for o, c, a in (("keep", "a<", "a<"), ("sub", "x", "y"), ("missing", "", "z"))])
     assert one(spark, labels.diff_html(diff)) == "a&lt; <del>x</del> <ins>y</ins> <ins>z</ins>"
-    assert one(spark, labels.scrub_volatile(F.lit("said 3 minutes ago at 10:35 pm (4) hi"))) == "said at hi"
+    assert one(spark, labels.scrub_volatile(F.lit("said 3 minutes ago at 10:35 pm (4) 2 new hi"))) == "said at 10:35 pm (4) hi"
 
 
 def test_text_nodes(spark):
     html = "<p>a<b> b</b></p><script>x</script>  <!-- c --><i>d</i>"
     got = pages.text_nodes(spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")).orderBy("node").collect()
     assert [(r.node, r.text, r.start) for r in got] == [(0, "a", 0), (1, " b", 2), (2, "d", 5)]
+    coded = spark.createDataFrame([(1, "<p>a&lt;b&gt; &amp;lt; &eacute;&#x41;</p>&nbsp;<i>&#66;</i>")], "page_id int, html string")
+    assert [r.text for r in pages.text_nodes(coded).orderBy("node").collect()] == ["a<b> &lt; éA", "B"]
+    spans = spark.createDataFrame([(1, 0, 4), (1, 5, 6)], "page_id int, start int, end int")
+    nodes = pages.text_nodes(spark.createDataFrame([(1, html)], "page_id int, html string"))
+    assert sorted((r.start, r.node, r["from"], r.to) for r in pages.spans_in_nodes(spans, nodes).collect()) == [(0, 0, 0, 1), (0, 1, 0, 2), (5, 2, 0, 1)]
 
 
 def test_neighbours_and_nearest(spark):
