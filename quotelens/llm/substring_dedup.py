@@ -3,7 +3,7 @@
 Streaming every document against the automaton of every reference shard is quadratic in the corpus, so documents only
 meet the shards that can match them:
 
-1. Documents with equal words (by SHA-256) are one class; all but its smallest doc_id lose all their windows at once.
+1. Documents with equal words (by 128 bits of SHA-256) are one class; all but its smallest doc_id lose all their windows at once.
 2. Of each window of ``length`` words the ``gram``-word sequence with the smallest hash is its anchor. Equal windows have
    equal anchors, so only windows whose anchor two classes share can repeat.
 3. Hashes of those windows are aggregated to the smallest doc_id that has each: its holder, and where it has it. Runs of
@@ -143,8 +143,9 @@ def _scan(limits: Limits):
             for block in blocks(batch.column(1)):
                 i, j = block.rows
                 anchors = [np.unique(anchors_of(block, k, limits)).view(np.int64) for k in range(j - i)]
-                columns = [pa.array(np.diff(block.first).astype(np.int64)), pa.array([_sha(block.words_of(k)) for k in range(j - i)], pa.binary()), _lists(anchors, pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *columns], names=["doc", "mark", "n_words", "class", "anchors"])
+                shas = [_sha(block.words_of(k)) for k in range(j - i)]
+                columns = [pa.array(np.diff(block.first).astype(np.int64)), pa.array(shas, pa.binary()), pa.array([x[:16] for x in shas], pa.binary()), _lists(anchors, pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *columns], names=["doc", "mark", "n_words", "sha", "class", "anchors"])
 
     return scan
 
@@ -247,7 +248,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
     marked = rows.withColumn("mark", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    scanned = materialize(marked.mapInArrow(_scan(limits), f"doc {kind}, mark string, n_words long, class binary, anchors array<long>"), "scan")
+    scanned = materialize(marked.mapInArrow(_scan(limits), f"doc {kind}, mark string, n_words long, sha binary, class binary, anchors array<long>"), "scan")
     copies = materialize(scanned.groupBy("class").agg(F.min("doc").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select("class", "keeper"), "copies")
     judged = scanned.join(copies, "class", "left").withColumn("later", F.col("keeper").isNotNull() & (F.col("doc").isNull() | (F.col("doc") > F.col("keeper"))))
     # a class whose keeper comes in several rows is one document
@@ -280,7 +281,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     times = sized.where("not is_reference").groupBy("shard").agg((1 + F.sum("n") / F.lit(7 * limits.probe)).cast("int").alias("copies"))
     one_copy = F.array(F.pmod(F.xxhash64("doc", "class", "start"), F.col("copies")).cast("int"))
     salted = sized.join(times, "shard").withColumn("salt", F.explode(F.when(F.col("is_reference"), F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(one_copy)))
-    spans = salted.drop("n", "copies").groupBy("shard", "salt").applyInArrow(_match(limits), f"doc {kind}, class binary, start long, length long")
+    # dealt out by both, since Spark would be content with the shard
+    spans = salted.drop("n", "copies").repartition("shard", "salt").groupBy("shard", "salt").applyInArrow(_match(limits), f"doc {kind}, class binary, start long, length long")
     spans = spans.groupBy(*_OF).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     cleaned = _of_one(candidates.select(*_OF, "text"), spans).mapInArrow(_keep, f"doc {kind}, class binary, n_removed long, rest binary")
     cleaned = materialize(cleaned, "cleaned")
@@ -290,5 +292,5 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", li
         F.col("doc").alias(key),
         "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.lower(F.hex(F.when(whole, F.lit(_sha([]))).otherwise(F.coalesce("rest", "class")))).alias("kept_sha256"),
+        F.lower(F.hex(F.when(whole, F.lit(_sha([]))).otherwise(F.coalesce("rest", "sha")))).alias("kept_sha256"),
     )
