@@ -118,3 +118,15 @@ def tooltip(verdict: Column, matched: Column, claimed: Column) -> Column:
 def severity(verdict: Column) -> Column:
     """3 for red, 2 for yellow, 1 for orange, else 0."""
     return F.when(verdict == "red", 3).when(verdict == "yellow", 2).when(verdict == "orange", 1).otherwise(0)
+
+
+def in_claimed_spelling(matched: Column, claimed: Column, form) -> Column:
+    """The matched reference with its group's name as the claim writes it, if both are one name in comparison form."""
+    name = F.trim(F.regexp_extract(bare_ref(claimed), r"^([^:：]*)[:：]", 1))
+    own, number = F.regexp_extract(matched, r"^([^:：]*)[:：]", 1), F.regexp_extract(matched, r"^[^:：]*[:：]\s*(.*)$", 1)
+    return F.when((name != "") & (form(name) == form(own)), F.concat(name, F.lit(":"), number)).otherwise(matched)
+
+
+def verdict_of_tier(tier: Column) -> Column:
+    """What a suggestion's tier says of the text that it was asked for."""
+    return F.when(tier == 0, "green").when(tier == 1, "yellow").when(tier.isNotNull(), "red")

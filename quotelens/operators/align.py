@@ -94,12 +94,36 @@ def soft_span(drift: str):
 
     @F.pandas_udf("start int, end int")
     def span(canon: pd.Series, cited: pd.Series) -> pd.DataFrame:
-        found = [first_alignment(list(h), list(n), same) if len(n) else None for h, n in zip(canon, cited, strict=True)]
+        found = [first_alignment(list(h), list(n), same) if h is not None and n is not None and len(n) else None for h, n in zip(canon, cited, strict=True)]
         return pd.DataFrame({"start": [f[0] if f else None for f in found], "end": [f[1] if f else None for f in found]}).astype("Int32")
 
     return span
 
 
+def longest_run(drift: str):
+    """(canon, typed) -> first word and length of the longest run of canon that agrees, word for word, with the beginning of typed; the first of equal ones, null if there is none."""
+    same = _same(drift)
+
+    def of(canon: list[str], typed: list[str]) -> tuple[int, int] | None:
+        best = None
+        for start in range(len(canon)):
+            n = 0
+            while n < len(typed) and start + n < len(canon) and same(canon[start + n], typed[n]):
+                n += 1
+            if n and (best is None or n > best[1]):
+                best = (start, n)
+            if n == len(typed):
+                break
+        return best
+
+    @F.pandas_udf("start int, length int")
+    def run(canon: pd.Series, typed: pd.Series) -> pd.DataFrame:
+        found = [of(list(c), list(t)) if c is not None and t is not None else None for c, t in zip(canon, typed, strict=True)]
+        return pd.DataFrame({"start": [f[0] if f else None for f in found], "length": [f[1] if f else None for f in found]}).astype("Int32")
+
+    return run
+
+
 def ordered_segments(drift: str):
     """(canon, segments) -> whether all segments align one after another."""
     same = _same(drift)
@@ -166,8 +190,11 @@ def best_window(drift: str):
                 at += 1
         return {"distance": least, "start": best[1], "length": best[2], "diff": best[3]}
 
-    @F.udf("distance int, start int, length int, diff array<struct<op:string,cited:string,authentic:string>>", useArrow=True)
-    def window(cited, canon, display):
-        return of(list(cited), list(canon), list(display if display is not None else canon))
+    @F.pandas_udf("distance int, start int, length int, diff array<struct<op:string,cited:string,authentic:string>>")
+    def window(cited: pd.Series, canon: pd.Series, display: pd.Series) -> pd.DataFrame:
+        lists = ([list(x) if x is not None else None for x in column] for column in (cited, canon, display))
+        found = [of(c or [], h or [], d if d is not None else h or []) or {} for c, h, d in zip(*lists, strict=True)]
+        whole = {c: pd.array([f.get(c) for f in found], dtype="Int32") for c in ("distance", "start", "length")}
+        return pd.DataFrame(whole | {"diff": pd.Series([f.get("diff") for f in found], dtype=object)})
 
     return window

@@ -34,6 +34,18 @@ def verdict_counts(findings: DataFrame, keys: list[str]) -> DataFrame:
     return findings.groupBy(*keys).agg(*each, total.alias("n_total"), F.when(total == 0, "empty").when(bad, "defects").otherwise("clean").alias("state"), worst.alias("severity"))
 
 
+def strategy_counts(found: DataFrame) -> DataFrame:
+    """How many candidates each rule gave."""
+    return found.groupBy("strategy").agg(F.count("*").alias("n"))
+
+
+def checked(found: DataFrame) -> DataFrame:
+    """found as it is; a verdict that there is none of, or a green one whose wording differs by words, raises an error."""
+    known = F.col("verdict").isin(*VERDICTS)
+    sound = (F.col("verdict") != "green") | F.col("deviation").isNull() | F.col("deviation").isin("none", "tashkeelOnly", "spellingDrift")
+    return found.withColumn("verdict", F.when(known & sound, F.col("verdict")).otherwise(F.raise_error(F.concat(F.lit("no such finding: "), F.coalesce("verdict", F.lit("null"))))))
+
+
 def badge(state: Column, severity_: Column) -> Column:
     return F.when(state == "empty", "-").when(severity_ == 3, "!").when(severity_ == 2, "~").when(severity_ == 1, "?").otherwise("ok")
 

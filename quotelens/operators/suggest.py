@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotelens.functions.labels import verdict_of_tier
 from quotelens.functions.profiles import Profile
 from quotelens.functions.windows import canon_side, runs
 from quotelens.operators import align, match
@@ -38,6 +39,12 @@ def suggestions(prefixes: DataFrame, passages: DataFrame, profile: Profile, limi
     return ranked.select("cand_id", "rank", *PASSAGE, "tier", F.round(F.least("n", "m") / F.col("m"), 3).alias("coverage"))
 
 
+def passed_over(ranked: DataFrame, passages: DataFrame) -> DataFrame:
+    """What is said of a text whose suggestions were all passed over: cand_id, verdict and ref of the first of them."""
+    best = ranked.where("rank = 0").join(canon_side(passages.select(*PASSAGE, "ref"), passages), PASSAGE)
+    return best.select("cand_id", verdict_of_tier(F.col("tier")).alias("verdict"), "ref")
+
+
 def inserted_text(chosen: DataFrame, scope: str = "whole") -> DataFrame:
     """chosen: text (of the passage), typed_words, group_name, first, last. Adds body: what is put in place of the typed text, with its reference."""
     words = F.split("text", " ")

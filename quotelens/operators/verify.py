@@ -123,6 +123,19 @@ def memoized(candidates: DataFrame, passages: DataFrame, profile: Profile) -> Da
     return asked.join(known, same).drop(*key, *[f"_{k}" for k in key])
 
 
+def alternates(candidates: DataFrame, passages: DataFrame, profile: Profile) -> DataFrame:
+    """All passages that hold a quotation, and those that hold it but for a few words: cand_id, group_id, ord and exact, only for the candidates asked for.
+
+    candidates: cand_id, text.
+    """
+    c = match.with_words(candidates, profile).withColumn("n", F.size("cited_words"))
+    words = passages.select(*PASSAGE, F.col("t1_words").alias("canon"))
+    ends = match.softly_anchored(c, passages, profile).join(canon_side(words, passages), PASSAGE)
+    judged = ends.withColumn("_held", align.soft_span(profile.drift)("canon", "cited_words")["start"].isNotNull()).withColumn("_d", align.window_distance(profile.drift)("cited_words", "canon", match.allowed_edits(F.col("n"), True)))
+    every = match.exact(c, passages).select("cand_id", *PASSAGE, F.lit(True).alias("exact")).unionByName(judged.where("_held or _d > 0").select("cand_id", *PASSAGE, F.col("_held").alias("exact")))
+    return every.groupBy("cand_id", *PASSAGE).agg(F.bool_or("exact").alias("exact"))
+
+
 def near_matches(red: DataFrame, passages: DataFrame, profile: Profile, rivals: int = 1) -> DataFrame:
     """For quotations that weren't found: the closest passage, or run of neighbouring ones, with its edits.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotelens.functions import labels
-from quotelens.functions.profiles import LATIN, Profile
+from quotelens.functions.profiles import ARABIC, LATIN, Profile
 from quotelens.operators import align, corrections, extract, findings, match, references, suggest, verify
 from quotelens.plans import scan
 from quotelens.sources import corpus, pages
@@ -106,10 +106,14 @@ def bag_count_matches(spark, sf_dir):
     return match.bag_matches(_excerpts(spark, sf_dir).drop("group_id", "ord"), _passages(spark, sf_dir))
 
 
-@query(f"WITH {_P}, {_EXCERPT} SELECT cand_id, group_id, ord FROM e JOIN p ON contains(' ' || t1 || ' ', ' ' || t || ' ') AND NOT (group_id = g AND ord = o)")
+@query(f"WITH {_P}, pairs AS (SELECT item_id AS cand_id, group_id AS g, ord AS o, unnest(range(1, len(w))) AS i, w FROM p), e AS (SELECT cand_id, g, o, w[i] || ' ' || w[i + 1] AS t FROM pairs) SELECT DISTINCT cand_id, group_id, ord FROM e JOIN p ON contains(' ' || t1 || ' ', ' ' || t || ' ') AND NOT (group_id = g AND ord = o)")
 def elsewhere_antijoin(spark, sf_dir):
-    e = _excerpts(spark, sf_dir)
-    return match.elsewhere(match.contiguous(e.drop("group_id", "ord"), _passages(spark, sf_dir)).select("cand_id", "group_id", "ord"), e)
+    """Passages other than its own that hold two neighbouring words of a passage."""
+    p = _passages(spark, sf_dir)
+    two = F.explode(F.transform(F.sequence(F.lit(1), F.size("t1_words") - 1), lambda i: F.array_join(F.slice("t1_words", i, 2), " ")))
+    e = p.where("size(t1_words) > 1").select(F.col("item_id").alias("cand_id"), "group_id", "ord", two.alias("text"))
+    found = match.contiguous(match.with_words(e.drop("group_id", "ord"), LATIN), p).select("cand_id", "group_id", "ord").distinct()
+    return match.elsewhere(found, e.select("cand_id", "group_id", "ord").distinct())
 
 
 _VOWELS = Profile("vowels", LATIN.form, "aeiou")
@@ -425,3 +429,178 @@ def panel_order(spark, sf_dir):
     found = e.withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).withColumn("verdict", verdict).withColumn("id", F.concat(F.lit("new"), id_)).withColumn("prior_id", id_)
     kept = e.where("event_id % 4 < 3").select("user_id", id_.alias("id"), F.when(F.col("event_id") % 4 == 1, "dismissal").otherwise("ref-edit").alias("kind"), (F.col("event_id") % 4 == 0).alias("recent"))
     return findings.panel(found, kept, ["user_id"], ("red", "orange")).select("user_id", "event_id", "section", "position")
+
+
+#: The canon in Arabic letters, word for word: the drift letters stand for three vowels, so spelling may drop them.
+_LATIN_LETTERS, _ARABIC_LETTERS = "abcdefghijklmnopqrstuvwxyz", "بتثجاحخديذرزسشوصضطظعغفقكلم"
+_TENS, _ONES = "صضطظعغفقكل", "بتثجحخدذرز"
+_ARABIC_SQL = (
+    f"letters AS (SELECT item_id, CAST(floor(item_id / 10.0) AS INTEGER) AS group_id, CAST(item_id % 10 + 1 AS INTEGER) AS ord, translate(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), '{_LATIN_LETTERS}', '{_ARABIC_LETTERS}') AS text FROM benchmark), "
+    f"canon AS (SELECT *, 'قسم' || '{_TENS}'[group_id // 10 % 10 + 1] || '{_ONES}'[group_id % 10 + 1] AS name, string_split(text, ' ') AS raw, array_to_string(list_filter(string_split(text, ''), lambda c, i: i = 1 OR c = ' ' OR c <> string_split(text, '')[i - 1]), '') AS t1 FROM letters), "
+    "long AS (SELECT *, array_to_string(raw[1:8], ' ') AS x, array_to_string(raw[2:9], ' ') AS y, name || ':' || ord AS ref FROM canon WHERE len(raw) >= 10)"
+)
+
+
+def _arabic_canon(spark, sf_dir) -> DataFrame:
+    """Passages of benchmark in Arabic letters; names of groups are of letters too."""
+    group = F.floor(F.col("item_id") / 10).cast("int")
+    letter = lambda letters, n: F.substring(F.lit(letters), (n % 10 + 1).cast("int"), F.lit(1))
+    text = F.translate(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), _LATIN_LETTERS, _ARABIC_LETTERS)
+    name = F.concat(F.lit("قسم"), letter(_TENS, F.floor(group / 10)), letter(_ONES, group))
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", group.alias("group_id"), (F.col("item_id") % 10 + 1).cast("int").alias("ord"), name.alias("group_name"), text.alias("text"))
+    return corpus.passages_of(rows, ARABIC).withColumn("raw", F.split("text", " "))
+
+
+def _quoted(spark, sf_dir) -> DataFrame:
+    """Of passages of ten words or more the first eight, and eight from the second on."""
+    words = lambda first: F.array_join(F.slice("raw", first, 8), " ")
+    return _arabic_canon(spark, sf_dir).where("size(raw) >= 10").select("item_id", "group_id", "ord", "group_name", "ref", words(1).alias("x"), words(2).alias("y"))
+
+
+_MARKED = "replace(replace(replace(replace(replace(text, 'ا', 'أ'), 'و', 'ؤ'), 'ي', 'ى'), 'ن', 'نَّ'), 'ت', 'ة')"
+
+
+@query(
+    f"WITH {_ARABIC_SQL}, m AS (SELECT item_id, 'ٱ' || {_MARKED} || 'ـءا' || chr(1648) AS m FROM canon), "
+    "s AS (SELECT item_id, translate(replace(translate(regexp_replace(m, '[\\x{610}-\\x{61A}\\x{64B}-\\x{65F}\\x{6D6}-\\x{6ED}\\x{8D3}-\\x{8FF}\\x{640}]', '', 'g'), chr(1648) || 'آٱ', 'ااا'), 'ءا', 'ا'), 'ؤئأإىة', 'ءءءءيه') AS f FROM m), "
+    "c AS (SELECT item_id, array_to_string(list_filter(string_split(f, ''), lambda c, i: i = 1 OR c = ' ' OR c <> string_split(f, '')[i - 1]), '') AS form FROM s) "
+    "SELECT item_id, form, translate(form, 'اويء', '') AS skeleton FROM c"
+)
+def norm_arabic(spark, sf_dir):
+    """The Arabic comparison form of texts with marks, other alefs, carriers of hamza, final letters and doubled letters."""
+    text = F.col("text")
+    for old, new in (("ا", "أ"), ("و", "ؤ"), ("ي", "ى"), ("ن", "نَّ"), ("ت", "ة")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    form = ARABIC.form(F.concat(F.lit("ٱ"), text, F.lit("ـءا" + chr(0x670))))
+    return _arabic_canon(spark, sf_dir).select("item_id", form.alias("form")).withColumn("skeleton", ARABIC.skeleton(F.col("form")))
+
+
+_CITED = "'(' || ref || ')'"
+
+
+@query(
+    f"WITH {_ARABIC_SQL} SELECT item_id AS page_id, x AS text, CASE WHEN item_id % 5 = 2 THEN NULL ELSE ref END AS ref, "
+    "CASE item_id % 5 WHEN 0 THEN 'leadInBraced' WHEN 2 THEN 'bracedOnly' ELSE 'explicitRefBackward' END AS strategy, item_id % 5 NOT IN (2, 4) AS high, "
+    "CASE item_id % 5 WHEN 0 THEN 12 WHEN 1 THEN 9 WHEN 2 THEN 1 WHEN 3 THEN 12 ELSE 2 END AS start, CASE item_id % 5 WHEN 0 THEN 12 WHEN 1 THEN 9 WHEN 2 THEN 1 WHEN 3 THEN 12 ELSE 2 END + CAST(length(x) AS INTEGER) AS \"end\" FROM long "
+    "UNION ALL SELECT item_id, y, NULL, 'secondaryLeadInBraced', true, 25 + CAST(length(x) + length(ref) AS INTEGER), 25 + CAST(length(x) + length(ref) + length(y) AS INTEGER) FROM long WHERE item_id % 5 = 0"
+)
+def extract_candidates(spark, sf_dir):
+    """Quotations in five kinds of surroundings: after a lead-in, before a reference, alone, between both without marks, and before a reference without marks."""
+    cited = F.concat(F.lit(" ("), "ref", F.lit(")"))
+    kinds = [
+        F.concat(F.lit("قال تعالى: {"), "x", F.lit("}"), cited, F.lit(" وقوله: {"), "y", F.lit("} 1")),
+        F.concat(F.lit("في نص ("), F.lit("1"), F.lit("{"), "x", F.lit("}"), cited),
+        F.concat(F.lit("{"), "x", F.lit("} 1 2")),
+        F.concat(F.lit("قال تعالى: "), F.lit(" "), "x", cited),
+        F.concat(F.lit("1 "), "x", cited),
+    ]
+    body = F.element_at(F.array(*kinds), (F.col("item_id") % 5 + 1).cast("int"))
+    return extract.candidates(_quoted(spark, sf_dir).select(F.col("item_id").alias("page_id"), body.alias("text"))).select("page_id", "text", "ref", "strategy", "high", "start", "end")
+
+
+def _pages(spark, sf_dir) -> DataFrame:
+    """A page for each passage: quoted with its reference, with that of a neighbour, with a word that is wrong, and without any; and words that are in no passage."""
+    p = _quoted(spark, sf_dir)
+    other = F.concat("group_name", F.lit(":"), F.when(F.col("ord") > 1, F.col("ord") - 1).otherwise(2).cast("string"))
+    wrong = F.concat_ws(" ", F.substring_index("x", " ", 3), F.lit("كككك"), F.substring_index("x", " ", -4))
+    parts = [(F.col("x"), F.col("ref")), (F.col("x"), other), (wrong, F.col("ref")), (F.col("y"), None), (F.lit("غث غث غث غث"), F.col("ref"))]
+    said = [F.concat(F.lit("<p>قال تعالى: {"), t, F.lit("}"), F.concat(F.lit(" ("), r, F.lit(")")) if r is not None else F.lit(""), F.lit("</p><b>1 &amp; 2</b>")) for t, r in parts]
+    return p.select(F.col("item_id").alias("page_id"), F.concat(F.lit("http://x/"), "item_id").alias("url"), F.concat(F.lit("<article>"), *said, F.lit("</article>")).alias("html"))
+
+
+_SCAN_SQL = (
+    f"{_ARABIC_SQL}, asked AS (SELECT item_id AS page_id, group_id, ord, ref, x, y, CASE WHEN ord > 1 THEN ord - 1 ELSE 2 END AS other FROM long), "
+    "held AS (SELECT a.page_id, c.name || ':' || c.ord AS hit, contains(' ' || c.t1 || ' ', ' ' || {x} || ' ') AS has_x, contains(' ' || c.t1 || ' ', ' ' || {y} || ' ') AS has_y, c.group_id = a.group_id AND c.ord = a.other AS is_other, c.group_id AS g, c.ord AS o FROM asked a JOIN canon c ON contains(' ' || c.t1 || ' ', ' ' || {x} || ' ') OR contains(' ' || c.t1 || ' ', ' ' || {y} || ' ')), "
+    "found AS (SELECT page_id, 0 AS seq, 'green' AS verdict, ref AS matched FROM asked "
+    "UNION ALL SELECT page_id, 1, 'orange', arg_min(hit, g * 100 + o) FROM held WHERE has_x AND NOT is_other GROUP BY page_id "
+    "UNION ALL SELECT page_id, 2, 'yellow', ref FROM asked UNION ALL SELECT page_id, 3, 'lightBlue', arg_min(hit, g * 100 + o) FROM held WHERE has_y GROUP BY page_id "
+    "UNION ALL SELECT page_id, 4, 'red', NULL FROM asked)"
+)
+for _x in ("x", "y"):
+    _SCAN_SQL = _SCAN_SQL.replace("{" + _x + "}", f"array_to_string(list_filter(string_split(a.{_x}, ''), lambda c, i: i = 1 OR c = ' ' OR c <> string_split(a.{_x}, '')[i - 1]), '')")
+
+
+def _scanned(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pages, their findings and the canon."""
+    canon, web = _arabic_canon(spark, sf_dir).drop("item_id", "raw"), _pages(spark, sf_dir)
+    names = corpus.ref_names(spark, canon.select(F.col("group_name").alias("name"), "group_id").distinct(), ARABIC)
+    return web, scan.scan(web, canon, names, ARABIC), canon
+
+
+@query(f"WITH {_SCAN_SQL} SELECT page_id, CAST(seq AS INTEGER) AS seq, verdict, matched FROM found")
+def scan_findings(spark, sf_dir):
+    return _scanned(spark, sf_dir)[1].select("page_id", "seq", "verdict", "matched")
+
+
+@query(
+    f"WITH {_SCAN_SQL} SELECT page_id, count(*) FILTER (verdict = 'green') AS n_green, count(*) FILTER (verdict = 'lightBlue') AS n_lightblue, count(*) FILTER (verdict = 'yellow') AS n_yellow, count(*) FILTER (verdict = 'orange') AS n_orange, count(*) FILTER (verdict = 'red') AS n_red, count(*) AS n_total, "
+    "CASE WHEN bool_or(verdict IN ('yellow', 'orange', 'red')) THEN 'defects' ELSE 'clean' END AS state, max(CASE verdict WHEN 'red' THEN 3 WHEN 'yellow' THEN 2 WHEN 'orange' THEN 1 ELSE 0 END) AS severity FROM found GROUP BY page_id"
+)
+def page_report(spark, sf_dir):
+    web, found, _ = _scanned(spark, sf_dir)
+    return scan.page_report(found, web).select("page_id", "n_green", "n_lightblue", "n_yellow", "n_orange", "n_red", "n_total", "state", "severity")
+
+
+@query(
+    f"WITH {_SCAN_SQL} SELECT page_id, seq, excerpt, edits FROM (SELECT item_id AS page_id, 0 AS seq, x AS excerpt, NULL AS edits FROM long UNION ALL SELECT item_id, 2, x, 'keep keep keep sub keep keep keep keep' FROM long)"
+)
+def enriched_findings(spark, sf_dir):
+    """The canon's own words for what is quoted, and the edits that a wrong wording needs; of the quotations with their own reference."""
+    _, found, canon = _scanned(spark, sf_dir)
+    rich = scan.enriched(found, canon, ARABIC).where("seq in (0, 2)")
+    return rich.select("page_id", "seq", "excerpt", F.when(F.col("diff").isNotNull(), F.array_join(F.transform("diff", lambda d: d["op"]), " ")).alias("edits"))
+
+
+@query(f"WITH {_ARABIC_SQL}, k AS (SELECT CASE item_id % 5 WHEN 0 THEN 'leadInBraced' WHEN 2 THEN 'bracedOnly' ELSE 'explicitRefBackward' END AS strategy FROM long UNION ALL SELECT 'secondaryLeadInBraced' FROM long WHERE item_id % 5 = 0) SELECT strategy, count(*) AS n FROM k GROUP BY strategy")
+def strategy_counts(spark, sf_dir):
+    return findings.strategy_counts(extract_candidates(spark, sf_dir))
+
+
+@query(f"WITH {_P}, e AS (SELECT item_id AS cand_id, array_to_string(w[3:10], ' ') AS t FROM p WHERE len(w) >= 10) SELECT cand_id, group_id, ord, true AS exact FROM e JOIN p ON contains(' ' || t1 || ' ', ' ' || t || ' ')")
+def alternates(spark, sf_dir):
+    asked = _excerpts(spark, sf_dir).where("size(cited_words) = 8").select("cand_id", "text")
+    return verify.alternates(asked, _passages(spark, sf_dir), LATIN).where("exact")
+
+
+@query(
+    f"WITH {_P}, x AS (SELECT item_id AS cand_id, array_to_string(w[1:3], ' ') AS t FROM p WHERE len(w) >= 3), m AS (SELECT cand_id, min(group_id * 100 + ord) AS best FROM x JOIN p ON contains(' ' || t1, ' ' || t) GROUP BY cand_id) "
+    "SELECT cand_id, 'green' AS verdict, 'g' || best // 100 || ':' || best % 100 AS ref FROM m"
+)
+def suggestions_passed_over(spark, sf_dir):
+    return suggest.passed_over(suggest_topk(spark, sf_dir), _passages(spark, sf_dir))
+
+
+@query(
+    "SELECT event_type, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS \"from\", epoch_us(time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY) AS \"to\", count(*) AS n FROM events GROUP BY ALL"
+)
+def tumbling_counts(spark, sf_dir):
+    counted = changes.windowed_counts(_events(spark, sf_dir), ["event_type"], "1 day")
+    return counted.select("event_type", F.unix_micros("from").alias("from"), F.unix_micros("to").alias("to"), "n")
+
+
+@query(
+    "WITH s AS (SELECT event_type, time_bucket(INTERVAL 6 HOURS, ts) - to_hours(6 * k) AS f FROM events, (VALUES (0), (1), (2), (3)) AS b(k)) SELECT event_type, epoch_us(f) AS \"from\", epoch_us(f + INTERVAL 24 HOURS) AS \"to\", count(*) AS n FROM s GROUP BY ALL"
+)
+def sliding_counts(spark, sf_dir):
+    counted = changes.windowed_counts(_events(spark, sf_dir), ["event_type"], "24 hours", "6 hours")
+    return counted.select("event_type", F.unix_micros("from").alias("from"), F.unix_micros("to").alias("to"), "n")
+
+
+@query(
+    "WITH a AS (SELECT user_id, event_type AS id, CASE WHEN max(event_id) % 3 = 0 THEN 'green' WHEN max(event_id) % 3 = 1 THEN 'red' ELSE 'orange' END AS verdict FROM events GROUP BY ALL), "
+    "b AS (SELECT user_id, event_type AS id, CASE WHEN max(event_id) % 3 = 0 THEN 'green' WHEN max(event_id) % 3 = 1 THEN 'red' ELSE 'orange' END AS verdict FROM events WHERE event_id % 20 <> 0 GROUP BY ALL) "
+    "SELECT DISTINCT user_id FROM a WHERE verdict <> 'green' AND NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = a.user_id AND b.id = a.id AND b.verdict = a.verdict)"
+)
+def promoted_scans(spark, sf_dir):
+    last = F.max("event_id") % 3
+    state = lambda df: df.groupBy("user_id", F.col("event_type").alias("id")).agg(F.when(last == 0, "green").when(last == 1, "red").otherwise("orange").alias("verdict"))
+    e = _events(spark, sf_dir)
+    return changes.to_scan_in_full(state(e.where("event_id % 20 <> 0")), state(e), "user_id")
+
+
+@query(
+    "SELECT event_type, event_id, epoch_us(ts) AS at FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"
+)
+def latest_requests(spark, sf_dir):
+    asked = _events(spark, sf_dir).select("event_type", "ts", F.col("event_id").alias("token"))
+    return changes.latest_requests(asked, ["event_type"]).select("event_type", F.col("token").alias("event_id"), F.unix_micros("ts").alias("at"))

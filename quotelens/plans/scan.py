@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quotelens.functions import labels
 from quotelens.functions.profiles import Profile
 from quotelens.functions.windows import canon_side
-from quotelens.operators import corrections, extract, findings, match, references, verify
+from quotelens.operators import align, corrections, extract, findings, match, references, verify
 from quotelens.sources import pages
 from quotelens.store import materialize
 
@@ -27,12 +27,13 @@ def scan(web_pages: DataFrame, passages: DataFrame, names: DataFrame, profile: P
     asked = references.resolved(found, names, profile).withColumn("cand_id", F.struct("page_id", "start", "end"))
     asked = materialize(asked, "asked")
     judged = verify.memoized(asked.select("cand_id", "text", "high", "claimed_group", "ords", "range_ords"), passages, profile)
-    out = asked.join(judged, "cand_id")
+    out = findings.checked(asked.join(judged, "cand_id"))
     first = F.try_element_at(F.col("refs"), F.lit(1))
     label = passages.select(F.col("group_id").alias("_g"), F.col("ord").alias("_o"), F.col("ref").alias("matched"))
     out = out.withColumn("_first", first).join(canon_side(label, passages), (F.col("_first.group_id") == F.col("_g")) & (F.col("_first.ord") == F.col("_o")), "left").drop("_g", "_o", "_first")
     around = texts.select("page_id", F.col("text").alias("_page"))
     out = out.join(around, "page_id").withColumn("_context", labels.scrub_volatile(F.translate(F.substring("_page", F.greatest(F.col("start") - CONTEXT // 2, F.lit(1)), F.lit(CONTEXT) + F.col("end") - F.col("start")), "\0", " "))).drop("_page")
+    out = out.withColumn("matched", labels.in_claimed_spelling(F.col("matched"), F.col("ref"), profile.form))
     out = out.withColumn("id", labels.finding_id(F.col("text"), F.col("ref"), F.col("matched"), F.concat_ws(":", "start", "end")))
     out = findings.occurrence(out, ["page_id", "text", "ref"], "start")
     identity = [labels.normal_for_id(F.col("text")), F.coalesce("ref", F.lit("")), F.col("_context"), F.col("occurrence").cast("string")]
@@ -44,6 +45,36 @@ def scan(web_pages: DataFrame, passages: DataFrame, names: DataFrame, profile: P
     return out.select("page_id", "seq", "id", "start", "end", "text", "ref", "strategy", "claimed_group", "ords", "verdict", "match_type", "deviation", "diffs", "refs", "matched", "session")
 
 
+def enriched(found: DataFrame, passages: DataFrame, profile: Profile) -> DataFrame:
+    """found (as scan() gives it) with excerpt, diff and near.
+
+    excerpt: the passage's own words for those that are quoted, null where they don't align. diff: the edits from a yellow
+    quotation to the passage matched. near: of a red one the closest passage or run of passages within reach, with its edits and
+    rivals; else, if it says one phrase of a passage several times over, that passage, with distance 0.
+    """
+    found = materialize(found, "found")
+    edits = "array<struct<op:string,cited:string,authentic:string>>"
+    near_type = f"struct<group_id:int,first:int,last:int,distance:int,diff:{edits},rivals:int>"
+    nothing = {"excerpt": F.lit(None).cast("string"), "diff": F.lit(None).cast(edits), "near": F.lit(None).cast(near_type)}
+    own = passages.select(F.col("group_id").alias("_g"), F.col("ord").alias("_o"), F.col("t1_words").alias("_canon"), F.coalesce("display_words", "t1_words").alias("_shown"))
+    matched = match.with_words(found.where("verdict <> 'red'"), profile).withColumn("_first", F.try_element_at("refs", F.lit(1)))
+    matched = matched.join(canon_side(own, passages), (F.col("_first.group_id") == F.col("_g")) & (F.col("_first.ord") == F.col("_o")), "left")
+    excerpt = lambda start, length: F.array_join(F.slice("_shown", start + 1, length), " ")
+    exact = matched.where("verdict <> 'yellow'").withColumn("_w", align.soft_span(profile.drift)("_canon", "cited_words"))
+    exact = exact.withColumn("excerpt", F.when(F.col("_w.start").isNotNull(), excerpt(F.col("_w.start"), F.col("_w.end") - F.col("_w.start"))))
+    yellow = matched.where("verdict = 'yellow'").withColumn("_w", align.best_window(profile.drift)("cited_words", "_canon", "_shown"))
+    yellow = yellow.withColumn("excerpt", F.when(F.col("_w.start").isNotNull(), excerpt(F.col("_w.start"), F.col("_w.length")))).withColumn("diff", F.col("_w.diff"))
+    red = found.where("verdict = 'red'")
+    asked = red.select(F.struct("page_id", "start", "end").alias("cand_id"), "text")
+    close = verify.near_matches(asked, passages, profile).select("cand_id", F.struct("group_id", "first", "last", "distance", "diff", "rivals").alias("near"))
+    twice = doubled(asked, passages, profile).groupBy("cand_id").agg(F.min(F.struct("group_id", "ord")).alias("p"))
+    twice = twice.select("cand_id", F.struct("p.group_id", F.col("p.ord").alias("first"), F.col("p.ord").alias("last"), F.lit(0).alias("distance"), F.lit(None).cast(edits).alias("diff"), F.lit(0).alias("rivals")).alias("phrase"))
+    red = red.withColumn("cand_id", F.struct("page_id", "start", "end")).join(close, "cand_id", "left").join(twice, "cand_id", "left").withColumn("near", F.coalesce(F.col("near").cast(near_type), F.col("phrase").cast(near_type)))
+    parts = (exact, yellow, red)
+    whole = [part.select(*found.columns, *[F.col(c) if c in part.columns else nothing[c].alias(c) for c in nothing]) for part in parts]
+    return whole[0].unionByName(whole[1]).unionByName(whole[2])
+
+
 def page_report(found: DataFrame, web_pages: DataFrame) -> DataFrame:
     """Counts, state and badge of every page, and the same as one line of JSON."""
     every = web_pages.select("page_id", "url").join(found.select("page_id", "verdict", "refs", "claimed_group", "ords"), "page_id", "left")
@@ -73,7 +104,8 @@ def corrected(found: DataFrame, kept: DataFrame, now: Column, passages: DataFram
     """Findings after the corrections kept for them, and those made without asking for verdicts in allowed.
 
     found: as scan() gives it, and url_key, prior_id. Adds correction, new_ref, new_text, prior_id and display (the colour
-    shown). A reference is corrected to the passage matched, a text to the passage's own; shaky findings keep their text.
+    shown). A reference is corrected to the passage matched, a text to the passage's own words for what is quoted (excerpt, where
+    found has it), else to the passage; shaky findings keep their text.
     """
     asked = corrections.reapplied(found, kept, now)
     shaky = corrections.is_shaky(F.col("text"), F.col("refs"))
@@ -85,8 +117,29 @@ def corrected(found: DataFrame, kept: DataFrame, now: Column, passages: DataFram
     edits_ref, edits_text = F.col("correction").isin("ref-edit", "reference-attribution"), (F.col("correction") == "text-replace") & ~F.col("_shaky")
     new_ref = F.when(edits_ref & F.col("_ref").isNotNull(), F.when(F.col("ref").isNotNull(), labels.corrected_ref(F.col("ref"), F.col("_ref"))).otherwise(F.concat(F.lit("("), "_ref", F.lit(")"))))
     done = new_ref.isNotNull() | (edits_text & F.col("_text").isNotNull())
-    out = out.withColumn("new_ref", new_ref).withColumn("new_text", F.when(edits_text, F.col("_text")))
+    out = out.withColumn("new_ref", new_ref).withColumn("new_text", F.when(edits_text, F.coalesce("excerpt", "_text") if "excerpt" in found.columns else F.col("_text")))
     out = out.withColumn("display", F.when(done & (F.col("correction") != "reference-attribution"), "lightGreen").otherwise(F.col("verdict")))
     successor = F.when(done & (F.col("correction") == "ref-edit"), labels.finding_id(F.col("text"), F.col("new_ref"), F.col("_ref"), F.concat_ws(":", "start", "end")))
     out = out.withColumn("prior_id", F.when(successor.isNotNull(), F.col("id")).otherwise(F.col("prior_id"))).withColumn("id", F.coalesce(successor, F.col("id")))
     return out.drop("_t", "_shaky", "_g", "_o", "_ref", "_text", "payload")
+
+
+def reverified(fixed: DataFrame, passages: DataFrame, names: DataFrame, profile: Profile) -> DataFrame:
+    """fixed (as corrected() gives it) with now: the verdict on a finding whose reference was corrected, by its new reference."""
+    fixed = materialize(fixed, "fixed")
+    key = ["page_id", "start", "end"]
+    asked = references.resolved(fixed.where("new_ref is not null").select(F.struct(*key).alias("cand_id"), "text", F.col("new_ref").alias("ref")), names, profile).withColumn("high", F.lit(True))
+    now = verify.memoized(asked, passages, profile).select("cand_id", F.col("verdict").alias("now"))
+    return fixed.withColumn("cand_id", F.struct(*key)).join(now, "cand_id", "left").drop("cand_id")
+
+
+def accepted(changes: DataFrame, passages: DataFrame, names: DataFrame, profile: Profile) -> DataFrame:
+    """The changes that may be kept: a reference (ref) has to name passages of the canon, a text (text) to be wording of it; null ones are not asked."""
+    changes = materialize(changes.withColumn("cand_id", F.monotonically_increasing_id()), "changes")
+    asked = references.resolved(changes, names, profile)
+    ords = asked.where("ref is not null and claimed_group is not null").select("cand_id", F.col("claimed_group").alias("group_id"), F.explode("ords").alias("ord"))
+    known = ords.join(canon_side(passages.select(*match.PASSAGE), passages), match.PASSAGE).select("cand_id").distinct().withColumn("named", F.lit(True))
+    texts = changes.where("trim(text) <> ''").select("cand_id", "text", F.lit(True).alias("high"), F.lit(None).cast("int").alias("claimed_group"), *[F.lit(None).cast("array<int>").alias(c) for c in ("ords", "range_ords")])
+    worded = verify.memoized(texts, passages, profile).where("verdict in ('green', 'lightBlue')").select("cand_id", F.lit(True).alias("worded"))
+    both = changes.join(known, "cand_id", "left").join(worded, "cand_id", "left")
+    return both.where("(coalesce(trim(ref), '') = '' or named) and (coalesce(trim(text), '') = '' or worded)").drop("cand_id", "named", "worded")

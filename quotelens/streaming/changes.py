@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 QUIET, LATE = "500 milliseconds", "10 minutes"
 RATE, RATE_WINDOW = 8, 5
 STUCK, FIRST_WAIT, LONGEST_WAIT = 5, 5, 15
+FORGET_MS = 600_000
 
 
 def rescans(changes: DataFrame, relevant: Column, keys: list[str], quiet: str = QUIET, late: str = LATE) -> DataFrame:
@@ -42,6 +43,9 @@ def wait_after(failures: Column) -> Column:
 
 def breaker(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """State of one page: recent scans, last signature, its streak, pauses. A row for each scan: may it run, and until when not."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     recent, last, streak, pauses, until = state.get if state.exists else ([], None, 0, 0, 0.0)
     recent, out = list(recent), []
     for row in pd.concat(list(frames)).sort_values("ts").itertuples():
@@ -55,12 +59,36 @@ def breaker(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
             streak = 0
         out.append((*key, row.ts, now >= until, pauses))
     state.update((recent, last, streak, pauses, until))
+    # forgotten when its last scan and pause are long past in event time
+    state.setTimeoutTimestamp(int(max(max(recent, default=0), until) * 1000) + FORGET_MS)
     yield pd.DataFrame(out, columns=["page_id", "ts", "runs", "pauses"])
 
 
-def guarded(scans: DataFrame) -> DataFrame:
-    """Stream of page_id (string), ts, signature (string): page_id, ts, runs and pauses, by the rate and progress of each page."""
-    return scans.groupBy("page_id").applyInPandasWithState(breaker, "page_id string, ts timestamp, runs boolean, pauses int", "recent array<double>, last string, streak int, pauses int, until double", "append", GroupStateTimeout.NoTimeout)
+def guarded(scans: DataFrame, late: str = LATE) -> DataFrame:
+    """Stream of page_id (string), ts, signature (string): page_id, ts, runs and pauses, by the rate and progress of each page.
+
+    Within a micro-batch scans are taken in order of ts; one that comes in a later batch than its successors counts as it comes. A page's state
+    goes when the watermark has passed its last scan by FORGET_MS.
+    """
+    return scans.withWatermark("ts", late).groupBy("page_id").applyInPandasWithState(breaker, "page_id string, ts timestamp, runs boolean, pauses int", "recent array<double>, last string, streak int, pauses int, until double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def windowed_counts(events: DataFrame, keys: list[str], width: str, slide: str | None = None, late: str = LATE) -> DataFrame:
+    """Events of each key in tumbling windows, or sliding ones: keys, from, to and n. In a stream a window comes when the watermark has passed it."""
+    counted = events.withWatermark("ts", late).groupBy(*keys, F.window("ts", width, slide or width).alias("w")).agg(F.count("*").alias("n"))
+    return counted.select(*keys, F.col("w.start").alias("from"), F.col("w.end").alias("to"), "n")
+
+
+def latest_requests(requests: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the requests of a micro-batch (keys, ts, token) the last of each key: earlier ones are stale before they are answered."""
+    newest = requests.groupBy(*keys).agg(F.max(F.struct("ts", "token")).alias("_last"))
+    return requests.join(newest, keys).where(F.struct("ts", "token") == F.col("_last")).drop("_last").dropDuplicates([*keys, "ts", "token"])
+
+
+def to_scan_in_full(before: DataFrame, after: DataFrame, page: str = "page_id") -> DataFrame:
+    """Pages of which a part was scanned again with a result that part alone can't be trusted for: a finding (page, id, verdict) that is new or has another verdict, and isn't green."""
+    doubtful = after.where(~F.col("verdict").isin("green", "lightGreen"))
+    return doubtful.join(before.select(page, "id", "verdict"), [page, "id", "verdict"], "left_anti").select(page).distinct()
 
 
 def first_seen(findings: DataFrame, keys: list[str], late: str = LATE) -> DataFrame:

@@ -52,6 +52,15 @@ def test_alignment_merges_and_prefers_single_words():
     assert [e["op"] for e in edits] == ["keep", "sub", "keep", "missing", "keep"]
 
 
+def test_longest_run_and_labels(spark):
+    run = align.longest_run("")
+    rows = [("a b a b c".split(), "a b c d".split()), ("a b".split(), ["x"]), (None, ["x"])]
+    got = spark.createDataFrame(rows, "c array<string>, t array<string>").select(run("c", "t").alias("r")).collect()
+    assert [tuple(r.r) for r in got] == [(2, 3), (None, None), (None, None)]
+    label = lambda m, c: one(spark, labels.in_claimed_spelling(F.lit(m), F.lit(c), ARABIC.form))
+    assert label("إبراهيم:3", "(أبراهيم:4)") == "أبراهيم:3" and label("البقرة:3", "(شيء:3)") == "البقرة:3" and label("البقرة:3", None) == "البقرة:3"
+
+
 def test_window_distance_is_the_best_window():
     rng = random.Random(8)
     same = align._same("")

@@ -31,6 +31,17 @@ def test_findings(found):
     assert [r.seq for r in rows] == [0, 1, 2, 3, 4] and len({r.id for r in rows}) == 5 and rows[1].matched == "الفاتحة:2"
 
 
+def test_enriched(spark, canon, found):
+    got = {r.verdict: r for r in scan.enriched(found[0], canon, ARABIC).collect()}
+    assert got["green"].excerpt == "الحمد لله رب العالمين" and got["lightBlue"].excerpt == "يوم الدين إياك نعبد"
+    assert [d.op for d in got["yellow"].diff].count("sub") == 1 and got["yellow"].excerpt == VERSES[2][3] and got["red"].near is None
+    red = found[0].where("verdict = 'red'").withColumn("text", F.lit("ذلك شيء لا ريب شيء هدى للمتقين الذين يؤمنون بالغيب")).unionByName(found[0].where("verdict = 'red'").withColumn("text", F.lit("رب العالمين رب العالمين")).withColumn("start", F.lit(1)))
+    near = {r.start: r.near for r in scan.enriched(red, canon, ARABIC).collect()}
+    assert (near[1].group_id, near[1].first, near[1].distance) == (1, 1, 0)
+    other = next(v for k, v in near.items() if k != 1)
+    assert (other.group_id, other.first, other.distance, other.rivals) == (2, 1, 2, 0)
+
+
 def test_report(found):
     got = {r.page_id: r for r in scan.page_report(*found).collect()}
     assert (got[1].n_total, got[1].state, got[1].severity, got[1].badge, got[1].n_fixable) == (5, "defects", 3, "!", 1)
@@ -71,3 +82,14 @@ def test_insertions(spark):
     assert text("surahEnd").endswith("eta» (One:1-3)")
     with pytest.raises(ValueError):
         writer.insertions(chosen, canon, LATIN, "other")
+
+
+def test_corrected_references_are_verified_again(spark, canon, found):
+    names = corpus.ref_names(spark, canon.select(F.col("group_name").alias("name"), "group_id").distinct(), ARABIC)
+    keyed = found[0].withColumn("url_key", F.lit("u")).withColumn("prior_id", F.lit(None).cast("string"))
+    kept = spark.createDataFrame([], "url_key string, composite_key string, kind string, payload string, at timestamp")
+    fixed = scan.corrected(keyed, kept, F.expr("timestamp '2024-01-05'"), canon, ("orange",))
+    assert {r.verdict: r.now for r in scan.reverified(fixed, canon, names, ARABIC).collect()} == {"orange": "green", "green": None, "yellow": None, "red": None, "lightBlue": None}
+    changes = [("a", "(الفاتحة:2)", None), ("b", "(الفاتحة:9)", None), ("c", None, "يوم الدين إياك نعبد"), ("d", None, "كلام اخر هنا"), ("e", None, None), ("f", "(شيء:1)", "يوم الدين إياك نعبد")]
+    got = scan.accepted(spark.createDataFrame(changes, "k string, ref string, text string"), canon, names, ARABIC)
+    assert {r.k for r in got.collect()} == {"a", "c", "e"}

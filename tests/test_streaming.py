@@ -61,3 +61,19 @@ def test_streaks_and_rates(spark):
     assert [r.streak for r in changes.streaks(df, ["page_id"], ["ts"], "signature").orderBy("ts").collect()] == [1, 2, 1, 2, 1]
     assert [r.in_window for r in changes.too_fast(df, ["page_id"], 2, 2).collect()] == [3, 3, 3]
     assert spark.range(1).select(*[changes.wait_after(F.lit(k)).alias(str(k)) for k in (1, 2, 3)]).first() == (5, 10, 15)
+
+
+def test_pages_are_forgotten(spark, tmp_path):
+    schema = "page_id string, ts timestamp, signature string"
+    stuck = [("p", at(1000 * i), "same") for i in range(4)]
+    later = [[("q", at(3_600_000), "x")], [("q", at(7_200_000), "x")], [("q", at(7_300_000), "x")], [("p", at(7_400_000), "same")]]
+    got = run(changes.guarded(stream_of(spark, [stuck, *later], schema, tmp_path)), "forgotten", tmp_path)
+    # the fifth scan with one signature in a row would pause the page
+    assert [r.runs for r in got if r.page_id == "p"] == [True] * 5
+
+
+def test_windows_in_a_stream(spark, tmp_path):
+    rows = [[("a", at(0)), ("a", at(4_000)), ("b", at(9_000))], [("a", at(12_000))], [("z", at(9_000_000))], [("z", at(18_000_000))]]
+    stream = changes.windowed_counts(stream_of(spark, rows, "k string, ts timestamp", tmp_path), ["k"], "10 seconds", "5 seconds")
+    got = {(r.k, r["from"], r.n) for r in run(stream, "windows", tmp_path)}
+    assert {("a", at(0), 2), ("a", at(-5_000), 2), ("a", at(10_000), 1), ("a", at(5_000), 1), ("b", at(5_000), 1), ("b", at(0), 1)} <= got
