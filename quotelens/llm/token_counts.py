@@ -5,7 +5,7 @@ best score and its number of tokens. Rules are those of the common unigram imple
 equal scores the piece that begins first (the longest) wins; a character that no piece of one character covers is unknown
 and scores the smallest score less 10, and counts as its UTF-8 bytes, each a token.
 
-A space becomes the mark that begins a word; a text that doesn't begin with a space or line feed gets one before it. No piece has the mark after its first character
+A space becomes the mark that begins a word; a text that doesn't begin with a space gets one before it. No piece has the mark after its first character
 or a line feed, so the best segmentation of a text is that of its words one by one, and a word is segmented once a task.
 """
 
@@ -96,7 +96,8 @@ class WordCounter:
                 total += 1
                 score += self.unknown
             for i, part in enumerate(line.split(" ")):
-                word = part if not i and (k or not part) else MARK + part
+                # the text's own beginning has a mark, but for one that its first space becomes
+                word = part if not i and (k or (line and not part)) else MARK + part
                 if not word:
                     continue
                 if (got := known.get(word)) is None:
