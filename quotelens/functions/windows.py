@@ -8,12 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def run_hash(*words: Column) -> Column:
+    """The hash of a run of words. Words are hashed first, so that in an array each is hashed once and not in every run that it is in."""
+    return F.xxhash64(words[0]) if len(words) == 1 else F.xxhash64(*map(F.xxhash64, words))
+
+
 def run_hashes(words: str, n: int) -> Column:
     """The hash of each run of n words of an array column."""
-    count = F.greatest(F.size(words) - n + 1, F.lit(0))
     if n == 1:
-        return F.transform(words, lambda w: F.xxhash64(w))
-    shifted = [F.slice(words, k + 1, count).alias(f"w{k}") for k in range(n)]
+        return F.transform(words, lambda w: run_hash(w))
+    count = F.greatest(F.size(words) - n + 1, F.lit(0))
+    codes = F.transform(words, lambda w: F.xxhash64(w))
+    shifted = [F.slice(codes, k + 1, count).alias(f"w{k}") for k in range(n)]
     return F.transform(F.arrays_zip(*shifted), lambda x: F.xxhash64(*[x[f"w{k}"] for k in range(n)]))
 
 

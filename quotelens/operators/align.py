@@ -59,14 +59,16 @@ def first_alignment(canon: list[str], cited: list[str], same, begin: int = 0) ->
     return None
 
 
-def distances(a: list[str], b: list[str], same, free: bool) -> list[list[int]]:
-    """Edit distances of prefixes of a and b; free: a may begin anywhere in b."""
+def distances(a: list[str], b: list[str], same, free: bool, budget: int | None = None) -> list[list[int]]:
+    """Edit distances of prefixes of a and b; free: a may begin anywhere in b. It ends early, with a row above budget, where none can be within."""
     table = [[0 if free else j for j in range(len(b) + 1)]]
     for i, word in enumerate(a, 1):
         row = [i]
         for j, other in enumerate(b, 1):
             row.append(min(table[-1][j] + 1, row[-1] + 1, table[-1][j - 1] + (not same(word, other))))
         table.append(row)
+        if budget is not None and min(row) > budget:
+            break
     return table
 
 
@@ -152,7 +154,7 @@ def window_distance(drift: str):
     def distance(cited: pd.Series, canon: pd.Series, budget: pd.Series) -> pd.Series:
         out = []
         for c, h, b in zip(cited, canon, budget, strict=True):
-            best = min(distances(list(c), list(h), same, True)[-1]) if len(c) and len(c) <= len(h) + b else None
+            best = min(distances(list(c), list(h), same, True, b)[-1]) if len(c) and len(c) <= len(h) + b else None
             out.append(best if best is not None and best <= b else None)
         return pd.Series(out, dtype="Int32")
 

@@ -22,6 +22,7 @@ def occurrence(findings: DataFrame, keys: list[str], at: str) -> DataFrame:
 
 
 def first_per_page(findings: DataFrame, page: str, order: list[str], cap: int = CAP) -> DataFrame:
+    """The first cap findings of each page. Spark cuts each task's rows of a page to cap before it shuffles them, so a page of very many is no burden."""
     return findings.withColumn("_n", F.row_number().over(Window.partitionBy(page).orderBy(*order))).where(F.col("_n") <= cap).drop("_n")
 
 

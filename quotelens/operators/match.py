@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotelens.functions.profiles import Profile
-from quotelens.functions.windows import canon_side, runs
+from quotelens.functions.windows import canon_side, run_hash, runs
 
 #: Words of the runs by which texts are searched for passages.
 RUN = 8
@@ -78,7 +78,7 @@ def softly_anchored(candidates: DataFrame, passages: DataFrame, profile: Profile
 
 def contiguous(candidates: DataFrame, passages: DataFrame) -> DataFrame:
     """Candidates of two words or more that are a run of a passage, word for word."""
-    pairs = candidates.where(F.size("cited_words") >= 2).withColumn("_pair", F.xxhash64(F.element_at("cited_words", 1), F.element_at("cited_words", 2)))
+    pairs = candidates.where(F.size("cited_words") >= 2).withColumn("_pair", run_hash(F.element_at("cited_words", 1), F.element_at("cited_words", 2)))
     begins = runs(passages, [*PASSAGE, "t1"], "t1_words", 2).select(*PASSAGE, "t1", "run").distinct()
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     return pairs.join(canon_side(begins, passages), F.col("_pair") == F.col("run")).where(F.contains(pad(F.col("t1")), pad(F.col("cited")))).drop("_pair", "run", "t1")
@@ -94,11 +94,21 @@ def spelling_variants(words: DataFrame, vocabulary: DataFrame, profile: Profile)
 
 
 def bag_matches(candidates: DataFrame, passages: DataFrame) -> DataFrame:
-    """Candidates with the passages that hold at least half of their words (two at least), counted with repeats."""
+    """Candidates with the passages that hold at least half of their words (two at least), counted with repeats.
+
+    A passage that holds that many holds one of the rarest others and one more, so only these are joined, never the common words.
+    """
     index = passages.select(*PASSAGE, F.explode(F.array_distinct("t1_words")).alias("word"))
-    words = candidates.where(F.size("cited_words") >= 2).select("cand_id", F.size("cited_words").alias("n"), F.explode("cited_words").alias("word"))
-    counted = words.join(canon_side(index, passages), "word").groupBy("cand_id", *PASSAGE).agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    return counted.where(F.col("shared") >= F.greatest(F.lit(2), F.ceil(F.col("n") * 0.5))).select("cand_id", *PASSAGE, "shared")
+    often = index.groupBy("word").agg(F.count("*").alias("often"))
+    n = F.size("cited_words")
+    asked = candidates.where(n >= 2).select("cand_id", "cited_words", F.greatest(F.lit(2), F.ceil(n * 0.5)).cast("int").alias("least"))
+    words = asked.select("cand_id", (n - F.col("least") + 1).alias("rare"), F.posexplode("cited_words").alias("place", "word")).join(canon_side(often, passages), "word", "left")
+    rarest = Window.partitionBy("cand_id").orderBy(F.coalesce("often", F.lit(0)), "word", "place")
+    probes = words.withColumn("_n", F.row_number().over(rarest)).where("_n <= rare and often > 0").select("cand_id", "word").distinct()
+    pairs = probes.join(canon_side(index, passages), "word").select("cand_id", *PASSAGE).distinct()
+    held = passages.select(*PASSAGE, F.col("t1_words").alias("_words"))
+    counted = pairs.join(canon_side(held, passages), PASSAGE).join(asked, "cand_id").withColumn("shared", F.size(F.filter("cited_words", lambda w: F.array_contains(F.col("_words"), w))).cast("long"))
+    return counted.where("shared >= least").select("cand_id", *PASSAGE, "shared")
 
 
 def elsewhere(found: DataFrame, claims: DataFrame) -> DataFrame:

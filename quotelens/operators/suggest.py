@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quotelens.functions.labels import verdict_of_tier
 from quotelens.functions.profiles import Profile
-from quotelens.functions.windows import canon_side, runs
+from quotelens.functions.windows import canon_side, run_hash, runs
 from quotelens.operators import align, match
 from quotelens.operators.match import PASSAGE
 
@@ -25,7 +25,7 @@ def suggestions(prefixes: DataFrame, passages: DataFrame, profile: Profile, limi
     pad = lambda x: F.concat(F.lit(" "), x)
     opened = runs(passages.withColumn("m", F.size("t1_words")), [*PASSAGE, "t1", "m"], "t1_words", 1)
     # a cut-off last word alone can't be looked up, so the first word is
-    begins = c.withColumn("_first", F.xxhash64(F.element_at("cited_words", 1)))
+    begins = c.withColumn("_first", run_hash(F.element_at("cited_words", 1)))
     exact = begins.join(canon_side(opened.select(*PASSAGE, "t1", "m", "run").distinct(), passages), F.col("_first") == F.col("run")).where(F.contains(pad(F.col("t1")), pad(F.col("cited"))))
     tiers = exact.select("cand_id", *PASSAGE, "n", "m", F.lit(0).alias("tier"))
     if fuzzy:

@@ -70,7 +70,22 @@ def verdicts(candidates: DataFrame, passages: DataFrame, profile: Profile) -> Da
     words = passages.select(*PASSAGE, F.col("t1_words").alias("canon"))
     with_canon = lambda df: df.join(canon_side(words, passages), PASSAGE)
 
+    # the cheap ways first: an exact passage, or the claimed one; who has such a hit has none of a lower rank, and asks no further
     same = match.exact(c, passages).where(elsewhere).join(canon_side(texts, passages), (F.col("group_id") == F.col("_g")) & (F.col("ord") == F.col("_o")))
+    cut = F.transform(F.filter(F.split("text", r"\.{3,}|…"), lambda s: F.length(profile.form(s)) > 0), lambda s: profile.words(profile.form(s)))
+    held = claimed_passages(c.where("bound"), passages).withColumn("group_id", F.col("claimed_group")).withColumn("_cut", cut)
+    held = held.select("*", soft("canon", "cited_words").alias("_run"), ordered("canon", "_cut").alias("_parts"), apart("cited_words", "canon", match.allowed_edits(n)).alias("_d"))
+    whole, pieces, near = (F.col("cited") == F.col("whole")) | F.col("_run.start").isNotNull(), (F.size("_cut") > 1) & F.col("_parts"), (n > 1) & F.col("_d").isNotNull()
+    held = held.where(whole | pieces | near).withColumn("ord", F.explode("found_ords"))
+    green = whole | pieces
+    right = F.when(F.col("cited") == F.col("whole"), profile.deviation(F.col("text"), F.col("authentic"))).otherwise(drifted)
+
+    sure = [
+        _hit(same, by_claim(14, 1), by_claim("orange", "lightBlue"), "exact", F.when(bound, "none").otherwise(profile.deviation(F.col("text"), F.col("authentic")))),
+        _hit(held.where(green), F.when(whole, 10).otherwise(12) + F.col("reading"), F.lit("green"), "exact", right),
+    ]
+    sure = materialize(reduce(DataFrame.unionByName, sure), "sure")
+    c = materialize(c.join(sure.select("cand_id").distinct(), "cand_id", "left_anti"), "unsure")
     run = match.contiguous(c, passages).where(elsewhere & (~bound | high))
     loose = with_canon(match.softly_anchored(c, passages, profile).where(elsewhere & (~bound | high))).where(soft("canon", "cited_words")["start"].isNotNull())
     bags = with_canon(match.bag_matches(c, passages).join(c.select("cand_id", "cited_words", "n", "bound"), "cand_id")).withColumn("_d", apart("cited_words", "canon", match.allowed_edits(n))).where("_d is not null")
@@ -80,23 +95,14 @@ def verdicts(candidates: DataFrame, passages: DataFrame, profile: Profile) -> Da
     parts = c.select("cand_id", "bound", "claimed_group", F.col("ords").alias("claimed")).join(segment_matches(c, passages, profile), "cand_id").withColumn("ord", F.explode("ords"))
     as_claimed = (F.col("group_id") == F.col("claimed_group")) & (F.array_sort(F.array_distinct("claimed")) == F.array_sort(F.array_distinct("ords")))
 
-    cut = F.transform(F.filter(F.split("text", r"\.{3,}|…"), lambda s: F.length(profile.form(s)) > 0), lambda s: profile.words(profile.form(s)))
-    held = claimed_passages(c.where("bound"), passages).withColumn("group_id", F.col("claimed_group")).withColumn("_cut", cut)
-    held = held.select("*", soft("canon", "cited_words").alias("_run"), ordered("canon", "_cut").alias("_parts"), apart("cited_words", "canon", match.allowed_edits(n)).alias("_d"))
-    whole, pieces, near = (F.col("cited") == F.col("whole")) | F.col("_run.start").isNotNull(), (F.size("_cut") > 1) & F.col("_parts"), (n > 1) & F.col("_d").isNotNull()
-    held = held.where(whole | pieces | near).withColumn("ord", F.explode("found_ords"))
-    green = whole | pieces
-    right = F.when(F.col("cited") == F.col("whole"), profile.deviation(F.col("text"), F.col("authentic"))).otherwise(drifted)
-
     hits = [
-        _hit(same, by_claim(14, 1), by_claim("orange", "lightBlue"), "exact", F.when(bound, "none").otherwise(profile.deviation(F.col("text"), F.col("authentic")))),
+        sure,
         _hit(parts, by_claim(17, 2), F.when(~bound, "lightBlue").when(as_claimed, "green").otherwise("orange"), "orderedContiguous", drifted),
         _hit(run, by_claim(19, 3), by_claim("orange", "lightBlue"), "orderedContiguous", drifted),
         _hit(loose, by_claim(20, 4), by_claim("orange", "lightBlue"), "orderedContiguous", drifted),
         _hit(single, by_claim(18, 5), by_claim("orange", "lightBlue"), "partial", drifted),
         _hit(bags, by_claim(21, 6), F.lit("yellow"), "partial", worded, F.col("_d")),
-        _hit(held.where(green), F.when(whole, 10).otherwise(12) + F.col("reading"), F.lit("green"), "exact", right),
-        _hit(held.where(~green), F.lit(15) + F.col("reading"), F.lit("yellow"), "partial", worded, F.col("_d")),
+        _hit(held.where(~green).join(sure.select("cand_id").distinct(), "cand_id", "left_anti"), F.lit(15) + F.col("reading"), F.lit("yellow"), "partial", worded, F.col("_d")),
         c.where(high).select("cand_id", F.lit(99).alias("rank"), F.lit("red").alias("verdict"), F.lit("none").alias("match_type"), F.lit(None).cast("string").alias("deviation"), F.lit(0).alias("diffs"), F.lit(None).cast("int").alias("group_id"), F.lit(None).cast("int").alias("ord")),
     ]
     # of single words and of wordings that differ only those that are listed are kept, by a window that needs no more of them
