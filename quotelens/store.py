@@ -19,18 +19,30 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quotelens/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: its lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quotelens/{name}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more."""
     for table in tables:
-        spark = table.sparkSession
-        for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            _delete(table.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this application has materialized, those that results still read too: for when they have been written."""
+    _delete(spark, _own(spark))
