@@ -97,6 +97,7 @@ def shard_rows(docs: DataFrame, tree: HashTree, key: str = "doc_id", text: str =
         "shard": shard_of(F.col(key), tree),
         "grown_shard": shard_of(F.col(key), tree.grow()),
     }
-    old = [c for c in docs.columns if c == key or whole and c not in (*new, "slot")]
-    out = with_slots(docs.select(*[F.col(f"`{c}`") for c in old], *[column.alias(name) for name, column in new.items()]), "shard", key, [key, "size", "text_crc32"])
-    return out.select(*[F.col(f"`{c}`") for c in old], "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    # what is passed on is one column until the end, so that no name clashes
+    old = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c == key or whole and c not in (*new, "slot")])
+    rows = docs.select(old.alias("row"), F.col(key).alias("key"), *[column.alias(name) for name, column in new.items()])
+    return with_slots(rows, "shard", "key", ["key", "size", "text_crc32"]).select("row.*", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
