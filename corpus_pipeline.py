@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelens.llm import decontamination, mixing, near_dedup, quality_rules, sharding
@@ -13,30 +13,35 @@ from quotelens.llm.store import materialize, release
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    """docs and _row: equal for rows of equal doc_id and text only. In its order rows without a doc_id come last."""
-    text = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
-    return docs.select("*", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), text.alias("text")).alias("_row"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """_whole (a row of docs), text and _row: equal for rows of equal doc_id and text only. In its order rows without a doc_id come last."""
+    hashed = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), hashed.alias("text"))
+    return docs.select(_whole(docs), "text", row.alias("_row"))
+
+
+def _whole(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules reject go."""
-    judged = quality_rules.quality_rules(docs.select(F.struct(*docs.columns).alias("_whole"), "text"), key="_whole")
+    judged = quality_rules.quality_rules(docs.select(_whole(docs), "text"), key="_whole")
     return judged.where("kept").select("_whole.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays, and one of rows with equal doc_id and text."""
-    rows = _with_key(docs)
+    rows = _keyed(docs)
     kept = materialize(near_dedup.near_duplicates(rows, key="_row").where("kept").select("_row"), "kept")
-    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select("_whole.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that contain an item of the benchmark go."""
-    rows = _with_key(docs)
+    rows = _keyed(docs)
     found = decontamination.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_row")
-    return rows.join(materialize(found.select("_row"), "contaminated"), "_row", "left_anti").select(*docs.columns)
+    return rows.join(materialize(found.select("_row"), "contaminated"), "_row", "left_anti").select("_whole.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
