@@ -126,6 +126,23 @@ def longest_run(drift: str):
     return run
 
 
+def phrase_end(drift: str):
+    """(canon, phrase) -> how many words of canon there are up to the end of the phrase's first occurrence, or null. One word is looked for as it is before it is in another spelling."""
+    same = _same(drift)
+
+    def of(canon: list[str], phrase: list[str]) -> int | None:
+        if len(phrase) == 1 and phrase[0] in canon:
+            return canon.index(phrase[0]) + 1
+        starts = range(len(canon) - len(phrase) + 1) if phrase else ()
+        return next((i + len(phrase) for i in starts if all(map(same, canon[i : i + len(phrase)], phrase))), None)
+
+    @F.pandas_udf("int")
+    def end(canon: pd.Series, phrase: pd.Series) -> pd.Series:
+        return pd.Series([of(list(c), list(p)) if c is not None and p is not None else None for c, p in zip(canon, phrase, strict=True)], dtype="Int32")
+
+    return end
+
+
 def ordered_segments(drift: str):
     """(canon, segments) -> whether all segments align one after another."""
     same = _same(drift)

@@ -40,6 +40,14 @@ def strategy_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("strategy").agg(F.count("*").alias("n"))
 
 
+def scan_events(found: DataFrame, pages: DataFrame, page: str = "page_id", seq: str = "seq", cap: int = CAP) -> DataFrame:
+    """What a scan says of its progress: page, event and n. start and complete (with the number of findings) for every page, progress for each finding, cap_hit where there are as many as may be."""
+    counted = pages.select(page).join(found.groupBy(page).agg(F.count("*").alias("n")), page, "left").select(page, F.coalesce("n", F.lit(0)).alias("n"))
+    said = lambda df, event, n: df.select(page, F.lit(event).alias("event"), n.cast("long").alias("n"))
+    events = (said(counted, "start", F.lit(0)), said(found, "progress", F.col(seq) + 1), said(counted.where(F.col("n") >= cap), "cap_hit", F.lit(cap)), said(counted, "complete", F.col("n")))
+    return events[0].unionByName(events[1]).unionByName(events[2]).unionByName(events[3])
+
+
 def checked(found: DataFrame) -> DataFrame:
     """found as it is; a verdict that there is none of, or a green one whose wording differs by words, raises an error."""
     known = F.col("verdict").isin(*VERDICTS)

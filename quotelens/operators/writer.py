@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quotelens.functions.labels import reference_text
 from quotelens.functions.profiles import Profile, squeeze
 from quotelens.functions.windows import canon_side
-from quotelens.operators import extract
+from quotelens.operators import align, extract
 from quotelens.operators.references import passages_of_range
 
 # Opening marks of a quotation and what closes them.
@@ -35,15 +35,11 @@ def begun_quotation(before_caret: Column) -> Column:
     return F.when(cited != "", F.struct(cited.alias("cited"), F.when(marked, by_mark).alias("open"), closer.alias("close")))
 
 
-def up_to_words(words: Column, phrase: Column, profile: Profile) -> Column:
-    """How many words of a passage there are up to the end of a phrase's first occurrence; null if it has none."""
-    padded, wanted = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.concat(F.lit(" "), profile.form(phrase), F.lit(" "))
-    at = F.instr(padded, wanted)
-    return F.when((at > 0) & (F.length(F.trim(wanted)) > 0), F.size(F.split(F.trim(F.substring(padded, F.lit(1), at + F.length(wanted) - 1)), " ")))
-
-
 def insertions(chosen: DataFrame, passages: DataFrame, profile: Profile, scope: str = "whole", as_number: bool = False, before: bool = False) -> DataFrame:
-    """The text that replaces what was typed. chosen: cand_id, group_id, ord, typed_words, end_phrase, to_ord, open, close.
+    """The text that replaces what was typed. chosen: cand_id, group_id, ord, typed, typed_words, end_phrase, to_ord, open, close.
+
+    typed (the text itself) is only read for the typed portion, which are the words of the passage that it agrees with longest; without that
+    column, or where none agree, as many words from the passage's first as were typed.
 
     Adds last, body and inserted (null where the scope can't be met: no such phrase or passage, or more than WORD_CAP words).
     """
@@ -58,8 +54,17 @@ def insertions(chosen: DataFrame, passages: DataFrame, profile: Profile, scope:
         texts = passages_of_range(ranges, passages).select("group_id", F.col("from_ord").alias("ord"), F.col("to_ord").alias("_to"), "last", F.array_join("texts", " ").alias("body"))
         rows = rows.withColumn("_to", to).join(texts, ["group_id", "ord", "_to"], "left").drop("_to")
     else:
-        count = {"whole": F.size(words), "typedPortion": F.least(F.col("typed_words"), F.size(words)), "startToEndWord": up_to_words(F.col("t1_words"), F.col("end_phrase"), profile)}[scope]
-        body = F.col("text") if scope == "whole" else F.array_join(F.slice(words, 1, F.greatest(count, F.lit(1))), " ")
+        first, count = F.lit(1), F.size(words)
+        said = lambda c: profile.words(profile.form(F.col(c)))
+        if scope == "typedPortion":
+            count = F.least(F.col("typed_words"), F.size(words))
+            if "typed" in chosen.columns:
+                rows = rows.withColumn("_run", align.longest_run(profile.drift)("t1_words", said("typed")))
+                first, count = F.coalesce(F.col("_run.start") + 1, first), F.coalesce("_run.length", count)
+        elif scope == "startToEndWord":
+            rows = rows.withColumn("_end", align.phrase_end(profile.drift)("t1_words", said("end_phrase")))
+            count = F.col("_end")
+        body = F.col("text") if scope == "whole" else F.array_join(F.slice(words, first, F.greatest(count, F.lit(1))), " ")
         rows = rows.withColumn("last", F.col("ord")).withColumn("body", F.when(count.isNotNull(), body))
     fits = F.size(F.split("body", " ")) <= WORD_CAP
     name = F.col("group_id").cast("string") if as_number else F.col("group_name")

@@ -604,3 +604,14 @@ def promoted_scans(spark, sf_dir):
 def latest_requests(spark, sf_dir):
     asked = _events(spark, sf_dir).select("event_type", "ts", F.col("event_id").alias("token"))
     return changes.latest_requests(asked, ["event_type"]).select("event_type", F.col("token").alias("event_id"), F.unix_micros("ts").alias("at"))
+
+
+@query(
+    "WITH f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'view'), u AS (SELECT DISTINCT user_id FROM events), c AS (SELECT user_id, count(f.n) AS n FROM u LEFT JOIN f USING (user_id) GROUP BY user_id) "
+    "SELECT user_id, 'start' AS event, CAST(0 AS BIGINT) AS n FROM u UNION ALL SELECT user_id, 'progress', n FROM f WHERE n <= 50 UNION ALL SELECT user_id, 'cap_hit', 50 FROM c WHERE n >= 50 UNION ALL SELECT user_id, 'complete', least(n, 50) FROM c"
+)
+def scan_events(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    found = findings.first_per_page(e.where("event_type <> 'view'"), "user_id", ["ts", "event_id"], 50)
+    found = findings.occurrence(found, ["user_id"], "ts").withColumnRenamed("occurrence", "seq")
+    return findings.scan_events(found, e.select("user_id").distinct(), "user_id", "seq", 50)

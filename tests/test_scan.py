@@ -78,6 +78,10 @@ def test_insertions(spark):
     assert text("whole") == "«Alpha beta, gamma delta» (One:1)"
     assert text("typedPortion") == "«Alpha beta,» (One:1)"
     assert text("startToEndWord", before=True) == "(One:1) «Alpha beta, gamma»"
+    typed = chosen.withColumn("typed", F.lit("BETA gamma and"))
+    assert writer.insertions(typed, canon, LATIN, "typedPortion").first().inserted == "«beta, gamma» (One:1)"
+    assert writer.insertions(chosen.withColumn("end_phrase", F.lit("beta gamma")), canon, LATIN, "startToEndWord").first().body == "Alpha beta, gamma"
+    assert writer.insertions(chosen.withColumn("end_phrase", F.lit("gamma beta")), canon, LATIN, "startToEndWord").first().inserted is None
     assert text("multiAyahs", as_number=True) == "«Alpha beta, gamma delta epsilon zeta» (1:1-2)"
     assert text("surahEnd").endswith("eta» (One:1-3)")
     with pytest.raises(ValueError):
