@@ -12,6 +12,9 @@ A window with few literal words is weak: it fits many texts. It counts if its va
 alignment has enough literal words, or values that are the same: ``literal`` in all, or ``few`` where all the item's windows are aligned.
 A window without any literal word is joined by its values.
 
+Templates alone, without values, find the documents to look at; values are compared in those. Spark broadcasts the keys of
+these documents if their written table is small, else it shuffles.
+
 Only DataFrame functions are used. The item windows are broadcast if there are few enough of them, else they are shuffled.
 """
 
@@ -51,27 +54,44 @@ class Templates:
     broadcast: int = 200_000
 
 
-def canonical_words(docs: DataFrame, text: str) -> DataFrame:
-    """Adds words: array of (t, v), t the canonical word and v the value that a placeholder replaces."""
-    raw = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\p{L}[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*|\p{Nd}+(?:[.,]\p{Nd}+)*"), F.lit(0))
+def _template(pair: Column) -> Column:
+    """What stands for a word (fields word, lower and before, the lower-cased word before it)."""
+    word, lower, before = pair["word"], pair["lower"], pair["before"]
     # words that begin with an ASCII letter lie between these; only others can begin with a digit
-    is_number = lambda word, lower: ((word < "A") | (word > "{")) & word.rlike(r"^\p{Nd}") | lower.isin(NUMBERS)
-
-    def kind(pair: Column) -> Column:
-        word, lower, before = pair["word"], pair["lower"], pair["before"]
-        template = (
-            F.when(is_number(word, lower), F.lit("#n"))
-            .when(lower.isin(UNITS) & is_number(before, F.lower(before)), F.lit("#u"))
-            .when((word != lower) & word.rlike(r"^\p{Lu}\p{Ll}"), F.lit("#p"))
-            .otherwise(lower)
-        )
-        return F.struct(template.alias("t"), F.when(template.startswith("#"), lower).alias("v"))
+    is_number = lambda w: ((w < "A") | (w > "{")) & w.rlike(r"^\p{Nd}") | w.isin(NUMBERS)
+    return (
+        F.when(is_number(lower), F.lit("#n"))
+        .when(lower.isin(UNITS) & is_number(before), F.lit("#u"))
+        .when((word != lower) & word.rlike(r"^\p{Lu}\p{Ll}"), F.lit("#p"))
+        .otherwise(lower)
+    )
 
+
+def _paired(docs: DataFrame, text: str) -> DataFrame:
+    """Adds _pairs: the words of a text as :func:`_template` takes them."""
+    raw = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\p{L}[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*|\p{Nd}+(?:[.,]\p{Nd}+)*"), F.lit(0))
     # arrays that a lambda needs are zipped with its own, since a column that it captures may be computed anew for each element
-    before = F.concat(F.array(F.lit("")), F.slice("_raw", 1, F.greatest(F.size("_raw") - 1, F.lit(0))))
-    paired = F.arrays_zip(F.col("_raw").alias("word"), F.transform("_raw", F.lower).alias("lower"), before.alias("before"))
-    kinds = docs.withColumn("_raw", raw)
-    return kinds.withColumn("words", F.when(F.size("_raw") > 0, F.transform(paired, kind)).otherwise(F.array().cast("array<struct<t:string,v:string>>"))).drop("_raw")
+    before = F.concat(F.array(F.lit("")), F.slice("_lower", 1, F.greatest(F.size("_lower") - 1, F.lit(0))))
+    rows = docs.withColumn("_raw", raw).withColumn("_lower", F.transform("_raw", lambda w: F.lower(w)))
+    return rows.withColumn("_pairs", F.when(F.size("_raw") > 0, F.arrays_zip(F.col("_raw").alias("word"), F.col("_lower").alias("lower"), before.alias("before")))).drop("_raw", "_lower")
+
+
+def canonical_words(docs: DataFrame, text: str) -> DataFrame:
+    """Adds words: array of (t, v), t the canonical word and v the value that a placeholder replaces."""
+    kinds = F.transform("_pairs", lambda x: F.struct(_template(x).alias("t"), x["lower"].alias("v")))
+    words = F.transform(kinds, lambda x: F.struct(x["t"].alias("t"), F.when(x["t"].startswith("#"), x["v"]).alias("v")))
+    return _paired(docs, text).withColumn("words", F.coalesce(words, F.array().cast("array<struct<t:string,v:string>>"))).drop("_pairs")
+
+
+def templates_of(docs: DataFrame, keys: list[str], text: str, sizes: list[int]) -> DataFrame:
+    """keys, n and template of every window of each size: the hash of its canonical words, whatever their values. It finds the documents to look at."""
+    coded = _paired(docs, text).select(*keys, F.transform("_pairs", lambda x: F.xxhash64(_template(x))).alias("_codes"))
+    each = []
+    for n in sizes:
+        shifted = [F.slice("_codes", k + 1, F.greatest(F.size("_codes") - n + 1, F.lit(0))).alias(f"c{k}") for k in range(n)]
+        each.append(F.transform(F.arrays_zip(*shifted), lambda x: F.struct(F.lit(n).alias("n"), F.xxhash64(*[x[f"c{k}"] for k in range(n)]).alias("template"))))  # noqa: B023
+    # the outer form: the other lets Spark test the array's size first, for which it would compute all of it again
+    return coded.select(*keys, F.explode_outer(F.concat(*each)).alias("w")).where("w is not null").select(*keys, "w.n", "w.template")
 
 
 def windows(docs: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
@@ -138,7 +158,12 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     facts = counts.join(of_items.groupBy(F.col("_item").alias("_j")).agg(F.array_distinct(F.flatten(F.collect_set(places))).alias("literals")), F.col("_i").eqNullSafe(F.col("_j"))).drop("_j")
     few = wanted.limit(templates.broadcast + 1).count() <= templates.broadcast
     side = lambda df: F.broadcast(df) if few else df
-    held = windows(canonical_words(docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")), "_text").select("_doc", "words"), ["_doc"], sizes)
+    # most documents have no window like an item's; those that do are few, and only of them values are compared
+    known = materialize(templates_of(texts, [], "_text", sizes).distinct(), "item-templates")
+    asked = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
+    touched = materialize(templates_of(asked, ["_doc"], "_text", sizes).join(side(known), ["n", "template"], "left_semi").select(F.col("_doc").alias("_d")).distinct(), "touched")
+    asked = asked.join(touched, F.col("_doc").eqNullSafe(F.col("_d")), "left_semi")
+    held = windows(canonical_words(asked, "_text").select("_doc", "words"), ["_doc"], sizes)
     matched = held.join(side(wanted), ["n", "hash"]).withColumn("shift", F.col("place") - F.col("item_place"))
     alignment = ["_doc", "_item", "n", "shift"]
     none = F.array().cast("array<string>")
