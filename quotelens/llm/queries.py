@@ -34,7 +34,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+    """Counts and verdict of each document; the longest repeat, by which some are rejected, stays with the operator."""
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,4 +195,54 @@ SELECT conv_id, NULL, NULL, NULL, turn, role, 'message', '',
 FROM spoken WHERE role IS NULL OR turn IS NULL OR role NOT IN ('user', 'assistant')
 """
 
-ORACLE_SQL = {"op7_mixing": _OP7, "op9_chat_format": _OP9}
+_WORDS = "SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Shingles as text, all pairs that share one, and what links reach.
+_OP2 = f"""
+WITH RECURSIVE said AS ({_WORDS.format(text=_LOWER)}),
+shingles AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM said WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+links AS (SELECT a, b FROM shared s JOIN sizes x ON x.r = s.a JOIN sizes y ON y.r = s.b WHERE 100 * s.n >= 85 * (x.n + y.n - s.n)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT r AS a, r AS b FROM said UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+least AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN said ON reach.b = said.r GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(doc_id = component_id, doc_id IS NULL AND component_id IS NULL) AS kept
+FROM said JOIN least USING (r) LEFT JOIN sizes USING (r)
+"""
+
+#: Words in repeats of n words or more are those that repeated windows of n words cover.
+_OP5 = f"""
+WITH said AS ({_WORDS.format(text="coalesce(text, '')")}),
+windows AS (
+  SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS g
+  FROM (SELECT r, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS i FROM said, (VALUES (5), (8), (16), (61)) AS sizes(n))),
+again AS (SELECT r, n, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, n, g) > 1),
+inside AS (SELECT r, n, count(DISTINCT p) AS words FROM (SELECT r, n, unnest(range(i, i + n)) AS p FROM again) GROUP BY r, n),
+counted AS (
+  SELECT r, coalesce(max(words) FILTER (n = 5), 0) AS n5, coalesce(max(words) FILTER (n = 8), 0) AS n8, coalesce(max(words) FILTER (n = 16), 0) AS n16, coalesce(max(words) FILTER (n = 61), 0) AS n61
+  FROM said LEFT JOIN inside USING (r) GROUP BY r),
+base AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines,
+         n5 AS n_repeat_words, len(w) < 10 OR 100 * n5 > 20 * len(w) AS base_failed, n8 AS covered_words, n16 AS copied_words, n61
+  FROM said JOIN counted USING (r))
+SELECT * EXCLUDE (lines, n61), CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+       NOT base_failed AND covered_words <= 0.2::DOUBLE * n_words AND copied_words <= 0.1::DOUBLE * n_words AND n61 = 0 AS kept
+FROM base
+"""
+
+_OP6 = f"""
+WITH said AS ({_WORDS.format(text="coalesce(text, '')")}),
+windows AS (SELECT r, doc_id, i, array_to_string(w[i : i + 49], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 48, 1))) AS i FROM said)),
+earliest AS (SELECT g, min(doc_id) AS d FROM windows GROUP BY g),
+held AS (SELECT r, i FROM windows JOIN earliest USING (g) WHERE d < doc_id OR (doc_id IS NULL AND d IS NOT NULL)),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM held),
+left_ AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS kept FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM said) x ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM said LEFT JOIN left_ USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) USING (r)
+"""
+
+ORACLE_SQL = {"op2_near_dedup": _OP2, "op5_quality_rules": _OP5, "op6_substring_dedup": _OP6, "op7_mixing": _OP7, "op9_chat_format": _OP9}
