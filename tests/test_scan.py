@@ -35,7 +35,7 @@ def test_enriched(spark, canon, found):
     got = {r.verdict: r for r in scan.enriched(found[0], canon, ARABIC).collect()}
     assert got["green"].excerpt == "الحمد لله رب العالمين" and got["lightBlue"].excerpt == "يوم الدين إياك نعبد"
     assert [d.op for d in got["yellow"].diff].count("sub") == 1 and got["yellow"].excerpt == VERSES[2][3] and got["red"].near is None
-    red = found[0].where("verdict = 'red'").withColumn("text", F.lit("ذلك شيء لا ريب شيء هدى للمتقين الذين يؤمنون بالغيب")).unionByName(found[0].where("verdict = 'red'").withColumn("text", F.lit("رب العالمين رب العالمين")).withColumn("start", F.lit(1)))
+    red = found[0].where("verdict = 'red'").withColumn("text", F.lit("ذلك شيء لا ريب شيء هدى للمتقين الذين يؤمنون بالغيب")).unionByName(found[0].where("verdict = 'red'").withColumn("text", F.lit("لله رب العالمين لله رب العالمين")).withColumn("start", F.lit(1)))
     near = {r.start: r.near for r in scan.enriched(red, canon, ARABIC).collect()}
     assert (near[1].group_id, near[1].first, near[1].distance) == (1, 1, 0)
     other = next(v for k, v in near.items() if k != 1)
