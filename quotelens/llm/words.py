@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ def strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
 class Block:
     """Texts rows[0]..rows[1] of a batch. word_start and word_end: bytes in data; first: the first word of each text, and the end.
 
-    word: a number for each word, equal for equal words of the block only; word_hash: two 64-bit hashes of each, in columns.
+    word: a number for each word, equal for equal words of the block only; known: the words by their number.
     """
 
     rows: tuple[int, int]
@@ -85,9 +86,15 @@ class Block:
     word_start: np.ndarray
     word_end: np.ndarray
     word: np.ndarray
-    word_hash: np.ndarray
+    known: pa.Array
     first: np.ndarray
 
+    @cached_property
+    def word_hash(self) -> np.ndarray:
+        """Two 64-bit hashes of each word's bytes, in columns."""
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.known.to_pylist())), dtype="<u8").reshape(-1, 2).astype(_U)
+        return hashes[self.word]
+
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
@@ -122,8 +129,7 @@ def blocks(texts: pa.Array, lower: bool = False, size: int = BLOCK) -> Iterator[
         word_end = np.flatnonzero(before & (~inside | edge))
         coded = strings(data[inside[:-1]], word_end - word_start).dictionary_encode()
         word = coded.indices.to_numpy().astype(np.int64)
-        known = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist())), dtype="<u8").reshape(-1, 2).astype(_U)
-        yield Block((i, j), data, text_start, word_start, word_end, word, known[word], np.searchsorted(word_start, text_start))
+        yield Block((i, j), data, text_start, word_start, word_end, word, coded.dictionary, np.searchsorted(word_start, text_start))
         i = j
 
 
