@@ -235,10 +235,10 @@ def _alike(classes: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     What shares a shingle is not expanded into pairs as it is. Lengths that can't be similar don't meet: a class of lengths is as
     wide as the similarity, so a pair is in one class or two neighbouring ones. Of a pair one has the shared shingle
     among the first (1 - t) / (1 + t) of its own (t: the similarity), since the places of both bound what they share. And of the root that
-    has most rows of a shingle the rows meet only those of other roots.
+    has most rows of a shingle the rows meet only those of other roots. What is joined are written tables, so that Spark can split large keys.
     """
     tokens = materialize(texts.join(classes, "id").select("id", "text").mapInArrow(_tokens(near), "id long, token long"), "tokens")
-    several = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    several = materialize(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), "several")
     # shingles that no other class has come first in its order; they only shift the places of the rest
     own = Window.partitionBy("id")
     placed = tokens.join(several, "token").withColumn("rank", F.row_number().over(own.orderBy("often", "token"))).withColumn("kept", F.count("*").over(own))
@@ -250,6 +250,7 @@ def _alike(classes: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     prefix = materialize(prefix, "prefixes")
     by_root = prefix.groupBy("token", "root").agg(F.count("*").alias("rows"))
     crowd = by_root.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("rows", "root"))["root"].alias("crowd")).where("low < high").select("token", "crowd")
+    crowd = materialize(crowd, "crowds")
     prefix = materialize(prefix.join(crowd, "token"), "open-prefixes")
     a, b = (prefix.select("token", *(F.col(c).alias(c[0] + i) for c in ("id", "n", "root", "place")), F.col("length").alias(f"l{i}"), F.col("early").alias(f"e{i}"), (F.col("root") == F.col("crowd")).alias(f"c{i}")) for i in "ab")
     a = a.where("not ca").withColumn("lb", F.explode(F.array(F.col("la") - 1, "la", F.col("la") + 1))).drop("la")
@@ -257,7 +258,7 @@ def _alike(classes: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     able = (100 * most >= near.percent * (F.col("na") + F.col("nb") - most)) & (F.col("ra") != F.col("rb")) & (F.col("cb") | (F.col("ia") < F.col("ib")))
     found = a.where("ea").join(b, ["token", "lb"]).where(able).select("ia", "ib").unionByName(a.where("not ea").join(b.where("eb"), ["token", "lb"]).where(able).select("ia", "ib"))
     found = materialize(found.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct(), "crossing")
-    release(tokens, prefix)
+    release(tokens, several, crowd, prefix)
     return found
 
 

@@ -13,7 +13,7 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str = "n", pa
     """rows joined with counted: a written table with one row for each key, and n, the key's number of rows.
 
     Rows of large keys stay where they are: those keys, at most parts of them whatever the input, are broadcast. All
-    other rows are shuffled by key. counted is read several times.
+    other rows are shuffled by key. counted is read several times, and n is no column of rows.
     """
     total = counted.agg(F.sum(n)).first()[0] or 0
     is_large = F.col(n) * parts > total
