@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm import chat_format, decontamination, html_extraction, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
+from quotelens.llm import chat_format, decontamination, hard_negatives, html_extraction, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, spelling_variants, substring_dedup, token_counts
 
 #: A public vocabulary file with byte fallback.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -69,6 +69,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABU
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), token_counts.Vocabulary.from_sentencepiece(vocabulary))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of the rows whose vec_id is divisible by 100; where it is divisible by 7, the label is the next one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    finite = lambda x: F.abs(x) < F.lit(float("inf"))
+    whole = F.transform("embedding", lambda x: F.when(finite(x.cast("double")), F.floor(F.lit(256.0) * x.cast("double"))))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), whole.alias("embedding"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str, file: str | None = None, ranks: str | None = None) -> DataFrame:
+    """Pieces of documents in sequences of at most 2,048 tokens; the vocabulary is that of a public tokenizer's files."""
+    import public_tokenizers
+
+    vocabulary = packing.BytePairs.load(file or public_tokenizers.path("byte_bpe_50k.json"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(spelling_variants.word_counts(_table(spark, sf_dir, "documents")))
+
+
 _OP7 = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
@@ -119,6 +141,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_packing": op12_packing,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: The SQL has the rule by which conversations become calls; links, steps, errors and repeats are found from the calls.
@@ -245,4 +270,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, s
 FROM said LEFT JOIN left_ USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) USING (r)
 """
 
-ORACLE_SQL = {"op2_near_dedup": _OP2, "op5_quality_rules": _OP5, "op6_substring_dedup": _OP6, "op7_mixing": _OP7, "op9_chat_format": _OP9}
+#: Every anchor with every row.
+_OP11 = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256.0::DOUBLE * CAST(x AS DOUBLE))) AS code
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, CAST(list_dot_product(a.code, b.code) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+positives AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id NULLS LAST) AS k FROM scored WHERE alike QUALIFY k <= 5),
+negatives AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.a, p.k ORDER BY n.score DESC, n.id NULLS LAST) AS rank
+  FROM positives p JOIN scored n ON p.a = n.a AND NOT n.alike AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5
+"""
+
+ORACLE_SQL = {"op11_hard_negatives": _OP11, "op2_near_dedup": _OP2, "op5_quality_rules": _OP5, "op6_substring_dedup": _OP6, "op7_mixing": _OP7, "op9_chat_format": _OP9}
