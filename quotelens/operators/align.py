@@ -158,19 +158,23 @@ def ordered_segments(drift: str):
                 at = found[1]
             return True
 
-        return pd.Series([fits(h, s) for h, s in zip(canon, segments, strict=True)], dtype=bool)
+        return pd.Series([h is not None and s is not None and fits(h, s) for h, s in zip(canon, segments, strict=True)], dtype=bool)
 
     return ordered
 
 
 def window_distance(drift: str):
-    """(cited, canon, budget) -> the smallest distance of cited to a run of canon, null above budget."""
+    """(cited, canon, budget) -> the smallest distance of cited to a run of canon, null above budget, or where any is null."""
     same = _same(drift)
 
     @F.pandas_udf("int")
     def distance(cited: pd.Series, canon: pd.Series, budget: pd.Series) -> pd.Series:
         out = []
         for c, h, b in zip(cited, canon, budget, strict=True):
+            if c is None or h is None or pd.isna(b):
+                out.append(None)
+                continue
+            b = int(b)
             best = min(distances(list(c), list(h), same, True, b)[-1]) if len(c) and len(c) <= len(h) + b else None
             out.append(best if best is not None and best <= b else None)
         return pd.Series(out, dtype="Int32")

@@ -1,22 +1,18 @@
-"""Finding passages in texts and texts in passages, by hash joins on runs of words.
+"""Finding passages in texts and texts in passages, by joins with an index of the canon.
 
-candidates: cand_id, cited (comparison form), cited_words. passages: as made by sources.corpus. The canon is broadcast
-where it is small enough; otherwise both sides are shuffled by the words they share.
+candidates: cand_id (each once), cited (comparison form), cited_words. canon: passages as made by sources.corpus, or their CanonIndex.
+A candidate is looked up by the rarest of the keys that a passage must share with it, never by its common words.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotelens.functions.profiles import Profile
-from quotelens.functions.windows import canon_side, run_hash, runs
-
-#: Words of the runs by which texts are searched for passages.
-RUN = 8
-PASSAGE = ["group_id", "ord"]
+from quotelens.functions.profiles import LATIN, Profile
+from quotelens.functions.windows import canon_side, runs
+from quotelens.operators import canon_index
+from quotelens.operators.canon_index import LETTERS, PAIR, PASSAGE, WORD, CanonIndex, index_of, key, option, probed
 
 
 def with_words(texts: DataFrame, profile: Profile, text: str = "text") -> DataFrame:
@@ -27,61 +23,122 @@ def with_words(texts: DataFrame, profile: Profile, text: str = "text") -> DataFr
 def passages_within(texts: DataFrame, keys: list[str], passages: DataFrame) -> DataFrame:
     """keys, group_id, ord and place: where a text holds a whole passage. texts: keys and cited_words.
 
-    Runs of RUN words are joined; a passage is held where all its runs match at one distance. Shorter passages are one run.
+    Of each passage the two neighbouring words that are rarest in the canon are looked for in the texts (a passage of one word by
+    that word); where they lie, the whole passage is compared.
     """
-    sized = passages.select(*PASSAGE, "t1_words", F.least(F.size("t1_words"), F.lit(RUN)).alias("n")).where("n > 0")
-    found = []
-    for (n,) in sized.select("n").distinct().collect():  # RUN values at most
-        parts = runs(sized.where(F.col("n") == n), PASSAGE, "t1_words", n).withColumnRenamed("place", "at")
-        counts = sized.where(F.col("n") == n).select(*PASSAGE, (F.size("t1_words") - n + 1).alias("needed"))
-        hits = runs(texts, keys, "cited_words", n).join(canon_side(parts.join(counts, PASSAGE), passages), "run")
-        whole = hits.groupBy(*keys, *PASSAGE, (F.col("place") - F.col("at")).alias("place")).agg(F.count("*").alias("n"), F.first("needed").alias("needed"))
-        found.append(whole.where("n = needed").select(*keys, *PASSAGE, "place"))
-    return reduce(DataFrame.unionByName, found) if found else texts.select(*keys, F.lit(None).cast("int").alias("group_id"), F.lit(None).cast("int").alias("ord"), F.lit(None).cast("int").alias("place")).limit(0)
+    n = F.size("t1_words")
+    pairs = runs(passages.where(n > 1), PASSAGE, "t1_words", 2)
+    often = pairs.groupBy("run").agg(F.count("*").alias("often"))
+    anchors = pairs.join(often, "run").groupBy(*PASSAGE).agg(F.min_by(F.struct("run", "place"), F.struct("often", "place")).alias("a")).select(*PASSAGE, "a.run", F.col("a.place").alias("at"))
+    single = runs(passages.where(n == 1), PASSAGE, "t1_words", 1).withColumnRenamed("place", "at")
+    begin = (F.col("place") - F.col("at")).alias("place")
+    met = runs(texts, keys, "cited_words", 2).join(canon_side(anchors, passages), "run").select(*keys, *PASSAGE, begin)
+    if not single.isEmpty():
+        met = met.unionByName(runs(texts, keys, "cited_words", 1).join(canon_side(single, passages), "run").select(*keys, *PASSAGE, begin))
+    met = met.where("place >= 0").distinct().select(F.struct(*keys).alias("_of"), *PASSAGE, "place")
+    said = texts.select(*keys, "cited_words").join(met, F.struct(*keys).eqNullSafe(F.col("_of"))).drop("_of")
+    whole = said.join(canon_side(passages.select(*PASSAGE, "t1_words"), passages), PASSAGE).where(F.slice("cited_words", F.col("place") + 1, n) == F.col("t1_words"))
+    return whole.select(*keys, *PASSAGE, "place").distinct()
+
+
+def exact(candidates: DataFrame, canon: DataFrame | CanonIndex) -> DataFrame:
+    forms = index_of(canon, LATIN).side("forms").select(F.col("t1").alias("_t1"), *PASSAGE)
+    return candidates.join(forms, F.col("cited") == F.col("_t1")).drop("_t1")
+
+
+def _with_canon(candidates: DataFrame, found: DataFrame, index: CanonIndex, **columns: str) -> DataFrame:
+    """candidates with the passages found for them (cand_id, group_id, ord), and columns of the passages under new names."""
+    own = index.side("passages").select(*PASSAGE, *[F.col(old).alias(new) for new, old in columns.items()])
+    return candidates.join(found.join(own, PASSAGE), "cand_id")
+
 
+def _asked(candidates: DataFrame, *options: Column) -> DataFrame:
+    return candidates.select("cand_id", F.array(*options).alias("options"))
 
-def exact(candidates: DataFrame, passages: DataFrame) -> DataFrame:
-    return candidates.join(canon_side(passages.select("t1", *PASSAGE), passages), F.col("cited") == F.col("t1")).drop("t1")
 
+def _first(words: str = "cited_words") -> Column:
+    return F.try_element_at(F.col(words), F.lit(1))
 
-def anchored(candidates: DataFrame, passages: DataFrame) -> DataFrame:
+
+def _last(words: str = "cited_words") -> Column:
+    return F.try_element_at(F.col(words), F.lit(-1))
+
+
+def anchored(candidates: DataFrame, canon: DataFrame | CanonIndex) -> DataFrame:
     """Candidates of two words or more with the passages that have both their first and last word."""
-    words = passages.select(*PASSAGE, F.explode(F.array_distinct("t1_words")).alias("word"))
-    ends = candidates.where(F.size("cited_words") >= 2).withColumn("_first", F.element_at("cited_words", 1)).withColumn("_last", F.element_at("cited_words", -1))
-    starts = ends.join(canon_side(words, passages), F.col("_first") == F.col("word")).drop("word")
-    last = words.select(F.col("group_id").alias("_g"), F.col("ord").alias("_o"), F.col("word").alias("_w"))
-    return starts.join(canon_side(last, passages), (F.col("_last") == F.col("_w")) & (F.col("group_id") == F.col("_g")) & (F.col("ord") == F.col("_o"))).drop("_g", "_o", "_w", "_first", "_last")
+    index = index_of(canon, LATIN)
+    c = candidates.where(F.size("cited_words") >= 2)
+    found = probed(_asked(c, *[option(F.array(key(WORD, w))) for w in (_first(), _last())]), index)
+    both = F.array_contains("_canon", _first()) & F.array_contains("_canon", _last())
+    return _with_canon(c, found, index, _canon="t1_words").where(both).select(*candidates.columns, *PASSAGE)
+
+
+def _heads(most: int, profile: Profile, last: bool = False) -> Column:
+    """A candidate's first one to most words, or its last ones, written as one."""
+    n = F.size("cited_words")
+    part = lambda k: F.slice("cited_words", n - k + 1, k) if last else F.slice("cited_words", F.lit(1), k)
+    return F.transform(F.sequence(F.lit(1), F.least(F.lit(most), n)), lambda k: F.array_join(part(k), ""))
 
 
-def softly_anchored(candidates: DataFrame, passages: DataFrame, profile: Profile, most: int = 3) -> DataFrame:
-    """Candidates of two words or more with the passages that have a word like their first one, and one like their last one.
+def _bones(kind: str, texts: Column, profile: Profile) -> Column:
+    return F.transform(texts, lambda w: key(canon_index.soft_kind(kind, profile), profile.skeleton(w)))
 
-    A word may be written in up to most words of the citation, and differ in one letter of the profile's drift. Of its two ends a
-    candidate is joined by the one that fewer words of the canon are like; the other one is a filter on the passage's words.
+
+def alike(a: Column, b: Column, profile: Profile) -> Column:
+    """Whether two words are one by the letter that looking them up allows for."""
+    return (a == b) | (profile.same_word(a, b) & (F.levenshtein(a, b) <= 1)) if profile.drift else a == b
+
+
+def has_alike(words: Column, forms: Column, profile: Profile) -> Column:
+    if not profile.drift:
+        return F.arrays_overlap(words, forms)
+    return F.exists(words, lambda w: F.exists(forms, lambda f: alike(f, w, profile)))
+
+
+def kept_options(n: Column, edits: Column, profile: Profile, lost_pairs: int = 0) -> list[Column]:
+    """Options for passages that have all of a candidate's words but edits of them: one of any edits + 1 words is kept.
+
+    Each edit parts two pairs of neighbours, so one of any 2 * edits + 1 pairs is kept too (and lost_pairs more, if those are lost).
     """
+    words, pairs = F.col("cited_words"), canon_index.neighbours(F.transform("cited_words", lambda w: profile.skeleton(w)))
+    few = 2 * edits + lost_pairs
+    by_word = F.when(n > edits, option(_bones(WORD, words, profile), edits + 1))
+    by_pair = F.when(n - 1 > few, option(F.transform(pairs, lambda p: key(canon_index.soft_kind(PAIR, profile), p)), few + 1))
+    return [by_word, by_pair]
+
+
+def softly_anchored(candidates: DataFrame, canon: DataFrame | CanonIndex, profile: Profile, most: int = 3, edits: Column | None = None, whole: bool = False) -> DataFrame:
+    """Candidates of two words or more with the passages that have a word like their first one, and one like their last one; and canon, the passage's words.
+
+    A word may be written in up to most words of the citation, and differ in one letter of the profile's drift. edits: only
+    passages matter that have all words but so many. whole: only those that write all of it, whatever words are merged or split.
+    Passages are looked up by whichever is rarest: the words at either end, words or pairs that not all edits can touch, or a run of letters.
+    """
+    index = index_of(canon, profile)
     c = candidates.where(F.size("cited_words") >= 2)
-    ends = F.sequence(F.lit(1), F.least(F.lit(most), F.size("cited_words")))
-    c = c.withColumn("_heads", F.transform(ends, lambda k: F.array_join(F.slice("cited_words", F.lit(1), k), ""))).withColumn("_tails", F.transform(ends, lambda k: F.array_join(F.slice("cited_words", F.size("cited_words") - k + 1, k), "")))
-    index = passages.select(*PASSAGE, "t1_words", F.explode(F.array_distinct("t1_words")).alias("word")).withColumn("_s", profile.skeleton(F.col("word")))
-    often = index.groupBy("_s").agg(F.count("*").alias("often"))
-    sides = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(f).alias("forms")) for n, f in ((0, "_heads"), (1, "_tails"))])).alias("e")
-    forms = c.select("cand_id", sides).select("cand_id", "e.side", F.explode("e.forms").alias("form")).distinct().withColumn("_s", profile.skeleton(F.col("form")))
-    counted = forms.join(canon_side(often, passages), "_s", "left").groupBy("cand_id", "side").agg(F.coalesce(F.sum("often"), F.lit(0)).alias("hits"))
-    rarer = counted.groupBy("cand_id").agg(F.min(F.struct("hits", "side"))["side"].alias("side"))
-    alike = lambda a, b: (a == b) | (profile.same_word(a, b) & (F.levenshtein(a, b) <= 1)) if profile.drift else a == b
-    met = forms.join(rarer, ["cand_id", "side"]).join(canon_side(index, passages), "_s").where(alike(F.col("form"), F.col("word")))
-    met = met.select("cand_id", "side", *PASSAGE, "t1_words").distinct()
-    other = F.when(F.col("side") == 0, F.col("_tails")).otherwise(F.col("_heads"))
-    has = F.exists("t1_words", lambda w: F.exists(other, lambda f: alike(f, w))) if profile.drift else F.arrays_overlap("t1_words", other)
-    return c.join(met, "cand_id").where(has).drop("_heads", "_tails", "side", "t1_words")
-
-
-def contiguous(candidates: DataFrame, passages: DataFrame) -> DataFrame:
-    """Candidates of two words or more that are a run of a passage, word for word."""
-    pairs = candidates.where(F.size("cited_words") >= 2).withColumn("_pair", run_hash(F.element_at("cited_words", 1), F.element_at("cited_words", 2)))
-    begins = runs(passages, [*PASSAGE, "t1"], "t1_words", 2).select(*PASSAGE, "t1", "run").distinct()
-    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    return pairs.join(canon_side(begins, passages), F.col("_pair") == F.col("run")).where(F.contains(pad(F.col("t1")), pad(F.col("cited")))).drop("_pair", "run", "t1")
+    options = [option(_bones(WORD, _heads(most, profile, last), profile)) for last in (False, True)]
+    if edits is not None:
+        options += kept_options(F.size("cited_words"), edits, profile)
+    flat = canon_index.letters(F.col("cited_words"), profile)
+    if whole:
+        options.append(F.when(F.length(flat) >= canon_index.GRAM, option(F.transform(canon_index.grams(flat), lambda g: key(LETTERS, g)), F.lit(1))))
+    met = _with_canon(c, probed(_asked(c, *options), index), index, canon="t1_words")
+    if whole:
+        met = met.where(F.contains(canon_index.letters(F.col("canon"), profile), flat))
+    fits = has_alike(F.col("canon"), _heads(most, profile), profile) & has_alike(F.col("canon"), _heads(most, profile, True), profile)
+    return met.where(fits).select(*candidates.columns, *PASSAGE, "canon")
+
+
+def contiguous(candidates: DataFrame, canon: DataFrame | CanonIndex, cut: bool = False) -> DataFrame:
+    """Candidates of two words or more that are a run of a passage, word for word; with cut the last word may go on in the passage."""
+    index = index_of(canon, LATIN)
+    c = candidates.where(F.size("cited_words") >= 2)
+    words = F.slice("cited_words", F.lit(1), F.size("cited_words") - 1) if cut else F.col("cited_words")
+    by_pair = F.when(F.size(words) > 1, option(F.transform(canon_index.neighbours(words), lambda p: key(PAIR, p)), F.lit(1)))
+    found = probed(_asked(c, by_pair, option(F.transform(words, lambda w: key(WORD, w)), F.lit(1))), index)
+    pad = lambda x, end: F.concat(F.lit(" "), x, F.lit(end))
+    end = "" if cut else " "
+    return _with_canon(c, found, index, _t1="t1").where(F.contains(pad(F.col("_t1"), end), pad(F.col("cited"), end))).select(*candidates.columns, *PASSAGE)
 
 
 def spelling_variants(words: DataFrame, vocabulary: DataFrame, profile: Profile) -> DataFrame:
@@ -93,24 +150,30 @@ def spelling_variants(words: DataFrame, vocabulary: DataFrame, profile: Profile)
     return near.join(exact_ones, "word", "left_anti").unionByName(near.where("word = variant")).select("word", "variant")
 
 
-def bag_matches(candidates: DataFrame, passages: DataFrame) -> DataFrame:
+def bag_matches(candidates: DataFrame, canon: DataFrame | CanonIndex) -> DataFrame:
     """Candidates with the passages that hold at least half of their words (two at least), counted with repeats.
 
     A passage that holds that many holds one of the rarest others and one more, so only these are joined, never the common words.
     """
-    index = passages.select(*PASSAGE, F.explode(F.array_distinct("t1_words")).alias("word"))
-    often = index.groupBy("word").agg(F.count("*").alias("often"))
+    index = index_of(canon, LATIN)
     n = F.size("cited_words")
-    asked = candidates.where(n >= 2).select("cand_id", "cited_words", F.greatest(F.lit(2), F.ceil(n * 0.5)).cast("int").alias("least"))
-    words = asked.select("cand_id", (n - F.col("least") + 1).alias("rare"), F.posexplode("cited_words").alias("place", "word")).join(canon_side(often, passages), "word", "left")
-    rarest = Window.partitionBy("cand_id").orderBy(F.coalesce("often", F.lit(0)), "word", "place")
-    probes = words.withColumn("_n", F.row_number().over(rarest)).where("_n <= rare and often > 0").select("cand_id", "word").distinct()
-    pairs = probes.join(canon_side(index, passages), "word").select("cand_id", *PASSAGE).distinct()
-    held = passages.select(*PASSAGE, F.col("t1_words").alias("_words"))
-    counted = pairs.join(canon_side(held, passages), PASSAGE).join(asked, "cand_id").withColumn("shared", F.size(F.filter("cited_words", lambda w: F.array_contains(F.col("_words"), w))).cast("long"))
+    least = F.greatest(F.lit(2), F.ceil(n * 0.5)).cast("int")
+    asked = candidates.where(n >= 2)
+    found = probed(_asked(asked, option(F.transform("cited_words", lambda w: key(WORD, w)), n - least + 1)), index)
+    counted = _with_canon(asked.select("cand_id", "cited_words", least.alias("least")), found, index, _words="t1_words")
+    counted = counted.withColumn("shared", F.size(F.filter("cited_words", lambda w: F.array_contains(F.col("_words"), w))).cast("long"))
     return counted.where("shared >= least").select("cand_id", *PASSAGE, "shared")
 
 
+def with_word(candidates: DataFrame, canon: DataFrame | CanonIndex, most: Column) -> DataFrame:
+    """Candidates of one word with the passages that have it, if these are at most so many (any number where most is null)."""
+    index = index_of(canon, LATIN)
+    c = candidates.where(F.size("cited_words") == 1).withColumn("_key", key(WORD, _first())).withColumn("_most", most)
+    kept = c.join(index.side("counts"), F.col("_key") == F.col("key")).where("_most is null or often <= _most").drop("often", "key", "_most")
+    parts = kept.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumnRenamed("_key", "key").drop("parts")
+    return parts.join(index.side("postings"), ["key", "part"]).drop("key", "part")
+
+
 def elsewhere(found: DataFrame, claims: DataFrame) -> DataFrame:
     """Matches outside of the claimed passages. claims: cand_id, group_id, ord."""
     return found.join(claims.select("cand_id", *PASSAGE), ["cand_id", *PASSAGE], "left_anti")

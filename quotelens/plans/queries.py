@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quotelens.functions import labels
 from quotelens.functions.profiles import ARABIC, LATIN, Profile
 from quotelens.operators import align, corrections, extract, findings, match, references, suggest, verify
+from quotelens.operators.canon_index import CanonIndex, kept_index
 from quotelens.plans import scan
 from quotelens.sources import corpus, pages
 from quotelens.store import materialize
@@ -46,6 +47,11 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.benchmark_passages(_table(spark, sf_dir, "benchmark"), LATIN)
 
 
+def _canon(spark: SparkSession, sf_dir: str) -> CanonIndex:
+    """The written index of the passages: made by whoever asks first."""
+    return kept_index(_passages(spark, sf_dir), LATIN)
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, group_id, ord of the passages that documents hold."""
     docs = match.with_words(_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), LATIN)
@@ -72,7 +78,7 @@ def doc_freq(spark, sf_dir):
 @query(f"WITH {_P} SELECT a.item_id AS cand_id, b.group_id, b.ord FROM p a JOIN p b ON a.t1 = b.t1")
 def exact_lookup(spark, sf_dir):
     shouted = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("cand_id"), F.concat(F.lit("« "), F.replace("text", F.lit(" "), F.lit(" - ")), F.lit(" »")).alias("text"))
-    return match.exact(match.with_words(shouted, LATIN), _passages(spark, sf_dir)).select("cand_id", "group_id", "ord")
+    return match.exact(match.with_words(shouted, LATIN), _canon(spark, sf_dir)).select("cand_id", "group_id", "ord")
 
 
 @query(f"WITH {_P}, {_HITS} SELECT doc_id, group_id, ord FROM hits")
@@ -90,12 +96,12 @@ _EXCERPT = "e AS (SELECT item_id AS cand_id, group_id AS g, ord AS o, w[3:10] AS
 
 @query(f"WITH {_P}, {_EXCERPT} SELECT cand_id, group_id, ord FROM e JOIN p ON len(x) >= 2 AND list_contains(w, x[1]) AND list_contains(w, x[-1])")
 def anchor_candidates(spark, sf_dir):
-    return match.anchored(_excerpts(spark, sf_dir).drop("group_id", "ord"), _passages(spark, sf_dir)).select("cand_id", "group_id", "ord")
+    return match.anchored(_excerpts(spark, sf_dir).drop("group_id", "ord"), _canon(spark, sf_dir)).select("cand_id", "group_id", "ord")
 
 
 @query(f"WITH {_P}, {_EXCERPT} SELECT cand_id, group_id, ord FROM e JOIN p ON len(x) >= 2 AND contains(' ' || t1 || ' ', ' ' || t || ' ')")
 def contiguous_excerpts(spark, sf_dir):
-    return match.contiguous(_excerpts(spark, sf_dir).drop("group_id", "ord"), _passages(spark, sf_dir)).select("cand_id", "group_id", "ord")
+    return match.contiguous(_excerpts(spark, sf_dir).drop("group_id", "ord"), _canon(spark, sf_dir)).select("cand_id", "group_id", "ord")
 
 
 @query(
@@ -103,7 +109,7 @@ def contiguous_excerpts(spark, sf_dir):
     "SELECT cand_id, group_id, ord, count(*) AS shared FROM u JOIN i USING (word) GROUP BY cand_id, group_id, ord HAVING count(*) >= greatest(2, ceil(min(n) * 0.5))"
 )
 def bag_count_matches(spark, sf_dir):
-    return match.bag_matches(_excerpts(spark, sf_dir).drop("group_id", "ord"), _passages(spark, sf_dir))
+    return match.bag_matches(_excerpts(spark, sf_dir).drop("group_id", "ord"), _canon(spark, sf_dir))
 
 
 @query(f"WITH {_P}, pairs AS (SELECT item_id AS cand_id, group_id AS g, ord AS o, unnest(range(1, len(w))) AS i, w FROM p), e AS (SELECT cand_id, g, o, w[i] || ' ' || w[i + 1] AS t FROM pairs) SELECT DISTINCT cand_id, group_id, ord FROM e JOIN p ON contains(' ' || t1 || ' ', ' ' || t || ' ') AND NOT (group_id = g AND ord = o)")
@@ -112,7 +118,8 @@ def elsewhere_antijoin(spark, sf_dir):
     p = _passages(spark, sf_dir)
     two = F.explode(F.transform(F.sequence(F.lit(1), F.size("t1_words") - 1), lambda i: F.array_join(F.slice("t1_words", i, 2), " ")))
     e = p.where("size(t1_words) > 1").select(F.col("item_id").alias("cand_id"), "group_id", "ord", two.alias("text"))
-    found = match.contiguous(match.with_words(e.drop("group_id", "ord"), LATIN), p).select("cand_id", "group_id", "ord").distinct()
+    asked = match.with_words(e.select(F.struct("cand_id", "text").alias("cand_id"), "text").distinct(), LATIN)
+    found = match.contiguous(asked, _canon(spark, sf_dir)).select("cand_id.cand_id", "group_id", "ord").distinct()
     return match.elsewhere(found, e.select("cand_id", "group_id", "ord").distinct())
 
 
@@ -134,6 +141,16 @@ def _edited(p: DataFrame, k, at: int) -> DataFrame:
     return p.withColumn("k", k).withColumn("text", F.array_join(F.transform("t1_words", lambda w, i: F.when((i >= at) & (i < at + F.col("k")), F.lit("zzz")).otherwise(w)), " "))
 
 
+def _no_claim() -> list:
+    return [F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("int").alias("claimed_group"), F.lit(None).cast("array<int>").alias("ords")]
+
+
+def _red(spark, sf_dir) -> DataFrame:
+    """Passages with one word more replaced than a verdict of other wording allows."""
+    long = _passages(spark, sf_dir).where("size(t1_words) >= 8")
+    return _edited(long, F.floor(F.size("t1_words") / 8).cast("int") + 1, 1).select(F.concat(F.lit("r-"), "item_id").alias("cand_id"), *_no_claim(), F.lit("red").alias("expected"))
+
+
 def _claims(spark, sf_dir) -> DataFrame:
     """Quotations with the verdict that their making implies."""
     p = _passages(spark, sf_dir)
@@ -144,12 +161,8 @@ def _claims(spark, sf_dir) -> DataFrame:
         F.concat_ws("-", F.lit("q"), "doc_id", "item_id").alias("cand_id"), "doc_id", "text", F.floor(F.col("target") / 10).cast("int").alias("claimed_group"), F.when(F.col("target").isNotNull(), F.array((F.col("target") % 10 + 1).cast("int"))).alias("ords"),
         F.when(F.col("doc_id") % 3 == 0, "green").when(F.col("doc_id") % 3 == 1, "orange").otherwise("lightBlue").alias("expected"),
     )
-    long = p.where("size(t1_words) >= 8")
-    budget = F.floor(F.size("t1_words") / 8).cast("int")
-    none = [F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("int").alias("claimed_group"), F.lit(None).cast("array<int>").alias("ords")]
-    yellow = _edited(long, F.lit(1), 3).select(F.concat(F.lit("y-"), "item_id").alias("cand_id"), *none, F.lit("yellow").alias("expected"))
-    red = _edited(long, budget + 1, 1).select(F.concat(F.lit("r-"), "item_id").alias("cand_id"), *none, F.lit("red").alias("expected"))
-    both = quoted.unionByName(yellow).unionByName(red)
+    yellow = _edited(p.where("size(t1_words) >= 8"), F.lit(1), 3).select(F.concat(F.lit("y-"), "item_id").alias("cand_id"), *_no_claim(), F.lit("yellow").alias("expected"))
+    both = quoted.unionByName(yellow).unionByName(_red(spark, sf_dir))
     # written, since every query reads them more than once and finding what documents hold is the most of their work
     return materialize(both.withColumn("high", F.lit(True)).withColumn("range_ords", F.lit(None).cast("array<int>")), "claims")
 
@@ -162,20 +175,20 @@ _CLAIMS = (
 
 @query(f"WITH {_CLAIMS} SELECT cand_id, verdict FROM claims")
 def cascade_verdicts(spark, sf_dir):
-    return verify.memoized(_claims(spark, sf_dir), _passages(spark, sf_dir), LATIN).select("cand_id", "verdict")
+    return verify.memoized(_claims(spark, sf_dir), _canon(spark, sf_dir), LATIN).select("cand_id", "verdict")
 
 
 @query(f"WITH {_CLAIMS}, n AS (SELECT verdict, count(*) AS tp FROM claims GROUP BY verdict) SELECT verdict, tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall FROM n")
 def precision_recall(spark, sf_dir):
     claims = _claims(spark, sf_dir)
-    judged = claims.join(verify.memoized(claims, _passages(spark, sf_dir), LATIN).select("cand_id", "verdict"), "cand_id", "left")
+    judged = claims.join(verify.memoized(claims, _canon(spark, sf_dir), LATIN).select("cand_id", "verdict"), "cand_id", "left")
     return findings.precision_recall(judged, "verdict", "expected")
 
 
 def _found(spark, sf_dir) -> DataFrame:
     """A row for each document, and each quotation in it: doc_id, source, verdict."""
     claims = _claims(spark, sf_dir).where("doc_id is not null")
-    judged = claims.join(verify.memoized(claims, _passages(spark, sf_dir), LATIN).select("cand_id", "verdict"), "cand_id").select("doc_id", "verdict")
+    judged = claims.join(verify.memoized(claims, _canon(spark, sf_dir), LATIN).select("cand_id", "verdict"), "cand_id").select("doc_id", "verdict")
     return _table(spark, sf_dir, "documents").select("doc_id", "source").join(judged, "doc_id", "left")
 
 
@@ -207,8 +220,7 @@ ORACLE_SQL["verdict_counts"] = f"WITH {_FOUND} SELECT verdict, count(*) AS n FRO
 
 @query(f"WITH {_P} SELECT 'r-' || item_id AS cand_id, group_id, ord AS first, ord AS last, CAST(len(w) // 8 + 1 AS INTEGER) AS distance FROM p WHERE len(w) >= 8")
 def near_match(spark, sf_dir):
-    red = _claims(spark, sf_dir).where("expected = 'red'").select("cand_id", "text")
-    return verify.near_matches(red, _passages(spark, sf_dir), LATIN).select("cand_id", "group_id", "first", "last", "distance")
+    return verify.near_matches(_red(spark, sf_dir).select("cand_id", "text"), _canon(spark, sf_dir), LATIN).select("cand_id", "group_id", "first", "last", "distance")
 
 
 @query(f"WITH {_P} SELECT item_id, CAST(1 AS INTEGER) AS distance FROM p WHERE len(w) >= 8")
@@ -236,7 +248,7 @@ def top3_refs(spark, sf_dir):
 )
 def suggest_topk(spark, sf_dir):
     prefixes = _passages(spark, sf_dir).where("size(t1_words) >= 3").select(F.col("item_id").alias("cand_id"), F.array_join(F.slice("t1_words", 1, 3), " ").alias("text"))
-    return suggest.suggestions(prefixes, _passages(spark, sf_dir), LATIN, fuzzy=False)
+    return suggest.suggestions(prefixes, _canon(spark, sf_dir), LATIN, fuzzy=False)
 
 
 @query(f"WITH {_P}, l AS (SELECT group_id, max(ord) AS last FROM p GROUP BY group_id) SELECT group_id, 2 AS from_ord, 0 AS to_ord, last, array_to_string(list(text ORDER BY ord), '|') AS texts FROM p JOIN l USING (group_id) WHERE ord >= 2 AND last >= 2 GROUP BY group_id, last")
@@ -559,7 +571,7 @@ def strategy_counts(spark, sf_dir):
 @query(f"WITH {_P}, e AS (SELECT item_id AS cand_id, array_to_string(w[3:10], ' ') AS t FROM p WHERE len(w) >= 10) SELECT cand_id, group_id, ord, true AS exact FROM e JOIN p ON contains(' ' || t1 || ' ', ' ' || t || ' ')")
 def alternates(spark, sf_dir):
     asked = _excerpts(spark, sf_dir).where("size(cited_words) = 8").select("cand_id", "text")
-    return verify.alternates(asked, _passages(spark, sf_dir), LATIN).where("exact")
+    return verify.alternates(asked, _canon(spark, sf_dir), LATIN).where("exact")
 
 
 @query(

@@ -31,18 +31,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _at(spark: SparkSession, path: str):
+    """A path, and its file system."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, files = _at(spark, path)
+    files.delete(where, True)
+
+
+def move(spark: SparkSession, source: str, target: str) -> bool:
+    """Give a folder another name; whether it has it now. It doesn't take a name that another one has."""
+    (old, files), (new, _) = _at(spark, source), _at(spark, target)
+    return not files.exists(new) and files.rename(old, new)
 
 
 def release(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more."""
     for table in tables:
         for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            _delete(table.sparkSession, path)
+            delete(table.sparkSession, path)
 
 
 def sweep(spark: SparkSession) -> None:
     """Delete all tables that this application has materialized, those that results still read too: for when they have been written."""
-    _delete(spark, _own(spark))
+    delete(spark, _own(spark))
