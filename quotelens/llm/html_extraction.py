@@ -8,7 +8,7 @@ part of the page's spread of scores. This holds in all of the page alike, also w
 
 What tags, roles and classes say is only a prior: it multiplies the score that a run must reach. Within an <article> or
 <main> less is enough, for blocks of links alone more is needed, and much more in navigation, asides, footers, forms, and in elements
-whose class or id says that they are something else, or outside of the element that holds most of the content. A class doesn't count
+whose class or id says that they are something else, or outside of the element that holds most of the content. A class, a form or a dialog doesn't count
 against an element without which the page would have no article, or that holds most of its content (`named_otherwise`).
 Content runs are returned in page order, by block.
 """
@@ -32,7 +32,7 @@ PUNCTUATION = re.compile(r"[.,;:!?…、。،؛؟]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
 #: Elements whose text no reader of the page sees as text.
-NEVER = RAW | frozenset("head button select option datalist svg math canvas audio video object applet".split())
+NEVER = RAW | frozenset("head button select option datalist svg canvas audio video object applet".split())
 #: Elements that by their tag are beside the article.
 BESIDE = frozenset("nav aside footer form menu dialog".split())
 BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address details summary header footer nav aside form fieldset hr center".split())
@@ -43,6 +43,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPH = frozenset({"p"})
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "summary"}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Tags and roles of these that may also be around a whole page.
+FRAMES = frozenset("form dialog search alertdialog".split())
 #: Words of a class or id, cut at characters other than letters, that say an element isn't part of the article.
 ASIDE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar sidebars rail footer masthead topbar "
@@ -72,21 +74,25 @@ class Ratios:
 
 @dataclass
 class Element:
-    """parent: its number; path: the number of its path of tags; said: words of its class and id that are of ASIDE; beside: its tag or role says so; in_article, in_link: it is such an element, or within one; a heading isn't in a link."""
+    """parent: its number; path: the number of its path of tags; said: words of its class and id that are of ASIDE; beside: its tag or role says so; frame: and it may also be around the article; in_article, in_link: it is such an element, or within one; a heading isn't in a link."""
 
     parent: int
     tag: str
     path: int
     said: frozenset[str] = frozenset()
     beside: bool = False
+    frame: bool = False
     in_article: bool = False
     in_link: bool = False
 
 
-def _said(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, frozenset[str]]:
-    """Whether an element is never text of the page, whether its tag or role puts it beside the article, and the words of its class and id that say so."""
+def _said(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool, frozenset[str]]:
+    """Whether an element is never text of the page, whether its tag or role puts it beside the article, or may also be around it, and the words of its class and id that say so.
+
+    The page itself is never hidden: what hides it goes when it is shown.
+    """
     said: set[str] = set()
-    never, beside = tag in NEVER, tag in BESIDE or (tag == "header" and not in_article)
+    never, beside, frame, page = tag in NEVER, tag in BESIDE or (tag == "header" and not in_article), tag in FRAMES, tag in ("html", "body")
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
@@ -94,12 +100,14 @@ def _said(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, froz
             if tag not in ("html", "body", "article", "main"):
                 said |= words & ASIDE | (words & {"header"} if not in_article else set())
         elif name == "role":
+            # a role goes before what the tag says
             beside |= value in ROLES
+            frame = value in FRAMES if value in ROLES else frame
         elif name == "style":
-            never |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+            never |= not page and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         elif name == "hidden" or value == "true":
-            never = True
-    return never, beside, frozenset(said)
+            never |= not page
+    return never, beside, frame, frozenset(said)
 
 
 def runs_of(page: str) -> tuple[list[tuple[int, int, str]], list[Element]]:
@@ -157,8 +165,8 @@ def runs_of(page: str) -> tuple[list[tuple[int, int, str]], list[Element]]:
         if tag in VOID:
             continue
         around = elements[stack[-1]]
-        never, beside, said = (False, False, frozenset()) if skip else _said(tag, attributes, opened["article"] > 0)
-        elements.append(Element(stack[-1], tag, paths.setdefault((around.path, tag), len(paths) + 1), said, beside, around.in_article or tag in ("article", "main"), (around.in_link or tag == "a") and tag not in HEADINGS))
+        never, beside, frame, said = (False, False, False, frozenset()) if skip else _said(tag, attributes, opened["article"] > 0)
+        elements.append(Element(stack[-1], tag, paths.setdefault((around.path, tag), len(paths) + 1), said, beside, beside and frame, around.in_article or tag in ("article", "main"), (around.in_link or tag == "a") and tag not in HEADINGS))
         stack.append(len(elements) - 1)
         opened[tag] += 1
         if never:
@@ -199,12 +207,12 @@ def _held(elements: list[Element], where: np.ndarray, amounts: np.ndarray) -> np
 
 
 def named_otherwise(elements: list[Element], where: np.ndarray, content: np.ndarray, lengths: np.ndarray, ratios: Ratios) -> set[int]:
-    """The elements whose class or id counts as saying that they are no part of the article. where, content and lengths are of runs.
+    """The elements whose class or id, or whose tag or role where it may be around the article, counts as saying that they are no part of it. where, content and lengths are of runs.
 
     If all that is an <article> (or else <main>) with text lies in such elements, those around the one that holds most don't count. Nor does one
     that holds most of the content of the article, or of the page without one; what readers write only if there is nothing else.
     """
-    named = {e for e, x in enumerate(elements) if x.said}
+    named = {e for e, x in enumerate(elements) if x.said or x.frame}
     if not named:
         return named
     out = _inside(elements, named)
@@ -220,7 +228,7 @@ def named_otherwise(elements: list[Element], where: np.ndarray, content: np.ndar
                 at = elements[at].parent
             break
     within = _inside(elements, [region])
-    return {e for e in named if not (within[e] and held[e] >= ratios.most * held[region] > 0 and not (elements[e].said <= READERS and left[region] > 0))}
+    return {e for e in named if not (within[e] and held[e] >= ratios.most * held[region] > 0 and not (elements[e].said and elements[e].said <= READERS and left[region] > 0))}
 
 
 def container(elements: list[Element], held: np.ndarray, ratios: Ratios) -> int:
@@ -248,7 +256,7 @@ def content_of(runs: list[tuple[int, int, str]], elements: list[Element], ratios
     linked = np.array([elements[e].in_link for e in where])
     linked &= ~np.isin(block, block[~linked])  # a link among other words is one of them
     prior = np.where(linked, ratios.link, np.where([elements[e].in_article for e in where], ratios.article, 1.0))
-    beside = {e for e, x in enumerate(elements) if x.beside}
+    beside = {e for e, x in enumerate(elements) if x.beside and not x.frame}
     plain = np.where(_inside(elements, beside)[where], ratios.beside, 1.0)
     named = named_otherwise(elements, where, scores >= least * prior * plain, lengths, ratios)
     prior = np.where(_inside(elements, beside | named)[where], ratios.beside, prior)
