@@ -65,13 +65,13 @@ def shard_of(key: Column, tree: HashTree) -> Column:
     return _descend(F.coalesce(key.cast("string"), F.lit("\0null")), "", [((a, b, c), w) for a, b, c, w in tree.leaves]).cast("int")
 
 
-def with_slots(df: DataFrame, shard: str, key: str, order: list[str], parts: int = SLOT_PARTS) -> DataFrame:
+def with_slots(df: DataFrame, shard: str, order: list[str], parts: int = SLOT_PARTS) -> DataFrame:
     """Number the rows of each shard from 0, without gaps.
 
-    Each shard is cut into parts by a hash of the key. The parts are counted from the key alone, their first slots are
+    Each shard is cut into parts by a hash of the columns of order, so rows of one key are in many of them. The parts are counted, their first slots are
     broadcast (at most shards x parts rows), and rows are numbered within a part, so no task holds a whole shard.
     """
-    part = F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(parts))
+    part = F.pmod(F.xxhash64(F.lit("slot"), *order), F.lit(parts))
     counts = df.select(shard, part.alias("_part")).groupBy(shard, "_part").count()
     before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(F.col(shard), "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
@@ -100,4 +100,4 @@ def shard_rows(docs: DataFrame, tree: HashTree, key: str = "doc_id", text: str =
     # what is passed on is one column until the end, so that no name clashes
     old = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c == key or whole and c not in (*new, "slot")])
     rows = docs.select(old.alias("row"), F.col(key).alias("key"), *[column.alias(name) for name, column in new.items()])
-    return with_slots(rows, "shard", "key", ["key", "size", "text_crc32"]).select("row.*", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return with_slots(rows, "shard", ["key", "size", "text_crc32"]).select("row.*", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
