@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SLOPES = (5.0, 2.0, 1.0), (0.5, 0.0, -0.5)
 #: Words to share out, as a part of all there are, and the times that a source's words may be used.
 BUDGET, MOST = 1.5, 2
-#: Hex digits of the hash of a key by which a source is cut into parts for running sums.
+#: Hex digits of the hash of a row by which a source is cut into parts for running sums.
 PART_DIGITS = 3
 
 
@@ -54,16 +54,16 @@ def position_at(words: Column, target: Column, slope: Column) -> Column:
     return F.when(slope == 0, x).otherwise(F.try_divide(F.sqrt(b * b + F.lit(4.0) * slope * x) - b, F.lit(2.0) * slope))
 
 
-def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", **shares) -> DataFrame:
+def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", text: str = "text", **shares) -> DataFrame:
     """What the mix takes of every row: row (a struct of all columns of docs), size, source_size, target, taken, position, again and position_again.
 
-    The rows of a source are laid out in order of a hash of the key; the target's words are taken from the front, once
+    The rows of a source are laid out in order of a hash of key and text, so rows of one key are spread, and only equal ones are interchangeable; the target's words are taken from the front, once
     more from the front if it is larger than the source, so the last row may be taken in part. taken counts the words of both passes,
     again those of the second one; position and position_again are where they come, null where nothing is
     taken. A null key or source is a value like others; rows of size 0 take nothing; an empty table gives one.
     Running sums are made within parts of a source, and over the sums of parts, so no task holds a whole source.
     """
-    order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
+    order = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
     columns = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("_key"), F.col(source).alias("_source"), size.alias("size"), order.alias("_order")]
     rows = docs.select(*columns).withColumn("_part", F.substring("_order", 1, PART_DIGITS))
     parts = rows.groupBy("_source", "_part").agg(F.sum("size").alias("_words"))
