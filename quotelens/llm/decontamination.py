@@ -139,8 +139,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
     Other columns of both tables are not read. An item of fewer words than a window is one window; one without text is never
     found. The share is taken of all windows of an item, of those with a literal word, and of those that aren't weak, and
-    one that reaches cover is enough. Null and empty documents contain nothing. Rows of equal keys count as one document, and
-    a null key is one key more.
+    one that reaches cover is enough. Null and empty documents contain nothing. Rows are judged text by text; of rows of equal
+    keys, null ones too, the one that has most of an item counts.
     """
     n = templates.window
     texts = items.select(F.col(item).alias("_item"), F.col(item_text).alias("_text"))
@@ -160,7 +160,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     side = lambda df: F.broadcast(df) if few else df
     # most documents have no window like an item's; those that do are few, and only of them values are compared
     known = materialize(templates_of(texts, [], "_text", sizes).distinct(), "item-templates")
-    asked = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
+    # windows of different texts are never put together, whatever their keys
+    asked = docs.where(F.col(text).isNotNull()).select(F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("text")).alias("_doc"), F.col(text).alias("_text"))
     touched = materialize(templates_of(asked, ["_doc"], "_text", sizes).join(side(known), ["n", "template"], "left_semi").select(F.col("_doc").alias("_d")).distinct(), "touched")
     asked = asked.join(touched, F.col("_doc").eqNullSafe(F.col("_d")), "left_semi")
     held = windows(canonical_words(asked, "_text").select("_doc", "words"), ["_doc"], sizes)
@@ -185,4 +186,5 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     facts_of = [F.first(c).alias(c) for c in ("item_windows", "item_worded", "item_strong")]
     found = found.groupBy("_doc", "_item").agg(number("counted").alias("n_windows"), number(F.array_intersect("counted", "worded_places")).alias("n_worded"), number(F.array_intersect("counted", "strong_places")).alias("n_strong"), F.min(F.col("shift") + F.array_min("counted")).cast("long").alias("first_word"), *facts_of)
     reached = [(F.col(f"n_{c}") > 0) & (F.col(f"n_{c}") >= F.lit(templates.cover) * F.col(f"item_{c}")) for c in ("windows", "worded", "strong")]
-    return found.where(reduce(Column.__or__, reached)).select(F.col("_doc").alias(key), F.col("_item").alias(item), "n_windows", "item_windows", "first_word")
+    found = found.where(reduce(Column.__or__, reached)).groupBy(F.col("_doc.key").alias("_key"), "_item").agg(F.max(F.struct("n_windows", "item_windows", (-F.col("first_word")).alias("before"))).alias("m"))
+    return found.select(F.col("_key").alias(key), F.col("_item").alias(item), "m.n_windows", "m.item_windows", (-F.col("m.before")).alias("first_word"))
