@@ -5,13 +5,15 @@ best score and its number of tokens. Rules are those of the common unigram imple
 equal scores the piece that begins first (the longest) wins; a character that no piece of one character covers is unknown
 and scores the smallest score less 10, and counts as its UTF-8 bytes, each a token.
 
-A space becomes the mark that begins a word; a text that doesn't begin with a space gets one before it. No piece has the mark after its first character
-or a line feed, so the best segmentation of a text is that of its words one by one, and a word is segmented once a task.
+A space becomes the mark that begins a word; a text that doesn't begin with a space gets one before it. In a piece marks come first, one or
+more, and no piece has a line feed. So the best segmentation of a text is that of its words one by one, each with all the spaces before it,
+and a word is segmented once a task.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
+#: A piece, and a word with the marks before it.
+PIECE, WORD = re.compile(f"{MARK}*[^{MARK}\n]*"), re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: A task forgets its words when it knows so many.
 KNOWN = 500_000
 
@@ -31,8 +35,8 @@ class Vocabulary:
     scores: tuple[float, ...]
 
     def __post_init__(self):
-        if any(MARK in p[1:] or "\n" in p or not p for p in self.pieces) or len(set(self.pieces)) < len(self.pieces):
-            raise ValueError("pieces must differ, not be empty, have the mark only first, and no line feed")
+        if not all(p and PIECE.fullmatch(p) for p in self.pieces) or len(set(self.pieces)) < len(self.pieces):
+            raise ValueError("pieces must differ, not be empty, have marks only at the beginning, and no line feed")
 
     @property
     def unknown(self) -> float:
@@ -40,15 +44,12 @@ class Vocabulary:
 
     @classmethod
     def from_sentencepiece(cls, path: str) -> Vocabulary:
-        """The normal pieces of a model file in its own order, the k-th scored -ln(k + 1) (the files hold ranks, not probabilities).
-
-        Pieces with the mark after their first character (runs of spaces) are left out.
-        """
+        """The normal pieces of a model file in its own order, the k-th scored -ln(k + 1) (the files hold ranks, not probabilities)."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = (i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)))
-        pieces = [p for p in map(model.id_to_piece, ids) if MARK not in p[1:] and "\n" not in p]
+        pieces = list(map(model.id_to_piece, ids))
         return cls(tuple(pieces), tuple(-math.log(k + 1) for k in range(1, len(pieces) + 1)))
 
 
@@ -95,11 +96,9 @@ class WordCounter:
             if k:
                 total += 1
                 score += self.unknown
-            for i, part in enumerate(line.split(" ")):
-                # the text's own beginning has a mark, but for one that its first space becomes
-                word = part if not i and (k or (line and not part)) else MARK + part
-                if not word:
-                    continue
+            line = line.replace(" ", MARK)
+            # the text's own beginning has a mark, if only that which its first space becomes
+            for word in WORD.findall(line if k or line.startswith(MARK) else MARK + line):
                 if (got := known.get(word)) is None:
                     if len(known) >= KNOWN:
                         known.clear()
