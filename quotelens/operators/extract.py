@@ -251,10 +251,23 @@ def _without_overlapped(spans: DataFrame, keys: list[str]) -> DataFrame:
     return spans.join(hit.select(*keys, "start", "end").distinct(), [*keys, "start", "end"], "left_anti")
 
 
-def without_contained(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Spans (start, end) that lie in no other of their keys, of equal ones the first."""
-    before = Window.partitionBy(*keys).orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("_far", F.max("end").over(before)).where("_far is null or end > _far").drop("_far")
+def without_contained(spans: DataFrame, keys: list[str], part: int = 4096) -> DataFrame:
+    """Spans (start, end) that lie in no other of their keys, of equal ones the first.
+
+    The spans of a key are taken in parts by where they begin; what reaches furthest in the parts before is carried over, so
+    no task holds all spans of a key.
+    """
+    names = [f"_{k}" for k in keys]
+    placed = spans.withColumn("_part", F.floor(F.col("start") / part))
+    reach = placed.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_part").alias("_p")).agg(F.max("end").alias("_end"))
+    earlier = Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = reach.select(*names, "_p", F.max("_end").over(earlier).alias("_carried"))
+    same = F.col("_part").eqNullSafe(F.col("_p"))
+    for k, n in zip(keys, names, strict=True):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    before = Window.partitionBy(*keys, "_part").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    far = placed.join(carried, same, "left").withColumn("_far", F.greatest(F.max("end").over(before), "_carried"))
+    return far.where("_far is null or end > _far").select(spans.columns)
 
 
 def overlapping(spans: DataFrame, keys: list[str], id_: str) -> DataFrame:

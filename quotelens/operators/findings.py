@@ -106,8 +106,9 @@ def panel(findings: DataFrame, kept: DataFrame, keys: list[str], shown: tuple[st
 
     kept: keys, id, kind ("dismissal" or a correction), recent. A finding takes over what was kept for the one it replaced.
     """
-    rows = findings.where(F.col("verdict").isin(*shown)).withColumn("_key", F.explode(F.array_distinct(F.array_compact(F.array("id", "prior_id")))))
+    # numbered, so that equal findings stay apart
+    rows = findings.where(F.col("verdict").isin(*shown)).withColumn("_row", F.monotonically_increasing_id()).withColumn("_key", F.explode(F.array_distinct(F.array_compact(F.array("id", "prior_id")))))
     state = kept.groupBy(*keys, F.col("id").alias("_key")).agg(F.bool_or(F.col("kind") == "dismissal").alias("_off"), F.bool_or((F.col("kind") != "dismissal") & F.col("recent")).alias("_new"), F.bool_or((F.col("kind") != "dismissal") & ~F.col("recent")).alias("_old"))
-    joined = rows.join(state, [*keys, "_key"], "left").groupBy(*findings.columns).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("_off", "_new", "_old")])
+    joined = rows.join(state, [*keys, "_key"], "left").groupBy("_row", *findings.columns).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("_off", "_new", "_old")])
     section = F.when(F.col("_new"), 0).when(F.col("_off"), 2).when(F.col("_old"), 3).otherwise(1)
-    return joined.withColumn("section", section).drop("_off", "_new", "_old").withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("section", "seq")))
+    return joined.withColumn("section", section).drop("_off", "_new", "_old", "_row").withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("section", "seq")))

@@ -360,7 +360,7 @@ def rate_breaker(spark, sf_dir):
     "i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id, k ORDER BY ts, event_id) AS INTEGER) AS streak FROM i"
 )
 def no_progress_streak(spark, sf_dir):
-    return changes.streaks(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "event_id", "streak")
+    return changes.streaks(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "event_type", F.date_trunc("day", "ts")).select("user_id", "event_id", "streak")
 
 
 #: events as kept corrections: the key has few values, so later rows replace earlier ones.

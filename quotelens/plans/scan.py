@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quotelens.functions import labels
 from quotelens.functions.profiles import Profile
 from quotelens.functions.windows import canon_side
-from quotelens.operators import align, corrections, extract, findings, match, references, verify
+from quotelens.operators import align, canon_index, corrections, extract, findings, match, references, verify
 from quotelens.sources import pages
 from quotelens.store import materialize
 
@@ -90,14 +90,20 @@ def highlights(found: DataFrame) -> DataFrame:
 
 
 def doubled(red: DataFrame, passages: DataFrame, profile: Profile) -> DataFrame:
-    """Quotations that say one phrase of a passage several times over: cand_id, phrase and the passages that have it once."""
+    """Quotations that say one phrase of a passage several times over, in whatever spelling: cand_id, phrase (as it is said first) and the passages that have it once."""
     c = match.with_words(red, profile).withColumn("n", F.size("cited_words")).where("n >= 4")
     periods = F.filter(F.sequence(F.lit(2), F.greatest(F.floor(F.col("n") / 2).cast("int"), F.lit(2))), lambda p: F.col("n") % p == 0)
     split = c.withColumn("p", F.explode(periods))
-    whole = F.array_join(F.flatten(F.array_repeat(F.slice("cited_words", 1, F.col("p")), (F.col("n") / F.col("p")).cast("int"))), " ") == F.array_join("cited_words", " ")
+    # each word is, but for spelling, the one a period later
+    rest = lambda from_: F.slice("cited_words", from_, F.greatest(F.col("n") - F.col("p"), F.lit(1)).cast("int"))
+    whole = (F.col("p") < F.col("n")) & F.forall(F.zip_with(rest(F.lit(1)), rest((F.col("p") + 1).cast("int")), lambda a, b: F.coalesce(profile.same_word(a, b), F.lit(False))), lambda same: same)
     shortest = split.where(whole).groupBy("cand_id").agg(F.min_by(F.array_join(F.slice("cited_words", 1, F.col("p")), " "), "p").alias("phrase"))
-    asked = shortest.withColumn("cited", F.col("phrase")).withColumn("cited_words", F.split("phrase", " "))
-    return match.contiguous(asked, passages).select("cand_id", "phrase", *match.PASSAGE)
+    index = canon_index.index_of(passages, profile)
+    asked = materialize(shortest.withColumn("cited", F.col("phrase")).withColumn("cited_words", F.split("phrase", " ")), "phrases")
+    run = match.contiguous(asked, index).select("cand_id", "phrase", *match.PASSAGE)
+    other = asked.join(run.select("cand_id").distinct(), "cand_id", "left_anti")
+    soft = match.softly_anchored(other, index, profile, whole=True).where(align.soft_span(profile.drift)("canon", "cited_words")["start"].isNotNull())
+    return run.unionByName(soft.select("cand_id", "phrase", *match.PASSAGE))
 
 
 def corrected(found: DataFrame, kept: DataFrame, now: Column, passages: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quotelens.operators import ref_marks as marks
 from quotelens.plans.queries import query
 from quotelens.sources import elements
+from quotelens.sql import register
 
 _SQUEEZE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _SCRUB = "{}"
@@ -71,3 +72,17 @@ def reference_marks(spark, sf_dir):
     found = c.select(key, "conv_id", "turn", F.length("text").alias("end"), ref.alias("ref"))
     done = marks.ref_marks(found, c.select(key, page.alias("text")).distinct())
     return done.select("conv_id", "turn", F.col("mark.start").alias("start"), F.col("mark.end").alias("end"))
+
+
+@query(
+    f"WITH {_SAID}, n AS (SELECT conv_id, role AS t FROM said UNION ALL SELECT conv_id, text FROM said) SELECT conv_id AS page_id, count(*) AS n_nodes, CAST(sum(len(list_filter(string_split(trim(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: w <> ''))) AS BIGINT) AS n_words, "
+    "min('(c:' || CAST(conv_id AS INTEGER) || CASE WHEN conv_id < 5 THEN '-5' ELSE '' END || ')') AS ref FROM n GROUP BY conv_id"
+)
+def words_by_sql(spark, sf_dir):
+    """Words of pages, by SQL alone."""
+    register(spark)
+    _threads(spark, sf_dir).createOrReplaceTempView("quotelens_threads")
+    return spark.sql(
+        "SELECT p.page_id, count(*) AS n_nodes, sum(size(words_of(latin_form(n.text)))) AS n_words, min(reference_text('c', CAST(p.page_id AS INT), CASE WHEN p.page_id < 5 THEN 5 ELSE 0 END)) AS ref "
+        "FROM quotelens_threads p, LATERAL page_nodes(p.html) n WHERE n.shown GROUP BY p.page_id"
+    )

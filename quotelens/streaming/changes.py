@@ -23,17 +23,47 @@ def rescans(changes: DataFrame, relevant: Column, keys: list[str], quiet: str =
 
 
 def too_fast(scans: DataFrame, keys: list[str], most: int = RATE, seconds: int = RATE_WINDOW) -> DataFrame:
-    """Batch form: scans that are more than most within the last seconds of their key, with in_window."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
-    return scans.withColumn("in_window", F.count("*").over(w)).where(F.col("in_window") > most)
+    """Batch form: scans that are more than most within the last seconds of their key, with in_window.
+
+    A key's scans are taken in spans of that many seconds, each with those of the span before, so no task holds all scans of a key.
+    """
+    at = F.unix_micros("ts")
+    span = F.floor(at / (seconds * 1_000_000))
+    near = scans.withColumn("_own", span).withColumn("_span", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    w = Window.partitionBy(*keys, "_span").orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
+    counted = near.withColumn("in_window", F.count("*").over(w)).where("_own = _span or _own is null")
+    return counted.where(F.col("in_window") > most).drop("_own", "_span")
 
 
-def streaks(scans: DataFrame, keys: list[str], order: list[str], signature: str) -> DataFrame:
-    """Batch form: adds streak, how many scans of the key in a row had this signature so far."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    changed = scans.withColumn("_new", F.coalesce((~F.col(signature).eqNullSafe(F.lag(signature).over(w))).cast("int"), F.lit(1)))
-    changed = changed.withColumn("_new", F.when(F.row_number().over(w) == 1, 1).otherwise(F.col("_new"))).withColumn("_island", F.sum("_new").over(w))
-    return changed.withColumn("streak", F.row_number().over(Window.partitionBy(*keys, "_island").orderBy(*order))).drop("_new", "_island")
+def streaks(scans: DataFrame, keys: list[str], order: list[str], signature: str, part: Column | None = None) -> DataFrame:
+    """Batch form: adds streak, how many scans of the key in a row had this signature so far.
+
+    part: what cuts the scans of a key into parts that follow one another in order (the day of a time that they are ordered by). Each
+    part is counted by itself, and the streak at its end is carried to the next one, so no task holds all scans of a key.
+    """
+    placed = scans.withColumn("_part", F.lit(0) if part is None else part)
+    w = Window.partitionBy(*keys, "_part").orderBy(*order)
+    same = F.col(signature).eqNullSafe(F.lag(signature).over(w)) & (F.row_number().over(w) > 1)
+    placed = placed.withColumn("_island", F.sum((~same).cast("int")).over(w))
+    placed = placed.withColumn("streak", F.row_number().over(Window.partitionBy(*keys, "_part", "_island").orderBy(*order)))
+    if part is None:
+        return placed.drop("_part", "_island")
+    names = [f"_{k}" for k in keys]
+    last = F.struct("_island", "streak", signature)
+    ends = placed.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_part").alias("_p")).agg(F.max(last).alias("_last"))
+    ends = ends.select(*names, "_p", F.col("_last._island").alias("_islands"), F.col("_last.streak").alias("_streak"), F.col(f"_last.{signature}").alias("_sign"))
+    # a part of one signature goes on with that of the part before; the streak at its end is the sum of such parts
+    along = Window.partitionBy(*names).orderBy("_p")
+    goes_on = (F.col("_islands") == 1) & F.col("_sign").eqNullSafe(F.lag("_sign").over(along)) & (F.row_number().over(along) > 1)
+    ends = ends.withColumn("_chain", F.sum((~goes_on).cast("int")).over(along))
+    ends = ends.withColumn("_whole", F.sum("_streak").over(Window.partitionBy(*names, "_chain").orderBy("_p")))
+    before = ends.select(*names, "_p", F.lag("_whole").over(along).alias("_carried"), F.lag("_sign").over(along).alias("_before"))
+    joined = F.col("_part").eqNullSafe(F.col("_p"))
+    for k, n in zip(keys, names, strict=True):
+        joined &= F.col(k).eqNullSafe(F.col(n))
+    out = placed.join(before, joined, "left")
+    more = F.when((F.col("_island") == 1) & F.col(signature).eqNullSafe(F.col("_before")), F.coalesce("_carried", F.lit(0))).otherwise(0)
+    return out.withColumn("streak", (F.col("streak") + more).cast("int")).select(*scans.columns, "streak")
 
 
 def wait_after(failures: Column) -> Column:

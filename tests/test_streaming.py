@@ -63,6 +63,16 @@ def test_streaks_and_rates(spark):
     assert spark.range(1).select(*[changes.wait_after(F.lit(k)).alias(str(k)) for k in (1, 2, 3)]).first() == (5, 10, 15)
 
 
+def test_streaks_in_parts_equal_whole_ones(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["p", "q", None]), at(1000 * i), rng.choice(["a", "a", "a", "b", None])) for i in range(300)] + [("r", at(1000 * i), "a") for i in range(50)]
+    df = spark.createDataFrame(rows, "page_id string, ts timestamp, signature string")
+    got = [{(r.page_id, r.ts): r.streak for r in changes.streaks(df, ["page_id"], ["ts"], "signature", part).collect()} for part in (None, F.date_trunc("minute", "ts"), F.date_trunc("second", "ts"))]
+    assert got[0] == got[1] == got[2] and max(got[0].values()) == 50
+
+
 def test_pages_are_forgotten(spark, tmp_path):
     schema = "page_id string, ts timestamp, signature string"
     stuck = [("p", at(1000 * i), "same") for i in range(4)]
