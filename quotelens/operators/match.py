@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotelens.functions.profiles import LATIN, Profile
-from quotelens.functions.windows import canon_side, runs
+from quotelens.functions.windows import canon_side, if_small, runs
 from quotelens.operators import canon_index
 from quotelens.operators.canon_index import LETTERS, PAIR, PASSAGE, WORD, CanonIndex, index_of, key, option, probed
+from quotelens.store import materialize
 
 
 def with_words(texts: DataFrame, profile: Profile, text: str = "text") -> DataFrame:
@@ -35,7 +36,9 @@ def passages_within(texts: DataFrame, keys: list[str], passages: DataFrame) -> D
     met = runs(texts, keys, "cited_words", 2).join(canon_side(anchors, passages), "run").select(*keys, *PASSAGE, begin)
     if not single.isEmpty():
         met = met.unionByName(runs(texts, keys, "cited_words", 1).join(canon_side(single, passages), "run").select(*keys, *PASSAGE, begin))
-    met = met.where("place >= 0").distinct().select(F.struct(*keys).alias("_of"), *PASSAGE, "place")
+    # few of all texts hold an anchor: written, so that they are found once
+    met = materialize(met.where("place >= 0").distinct().select(F.struct(*keys).alias("_of"), *PASSAGE, "place"), "met")
+    met = if_small(met, 100_000)
     said = texts.select(*keys, "cited_words").join(met, F.struct(*keys).eqNullSafe(F.col("_of"))).drop("_of")
     whole = said.join(canon_side(passages.select(*PASSAGE, "t1_words"), passages), PASSAGE).where(F.slice("cited_words", F.col("place") + 1, n) == F.col("t1_words"))
     return whole.select(*keys, *PASSAGE, "place").distinct()
