@@ -86,12 +86,13 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(whole(a) @ whole(b).T, -LARGEST, LARGEST).astype(np.int64)
 
 
-def candidates(anchors: Vectors, rows: Vectors, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def candidates(anchors: Vectors, rows: Vectors, wanted: np.ndarray, low: np.ndarray, high: np.ndarray, most: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each anchor the wanted rows whose score may be from low to high, with their exact scores: anchor, rows, scores.
 
     wanted: for each anchor and row whether it counts at all. A pair is dropped at the first level whose bounds lie outside.
+    most: only so many of an anchor's best rows are asked for, so low rises to what so many rows score at least.
     """
-    a, r, keep = np.arange(len(low)), np.arange(rows.code.shape[0]), wanted
+    a, r, keep, low = np.arange(len(low)), np.arange(rows.code.shape[0]), wanted, low.copy()
     with np.errstate(over="ignore", invalid="ignore"):
         slack = 1e-9 * anchors.norm()[:, None] * rows.norm()[None, :] + 1e-3
         for level, length in enumerate(SEGMENTS):
@@ -100,6 +101,9 @@ def candidates(anchors: Vectors, rows: Vectors, wanted: np.ndarray, low: np.ndar
                 return
             middle = anchors.mean[level][a] @ rows.mean[level][r].T * length
             off = anchors.dev[level][a] @ rows.dev[level][r].T + slack[np.ix_(a, r)]
+            if most is not None and len(r) >= most:
+                least = np.where(keep & ~np.isnan(middle - off), middle - off, -np.inf)
+                low[a] = np.maximum(low[a], np.partition(least, len(r) - most, axis=1)[:, len(r) - most])
             # a bound that isn't a number says nothing
             keep = keep & ~((middle + off < low[a, None]) | (middle - off > high[a, None]))
     a, r, keep = _left(a, r, keep)
@@ -194,7 +198,7 @@ def _of_block(rows: DataFrame, some: DataFrame, width: int, positives: int, nega
                 a, r = np.flatnonzero(own_label == name), np.flatnonzero(label == name)
                 low = np.array([-held[i][-1][0] if len(held[i]) == positives else -math.inf for i in a])
                 wanted = own[a][:, None] != row[r][None, :]
-                for i, at, scores in candidates(vectors.take(a), part.take(r), wanted, low, np.full(len(a), math.inf)):
+                for i, at, scores in candidates(vectors.take(a), part.take(r), wanted, low, np.full(len(a), math.inf), positives):
                     held[a[i]] = _best(held[a[i]], scores, ids[r[at]], none[r[at]], positives)
         yield _table([(int(own[i]), None, *x) for i, best in enumerate(held) for x in best], pa.int64())
 

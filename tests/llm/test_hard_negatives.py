@@ -88,3 +88,6 @@ def test_bounds_hold_and_drop_pairs():
     inside = {(int(a), int(b)) for a, b in np.argwhere((scores >= 200_000) & (scores <= 320_000))}
     assert inside <= found.keys() and all(found[p] == scores[p] for p in found)
     assert len(found) < 20_000  # most of the 40,000 pairs go unscored
+    best = list(hn.candidates(v, v, ~np.eye(200, dtype=bool), np.full(200, -np.inf), np.full(200, np.inf), 5))
+    top = np.sort(np.where(np.eye(200, dtype=bool), -np.inf, scores), axis=1)[:, -5:]
+    assert all(sorted(s)[-5:] == top[a].tolist() for a, _, s in best) and sum(len(s) for _, _, s in best) < 20_000
