@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotelens.functions.profiles import LETTER_RANGES
+from quotelens.store import materialize
 
 # The phrases that introduce a quotation, in their order.
 LEAD_INS = (
@@ -158,7 +159,8 @@ def candidates(texts: DataFrame, key: str = "page_id", text: str = "text") -> Da
     secondary lead-in that follows a quotation; both spans of "from A to B"; before a reference the quoted span, else the words after the
     last lead-in, else the words just before it; a strongly quoted span alone. Null and empty texts have none.
     """
-    found = marks(texts, key, text)
+    # written, since every rule reads them: the texts are read once
+    found = materialize(marks(texts, key, text), "marks")
     is_span = F.col("kind").isin("strong", "weak") & (F.length("inner") >= LEAST)
     order = Window.partitionBy(key).orderBy("start", F.col("end").desc(), "kind")
     ahead, back = order.rowsBetween(1, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1)
@@ -171,6 +173,7 @@ def candidates(texts: DataFrame, key: str = "page_id", text: str = "text") -> Da
         last_of(is_span).alias("span_before"), F.coalesce(F.max(F.when(kind_is("break"), F.col("end"))).over(back), F.lit(0)).alias("broken"),
     )
     gap = lambda mark: F.col(f"{mark}.start") - F.col("end")
+    seen = materialize(seen, "seen")
     # a span's own reference: the first after it, with no other quotation opened between
     owned = gap("next").between(-1, REF_GAP) & (F.col("opens").isNull() | (F.col("opens.start") > F.col("next.start")))
     refs_of = lambda df: df.select(key, F.col("start").alias("s_start"), F.when(owned, F.col("next")).alias("own"), F.col("next").alias("any"))
@@ -225,6 +228,7 @@ def candidates(texts: DataFrame, key: str = "page_id", text: str = "text") -> Da
     everything = everything.select(key, F.col("inner_start").alias("start"), F.col("inner_end").alias("end"), F.col("inner").alias("text"), "ref", "strategy", "high", "rank")
     # of one span the first rule counts
     everything = everything.groupBy(key, "start", "end").agg(F.min(F.struct("rank", "ref", "strategy", "high", "text")).alias("c")).select(key, "start", "end", "c.*")
+    everything = materialize(everything, "spans")
     return without_contained(_without_overlapped(everything, [key]), [key]).drop("rank").select(key, "start", "end", "text", "ref", "strategy", "high")
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotelens.functions.profiles import ARABIC
 from quotelens.operators import ref_marks as marks
-from quotelens.plans.queries import query
-from quotelens.sources import elements
+from quotelens.plans import scan
+from quotelens.plans.queries import _ARABIC_SQL, _arabic_canon, query
+from quotelens.sources import corpus, elements
 from quotelens.sql import register
 
 _SQUEEZE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
@@ -86,3 +88,38 @@ def words_by_sql(spark, sf_dir):
         "SELECT p.page_id, count(*) AS n_nodes, sum(size(words_of(latin_form(n.text)))) AS n_words, min(reference_text('c', CAST(p.page_id AS INT), CASE WHEN p.page_id < 5 THEN 5 ELSE 0 END)) AS ref "
         "FROM quotelens_threads p, LATERAL page_nodes(p.html) n WHERE n.shown GROUP BY p.page_id"
     )
+
+
+def _forms(spark, sf_dir) -> DataFrame:
+    """A page for each passage and way to quote it: from one part to another, with an ellipsis, in other spelling, with two words as one, without marks before a reference, and of two passages."""
+    p = _arabic_canon(spark, sf_dir).where("size(raw) >= 12")
+    words = lambda first, n: F.array_join(F.slice("raw", first, n), " ")
+    quoted = lambda text: F.concat(F.lit("قال تعالى: {"), text, F.lit("}"))
+    ref = F.concat(F.lit(" ("), "ref", F.lit(")"))
+    dropped = F.regexp_replace(words(2, 6), "[ايو]([^ ]* [^ ]*)$", "$1")
+    both = F.concat(F.lit(" ("), "group_name", F.lit(":"), F.col("ord"), F.lit("-"), F.col("ord") + 1, F.lit(")"))
+    following = p.select("group_id", (F.col("ord") - 1).alias("ord"), F.array_join(F.slice("raw", 1, 5), " ").alias("next"))
+    p = p.join(following, ["group_id", "ord"], "left")
+    kinds = [
+        F.concat(F.lit("{"), words(1, 4), F.lit("} إلى قوله: {"), words(7, 5), F.lit("}"), ref),
+        F.concat(quoted(F.concat(words(1, 3), F.lit(" ... "), words(6, 4))), ref),
+        F.concat(quoted(dropped), ref),
+        F.concat(quoted(F.concat(F.col("raw")[1], words(3, 5))), ref),
+        F.concat(F.lit("1 "), words(3, 6), ref),
+        F.when(F.col("next").isNotNull(), F.concat(quoted(F.concat(F.array_join(F.slice("raw", -5, 5), " "), F.lit(" "), "next")), both)),
+    ]
+    pages = p.select("item_id", F.posexplode(F.array(*kinds)).alias("kind", "said")).where("said is not null")
+    return pages.select((F.col("item_id") * 10 + F.col("kind")).alias("page_id"), F.concat(F.lit("<p>"), "said", F.lit("</p>")).alias("html"))
+
+
+@query(
+    f"WITH {_ARABIC_SQL}, f AS (SELECT c.item_id, c.name || ':' || c.ord AS ref, c.raw, length(regexp_extract(c.raw[6], '^[^ايو]*')) AS before, n.item_id IS NOT NULL AS has_next FROM canon c LEFT JOIN canon n ON n.group_id = c.group_id AND n.ord = c.ord + 1 AND len(n.raw) >= 12 WHERE len(c.raw) >= 12), "
+    "k AS (SELECT * FROM (VALUES (0, 0, 'rangeConstruct'), (0, 1, 'rangeConstruct'), (1, 0, 'leadInBraced'), (2, 0, 'leadInBraced'), (3, 0, 'leadInBraced'), (4, 0, 'explicitRefBackward'), (5, 0, 'leadInBraced')) AS k(kind, seq, strategy)) "
+    "SELECT item_id * 10 + kind AS page_id, CAST(seq AS INTEGER) AS seq, strategy, CASE WHEN kind = 2 AND before > 0 AND raw[6][before] = raw[6][before + 2] OR kind = 3 AND raw[2][-1] = raw[3][1] AND raw[3][1] NOT IN ('ا', 'ي', 'و') THEN 'yellow' ELSE 'green' END AS verdict, ref AS matched FROM f, k WHERE kind < 5 OR has_next"
+)
+def scan_forms(spark, sf_dir):
+    """Pages that quote rightly in all ways but the plain one: everything is green, with its first passage; but where letters that meet make a doubled one, which is written as one, the word is another."""
+    canon = _arabic_canon(spark, sf_dir).drop("item_id", "raw")
+    names = corpus.ref_names(spark, canon.select(F.col("group_name").alias("name"), "group_id").distinct(), ARABIC)
+    found = scan.scan(_forms(spark, sf_dir), canon, names, ARABIC)
+    return found.select("page_id", "seq", "strategy", "verdict", "matched")
