@@ -111,8 +111,11 @@ def combinations(histogram: np.ndarray, window: int = WINDOW, per_length: int =
     return out
 
 
-def repeat_counts(columns: list[tuple[tuple[int, int], ...]], histogram: np.ndarray, passes: int = PASSES) -> list[float]:
-    """How often to use each combination: non-negative least squares against the histogram, by coordinate descent."""
+def repeat_counts(columns: list[tuple[tuple[int, int], ...]], histogram: np.ndarray, passes: int = PASSES, still: float = 1e-3) -> list[float]:
+    """How often to use each combination: non-negative least squares against the histogram, by coordinate descent.
+
+    It ends after so many passes, or with one that moves counts by less than still of their sum: they are rounded anyway.
+    """
     left = [float(x) for x in histogram]
     norms = [sum(t * t for _, t in c) for c in columns]
     counts = [0.0] * len(columns)
@@ -126,7 +129,7 @@ def repeat_counts(columns: list[tuple[tuple[int, int], ...]], histogram: np.ndar
                 for x, t in column:
                     left[x] -= t * step
                 moved += abs(step)
-        if moved < 1e-3 * max(sum(counts), 1.0):
+        if moved < still * max(sum(counts), 1.0):
             break
     return counts
 
