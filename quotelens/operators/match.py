@@ -182,14 +182,5 @@ def elsewhere(found: DataFrame, claims: DataFrame) -> DataFrame:
     return found.join(claims.select("cand_id", *PASSAGE), ["cand_id", *PASSAGE], "left_anti")
 
 
-def runs_of_passages(passages: DataFrame, most: int = 7) -> DataFrame:
-    """Two to most neighbouring passages of a group as one: group_id, first, last, words."""
-    a = passages.select("group_id", F.col("ord").alias("first"))
-    b = passages.select("group_id", "ord", "t1_words")
-    spans = a.withColumn("last", F.explode(F.sequence(F.col("first") + 1, F.col("first") + most - 1))).withColumn("ord", F.explode(F.sequence("first", "last")))
-    joined = spans.join(b, PASSAGE).groupBy("group_id", "first", "last").agg(F.array_sort(F.collect_list(F.struct("ord", "t1_words"))).alias("p"))
-    return joined.where(F.size("p") == F.col("last") - F.col("first") + 1).select("group_id", "first", "last", F.flatten(F.transform("p", lambda x: x["t1_words"])).alias("words"))
-
-
 def allowed_edits(n: Column, loose: bool = False) -> Column:
     return (F.greatest(F.lit(2), F.ceil(n / 4)) if loose else F.greatest(F.lit(1), F.floor(n / 8))).cast("int")
