@@ -16,6 +16,10 @@ from quotelens.operators.canon_index import LETTERS, PAIR, PASSAGE, WORD, CanonI
 from quotelens.store import materialize
 
 
+#: Words of the runs by which texts are searched for passages.
+ANCHOR = 4
+
+
 def with_words(texts: DataFrame, profile: Profile, text: str = "text") -> DataFrame:
     out = texts.withColumn("cited", profile.cited(F.col(text)))
     return out.withColumn("cited_words", profile.words(F.col("cited")))
@@ -24,18 +28,18 @@ def with_words(texts: DataFrame, profile: Profile, text: str = "text") -> DataFr
 def passages_within(texts: DataFrame, keys: list[str], passages: DataFrame) -> DataFrame:
     """keys, group_id, ord and place: where a text holds a whole passage. texts: keys and cited_words.
 
-    Of each passage the two neighbouring words that are rarest in the canon are looked for in the texts (a passage of one word by
-    that word); where they lie, the whole passage is compared.
+    Of each passage the run of ANCHOR words that is rarest in the canon is looked for in the texts (a shorter passage is its
+    own run); where it lies, the whole passage is compared.
     """
     n = F.size("t1_words")
-    pairs = runs(passages.where(n > 1), PASSAGE, "t1_words", 2)
-    often = pairs.groupBy("run").agg(F.count("*").alias("often"))
-    anchors = pairs.join(often, "run").groupBy(*PASSAGE).agg(F.min_by(F.struct("run", "place"), F.struct("often", "place")).alias("a")).select(*PASSAGE, "a.run", F.col("a.place").alias("at"))
-    single = runs(passages.where(n == 1), PASSAGE, "t1_words", 1).withColumnRenamed("place", "at")
     begin = (F.col("place") - F.col("at")).alias("place")
-    met = runs(texts, keys, "cited_words", 2).join(canon_side(anchors, passages), "run").select(*keys, *PASSAGE, begin)
-    if not single.isEmpty():
-        met = met.unionByName(runs(texts, keys, "cited_words", 1).join(canon_side(single, passages), "run").select(*keys, *PASSAGE, begin))
+    sized = passages.select(*PASSAGE, "t1_words", F.least(n, F.lit(ANCHOR)).alias("n")).where("n > 0")
+    met = texts.select(*keys, F.lit(None).cast("int").alias("group_id"), F.lit(None).cast("int").alias("ord"), F.lit(None).cast("int").alias("place")).limit(0)
+    for (length,) in sized.select("n").distinct().collect():  # ANCHOR values at most
+        every = runs(sized.where(F.col("n") == length), PASSAGE, "t1_words", length)
+        often = every.groupBy("run").agg(F.count("*").alias("often"))
+        anchors = every.join(often, "run").groupBy(*PASSAGE).agg(F.min_by(F.struct("run", "place"), F.struct("often", "place")).alias("a")).select(*PASSAGE, "a.run", F.col("a.place").alias("at"))
+        met = met.unionByName(runs(texts, keys, "cited_words", length).join(canon_side(anchors, passages), "run").select(*keys, *PASSAGE, begin))
     # few of all texts hold an anchor: written, so that they are found once
     met = materialize(met.where("place >= 0").distinct().select(F.struct(*keys).alias("_of"), *PASSAGE, "place"), "met")
     met = if_small(met, 100_000)
