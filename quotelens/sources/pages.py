@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import html as charrefs
+import re
+from collections.abc import Mapping
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,24 +17,43 @@ from quotelens.functions.profiles import SPACES
 HIDDEN = "script|style|noscript|template|textarea|title|svg|iframe"
 
 
-def nodes_of(html: Column) -> Column:
+class Reading(NamedTuple):
+    """How a page is read. hidden: elements whose content is no text; references: those that are decoded, with what they stand for
+    (None: all of HTML, as browsers do, some of them without their semicolon); spaces: what a blank node is made of (None: all white space)."""
+
+    hidden: str = HIDDEN
+    references: Mapping[str, str] | None = None
+    spaces: str | None = None
+
+
+BROWSER = Reading()
+
+
+def nodes_of(html: Column, reading: Reading = BROWSER) -> Column:
     """The text nodes of a page in order with their places, without blank ones. Tags go before references are decoded."""
+    hidden, references, spaces = reading
+    known = re.compile("|".join(map(re.escape, references))) if references else None
 
     @F.pandas_udf("array<struct<text:string,start:int>>")
     def decoded(nodes: pd.Series) -> pd.Series:
         def placed(parts) -> list[dict]:
             at, out = 0, []
             for part in parts:
-                text = charrefs.unescape(part) if "&" in part else part
-                if text.strip():
+                text = part
+                if "&" in part and references is None:
+                    text = charrefs.unescape(part)
+                elif known:
+                    text = known.sub(lambda m: references[m[0]], part)
+                if text.strip(spaces):
                     out.append({"text": text, "start": at})
                     at += len(text) + 1
             return out
 
         return nodes.map(placed)
 
-    shown = F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?is)<!--.*?-->|<({HIDDEN})\b.*?</\1\s*>", "<>")
-    return decoded(F.filter(F.split(shown, r"<[^>]*>"), lambda n: F.regexp_replace(n, SPACES, "") != ""))
+    blank = SPACES if spaces is None else f"[{re.escape(spaces)}]+"
+    shown = F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?is)<!--.*?-->|<({hidden})\b.*?</\1\s*>", "<>")
+    return decoded(F.filter(F.split(shown, r"<[^>]*>"), lambda n: F.regexp_replace(n, blank, "") != ""))
 
 
 def text_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
