@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import html as charrefs
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 from quotelens.functions.labels import scrub_volatile
 from quotelens.functions.profiles import squeeze
@@ -24,6 +26,11 @@ RAW = frozenset("script style textarea title".split())
 HIDDEN = RAW | frozenset("noscript template iframe svg select button".split())
 #: Elements above a node that are looked at, characters that make other text, and characters of a context.
 HOPS, OTHER, AROUND = 8, 3, 200
+#: Characters of nodes and elements around them that a worker holds at once, beyond those of a single page.
+HELD = 500_000
+
+NODE = StructType().add("node", IntegerType()).add("text", StringType()).add("start", IntegerType()).add("path", ArrayType(IntegerType())).add("tags", ArrayType(StringType())).add("shown", BooleanType())
+_ARROW = {"node": pa.int32(), "text": pa.string(), "start": pa.int32(), "path": pa.list_(pa.int32()), "tags": pa.list_(pa.string()), "shown": pa.bool_()}
 
 
 def tree_of(page: str) -> list[dict]:
@@ -69,14 +76,33 @@ def tree_of(page: str) -> list[dict]:
     return nodes
 
 
-def tree_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, node (its number among all), text, start, path, tags and shown, as tree_of gives them; a page that is null has none."""
+def nodes_in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of pages (key, html), a row each, in parts of about HELD characters: memory doesn't grow with the pages of a batch."""
+    for batch in batches:
+        keys, pages = batch.columns
+        rows: list[int] = []
+        nodes: list[dict] = []
+        held = 0
+
+        def part() -> pa.RecordBatch:
+            columns = [pa.array([n[name] for n in nodes], kind) for name, kind in _ARROW.items()]
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int32())), *columns], [batch.schema.names[0], *_ARROW])  # noqa: B023
 
-    @F.pandas_udf("array<struct<text:string,start:int,path:array<int>,tags:array<string>,shown:boolean>>")
-    def read(page: pd.Series) -> pd.Series:
-        return page.map(lambda p: tree_of(p) if p is not None else [])
+        for row in range(batch.num_rows):
+            for number, n in enumerate(tree_of(pages[row].as_py() or "")):
+                rows.append(row)
+                nodes.append({"node": number, **n})
+                held += len(n["text"]) + 10 * len(n["path"])
+                if held >= HELD:
+                    yield part()
+                    rows, nodes, held = [], [], 0
+        if nodes:
+            yield part()
 
-    return pages.select(key, F.posexplode(read(F.col(html))).alias("node", "_n")).select(key, "node", "_n.*")
+
+def tree_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, node (its number among all), text, start, path, tags and shown, as tree_of gives them; a page that is null has none."""
+    return pages.select(key, html).mapInArrow(nodes_in_parts, StructType([pages.schema[key], *NODE]))
 
 
 def contexts(nodes: DataFrame, key: str = "page_id") -> DataFrame:

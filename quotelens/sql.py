@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
+from pyspark.sql.types import IntegerType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from quotelens.operators.extract import marks_of
-from quotelens.sources.elements import tree_of
+from quotelens.sources.elements import NODE, tree_of
 
 #: name(arguments) -> type: expression. letters: those that spelling may drop, add or change.
 FUNCTIONS = {
@@ -29,7 +29,6 @@ FUNCTIONS = {
     "reference_text(name STRING, first INT, last INT) RETURNS STRING": "concat('(', name, ':', first, CASE WHEN last > first THEN concat('-', last) ELSE '' END, ')')",
 }
 
-_NODE = StructType().add("node", IntegerType()).add("text", StringType()).add("start", IntegerType()).add("path", ArrayType(IntegerType())).add("tags", ArrayType(StringType())).add("shown", BooleanType())
 _MARK = StructType().add("kind", StringType()).add("start", IntegerType()).add("end", IntegerType()).add("inner", StringType())
 
 
@@ -45,7 +44,7 @@ class PageNodes:
 
     @staticmethod
     def analyze(html: AnalyzeArgument) -> AnalyzeResult:
-        return _one_text(html, _NODE)
+        return _one_text(html, NODE)
 
     def eval(self, html: str | None) -> Iterator[tuple]:
         for i, n in enumerate(tree_of(html or "")):
